@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lectern.llm import mixing, quality, url_filter
+from lectern.llm import mixing, quality, simhash, url_filter
 from lectern.storage import table
 
 
@@ -49,6 +50,11 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM fits
 """
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = quality.ledger(table(spark, sf_dir, "documents"))
     base = entries["failed"].bitwiseAND(quality.mask(quality.POLICIES["base"])) != 0
@@ -89,7 +95,7 @@ FROM b
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op3_urls": op3_urls, "op10_quality": op10_quality}
+    return {"op1_mixing": op1_mixing, "op3_urls": op3_urls, "op6_simhash": op6_simhash, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
