@@ -1 +1 @@
-
+"""Relational operators."""
