@@ -21,3 +21,19 @@ def let(value: Column, body) -> Column:
     for each element.
     """
     return F.transform(F.array(value), body)[0]
+
+
+def span_columns(spans: Column, base: tuple[str, ...]) -> dict[str, Column]:
+    """n_<kind> for the base kinds, base_sha256 and spans, of an ordered array of (kind, start, end).
+
+    A span reads kind:start:end and spans are joined by commas; base_sha256 is
+    the lowercase hexadecimal digest of the base kinds' spans.
+    """
+    text = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
+    joined = lambda x: F.array_join(F.transform(x, text), ",")
+    number = lambda kind: F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
+    counts = {f"n_{k}": number(k) for k in base}
+    return counts | {
+        "base_sha256": F.sha2(joined(F.filter(spans, lambda x: x["kind"].isin(*base))), 256),
+        "spans": joined(spans),
+    }

@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import mixing, packing, quality, simhash, topk, url_filter
+from lectern.llm import mixing, packing, quality, secrets, simhash, topk, url_filter
+from lectern.llm.common import span_columns
 from lectern.storage import table
 
 
@@ -20,6 +21,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[c.alias(n) for n, c in span_columns(F.col("spans"), secrets.KINDS[:3]).items()])
+
+
 def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     judged = url_filter.judge_urls(pages, url_filter.rule_table(spark))
@@ -121,7 +127,7 @@ FROM b
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op3_urls": op3_urls, "op4_packing": op4_packing, "op6_simhash": op6_simhash, "op9_topk": op9_topk, "op10_quality": op10_quality}
+    return {"op1_mixing": op1_mixing, "op2_secrets": op2_secrets, "op3_urls": op3_urls, "op4_packing": op4_packing, "op6_simhash": op6_simhash, "op9_topk": op9_topk, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
