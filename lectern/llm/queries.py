@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import mixing, packing, quality, secrets, simhash, topk, url_filter
+from lectern.llm import mixing, packing, pii, quality, secrets, simhash, topk, url_filter
 from lectern.llm.common import span_columns
 from lectern.storage import table
 
@@ -60,6 +60,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[c.alias(n) for n, c in span_columns(F.col("spans"), pii.BASE).items()])
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -127,7 +132,7 @@ FROM b
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_secrets": op2_secrets, "op3_urls": op3_urls, "op4_packing": op4_packing, "op6_simhash": op6_simhash, "op9_topk": op9_topk, "op10_quality": op10_quality}
+    return {"op1_mixing": op1_mixing, "op2_secrets": op2_secrets, "op3_urls": op3_urls, "op4_packing": op4_packing, "op5_pii": op5_pii, "op6_simhash": op6_simhash, "op9_topk": op9_topk, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
