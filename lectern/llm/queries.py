@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import mixing, packing, pii, quality, secrets, simhash, topk, url_filter
+from lectern.llm import line_dedup, mixing, packing, pii, quality, secrets, simhash, topk, url_filter
 from lectern.llm.common import span_columns
 from lectern.storage import table
 
@@ -70,6 +70,51 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = line_dedup.dedup_lines(docs)
+    each = lambda r: F.concat_ws("-", r["first"].cast("string"), r["last"].cast("string"))
+    return cut.select(
+        "doc_id",
+        F.array_join(F.transform("_deleted", each), ",").alias("deleted"),
+        F.aggregate("_deleted", F.lit(0).cast("long"), lambda a, r: a + r["last"] - r["first"] + 1).alias("n_deleted"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
+    )
+
+
+OP8_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, pos - 1 AS pos, ls[pos] AS line, len(list_filter(string_split_regex(ls[pos], '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS pos
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))
+), w AS (
+  SELECT *, coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM lines WHERE n > 0
+), runs AS (
+  SELECT doc_id, pos, max(pos) OVER f AS last, md5(string_agg(line, chr(10)) OVER f) AS run, sum(n) OVER f AS total
+  FROM w WINDOW f AS (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)
+), later AS (
+  SELECT doc_id, pos, last FROM (
+    SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) AS k FROM runs WHERE total >= 50
+  ) WHERE k > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(pos, last + 1)) AS pos FROM later
+), islands AS (
+  SELECT doc_id, min(pos) AS a, max(pos) AS b FROM (
+    SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM gone
+  ) GROUP BY doc_id, g
+), ranges AS (
+  SELECT doc_id, string_agg(a || '-' || b, ',' ORDER BY a) AS deleted, sum(b - a + 1)::BIGINT AS n FROM islands GROUP BY doc_id
+), rest AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM lines l
+  WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = l.doc_id AND g.pos = l.pos) GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(r.deleted, '') AS deleted, coalesce(r.n, 0) AS n_deleted,
+       sha256(coalesce(x.text, '')) AS text_sha256
+FROM documents d LEFT JOIN ranges r USING (doc_id) LEFT JOIN rest x USING (doc_id)
+"""
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
@@ -132,8 +177,8 @@ FROM b
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_secrets": op2_secrets, "op3_urls": op3_urls, "op4_packing": op4_packing, "op5_pii": op5_pii, "op6_simhash": op6_simhash, "op9_topk": op9_topk, "op10_quality": op10_quality}
+    return {"op1_mixing": op1_mixing, "op2_secrets": op2_secrets, "op3_urls": op3_urls, "op4_packing": op4_packing, "op5_pii": op5_pii, "op6_simhash": op6_simhash, "op8_line_dedup": op8_line_dedup, "op9_topk": op9_topk, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_urls": OP3_SQL, "op9_topk": OP9_SQL, "op10_quality": OP10_SQL}
+    return {"op3_urls": OP3_SQL, "op8_line_dedup": OP8_SQL, "op9_topk": OP9_SQL, "op10_quality": OP10_SQL}
