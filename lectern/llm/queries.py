@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import line_dedup, mixing, packing, pii, quality, secrets, simhash, topk, url_filter
+from lectern.llm import line_dedup, mixing, packing, pii, quality, secrets, simhash, topk, toxicity, url_filter
 from lectern.llm.common import span_columns
 from lectern.storage import table
 
@@ -70,6 +70,18 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = toxicity.fold(F.col("_id")) == 2
+    scorer = toxicity.fit(docs, table(spark, sf_dir, "labels"), held_out)
+    return toxicity.score(docs, scorer).select(
+        "doc_id",
+        (toxicity.fold(F.col("doc_id")) == 2).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cut = line_dedup.dedup_lines(docs)
@@ -177,7 +189,7 @@ FROM b
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_secrets": op2_secrets, "op3_urls": op3_urls, "op4_packing": op4_packing, "op5_pii": op5_pii, "op6_simhash": op6_simhash, "op8_line_dedup": op8_line_dedup, "op9_topk": op9_topk, "op10_quality": op10_quality}
+    return {"op1_mixing": op1_mixing, "op2_secrets": op2_secrets, "op3_urls": op3_urls, "op4_packing": op4_packing, "op5_pii": op5_pii, "op6_simhash": op6_simhash, "op7_toxicity": op7_toxicity, "op8_line_dedup": op8_line_dedup, "op9_topk": op9_topk, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:

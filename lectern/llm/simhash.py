@@ -166,3 +166,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
         F.col("fp").alias("_fp"), F.coalesce("least", "first").alias("component_id")
     )
     return fps.join(classes, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+
+
+def first_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """The rows of docs but those that near_duplicates links to a document with a smaller doc_id.
+
+    Of rows with the same doc_id one stays; all rows with a null doc_id stay.
+    """
+    groups = written(near_duplicates(docs, shingle), "simhash-groups")
+    gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
+    named = docs.where(F.col("doc_id").isNotNull())
+    kept = named.join(gone.hint("shuffle_hash"), named["doc_id"] == F.col("_id"), "left_anti").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
