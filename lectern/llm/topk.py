@@ -103,7 +103,7 @@ def _search_group(k: int):
             floor = queries["floor"].to_numpy(np.int64)
             found = search(
                 queries["id"].to_numpy(np.int64), _matrix(queries["x"]), floor,
-                rows["id"].to_numpy(np.int64), _matrix(rows["x"]), k,
+                rows["row_id"].to_numpy(np.int64), _matrix(rows["row_x"]), k,
             )
             out = [(q, int(i), int(s)) for q, ids, scores in found for i, s in zip(ids, scores, strict=True)]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
@@ -135,17 +135,20 @@ def top_k(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
     n = valid.agg(F.count(F.lit(1)).alias("rows"), F.count_if("asks").alias("asks")).first()
     shards, blocks = -(-n["rows"] // SHARD) or 1, -(-n["asks"] // BLOCK) or 1
     place = F.xxhash64("id", "x")
-    rows = valid.select("id", "dim", "x", F.pmod(place, F.lit(shards)).cast("int").alias("shard"))
+    rows = valid.select(
+        F.col("id").alias("row_id"), F.col("dim").alias("row_dim"), F.col("x").alias("row_x"),
+        F.pmod(place, F.lit(shards)).cast("int").alias("row_shard"),
+    )
     queries = (
         valid.where("asks")
         .dropDuplicates(["id", "x"])
         .select("id", "dim", "x", F.pmod(F.xxhash64("x", "id"), F.lit(blocks)).cast("int").alias("block"))
     )
-    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.withColumn("row_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     group = ["dim", "shard", "block"]
 
     def searched(asked: DataFrame, among: DataFrame) -> DataFrame:
-        pair = asked.groupBy(*group).cogroup(among.groupBy(*group))
+        pair = asked.groupBy(*group).cogroup(among.groupBy(*[f"row_{c}" for c in group]))
         return pair.applyInPandas(_search_group(k), "query_id long, vec_id long, score long")
 
     home = F.pmod(F.hash("id"), F.lit(shards)).cast("int")
