@@ -1 +1 @@
-
+"""Sources: feeds, pages, configurations and listings as DataFrames."""
