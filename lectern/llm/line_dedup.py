@@ -107,9 +107,10 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     one document and are cut alike. Other columns stay; an empty table stays
     empty.
     """
-    ranges = repeated_ranges(docs, least_words)
-    lines = F.split(F.col("text"), "\n")
-    r, n = F.col("ranges"), F.size(lines)
+    # names that docs won't have
+    ranges = repeated_ranges(docs, least_words).toDF("__line_doc", "__line_t", "__line_ranges")
+    lines = F.split(docs["text"].cast("string"), "\n")
+    r, n = F.col("__line_ranges"), F.size(lines)
     kept = F.flatten(
         F.transform(
             F.sequence(F.lit(0), F.size(r)),
@@ -119,10 +120,11 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
             ),
         )
     )
-    rest = F.when(r.isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    keyed = docs.withColumns({"_doc": _id(), "_t": F.xxhash64(_text())})
-    joined = keyed.join(
-        ranges.hint("shuffle_hash"), (F.col("_doc") == F.col("doc")) & (F.col("_t") == F.col("t")), "left"
+    rest = F.when(r.isNull(), docs["text"]).otherwise(F.array_join(kept, "\n"))
+    joined = docs.join(
+        ranges.hint("shuffle_hash"),
+        (_id() == F.col("__line_doc")) & (F.xxhash64(_text()) == F.col("__line_t")),
+        "left",
     )
     none = F.array().cast("array<struct<first:int,last:int>>")
     return joined.select(

@@ -139,10 +139,10 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         mix(docs, **options)
         .groupBy("source")
         .agg(
-            F.max(epochs).alias("_epochs"),
-            F.max(F.when(extra, F.struct("key", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))))).alias("_cut"),
+            F.max(epochs).alias("__mix_epochs"),
+            F.max(F.when(extra, F.struct("key", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))))).alias("__mix_cut"),
         )
-        .withColumnRenamed("source", "_source"),
+        .withColumnRenamed("source", "__mix_source"),
         "mix-cuts",
     )
     bits = F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"))
@@ -150,9 +150,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         F.shiftrightunsigned(bits, 11) / F.lit(float(1 << 53)),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))),
     )
-    rows = docs.join(cuts, docs["source"].cast("string").eqNullSafe(cuts["_source"]))
-    copies = F.col("_epochs") + F.when(F.coalesce(key <= F.col("_cut"), F.lit(False)), 1).otherwise(0)
+    rows = docs.join(cuts, docs["source"].cast("string").eqNullSafe(cuts["__mix_source"]))
+    copies = F.col("__mix_epochs") + F.when(F.coalesce(key <= F.col("__mix_cut"), F.lit(False)), 1).otherwise(0)
     return (
-        rows.withColumn("_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies.cast("int"))).otherwise(F.array().cast("array<int>"))))
+        rows.withColumn("__mix_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies.cast("int"))).otherwise(F.array().cast("array<int>"))))
         .select(*[docs[c] for c in docs.columns])
     )

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -101,8 +102,28 @@ def transition_counts(docs: DataFrame) -> DataFrame:
     return counted.groupBy("model", "pair").agg(F.sum("n").alias("n"))
 
 
-def train(counts: DataFrame, flat: float = 0.5) -> np.ndarray:
-    """The log-likelihood ratio of each transition, random against ordinary.
+class Models(NamedTuple):
+    """Of ordinary identifiers the transition counts and how often a character occurs, of random strings the log
+    probabilities."""
+
+    ordinary: np.ndarray
+    single: np.ndarray
+    random: np.ndarray
+
+    def ratio(self, token: str) -> float:
+        """The log-likelihood ratio, random against ordinary. The token's own transitions, which were counted as
+        ordinary, are taken out of the counts first: a secret that occurs once must not vouch for itself."""
+        c = _codes(token)
+        first, second = c[:-1], c[1:]
+        _, at, own = np.unique(first * _N + second, return_inverse=True, return_counts=True)
+        left = np.maximum(self.ordinary[first, second] - own[at], 0)
+        rows = np.maximum(self.ordinary.sum(axis=1) - np.bincount(first, minlength=_N), 0)
+        ordinary = (left + 2 * self.single[second]) / (rows[first] + 2)
+        return float((self.random[first, second] - np.log(ordinary)).sum())
+
+
+def train(counts: DataFrame, flat: float = 0.5) -> Models:
+    """The two models from transition counts, smoothed by how often a character occurs at all.
 
     The random model is mixed with ``flat`` parts of uniform choice: secrets
     that the patterns don't know use other alphabets. counts has at most two
@@ -112,12 +133,12 @@ def train(counts: DataFrame, flat: float = 0.5) -> np.ndarray:
     for r in counts.collect():
         found[r["model"], r["pair"]] = r["n"]
     ordinary, random = found.reshape(2, _N, _N)
-    ordinary = (ordinary + 0.05) / (ordinary.sum(axis=1, keepdims=True) + 0.05 * _N)
-    random = (random + 0.05) / (random.sum(axis=1, keepdims=True) + 0.05 * _N)
-    return np.log((1 - flat) * random + flat / _N) - np.log(ordinary)
+    single = [(x.sum(axis=0) + 0.5) / (x.sum() + 0.5 * _N) for x in (ordinary, random)]
+    drawn = (random + 2 * single[1]) / (random.sum(axis=1, keepdims=True) + 2)
+    return Models(ordinary, single[0], np.log((1 - flat) * drawn + flat / _N))
 
 
-def scan(docs: DataFrame, ratios: np.ndarray, least: float = 12.0, least_each: float = 0.6) -> DataFrame:
+def scan(docs: DataFrame, models: Models, least: float = 12.0, least_each: float = 0.6) -> DataFrame:
     """doc_id, spans: array of (kind, start, end), code points, end exclusive, by start and then kind.
 
     A token of 16 characters or more that holds a letter and a digit, and that
@@ -136,8 +157,7 @@ def scan(docs: DataFrame, ratios: np.ndarray, least: float = 12.0, least_each: f
                     token = text[a:e]
                     if not (re.search("[0-9]", token) and re.search("[A-Za-z]", token)):
                         continue
-                    c = _codes(token)
-                    score = ratios[c[:-1], c[1:]].sum()
+                    score = models.ratio(token)
                     if score >= least and score >= least_each * len(token):
                         spans.append((a, 3, e))
                 out.append([{"kind": KINDS[k], "start": a, "end": e} for a, k, e in sorted(spans)])

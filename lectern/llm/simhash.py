@@ -174,7 +174,7 @@ def first_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
     Of rows with the same doc_id one stays; all rows with a null doc_id stay.
     """
     groups = written(near_duplicates(docs, shingle), "simhash-groups")
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
+    gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__simhash_id")).distinct()
     named = docs.where(F.col("doc_id").isNotNull())
-    kept = named.join(gone.hint("shuffle_hash"), named["doc_id"] == F.col("_id"), "left_anti").dropDuplicates(["doc_id"])
+    kept = named.join(gone.hint("shuffle_hash"), named["doc_id"] == F.col("__simhash_id"), "left_anti").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where(F.col("doc_id").isNull()))

@@ -151,8 +151,10 @@ def plain_words(text: str) -> tuple[set[str], set[str]]:
             disguised.add(core)
     for m in _SPACED.finditer(low):
         joined = re.sub(r"[ ._\-*]", "", m[0])
-        if len(set(joined)) > 1:
-            disguised.add(joined)
+        # a word of one letter may stand before or after the spaced one
+        for token in {joined[a : len(joined) - b] for a in (0, 1) for b in (0, 1)}:
+            if len(set(token)) > 1 and len(token) > 2:
+                disguised.add(token)
     return plain, disguised
 
 
@@ -231,7 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None) -> S
     )
     total = bags.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
     n, toxic = total["n"], total["toxic"]
-    base = (toxic + 1) / (n + 2)
+    base = (toxic + 0.2) / (n + 10)  # few labels say little, and then toxicity is taken to be rare
     # a word belongs to the lexicon if its share of toxic texts is far beyond chance
     spread = F.sqrt(F.col("n") * F.lit(base * (1 - base)))
     stats = (
@@ -292,23 +294,25 @@ def calibrate(table: list[tuple[float, int, int]], odds: float, rounds: int = 60
     return float(bias), float(scale)
 
 
-def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
-    """The columns of docs (but ``score``) and ``score``, 0 to 1: how likely the text would be labelled toxic.
+def score(docs: DataFrame, scorer: Scorer, name: str = "score") -> DataFrame:
+    """The columns of docs and ``name``, 0 to 1: how likely the text would be labelled toxic.
+
+    A column of docs with that name is replaced.
 
     Null and empty texts score what texts without any listed word do. Every row
     is kept; only ``text`` is looked at, and all of it.
     """
     shared = docs.sparkSession.sparkContext.broadcast(scorer)  # a matrix of fixed size, and MAX_WORDS words at most
-    kept = [c for c in docs.columns if c != "score"]
-    schema = docs.select(*kept).schema.add("score", "double")
+    kept = [c for c in docs.columns if c != name]
+    schema = docs.select(*kept).schema.add(name, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, known = shared.value, {}
         for b in batches:
             values = []
-            for x in b.column("text"):
+            for x in b.column("text").cast(pa.string()):
                 e = _evidence(restored(x.as_py() or "", s.model, known), s.weights)
                 values.append(1 / (1 + math.exp(-max(-30.0, min(30.0, s.bias + s.scale * e)))))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(values, pa.float64())], [*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(values, pa.float64())], [*b.schema.names, name])
 
     return docs.select(*kept).mapInArrow(run, schema)

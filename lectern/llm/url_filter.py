@@ -88,12 +88,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
         asked.join(ruled, "short")
         .where(F.col("digest") == F.col("rule_digest"))
         .groupBy("host", "path")
-        .agg(best.alias("best"))
+        .agg(best.alias("__best"))
     )
     return seen.join(judged, ["host", "path"], "left").select(
         *kept,
         "host",
         "path",
-        F.col("best.rule").alias("rule"),
-        F.coalesce("best.action", F.lit(default)).alias("verdict"),
+        F.col("__best.rule").alias("rule"),
+        F.coalesce("__best.action", F.lit(default)).alias("verdict"),
     )
