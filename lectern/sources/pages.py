@@ -135,7 +135,7 @@ def section_of(html: Column, nodes: Column, heading: Column) -> Column:
 
     def parted(head: Column) -> Column:
         outer = F.get(nodes, head["parent"])
-        inside = F.when(head["parent"] >= 0, _inside(nodes, outer)).otherwise(F.slice(nodes, 1, 0))
+        inside = F.when(head["parent"] >= 0, _inside(nodes, outer)).otherwise(nodes)
         wrapper = F.filter(inside, lambda n: has_class(n["cls"], "section__wrapper"))
         first = F.get(wrapper, F.lit(0))
         beside = F.filter(
