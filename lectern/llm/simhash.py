@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import words
 from lectern.operators.components import connected_components
 from lectern.storage import written
 
@@ -67,11 +68,16 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, fp long")
 
 
+def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many bits differ, word by word. Unsigned: of a signed number numpy counts the bits of its absolute value."""
+    return np.bitwise_count((a ^ b).astype(np.uint64))
+
+
 def _bucket_links(members: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links between members[own] and all members of one bucket."""
     label = np.arange(len(members))
     for i in np.flatnonzero(own):
-        met = np.unique(label[np.bitwise_count(members ^ members[i]) <= RADIUS])
+        met = np.unique(label[_differ(members, members[i]) <= RADIUS])
         if len(met) > 1:
             label[np.isin(label, met)] = met[0]
     tied = label != np.arange(len(members))
@@ -88,7 +94,7 @@ def _bucket_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owners = np.add.reduceat(own.astype(np.int64), first)
         us, vs = [], []
         two = first[(size == 2) & (owners > 0)]
-        near = np.bitwise_count(fp[two] ^ fp[two + 1]) <= RADIUS
+        near = _differ(fp[two], fp[two + 1]) <= RADIUS
         us.append(fp[two][near])
         vs.append(fp[two + 1][near])
         for a, n in zip(first[(size > 2) & (owners > 0)], size[(size > 2) & (owners > 0)], strict=True):
@@ -159,21 +165,214 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     fps = written(fingerprints(docs, shingle), "simhash")
     nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
     groups = connected_components(links(nodes.select("fp")))
-    linked = groups.join(nodes, F.col("node") == F.col("fp")).select("fp", "component", "first")
+    classes = _classes(nodes, groups, "fp")
+    return fps.join(classes, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+
+
+#: Bits of the fingerprint that candidates are found by, and of the one that they are compared by.
+FIND_BITS, COMPARE_BITS = 128, 256
+#: How far under the similarity asked for a pair may seem to be before the shingles themselves are compared.
+MARGIN = 0.25
+#: Pairs that a text gives in a bucket, besides those that tie the bucket together.
+NEAREST = 6
+_PAYLOAD = [f"f{i}" for i in range(FIND_BITS // 64)] + [f"s{i}" for i in range(COMPARE_BITS // 64)]
+
+
+def _majority(digests: bytes, bits: int) -> np.ndarray:
+    """The bits set in over half of the digests, as signed 64-bit words."""
+    each = np.unpackbits(np.frombuffer(digests, dtype=np.uint8).reshape(-1, bits // 8), axis=1, bitorder="little")
+    whole = len(each) // 255 * 255  # sums of 255 fit a byte
+    counts = each[:whole].reshape(-1, 255, bits).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+    counts += each[whole:].sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(each), bitorder="little").view("<i8")
+
+
+def wide_fingerprint(text: str | None, shingle: int) -> list[int]:
+    """The hash of the words, which names the text, then SimHashes of the different word pairs (FIND_BITS) and word shingles (COMPARE_BITS), as 64-bit words."""
+    import xxhash
+
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    whole = b" ".join(tokens)
+    name = xxhash.xxh64_intdigest(whole, 42)
+    name -= (name >> 63) << 64
+    if not tokens:
+        return [name, *[0] * len(_PAYLOAD)]
+    starts = list(accumulate((len(x) + 1 for x in tokens), initial=0))
+    # each shingle once: similarity is that of sets
+    grams = lambda n: {whole[a : b - 1] for a, b in zip(starts, starts[min(n, len(tokens)) :], strict=False)}
+    h = xxhash.xxh3_128_digest
+    pairs, runs = grams(2), grams(shingle)
+    found = _majority(b"".join([h(g, 1) for g in pairs]), FIND_BITS)
+    compared = _majority(b"".join([h(g, 2) + h(g, 3) for g in runs]), COMPARE_BITS)
+    return [name, *(int(x) for x in (*found, *compared))]
+
+
+def wide_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, id and the words of wide_fingerprint for every row of docs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = np.array([wide_fingerprint(x, shingle) for x in b.column("text").to_pylist()], dtype=np.int64)
+            columns = [pa.array(c) for c in rows.reshape(-1, len(_PAYLOAD) + 1).T.copy()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], ["doc_id", "id", *_PAYLOAD])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, id long, " + ", ".join(f"{c} long" for c in _PAYLOAD))
+
+
+def _most_bits(similarity: float) -> int:
+    """How many of COMPARE_BITS sets of that Jaccard similarity differ in on average."""
+    cosine = 2 * similarity / (1 + similarity)
+    return int(np.arccos(cosine) / np.pi * COMPARE_BITS)
+
+
+def similar_links(nodes: DataFrame, similarity: float) -> DataFrame:
+    """u, v: links between nodes (id and the words of a wide fingerprint) that are alike and share a bucket.
+
+    Fingerprints to find by that differ in at most 11 of 128 bits differ in at
+    most two on one of four 32-bit words: both sides emit all variants of each
+    word within one bit, half of that, and meet.
+    """
+    most = _most_bits(similarity)
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def forest(sketch: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Pairs that tie everything alike together, and each member with the NEAREST ones most like it."""
+            label, us, vs = np.arange(len(sketch)), [], []
+            k = min(NEAREST, len(sketch) - 1)
+            for i in np.flatnonzero(own):
+                far = _differ(sketch, sketch[i]).sum(axis=1, dtype=np.int64)
+                met = np.unique(label[far <= most])
+                if len(met) > 1:
+                    label[np.isin(label, met)] = met[0]
+                far[i] = COMPARE_BITS + 1
+                close = np.argpartition(far, k - 1)[:k]
+                close = close[far[close] <= most]
+                us.append(np.full(len(close), i))
+                vs.append(close)
+            tied = np.flatnonzero(label != np.arange(len(label)))
+            return np.concatenate([tied, *us]), np.concatenate([label[tied], *vs])
+
+        for key, ids, sketch, own in _runs(batches):
+            first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
+            size = np.diff(np.r_[first, len(key)])
+            two = first[size == 2]
+            near = _differ(sketch[two], sketch[two + 1]).sum(axis=1, dtype=np.int64) <= most
+            us, vs = [ids[two][near]], [ids[two + 1][near]]
+            for a, n in zip(first[size > 2], size[size > 2], strict=True):
+                x, y = forest(sketch[a : a + n], own[a : a + n])
+                us.append(ids[a + x])
+                vs.append(ids[a + y])
+            u, v = np.concatenate(us), np.concatenate(vs)
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    n_words = FIND_BITS // 32
+    sketch = _PAYLOAD[FIND_BITS // 64 :]
+    parts = F.array(
+        *[x for i in range(n_words // 2) for x in (F.col(f"f{i}").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned(f"f{i}", 32))]
+    )
+    per_word = nodes.select("id", *sketch, F.posexplode(parts).alias("w", "value"))
+    own_key = (F.col("w") * F.lit(1 << 32) + F.col("value")).alias("_key")
+    crowded = per_word.select(own_key).groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > SLICE)
+    flip = F.when(F.col("b") == 32, F.lit(0).cast("long")).otherwise(F.expr("shiftleft(1L, b)"))
+    variants = per_word.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(32)))).select(
+        (F.col("w") * F.lit(1 << 32) + F.col("value").bitwiseXOR(flip)).alias("key"), "id", *sketch
+    )
+    slices = F.coalesce(F.ceil(F.col("_n") / SLICE), F.lit(1)).cast("int")
+    dealt = (
+        variants.join(F.broadcast(crowded), F.col("key") == F.col("_key"), "left")
+        .withColumn("_slices", slices)
+        .withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)))
+        .withColumn("own", F.pmod(F.hash("id"), F.col("_slices")) == F.col("slice"))
+    )
+    return (
+        dealt.select("key", "slice", "id", *sketch, "own")
+        .repartition("key", "slice")
+        .sortWithinPartitions("key", "slice")
+        .mapInArrow(linked, "u long, v long")
+    )
+
+
+def confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (u, v: names of texts) whose sets of word shingles are similar, compared as they are."""
+    low = F.translate(F.col("text").cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    named = docs.select(words(low).alias("w")).select(F.xxhash64(F.array_join("w", " ")).alias("id"), "w")
+    asked = written(
+        pairs.select(F.col("u").alias("_id")).unionByName(pairs.select(F.col("v").alias("_id"))).distinct(), "simhash-asked"
+    )
+    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - shingle, F.lit(0)))
+    hashed = F.transform(starts, lambda i: F.xxhash64(F.slice(F.col("w"), i + 1, shingle)))
+    sets = written(
+        named.join(asked.hint("shuffle_hash"), F.col("id") == F.col("_id"), "left_semi")
+        .dropDuplicates(["id"])
+        .select("id", F.array_distinct(hashed).alias("s")),
+        "simhash-sets",
+    )
+    a, b = sets.toDF("u", "a"), sets.toDF("v", "b")
+    both = F.size(F.array_intersect("a", "b"))
+    alike = pairs.join(a, "u").join(b, "v").where(both >= F.lit(similarity) * (F.size("a") + F.size("b") - both))
+    return alike.select("u", "v")
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Sorted rows as (key and slice, id, sketch, own), cut only between runs of equal key and slice."""
+    kept = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        column = lambda c, b=b: b.column(c).to_numpy(zero_copy_only=False)
+        now = (
+            np.stack([column("key"), column("slice")], axis=1),
+            column("id"),
+            np.stack([column(c) for c in _PAYLOAD[FIND_BITS // 64 :]], axis=1),
+            column("own"),
+        )
+        if kept is not None:
+            now = tuple(np.concatenate([x, y]) for x, y in zip(kept, now, strict=True))
+        cut = int(np.argmax((now[0] == now[0][-1]).all(axis=1)))
+        if cut:
+            yield tuple(x[:cut] for x in now)
+        kept = tuple(x[cut:] for x in now)
+    if kept is not None:
+        yield kept
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, component_id for every row of docs: groups of documents linked by similarity.
+
+    Similarity is the Jaccard similarity of the sets of word shingles; texts
+    with the same words are always linked. Fingerprints of COMPARE_BITS only
+    choose the pairs whose shingles are compared. Pairs are found by ball hashing on word pairs, all
+    within 11 of 128 bits and most beyond: a document in which one word in
+    fifty is another has about 12. Nulls, empty texts, repeated rows: as
+    near_duplicates.
+    """
+    fps = written(wide_fingerprints(docs, shingle), "simhash-wide")
+    nodes = written(
+        fps.groupBy("id").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in _PAYLOAD]), "simhash-nodes"
+    )
+    likely = written(similar_links(nodes, similarity - MARGIN).distinct(), "simhash-pairs")
+    classes = _classes(nodes, connected_components(confirmed(docs, likely, shingle, similarity)), "id")
+    return fps.join(classes, F.col("id") == F.col("_fp")).select("doc_id", "component_id")
+
+
+def _classes(nodes: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """_fp, component_id: the least ``first`` of each node's group."""
+    linked = groups.join(nodes.select(key, "first"), F.col("node") == F.col(key)).select(key, "component", "first")
     least = linked.groupBy(F.col("component").alias("_c")).agg(F.min("first").alias("least"))
-    moved = linked.join(least, F.col("component") == F.col("_c")).select(F.col("fp").alias("_fp"), "least")
-    classes = nodes.join(moved, F.col("fp") == F.col("_fp"), "left").select(
-        F.col("fp").alias("_fp"), F.coalesce("least", "first").alias("component_id")
+    moved = linked.join(least, F.col("component") == F.col("_c")).select(F.col(key).alias("_fp"), "least")
+    return nodes.join(moved, F.col(key) == F.col("_fp"), "left").select(
+        F.col(key).alias("_fp"), F.coalesce("least", "first").alias("component_id")
     )
-    return fps.join(classes, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
-def first_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """The rows of docs but those that near_duplicates links to a document with a smaller doc_id.
+def first_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs but those that similar_documents links to a document with a smaller doc_id.
 
     Of rows with the same doc_id one stays; all rows with a null doc_id stay.
     """
-    groups = written(near_duplicates(docs, shingle), "simhash-groups")
+    groups = written(similar_documents(docs, shingle, similarity), "simhash-groups")
     gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__simhash_id")).distinct()
     named = docs.where(F.col("doc_id").isNotNull())
     kept = named.join(gone.hint("shuffle_hash"), named["doc_id"] == F.col("__simhash_id"), "left_anti").dropDuplicates(["doc_id"])

@@ -19,9 +19,10 @@ def plain_fingerprint(text, n):
 
 def components(ids, fps):
     u = np.array(sorted(set(fps)), dtype=np.int64)
-    label = np.arange(len(u))
+    label = np.arange(len(u))  # Python's numbers, so that signs don't matter
     for i in range(len(u)):
-        met = np.unique(label[np.bitwise_count(u ^ u[i]) <= 3])
+        near = np.array([((int(x) ^ int(u[i])) & (2**64 - 1)).bit_count() <= 3 for x in u])
+        met = np.unique(label[near])
         label[np.isin(label, met)] = met[0]
     of = dict(zip(u.tolist(), label.tolist(), strict=True))
     least = {}
@@ -79,3 +80,36 @@ def test_one_of_each_group_stays(docs):
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 2]
     assert simhash.first_of_each(docs([]), 5).count() == 0
+
+
+def test_similar_documents_are_found_and_others_left(docs):
+    rng = random.Random(5)
+    rows, wanted = [], {}
+    for g, base in enumerate(" ".join(prose(50 + g, 6)) for g in range(25)):
+        words = base.split()
+        for copy in range(4):
+            changed = list(words)
+            for _ in range(copy and max(1, len(words) // 150)):
+                changed[rng.randrange(len(words))] = f"new{rng.random()}"
+            rows.append((g * 10 + copy, " ".join(changed)))
+            wanted[g * 10 + copy] = g * 10
+    far = rows[0][1].split()
+    far[::8] = ["other"] * len(far[::8])
+    rows.append((999, " ".join(far)))
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs(rows), 5, 0.8).collect()}
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for d, t in rows}
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    assert got[999] == 999
+    for d, g in wanted.items():
+        assert got[d] == g or not alike(d, g)
+
+
+def test_similar_documents_of_odd_rows(docs):
+    rows = odd_rows()
+    got = simhash.similar_documents(docs(rows)).collect()
+    assert len(got) == len(rows)
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, set()).add(r.component_id)
+    assert by[1] == by[2] == by[3] == {1} and by[5] == by[6] == {5} and len(by[9]) == 1
+    assert simhash.similar_documents(docs([])).count() == 0
