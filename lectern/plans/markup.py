@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import dims
-from lectern.functions.rx import matches, rx, strip, sub, text_or_empty
+from lectern.functions.rx import matches, strip, sub, text_or_empty
 from lectern.functions.text import COMMENT, PAUSE, QUOTE_END, QUOTE_START, xml_legal
 
 # fixed values ---------------------------------------------------------------
@@ -58,9 +58,13 @@ def phonemes(markup: Column, lang: str) -> Column:
     return markup
 
 
+def _tokens(markup: Column) -> Column:
+    """Tags and what stands between them, in order."""
+    return F.regexp_extract_all(markup, F.lit("<[^<>]*>|[^<]+|<"), F.lit(0))
+
+
 def balance_prosody(markup: Column) -> Column:
     """Closing prosody tags without an opening one go, open ones are closed at the end."""
-    cuts = rx(r"(?<=</prosody>)|(?=</prosody>)|(?=<prosody\b[^>]*>)|(?<=<prosody[^<>]{0,200}>)", "i")
     begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("depth"))
 
     def step(state: Column, part: Column) -> Column:
@@ -72,7 +76,7 @@ def balance_prosody(markup: Column) -> Column:
         )
 
     done = lambda s: F.concat(s["out"], F.repeat(F.lit("</prosody>"), s["depth"]))
-    return F.aggregate(F.split(text_or_empty(markup), cuts), begin, step, done)
+    return F.aggregate(_tokens(text_or_empty(markup)), begin, step, done)
 
 
 def _wrapped(value: Column, tags: tuple[str, str]) -> Column:
@@ -144,10 +148,9 @@ def chunks(markup: Column) -> Column:
     """Markup in parts for one call each: whole if it fits the limit, else cut only before breaks outside of any
     block and once SPLIT_FROM bytes have been gathered. A part can exceed the limit if no such break comes."""
     shell = len("<speak></speak>")
-    tag = r"<break\s[^>]{0,200}/>|</(?:prosody|emphasis)>|<(?:prosody|emphasis)\b[^>]{0,200}>"
     inner = F.regexp_extract(markup, r"(?s)^<speak>(.*)</speak>", 1)
     inner = F.when(matches(markup, r"(?s)^<speak>.*</speak>"), inner).otherwise(markup)
-    pieces = F.split(inner, rx(rf"(?=(?:{tag}))|(?<=(?:{tag}))", "i"))
+    pieces = _tokens(inner)
     begin = F.struct(
         F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(shell).alias("bytes"), F.lit(0).alias("depth")
     )

@@ -19,7 +19,7 @@ from lectern.plans import batch as B
 from lectern.plans import feed_xml as X
 from lectern.plans import markup as M
 from lectern.sources import feeds, pages
-from lectern.storage import table
+from lectern.storage import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -318,7 +318,7 @@ def verse_refs(spark, sf_dir):
         .when(n % 3 == 1, F.concat(start, F.lit("b - "), (q + 3).cast("string")))
         .otherwise(start)
     )
-    return table(spark, sf_dir, "lineitem").select(
+    return spread(table(spark, sf_dir, "lineitem")).select(
         "l_orderkey", "l_linenumber", T.normalize_verses(F.concat(made, F.lit(" x 7c")), "de").alias("text")
     )
 
@@ -341,7 +341,7 @@ def header_strip(spark, sf_dir):
     q, n = F.col("l_quantity").cast("int").cast("string"), F.col("l_linenumber")
     header = F.concat_ws(" ", F.lit("Dal libro della Genesi"), n.cast("string"), q, F.lit("A"), q)
     body = F.concat_ws(" ", F.lit("come dice Matteo"), q, F.when(n % 2 == 0, n.cast("string")), F.lit("oggi"))
-    return table(spark, sf_dir, "lineitem").select(
+    return spread(table(spark, sf_dir, "lineitem")).select(
         "l_orderkey", "l_linenumber", T.strip_header_verses(header, "it").alias("header"), T.strip_inline_verses(body, "it").alias("body")
     )
 
@@ -351,7 +351,7 @@ SELECT doc_id, regexp_matches(lower({_TITLE}), 'udienza generale|general audienc
 FROM documents
 """)
 def nav_filter(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.is_navigation(_first_line()).alias("navigation"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", T.is_navigation(_first_line()).alias("navigation"))
 
 
 @query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, role, text) AS text, count(*) AS n FROM conversations GROUP BY conv_id")
@@ -366,7 +366,7 @@ def conversation_segments(spark, sf_dir):
 def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", "role", "text").alias("s"))
     ordered = F.sort_array(F.collect_list("s"))
-    return rows.groupBy("conv_id").agg(F.transform(ordered, lambda s: F.concat_ws("\n", s["role"], s["text"])).alias("segments"))
+    return spread(rows.groupBy("conv_id").agg(F.transform(ordered, lambda s: F.concat_ws("\n", s["role"], s["text"])).alias("segments")))
 
 
 @query("""
@@ -398,7 +398,7 @@ def episode_plan(spark, sf_dir):
 
 @query()
 def chunk_plan(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t"), F.split("text", "\n").alias("segments"))
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", F.col("text").alias("t"), F.split("text", "\n").alias("segments"))
     whole = M.episode_markup(F.lit("T"), F.col("segments"), "en")
     return docs.select("doc_id", F.posexplode(M.chunks(whole)).alias("part_no", "payload")).select(
         "doc_id", "part_no", F.octet_length("payload").alias("bytes"), F.sha2("payload", 256).alias("sha256")
@@ -449,7 +449,7 @@ def feed_roundtrip(spark, sf_dir):
 
 @query()
 def html_to_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
+    return spread(table(spark, sf_dir, "pages")).select("page_id", T.html_to_text(F.col("html")).alias("text"))
 
 
 @query(r"""
@@ -459,27 +459,27 @@ c AS (SELECT page_id, regexp_replace(s, '([\p{L}\p{N}_])-\s+([\p{L}\p{N}_])', '\
 SELECT page_id, trim(regexp_replace(regexp_replace(s, '\s*\n\s*', chr(10), 'g'), '[ \t]+', ' ', 'g'), ' ' || chr(10) || chr(9)) AS text FROM c
 """)
 def tagless_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", T.html_to_text(F.col("html"), entities=False).alias("text"))
+    return spread(table(spark, sf_dir, "pages")).select("page_id", T.html_to_text(F.col("html"), entities=False).alias("text"))
 
 
 @query(r"""
 SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<a\b[^>]*href="([^"]*)"', 1)) AS href FROM pages
 """)
 def page_links(spark, sf_dir):
-    found = pages.with_elements(table(spark, sf_dir, "pages"))
+    found = pages.with_elements(spread(table(spark, sf_dir, "pages")))
     return pages.links(found).select("page_id", "href")
 
 
 @query(r"SELECT page_id, trim(regexp_extract(html, '<h1>([^<&]*)</h1>', 1)) AS title FROM pages WHERE regexp_matches(html, '<h1>[^<&]*</h1>')")
 def page_title(spark, sf_dir):
-    found = pages.with_elements(table(spark, sf_dir, "pages").where(F.col("html").rlike("<h1>[^<&]*</h1>")))
+    found = pages.with_elements(spread(table(spark, sf_dir, "pages")).where(F.col("html").rlike("<h1>[^<&]*</h1>")))
     heading = F.get(F.filter("nodes", lambda n: n["tag"] == "h1"), F.lit(0))
     return found.select("page_id", heading["text"].alias("title"))
 
 
 def _layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of three layouts around the texts of pages' addresses."""
-    rows = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("Text "), F.col("page_id").cast("string"), F.lit(" &eacute;")).alias("b"))
+    rows = spread(table(spark, sf_dir, "pages")).select("page_id", F.concat(F.lit("Text "), F.col("page_id").cast("string"), F.lit(" &eacute;")).alias("b"))
     html = F.element_at(
         F.array(
             F.concat(F.lit('<section class="section--isStatic"><div class="section__head"><h2>VANGELO DEL GIORNO</h2></div><div class="section__wrapper"><p>'), "b", F.lit("</p></div></section>")),
@@ -503,7 +503,7 @@ SELECT doc_id, 'Prima Lettura' || chr(10) || 'Dal libro della Genesi' || chr(10)
 FROM documents
 """)
 def segments_line(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id")
+    rows = spread(table(spark, sf_dir, "documents")).select("doc_id")
     text = F.concat(
         F.lit("<p>Prima Lettura</p><p>Dal libro della Genesi 1, 1-3</p><p>Il testo numero "), F.col("doc_id").cast("string"),
         F.lit(".</p><p>Salmo Responsoriale</p><p>Lodate.</p><p>Dal Vangelo secondo Matteo</p><p>In quel tempo.</p>"),
@@ -514,12 +514,12 @@ def segments_line(spark, sf_dir):
 
 @query()
 def smooth_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.smooth(F.col("text"), "it").alias("text"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", T.smooth(F.col("text"), "it").alias("text"))
 
 
 @query()
 def normalize_full(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").withColumn("_plain", T.html_to_text(F.col("text")))
+    docs = spread(table(spark, sf_dir, "documents")).withColumn("_plain", T.html_to_text(F.col("text")))
     spoken = T.by_language(F.col("lang"), lambda c: S._spoken(F.col("_plain"), c, True))
     return docs.select("doc_id", spoken.alias("text"))
 

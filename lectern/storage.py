@@ -27,3 +27,10 @@ def written(df: DataFrame, name: str, buckets: list[str] | None = None) -> DataF
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its input has fewer files than there are cores. A file of one row group is read by one
+    task, and text work would stay there; inputs of many files are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
