@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import line_dedup, mixing, packing, pii, quality, secrets, simhash, topk, toxicity, url_filter
 from lectern.llm.common import span_columns
-from lectern.storage import table
+from lectern.storage import spread, table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    found = secrets.find_secrets(spread(table(spark, sf_dir, "documents")))
     return found.select("doc_id", *[c.alias(n) for n, c in span_columns(F.col("spans"), secrets.KINDS[:3]).items()])
 
 
@@ -57,21 +57,21 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM fits
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(spread(table(spark, sf_dir, "documents")))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    found = pii.find_personal_data(spread(table(spark, sf_dir, "documents")))
     return found.select("doc_id", *[c.alias(n) for n, c in span_columns(F.col("spans"), pii.BASE).items()])
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3)
+    found = simhash.near_duplicates(spread(table(spark, sf_dir, "documents")), shingle=3)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "text")
     held_out = toxicity.fold(F.col("_id")) == 2
     scorer = toxicity.fit(docs, table(spark, sf_dir, "labels"), held_out)
     return toxicity.score(docs, scorer).select(
@@ -150,7 +150,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = quality.ledger(table(spark, sf_dir, "documents"))
+    entries = quality.ledger(spread(table(spark, sf_dir, "documents")))
     base = entries["failed"].bitwiseAND(quality.mask(quality.POLICIES["base"])) != 0
     kept = quality.apply_policy(entries.withColumn("base_failed", base), "v3")
     return kept.select(
