@@ -215,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None) -> S
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # copies of a text would count its words as often: one row for each text
     joined = (
-        rows.join(train, F.col("doc_id") == F.col("_id"))
+        rows.join(F.broadcast(train), F.col("doc_id") == F.col("_id"))  # MAX_LABELLED rows of two numbers at most
         .groupBy(F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
         .agg(F.min("_toxic").alias("toxic"), F.first("text").alias("text"))
     )
