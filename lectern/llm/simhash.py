@@ -173,8 +173,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
 FIND_BITS, COMPARE_BITS = 128, 256
 #: How far under the similarity asked for a pair may seem to be before the shingles themselves are compared.
 MARGIN = 0.25
-#: Pairs that a text gives in a bucket, besides those that tie the bucket together.
-NEAREST = 6
+#: Pairs that a text gives in a bucket in the first round, besides those that tie the bucket together. What is left is
+#: for later rounds, of WIDER times as many each.
+NEAREST, WIDER = 6, 4
 _PAYLOAD = [f"f{i}" for i in range(FIND_BITS // 64)] + [f"s{i}" for i in range(COMPARE_BITS // 64)]
 
 
@@ -226,41 +227,44 @@ def _most_bits(similarity: float) -> int:
     return int(np.arccos(cosine) / np.pi * COMPARE_BITS)
 
 
-def similar_links(nodes: DataFrame, similarity: float) -> DataFrame:
-    """u, v: links between nodes (id and the words of a wide fingerprint) that are alike and share a bucket.
+def similar_links(nodes: DataFrame, similarity: float, nearest: int = NEAREST) -> DataFrame:
+    """u, v: links between nodes (id, component, the words of a wide fingerprint) of different components that are alike
+    and share a bucket.
 
     Fingerprints to find by that differ in at most 11 of 128 bits differ in at
     most two on one of four 32-bit words: both sides emit all variants of each
-    word within one bit, half of that, and meet.
+    word within one bit, half of that, and meet. A node with more than
+    ``nearest`` such others in a bucket gives those most like it, and the pair
+    (id, id), which says that there are more.
     """
     most = _most_bits(similarity)
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def forest(sketch: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Pairs that tie everything alike together, and each member with the NEAREST ones most like it."""
+        def forest(component: np.ndarray, sketch: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Pairs that tie everything alike together, and each member with the nearest ones most like it."""
             label, us, vs = np.arange(len(sketch)), [], []
-            k = min(NEAREST, len(sketch) - 1)
             for i in np.flatnonzero(own):
                 far = _differ(sketch, sketch[i]).sum(axis=1, dtype=np.int64)
-                met = np.unique(label[far <= most])
+                close = np.flatnonzero((far <= most) & (component != component[i]))
+                met = np.unique(label[np.append(close, i)])
                 if len(met) > 1:
                     label[np.isin(label, met)] = met[0]
-                far[i] = COMPARE_BITS + 1
-                close = np.argpartition(far, k - 1)[:k]
-                close = close[far[close] <= most]
+                if len(close) > nearest:
+                    close = np.append(close[np.argpartition(far[close], nearest - 1)[:nearest]], i)
                 us.append(np.full(len(close), i))
                 vs.append(close)
             tied = np.flatnonzero(label != np.arange(len(label)))
             return np.concatenate([tied, *us]), np.concatenate([label[tied], *vs])
 
-        for key, ids, sketch, own in _runs(batches):
+        for key, ids, component, sketch, own in _runs(batches):
             first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
             size = np.diff(np.r_[first, len(key)])
             two = first[size == 2]
             near = _differ(sketch[two], sketch[two + 1]).sum(axis=1, dtype=np.int64) <= most
+            near &= component[two] != component[two + 1]
             us, vs = [ids[two][near]], [ids[two + 1][near]]
             for a, n in zip(first[size > 2], size[size > 2], strict=True):
-                x, y = forest(sketch[a : a + n], own[a : a + n])
+                x, y = forest(component[a : a + n], sketch[a : a + n], own[a : a + n])
                 us.append(ids[a + x])
                 vs.append(ids[a + y])
             u, v = np.concatenate(us), np.concatenate(vs)
@@ -272,12 +276,12 @@ def similar_links(nodes: DataFrame, similarity: float) -> DataFrame:
     parts = F.array(
         *[x for i in range(n_words // 2) for x in (F.col(f"f{i}").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned(f"f{i}", 32))]
     )
-    per_word = nodes.select("id", *sketch, F.posexplode(parts).alias("w", "value"))
+    per_word = nodes.select("id", "component", *sketch, F.posexplode(parts).alias("w", "value"))
     own_key = (F.col("w") * F.lit(1 << 32) + F.col("value")).alias("_key")
     crowded = per_word.select(own_key).groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > SLICE)
     flip = F.when(F.col("b") == 32, F.lit(0).cast("long")).otherwise(F.expr("shiftleft(1L, b)"))
     variants = per_word.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(32)))).select(
-        (F.col("w") * F.lit(1 << 32) + F.col("value").bitwiseXOR(flip)).alias("key"), "id", *sketch
+        (F.col("w") * F.lit(1 << 32) + F.col("value").bitwiseXOR(flip)).alias("key"), "id", "component", *sketch
     )
     slices = F.coalesce(F.ceil(F.col("_n") / SLICE), F.lit(1)).cast("int")
     dealt = (
@@ -287,15 +291,15 @@ def similar_links(nodes: DataFrame, similarity: float) -> DataFrame:
         .withColumn("own", F.pmod(F.hash("id"), F.col("_slices")) == F.col("slice"))
     )
     return (
-        dealt.select("key", "slice", "id", *sketch, "own")
+        dealt.select("key", "slice", "id", "component", *sketch, "own")
         .repartition("key", "slice")
         .sortWithinPartitions("key", "slice")
         .mapInArrow(linked, "u long, v long")
     )
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (u, v: names of texts) whose sets of word shingles are similar, compared as they are."""
+def shingle_sets(docs: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """id, s: the hashes of the word shingles of each text that pairs (u, v: names of texts) ask for."""
     low = F.translate(F.col("text").cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     named = docs.select(words(low).alias("w")).select(F.xxhash64(F.array_join("w", " ")).alias("id"), "w")
     asked = written(
@@ -303,20 +307,51 @@ def confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float
     )
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - shingle, F.lit(0)))
     hashed = F.transform(starts, lambda i: F.xxhash64(F.slice(F.col("w"), i + 1, shingle)))
-    sets = written(
+    return (
         named.join(asked.hint("shuffle_hash"), F.col("id") == F.col("_id"), "left_semi")
         .dropDuplicates(["id"])
-        .select("id", F.array_distinct(hashed).alias("s")),
-        "simhash-sets",
+        .select("id", F.array_distinct(hashed).alias("s"))
     )
+
+
+def confirmed(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose sets of word shingles are similar, compared as they are."""
     a, b = sets.toDF("u", "a"), sets.toDF("v", "b")
     both = F.size(F.array_intersect("a", "b"))
     alike = pairs.join(a, "u").join(b, "v").where(both >= F.lit(similarity) * (F.size("a") + F.size("b") - both))
     return alike.select("u", "v")
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Sorted rows as (key and slice, id, sketch, own), cut only between runs of equal key and slice."""
+def similar_components(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """node, component: nodes linked by similarity, those without links left out.
+
+    A text in a crowd of likely partners first meets those most like it. While
+    any has more of them in components other than its own, these texts alone go
+    into a further round with a wider choice, so that no likely pair is left
+    out unless links already join it; rounds are few, since the choice grows.
+    """
+    left, nearest, sets, groups = nodes.withColumn("component", F.col("id")), NEAREST, None, None
+    while True:
+        likely = written(similar_links(left, similarity - MARGIN, nearest).distinct(), "simhash-pairs")
+        more = likely.where(F.col("u") == F.col("v")).select(F.col("u").alias("node"))
+        pairs = likely.where(F.col("u") != F.col("v"))
+        if sets is None:
+            # texts of later rounds are among these
+            sets = written(shingle_sets(docs, pairs, shingle), "simhash-sets")
+        edges = confirmed(sets, pairs, similarity)
+        if groups is not None:
+            edges = edges.unionByName(groups.toDF("u", "v"))
+        groups = written(connected_components(edges), "simhash-components")
+        if more.isEmpty():
+            return groups
+        component = more.join(groups, "node", "left").select(
+            F.col("node").alias("id"), F.coalesce("component", "node").alias("component")
+        )
+        left, nearest = written(nodes.join(component, "id"), "simhash-left"), nearest * WIDER
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Sorted rows as (key and slice, id, component, sketch, own), cut only between runs of equal key and slice."""
     kept = None
     for b in batches:
         if not b.num_rows:
@@ -325,6 +360,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.nd
         now = (
             np.stack([column("key"), column("slice")], axis=1),
             column("id"),
+            column("component"),
             np.stack([column(c) for c in _PAYLOAD[FIND_BITS // 64 :]], axis=1),
             column("own"),
         )
@@ -352,8 +388,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     nodes = written(
         fps.groupBy("id").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in _PAYLOAD]), "simhash-nodes"
     )
-    likely = written(similar_links(nodes, similarity - MARGIN).distinct(), "simhash-pairs")
-    classes = _classes(nodes, connected_components(confirmed(docs, likely, shingle, similarity)), "id")
+    classes = _classes(nodes, similar_components(docs, nodes, shingle, similarity), "id")
     return fps.join(classes, F.col("id") == F.col("_fp")).select("doc_id", "component_id")
 
 

@@ -104,6 +104,24 @@ def test_similar_documents_are_found_and_others_left(docs):
         assert got[d] == g or not alike(d, g)
 
 
+def test_a_crowd_of_likely_partners_loses_no_link(docs, monkeypatch):
+    rng = random.Random(11)
+    rows = []
+    for g in range(3):
+        words = " ".join(prose(80 + g, 8)).split()
+        for copy in range(25):  # a chain: copies far apart are linked through those between
+            words = list(words)
+            words[rng.randrange(len(words))] = f"new{rng.random()}"
+            rows.append((g * 100 + copy, " ".join(words)))
+    found = []
+    for nearest in (1, 1_000):
+        monkeypatch.setattr(simhash, "NEAREST", nearest)
+        got = simhash.similar_documents(docs(rows), 5, 0.8)
+        found.append(sorted((r.doc_id, r.component_id) for r in got.collect()))
+    assert found[0] == found[1]
+    assert len({c for _, c in found[0]}) == 3
+
+
 def test_similar_documents_of_odd_rows(docs):
     rows = odd_rows()
     got = simhash.similar_documents(docs(rows)).collect()
