@@ -58,9 +58,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _tokens(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-    """Long tokens that no span touches."""
+    """Long tokens that no span touches. spans are sorted, so one pass over both is enough."""
+    at, reach = 0, 0
     for m in TOKEN.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, _, b in spans):
+        while at < len(spans) and spans[at][0] < m.end():
+            reach = max(reach, spans[at][2])
+            at += 1
+        if reach <= m.start():
             yield m.span()
 
 
