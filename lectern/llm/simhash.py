@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -173,9 +174,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
 FIND_BITS, COMPARE_BITS = 128, 256
 #: How far under the similarity asked for a pair may seem to be before the shingles themselves are compared.
 MARGIN = 0.25
-#: Pairs that a text gives in a bucket in the first round, besides those that tie the bucket together. What is left is
-#: for later rounds, of WIDER times as many each.
-NEAREST, WIDER = 6, 4
+#: Pairs that a text gives in a bucket, besides those that tie the bucket together. A text with more likely partners
+#: belongs to a crowd, which is compared in whole, by blocks of about CROWD texts.
+NEAREST, CROWD = 6, 256
 _PAYLOAD = [f"f{i}" for i in range(FIND_BITS // 64)] + [f"s{i}" for i in range(COMPARE_BITS // 64)]
 
 
@@ -228,24 +229,25 @@ def _most_bits(similarity: float) -> int:
 
 
 def similar_links(nodes: DataFrame, similarity: float, nearest: int = NEAREST) -> DataFrame:
-    """u, v: links between nodes (id, component, the words of a wide fingerprint) of different components that are alike
-    and share a bucket.
+    """u, v, tie: links between nodes (id and the words of a wide fingerprint) that are alike and share a bucket.
 
     Fingerprints to find by that differ in at most 11 of 128 bits differ in at
     most two on one of four 32-bit words: both sides emit all variants of each
     word within one bit, half of that, and meet. A node with more than
     ``nearest`` such others in a bucket gives those most like it, and the pair
-    (id, id), which says that there are more.
+    (id, id), which says that there are more. Links with tie are enough to tie
+    each bucket together.
     """
     most = _most_bits(similarity)
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def forest(component: np.ndarray, sketch: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Pairs that tie everything alike together, and each member with the nearest ones most like it."""
+        def forest(sketch: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+            """Pairs that tie everything alike together and, after those, each member with the ones most like it."""
             label, us, vs = np.arange(len(sketch)), [], []
             for i in np.flatnonzero(own):
                 far = _differ(sketch, sketch[i]).sum(axis=1, dtype=np.int64)
-                close = np.flatnonzero((far <= most) & (component != component[i]))
+                far[i] = COMPARE_BITS + 1
+                close = np.flatnonzero(far <= most)
                 met = np.unique(label[np.append(close, i)])
                 if len(met) > 1:
                     label[np.isin(label, met)] = met[0]
@@ -254,34 +256,35 @@ def similar_links(nodes: DataFrame, similarity: float, nearest: int = NEAREST) -
                 us.append(np.full(len(close), i))
                 vs.append(close)
             tied = np.flatnonzero(label != np.arange(len(label)))
-            return np.concatenate([tied, *us]), np.concatenate([label[tied], *vs])
+            return np.concatenate([tied, *us]), np.concatenate([label[tied], *vs]), len(tied)
 
-        for key, ids, component, sketch, own in _runs(batches):
+        for key, ids, sketch, own in _runs(batches):
             first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
             size = np.diff(np.r_[first, len(key)])
             two = first[size == 2]
             near = _differ(sketch[two], sketch[two + 1]).sum(axis=1, dtype=np.int64) <= most
-            near &= component[two] != component[two + 1]
-            us, vs = [ids[two][near]], [ids[two + 1][near]]
+            us, vs, ties = [ids[two][near]], [ids[two + 1][near]], [np.ones(near.sum(), bool)]
             for a, n in zip(first[size > 2], size[size > 2], strict=True):
-                x, y = forest(component[a : a + n], sketch[a : a + n], own[a : a + n])
+                x, y, tied = forest(sketch[a : a + n], own[a : a + n])
                 us.append(ids[a + x])
                 vs.append(ids[a + y])
+                ties.append(np.arange(len(x)) < tied)
             u, v = np.concatenate(us), np.concatenate(vs)
             if len(u):
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+                columns = [pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(np.concatenate(ties), pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, ["u", "v", "tie"])
 
     n_words = FIND_BITS // 32
     sketch = _PAYLOAD[FIND_BITS // 64 :]
     parts = F.array(
         *[x for i in range(n_words // 2) for x in (F.col(f"f{i}").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned(f"f{i}", 32))]
     )
-    per_word = nodes.select("id", "component", *sketch, F.posexplode(parts).alias("w", "value"))
+    per_word = nodes.select("id", *sketch, F.posexplode(parts).alias("w", "value"))
     own_key = (F.col("w") * F.lit(1 << 32) + F.col("value")).alias("_key")
     crowded = per_word.select(own_key).groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > SLICE)
     flip = F.when(F.col("b") == 32, F.lit(0).cast("long")).otherwise(F.expr("shiftleft(1L, b)"))
     variants = per_word.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(32)))).select(
-        (F.col("w") * F.lit(1 << 32) + F.col("value").bitwiseXOR(flip)).alias("key"), "id", "component", *sketch
+        (F.col("w") * F.lit(1 << 32) + F.col("value").bitwiseXOR(flip)).alias("key"), "id", *sketch
     )
     slices = F.coalesce(F.ceil(F.col("_n") / SLICE), F.lit(1)).cast("int")
     dealt = (
@@ -291,10 +294,10 @@ def similar_links(nodes: DataFrame, similarity: float, nearest: int = NEAREST) -
         .withColumn("own", F.pmod(F.hash("id"), F.col("_slices")) == F.col("slice"))
     )
     return (
-        dealt.select("key", "slice", "id", "component", *sketch, "own")
+        dealt.select("key", "slice", "id", *sketch, "own")
         .repartition("key", "slice")
         .sortWithinPartitions("key", "slice")
-        .mapInArrow(linked, "u long, v long")
+        .mapInArrow(linked, "u long, v long, tie boolean")
     )
 
 
@@ -322,36 +325,85 @@ def confirmed(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame
     return alike.select("u", "v")
 
 
+def _crowd_forest(similarity: float):
+    most = _most_bits(similarity - MARGIN)
+    sketch_columns = _PAYLOAD[FIND_BITS // 64 :]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        ids = rows["id"].to_numpy(np.int64)
+        _, label = np.unique(rows["component"].to_numpy(np.int64), return_inverse=True)
+        sketch = rows[sketch_columns].to_numpy(np.int64)
+        sets = [np.asarray(x, dtype=np.int64) for x in rows["s"]]
+        size = np.array([len(x) for x in sets])
+        hashes, owner = np.concatenate(sets), np.repeat(np.arange(len(ids)), size)
+        order = np.argsort(hashes, kind="stable")
+        hashes, owner = hashes[order], owner[order]
+        us, vs = [], []
+        for i in range(len(ids)):
+            close = np.flatnonzero(label != label[i])
+            close = close[_differ(sketch[close], sketch[i]).sum(axis=1, dtype=np.int64) <= most]
+            if not len(close):
+                continue
+            low, high = np.searchsorted(hashes, sets[i], "left"), np.searchsorted(hashes, sets[i], "right")
+            both = np.bincount(np.concatenate([owner[x:y] for x, y in zip(low, high, strict=True)]), minlength=len(ids))
+            close = close[both[close] >= similarity * (size[i] + size[close] - both[close])]
+            met, at = np.unique(label[close], return_index=True)
+            us += [ids[i]] * len(met)
+            vs += list(ids[close[at]])
+            label[np.isin(label, met)] = label[i]
+        return pd.DataFrame({"u": us, "v": vs}).astype("int64")
+
+    return run
+
+
+def crowd_links(nodes: DataFrame, sets: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
+    """u, v: links by similarity between members (id, crowd, component) of a crowd, which join its components.
+
+    Every two blocks of a crowd meet in a task, where shingle sets are compared
+    as they are. Only a forest of confirmed links leaves a task, and crowds of
+    one component are passed over.
+    """
+    parted = members.groupBy("crowd").agg(
+        F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("blocks"), F.min("component").alias("a"), F.max("component").alias("b")
+    )
+    parted = parted.where(F.col("a") < F.col("b")).select("crowd", "blocks")
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    rows = (
+        members.join(parted, "crowd")
+        .join(nodes.select("id", *_PAYLOAD[FIND_BITS // 64 :]), "id")
+        .join(sets, "id")
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumns({"a": F.least(block, "other"), "b": F.greatest(block, "other")})
+    )
+    return rows.groupBy("crowd", "a", "b").applyInPandas(_crowd_forest(similarity), "u long, v long")
+
+
 def similar_components(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """node, component: nodes linked by similarity, those without links left out.
 
-    A text in a crowd of likely partners first meets those most like it. While
-    any has more of them in components other than its own, these texts alone go
-    into a further round with a wider choice, so that no likely pair is left
-    out unless links already join it; rounds are few, since the choice grows.
+    A text in a crowd of likely partners meets those most like it first. What
+    that leaves apart in the crowd is then compared in whole, so that no likely
+    pair is left out unless links already join it.
     """
-    left, nearest, sets, groups = nodes.withColumn("component", F.col("id")), NEAREST, None, None
-    while True:
-        likely = written(similar_links(left, similarity - MARGIN, nearest).distinct(), "simhash-pairs")
-        more = likely.where(F.col("u") == F.col("v")).select(F.col("u").alias("node"))
-        pairs = likely.where(F.col("u") != F.col("v"))
-        if sets is None:
-            # texts of later rounds are among these
-            sets = written(shingle_sets(docs, pairs, shingle), "simhash-sets")
-        edges = confirmed(sets, pairs, similarity)
-        if groups is not None:
-            edges = edges.unionByName(groups.toDF("u", "v"))
-        groups = written(connected_components(edges), "simhash-components")
-        if more.isEmpty():
-            return groups
-        component = more.join(groups, "node", "left").select(
-            F.col("node").alias("id"), F.coalesce("component", "node").alias("component")
-        )
-        left, nearest = written(nodes.join(component, "id"), "simhash-left"), nearest * WIDER
+    links = similar_links(nodes, similarity - MARGIN, NEAREST)
+    likely = written(links.groupBy("u", "v").agg(F.max("tie").alias("tie")), "simhash-pairs")
+    pairs = likely.where(F.col("u") != F.col("v"))
+    choice = pairs.select("u", "v")
+    more = likely.where(F.col("u") == F.col("v")).select(F.col("u").alias("id"))
+    sets = written(shingle_sets(docs, pairs, shingle), "simhash-sets")
+    groups = written(connected_components(confirmed(sets, choice, similarity)), "simhash-components")
+    if more.isEmpty():
+        return groups
+    # ties hold each bucket together, so what is left of it lies in one crowd
+    crowds = connected_components(pairs.where("tie")).toDF("id", "crowd")
+    members = more.join(crowds, "id").join(groups.withColumnRenamed("node", "id"), "id", "left")
+    members = written(members.withColumn("component", F.coalesce("component", "id")), "simhash-crowds")
+    found = crowd_links(nodes, sets, members, similarity)
+    return connected_components(groups.toDF("u", "v").unionByName(found))
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Sorted rows as (key and slice, id, component, sketch, own), cut only between runs of equal key and slice."""
+    """Sorted rows as (key and slice, id, sketch, own), cut only between runs of equal key and slice."""
     kept = None
     for b in batches:
         if not b.num_rows:
@@ -360,7 +412,6 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]
         now = (
             np.stack([column("key"), column("slice")], axis=1),
             column("id"),
-            column("component"),
             np.stack([column(c) for c in _PAYLOAD[FIND_BITS // 64 :]], axis=1),
             column("own"),
         )

@@ -116,6 +116,7 @@ def test_a_crowd_of_likely_partners_loses_no_link(docs, monkeypatch):
     found = []
     for nearest in (1, 1_000):
         monkeypatch.setattr(simhash, "NEAREST", nearest)
+        monkeypatch.setattr(simhash, "CROWD", 8)
         got = simhash.similar_documents(docs(rows), 5, 0.8)
         found.append(sorted((r.doc_id, r.component_id) for r in got.collect()))
     assert found[0] == found[1]
