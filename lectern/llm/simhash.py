@@ -236,14 +236,14 @@ def similar_links(nodes: DataFrame, similarity: float, nearest: int = NEAREST) -
     word within one bit, half of that, and meet. A node with more than
     ``nearest`` such others in a bucket gives those most like it, and the pair
     (id, id), which says that there are more. Links with tie are enough to tie
-    each bucket together.
+    each bucket together in which there are more.
     """
     most = _most_bits(similarity)
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def forest(sketch: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
             """Pairs that tie everything alike together and, after those, each member with the ones most like it."""
-            label, us, vs = np.arange(len(sketch)), [], []
+            label, us, vs, crowd = np.arange(len(sketch)), [], [], False
             for i in np.flatnonzero(own):
                 far = _differ(sketch, sketch[i]).sum(axis=1, dtype=np.int64)
                 far[i] = COMPARE_BITS + 1
@@ -252,18 +252,19 @@ def similar_links(nodes: DataFrame, similarity: float, nearest: int = NEAREST) -
                 if len(met) > 1:
                     label[np.isin(label, met)] = met[0]
                 if len(close) > nearest:
+                    crowd = True
                     close = np.append(close[np.argpartition(far[close], nearest - 1)[:nearest]], i)
                 us.append(np.full(len(close), i))
                 vs.append(close)
             tied = np.flatnonzero(label != np.arange(len(label)))
-            return np.concatenate([tied, *us]), np.concatenate([label[tied], *vs]), len(tied)
+            return np.concatenate([tied, *us]), np.concatenate([label[tied], *vs]), len(tied) * crowd
 
         for key, ids, sketch, own in _runs(batches):
             first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
             size = np.diff(np.r_[first, len(key)])
             two = first[size == 2]
             near = _differ(sketch[two], sketch[two + 1]).sum(axis=1, dtype=np.int64) <= most
-            us, vs, ties = [ids[two][near]], [ids[two + 1][near]], [np.ones(near.sum(), bool)]
+            us, vs, ties = [ids[two][near]], [ids[two + 1][near]], [np.zeros(near.sum(), bool)]
             for a, n in zip(first[size > 2], size[size > 2], strict=True):
                 x, y, tied = forest(sketch[a : a + n], own[a : a + n])
                 us.append(ids[a + x])
@@ -394,7 +395,7 @@ def similar_components(docs: DataFrame, nodes: DataFrame, shingle: int, similari
     groups = written(connected_components(confirmed(sets, choice, similarity)), "simhash-components")
     if more.isEmpty():
         return groups
-    # ties hold each bucket together, so what is left of it lies in one crowd
+    # ties hold each bucket together of which something is left, so that lies in one crowd
     crowds = connected_components(pairs.where("tie")).toDF("id", "crowd")
     members = more.join(crowds, "id").join(groups.withColumnRenamed("node", "id"), "id", "left")
     members = written(members.withColumn("component", F.coalesce("component", "id")), "simhash-crowds")
