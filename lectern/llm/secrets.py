@@ -3,11 +3,12 @@
 The fixed patterns find assignments, access keys and long hexadecimal runs.
 What they find are labelled samples of random strings; all other long tokens
 are labelled samples of ordinary identifiers. From both, over all documents,
-character transitions are counted, and every other long token is judged by the
-log-likelihood ratio of the two models.
+character transitions are counted, once for each different token, and every
+other long token is judged by the log-likelihood ratio of the two models.
 
-Counting leaves one bounded table a partition; what is shipped to the scan are
-two transition matrices of fixed size.
+Only long tokens are shuffled, those of a partition once each; counting leaves
+one bounded table a partition, and what is shipped to the scan are two
+transition matrices of fixed size.
 """
 
 from __future__ import annotations
@@ -82,27 +83,36 @@ def _secret_value(text: str, span: tuple[int, int, int]) -> str:
 
 
 def transition_counts(docs: DataFrame) -> DataFrame:
-    """model (0 ordinary, 1 random), pair (first * size + second), n: character transitions over all documents."""
+    """model (0 ordinary, 1 random), pair (first * size + second), n: character transitions of each different token.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, _N * _N), dtype=np.int64)
+    However often a token occurs, in copies of a document or elsewhere, it
+    counts once for a model, so that what ratio() takes out is all of it.
+    """
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            found = set()
             for x in b.column("text"):
                 text = x.as_py() or ""
                 spans = base_spans(text)
-                for model, tokens in (
-                    (1, (_secret_value(text, s) for s in spans)),
-                    (0, (text[a:b] for a, b in _tokens(text, spans))),
-                ):
-                    for t in tokens:
-                        c = _codes(t)
-                        np.add.at(counts[model], c[:-1] * _N + c[1:], 1)
+                found.update((1, _secret_value(text, s)) for s in spans)
+                found.update((0, text[a:b]) for a, b in _tokens(text, spans))
+            columns = [pa.array([m for m, _ in found], pa.int64()), pa.array([t for _, t in found], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["model", "token"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, _N * _N), dtype=np.int64)
+        for b in batches:
+            for model, token in zip(b.column("model").to_pylist(), b.column("token").to_pylist(), strict=True):
+                c = _codes(token)
+                np.add.at(counts[model], c[:-1] * _N + c[1:], 1)
         model, pair = np.nonzero(counts)
         columns = [pa.array(model, pa.int64()), pa.array(pair, pa.int64()), pa.array(counts[model, pair], pa.int64())]
         yield pa.RecordBatch.from_arrays(columns, ["model", "pair", "n"])
 
     text = docs.select(F.col("text").cast("string").alias("text"))
-    counted = text.mapInArrow(run, "model long, pair long, n long")
+    tokens = text.mapInArrow(find, "model long, token string").distinct()
+    counted = tokens.mapInArrow(count, "model long, pair long, n long")
     return counted.groupBy("model", "pair").agg(F.sum("n").alias("n"))
 
 
@@ -116,7 +126,7 @@ class Models(NamedTuple):
 
     def ratio(self, token: str) -> float:
         """The log-likelihood ratio, random against ordinary. The token's own transitions, which were counted as
-        ordinary, are taken out of the counts first: a secret that occurs once must not vouch for itself."""
+        ordinary once, are taken out of the counts first: a secret must not vouch for itself."""
         c = _codes(token)
         first, second = c[:-1], c[1:]
         _, at, own = np.unique(first * _N + second, return_inverse=True, return_counts=True)
@@ -145,9 +155,10 @@ def train(counts: DataFrame, flat: float = 0.5) -> Models:
 def scan(docs: DataFrame, models: Models, least: float = 12.0, least_each: float = 0.6) -> DataFrame:
     """doc_id, spans: array of (kind, start, end), code points, end exclusive, by start and then kind.
 
-    A token of 16 characters or more that holds a letter and a digit, and that
-    no fixed pattern touches, is added as ``markov`` if its log-likelihood
-    ratio is at least ``least``, and ``least_each`` a character. Null text
+    A token of 16 characters or more that holds a letter, and that no fixed
+    pattern touches, is added as ``markov`` if its log-likelihood
+    ratio is at least ``least``, and ``least_each`` a character; one of capital
+    letters only is judged in small letters too. Null text
     counts as empty. Every row is kept; other columns are ignored.
     """
 
@@ -159,9 +170,11 @@ def scan(docs: DataFrame, models: Models, least: float = 12.0, least_each: float
                 spans = base_spans(text)
                 for a, e in list(_tokens(text, spans)):
                     token = text[a:e]
-                    if not (re.search("[0-9]", token) and re.search("[A-Za-z]", token)):
+                    if not re.search("[A-Za-z]", token):
                         continue
                     score = models.ratio(token)
+                    if token.isalpha() and token.isupper():  # a heading is no secret
+                        score = min(score, models.ratio(token.lower()))
                     if score >= least and score >= least_each * len(token):
                         spans.append((a, 3, e))
                 out.append([{"kind": KINDS[k], "start": a, "end": e} for a, k, e in sorted(spans)])

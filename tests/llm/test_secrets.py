@@ -37,6 +37,21 @@ def test_markov_finds_random_strings_and_leaves_words(docs):
     assert not any(k == "markov" for d, s in got.items() if d != 999 for k, _, _ in s)
 
 
+def test_copies_of_a_secret_do_not_vouch_for_it(docs):
+    rng = random.Random(5)
+    lines = prose(2, 200)
+    name = lambda x: "_".join(x.rstrip(".").split()[:5])
+    rows = [(i, f"{x} {name(x)}{i} {name(x)}.size token={''.join(rng.choices('0123456789abcdef', k=40))}") for i, x in enumerate(lines)]
+    mixed = "".join(rng.choices(string.ascii_letters + string.digits, k=32))
+    letters = "".join(rng.choices(string.ascii_letters, k=32))
+    rows += [(1000 + i, f"here it is {mixed} again") for i in range(2)]
+    rows += [(2000 + i, f"here it is {letters} again") for i in range(300)]
+    rows += [(3000, f"{''.join(name(lines[3]).upper().split('_'))} stays")]
+    got = spans(secrets.find_secrets(docs(rows)))
+    assert all(got[d] == [("markov", 11, 43)] for d, _ in rows if 1000 <= d < 3000)
+    assert not any(k == "markov" for d, s in got.items() if not 1000 <= d < 3000 for k, _, _ in s)
+
+
 def test_odd_rows(docs):
     assert secrets.find_secrets(docs(odd_rows())).count() == len(odd_rows())
     assert secrets.find_secrets(docs([])).count() == 0
