@@ -16,6 +16,7 @@ them, against the whole bucket.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -170,14 +171,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return fps.join(classes, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
-#: Bits of the fingerprint that candidates are found by, and of the one that they are compared by.
-FIND_BITS, COMPARE_BITS = 128, 256
-#: How far under the similarity asked for a pair may seem to be before the shingles themselves are compared.
-MARGIN = 0.25
+#: Bits of the fingerprint that candidates are compared by.
+COMPARE_BITS = 256
+#: How far under the similarity asked for a pair may seem to be before the shingles themselves are compared. Of texts of
+#: four and five shingles, fingerprints differ in 48 bits on average, 4 standard deviations under what this allows.
+MARGIN = 0.35
+#: Shingles found in COMMON or more of about SAMPLE texts, MOST_COMMON at most, are the last by which texts are found.
+SAMPLE, COMMON, MOST_COMMON = 20_000, 10, 100_000
 #: Pairs that a text gives in a bucket, besides those that tie the bucket together. A text with more likely partners
 #: belongs to a crowd, which is compared in whole, by blocks of about CROWD texts.
 NEAREST, CROWD = 6, 256
-_PAYLOAD = [f"f{i}" for i in range(FIND_BITS // 64)] + [f"s{i}" for i in range(COMPARE_BITS // 64)]
+_SKETCH = [f"s{i}" for i in range(COMPARE_BITS // 64)]
 
 
 def _majority(digests: bytes, bits: int) -> np.ndarray:
@@ -189,37 +193,82 @@ def _majority(digests: bytes, bits: int) -> np.ndarray:
     return np.packbits(counts * 2 > len(each), bitorder="little").view("<i8")
 
 
-def wide_fingerprint(text: str | None, shingle: int) -> list[int]:
-    """The hash of the words, which names the text, then SimHashes of the different word pairs (FIND_BITS) and word shingles (COMPARE_BITS), as 64-bit words."""
+def _shingle_digests(tokens: list[bytes], shingle: int) -> bytes:
+    """COMPARE_BITS of hash of each different word shingle. Fewer words than a shingle has: the whole sequence."""
     import xxhash
 
-    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    whole = b" ".join(tokens)
-    name = xxhash.xxh64_intdigest(whole, 42)
-    name -= (name >> 63) << 64
-    if not tokens:
-        return [name, *[0] * len(_PAYLOAD)]
+    h, whole = xxhash.xxh3_128_digest, b" ".join(tokens)
     starts = list(accumulate((len(x) + 1 for x in tokens), initial=0))
     # each shingle once: similarity is that of sets
-    grams = lambda n: {whole[a : b - 1] for a, b in zip(starts, starts[min(n, len(tokens)) :], strict=False)}
-    h = xxhash.xxh3_128_digest
-    pairs, runs = grams(2), grams(shingle)
-    found = _majority(b"".join([h(g, 1) for g in pairs]), FIND_BITS)
-    compared = _majority(b"".join([h(g, 2) + h(g, 3) for g in runs]), COMPARE_BITS)
-    return [name, *(int(x) for x in (*found, *compared))]
+    runs = {whole[a : b - 1] for a, b in zip(starts, starts[min(shingle, len(tokens)) :], strict=False)}
+    return b"".join([h(g, 2) + h(g, 3) for g in runs])
+
+
+def _first_words(digests: bytes) -> np.ndarray:
+    """The first 64 bits of each digest, which stand for the shingle in the search."""
+    return np.unique(np.frombuffer(digests, dtype="<i8").reshape(-1, COMPARE_BITS // 64)[:, 0])
+
+
+def _tokens(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def wide_fingerprint(text: str | None, shingle: int, similarity: float, common: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """The hash of the words, which names the text; the SimHash of the different word shingles as 64-bit words; the
+    shingles that the text is found by.
+
+    Of two sets with that Jaccard similarity, each holds at least that share of
+    the other. So if the shingles of all texts are put in one order, two such
+    texts have one in common among the first n - ceil(similarity * n) + 1 of
+    each. The order is by hash, those of ``common`` (sorted) last.
+    """
+    import xxhash
+
+    tokens = _tokens(text)
+    name = xxhash.xxh64_intdigest(b" ".join(tokens), 42)
+    name -= (name >> 63) << 64
+    if not tokens:
+        return name, np.zeros(len(_SKETCH), np.int64), np.empty(0, np.int64)
+    digests = _shingle_digests(tokens, shingle)
+    found = _first_words(digests)
+    if len(common):
+        known = common[np.minimum(np.searchsorted(common, found), len(common) - 1)] == found
+        found = np.concatenate([found[~known], found[known]])
+    n = len(found)
+    return name, _majority(digests, COMPARE_BITS), found[: n - math.ceil(similarity * n - 1e-9) + 1]
+
+
+def common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
+    """Hashes of shingles that many texts have, sorted, MOST_COMMON at most; counted on about SAMPLE texts. What is found
+    does not depend on them, they only keep buckets small."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column("text"):
+                if tokens := _tokens(x.as_py()):
+                    yield pa.RecordBatch.from_arrays([pa.array(_first_words(_shingle_digests(tokens, shingle)))], ["h"])
+
+    every = max(1, -(-docs.count() // SAMPLE))
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select(F.col("text").cast("string").alias("text"))
+    counted = some.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
+    rows = counted.orderBy(F.desc("n"), "h").limit(MOST_COMMON).select("h").collect()
+    return np.sort(np.array([r["h"] for r in rows], dtype=np.int64))
 
 
-def wide_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, id and the words of wide_fingerprint for every row of docs."""
+def wide_fingerprints(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """doc_id, id, the words of wide_fingerprint and ``found_by`` for every row of docs."""
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle))  # MOST_COMMON numbers at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = np.array([wide_fingerprint(x, shingle) for x in b.column("text").to_pylist()], dtype=np.int64)
-            columns = [pa.array(c) for c in rows.reshape(-1, len(_PAYLOAD) + 1).T.copy()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], ["doc_id", "id", *_PAYLOAD])
+            rows = [wide_fingerprint(x, shingle, similarity, common.value) for x in b.column("text").to_pylist()]
+            sketch = np.array([r[1] for r in rows], dtype=np.int64).reshape(-1, len(_SKETCH))
+            columns = [pa.array([r[0] for r in rows], pa.int64()), *[pa.array(c) for c in sketch.T.copy()]]
+            found = pa.array([r[2] for r in rows], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns, found], ["doc_id", "id", *_SKETCH, "found_by"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, id long, " + ", ".join(f"{c} long" for c in _PAYLOAD))
+    return rows.mapInArrow(run, f"doc_id long, id long, {', '.join(f'{c} long' for c in _SKETCH)}, found_by array<long>")
 
 
 def _most_bits(similarity: float) -> int:
@@ -229,11 +278,9 @@ def _most_bits(similarity: float) -> int:
 
 
 def similar_links(nodes: DataFrame, similarity: float, nearest: int = NEAREST) -> DataFrame:
-    """u, v, tie: links between nodes (id and the words of a wide fingerprint) that are alike and share a bucket.
+    """u, v, tie: links between nodes (id, the words of a wide fingerprint, found_by) that are alike and share a bucket.
 
-    Fingerprints to find by that differ in at most 11 of 128 bits differ in at
-    most two on one of four 32-bit words: both sides emit all variants of each
-    word within one bit, half of that, and meet. A node with more than
+    A bucket holds the texts that are found by one shingle. A node with more than
     ``nearest`` such others in a bucket gives those most like it, and the pair
     (id, id), which says that there are more. Links with tie are enough to tie
     each bucket together in which there are more.
@@ -253,7 +300,8 @@ def similar_links(nodes: DataFrame, similarity: float, nearest: int = NEAREST) -
                     label[np.isin(label, met)] = met[0]
                 if len(close) > nearest:
                     crowd = True
-                    close = np.append(close[np.argpartition(far[close], nearest - 1)[:nearest]], i)
+                    # rows are in the order of id: the same ones among equals in each bucket
+                    close = np.append(close[np.argsort(far[close], kind="stable")[:nearest]], i)
                 us.append(np.full(len(close), i))
                 vs.append(close)
             tied = np.flatnonzero(label != np.arange(len(label)))
@@ -275,29 +323,20 @@ def similar_links(nodes: DataFrame, similarity: float, nearest: int = NEAREST) -
                 columns = [pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(np.concatenate(ties), pa.bool_())]
                 yield pa.RecordBatch.from_arrays(columns, ["u", "v", "tie"])
 
-    n_words = FIND_BITS // 32
-    sketch = _PAYLOAD[FIND_BITS // 64 :]
-    parts = F.array(
-        *[x for i in range(n_words // 2) for x in (F.col(f"f{i}").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned(f"f{i}", 32))]
-    )
-    per_word = nodes.select("id", *sketch, F.posexplode(parts).alias("w", "value"))
-    own_key = (F.col("w") * F.lit(1 << 32) + F.col("value")).alias("_key")
-    crowded = per_word.select(own_key).groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > SLICE)
-    flip = F.when(F.col("b") == 32, F.lit(0).cast("long")).otherwise(F.expr("shiftleft(1L, b)"))
-    variants = per_word.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(32)))).select(
-        (F.col("w") * F.lit(1 << 32) + F.col("value").bitwiseXOR(flip)).alias("key"), "id", *sketch
-    )
+    rows = nodes.select("id", *_SKETCH, F.explode("found_by").alias("key"))
+    # at most one row for SLICE texts
+    crowded = nodes.select(F.explode("found_by").alias("_key")).groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > SLICE)
     slices = F.coalesce(F.ceil(F.col("_n") / SLICE), F.lit(1)).cast("int")
     dealt = (
-        variants.join(F.broadcast(crowded), F.col("key") == F.col("_key"), "left")
+        rows.join(F.broadcast(crowded), F.col("key") == F.col("_key"), "left")
         .withColumn("_slices", slices)
         .withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)))
         .withColumn("own", F.pmod(F.hash("id"), F.col("_slices")) == F.col("slice"))
     )
     return (
-        dealt.select("key", "slice", "id", *sketch, "own")
+        dealt.select("key", "slice", "id", *_SKETCH, "own")
         .repartition("key", "slice")
-        .sortWithinPartitions("key", "slice")
+        .sortWithinPartitions("key", "slice", "id")
         .mapInArrow(linked, "u long, v long, tie boolean")
     )
 
@@ -328,12 +367,11 @@ def confirmed(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame
 
 def _crowd_forest(similarity: float):
     most = _most_bits(similarity - MARGIN)
-    sketch_columns = _PAYLOAD[FIND_BITS // 64 :]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         ids = rows["id"].to_numpy(np.int64)
         _, label = np.unique(rows["component"].to_numpy(np.int64), return_inverse=True)
-        sketch = rows[sketch_columns].to_numpy(np.int64)
+        sketch = rows[_SKETCH].to_numpy(np.int64)
         sets = [np.asarray(x, dtype=np.int64) for x in rows["s"]]
         size = np.array([len(x) for x in sets])
         hashes, owner = np.concatenate(sets), np.repeat(np.arange(len(ids)), size)
@@ -371,7 +409,7 @@ def crowd_links(nodes: DataFrame, sets: DataFrame, members: DataFrame, similarit
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     rows = (
         members.join(parted, "crowd")
-        .join(nodes.select("id", *_PAYLOAD[FIND_BITS // 64 :]), "id")
+        .join(nodes.select("id", *_SKETCH), "id")
         .join(sets, "id")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumns({"a": F.least(block, "other"), "b": F.greatest(block, "other")})
@@ -413,7 +451,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]
         now = (
             np.stack([column("key"), column("slice")], axis=1),
             column("id"),
-            np.stack([column(c) for c in _PAYLOAD[FIND_BITS // 64 :]], axis=1),
+            np.stack([column(c) for c in _SKETCH], axis=1),
             column("own"),
         )
         if kept is not None:
@@ -430,15 +468,14 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     """doc_id, component_id for every row of docs: groups of documents linked by similarity.
 
     Similarity is the Jaccard similarity of the sets of word shingles; texts
-    with the same words are always linked. Fingerprints of COMPARE_BITS only
-    choose the pairs whose shingles are compared. Pairs are found by ball hashing on word pairs, all
-    within 11 of 128 bits and most beyond: a document in which one word in
-    fifty is another has about 12. Nulls, empty texts, repeated rows: as
-    near_duplicates.
+    with the same words are always linked. All pairs so similar share a shingle
+    that both are found by; fingerprints of COMPARE_BITS only choose among them
+    the pairs whose shingles are compared. Nulls, empty texts, repeated rows:
+    as near_duplicates.
     """
-    fps = written(wide_fingerprints(docs, shingle), "simhash-wide")
+    fps = written(wide_fingerprints(docs, shingle, similarity), "simhash-wide")
     nodes = written(
-        fps.groupBy("id").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in _PAYLOAD]), "simhash-nodes"
+        fps.groupBy("id").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in (*_SKETCH, "found_by")]), "simhash-nodes"
     )
     classes = _classes(nodes, similar_components(docs, nodes, shingle, similarity), "id")
     return fps.join(classes, F.col("id") == F.col("_fp")).select("doc_id", "component_id")

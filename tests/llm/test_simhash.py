@@ -104,6 +104,31 @@ def test_similar_documents_are_found_and_others_left(docs):
         assert got[d] == g or not alike(d, g)
 
 
+def test_no_similar_pair_is_missed(docs):
+    rng = random.Random(17)
+    vocabulary = " ".join(prose(60, 40)).split()
+    rows, pairs = [], []
+    for g in range(80):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(150, 700))]
+        share, other = rng.uniform(0.80, 0.90), list(words)
+        if g % 2:  # a block of text added
+            block = [rng.choice(vocabulary) for _ in range(int(len(words) * (1 / share - 1)))]
+            at = rng.randrange(len(words))
+            other[at:at] = block
+        else:  # single words changed, each in five shingles
+            for i in rng.sample(range(len(words)), max(1, int(len(words) * (1 - share) / (1 + share) / 5))):
+                other[i] = f"new{g}x{i}"
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(other))]
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for d, t in rows}
+    for g in range(80):
+        a, b = sets[2 * g], sets[2 * g + 1]
+        if len(a & b) >= 0.8 * len(a | b):
+            pairs.append((2 * g, g % 2))
+    assert min(sum(k == kind for _, k in pairs) for kind in (0, 1)) > 25
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs(rows), 5, 0.8).collect()}
+    assert [d for d, _ in pairs if got[d + 1] != d] == []
+
+
 def test_a_crowd_of_likely_partners_loses_no_link(docs, monkeypatch):
     rng = random.Random(11)
     rows = []
