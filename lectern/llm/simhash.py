@@ -23,7 +23,7 @@ from itertools import accumulate
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import words
@@ -341,10 +341,19 @@ def similar_links(nodes: DataFrame, similarity: float, nearest: int = NEAREST) -
     )
 
 
+def _words(text: Column) -> Column:
+    """The words of a text as fingerprints see them."""
+    return words(F.translate(text.cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+
+def _name(tokens: Column) -> Column:
+    """The hash of the words that names a text."""
+    return F.xxhash64(F.array_join(tokens, " "))
+
+
 def shingle_sets(docs: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
     """id, s: the hashes of the word shingles of each text that pairs (u, v: names of texts) ask for."""
-    low = F.translate(F.col("text").cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    named = docs.select(words(low).alias("w")).select(F.xxhash64(F.array_join("w", " ")).alias("id"), "w")
+    named = docs.select(_words(F.col("text")).alias("w")).select(_name(F.col("w")).alias("id"), "w")
     asked = written(
         pairs.select(F.col("u").alias("_id")).unionByName(pairs.select(F.col("v").alias("_id"))).distinct(), "simhash-asked"
     )
@@ -464,6 +473,15 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]
         yield kept
 
 
+def _similar(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """doc_id, id of every row; the nodes (id, first: the least doc_id); node, component of nodes with links."""
+    fps = written(wide_fingerprints(docs, shingle, similarity), "simhash-wide")
+    nodes = written(
+        fps.groupBy("id").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in (*_SKETCH, "found_by")]), "simhash-nodes"
+    )
+    return fps.select("doc_id", "id"), nodes, similar_components(docs, nodes, shingle, similarity)
+
+
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, component_id for every row of docs: groups of documents linked by similarity.
 
@@ -473,11 +491,8 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     the pairs whose shingles are compared. Nulls, empty texts, repeated rows:
     as near_duplicates.
     """
-    fps = written(wide_fingerprints(docs, shingle, similarity), "simhash-wide")
-    nodes = written(
-        fps.groupBy("id").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in (*_SKETCH, "found_by")]), "simhash-nodes"
-    )
-    classes = _classes(nodes, similar_components(docs, nodes, shingle, similarity), "id")
+    fps, nodes, groups = _similar(docs, shingle, similarity)
+    classes = _classes(nodes, groups, "id")
     return fps.join(classes, F.col("id") == F.col("_fp")).select("doc_id", "component_id")
 
 
@@ -491,13 +506,29 @@ def _classes(nodes: DataFrame, groups: DataFrame, key: str) -> DataFrame:
     )
 
 
+def _named(docs: DataFrame, name: Column) -> DataFrame:
+    """docs with columns that say whether two rows have one doc_id, null or not, and the same words."""
+    doc_id = F.col("doc_id").cast("long")
+    return docs.withColumns({"__name": name, "__id": F.coalesce(doc_id, F.lit(0).cast("long")), "__null": doc_id.isNull()})
+
+
 def first_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs but those that similar_documents links to a document with a smaller doc_id.
+    """One row of docs for each group of similar texts: that with the least doc_id, then the least hash of its words.
 
-    Of rows with the same doc_id one stays; all rows with a null doc_id stay.
+    Rows are told apart by doc_id and words: a row is left out for a similar
+    one only, never for a doc_id that it shares with another text. A null
+    doc_id is the least only where the group has no other.
     """
-    groups = written(similar_documents(docs, shingle, similarity), "simhash-groups")
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__simhash_id")).distinct()
-    named = docs.where(F.col("doc_id").isNotNull())
-    kept = named.join(gone.hint("shuffle_hash"), named["doc_id"] == F.col("__simhash_id"), "left_anti").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    fps, nodes, groups = _similar(docs, shingle, similarity)
+    firsts = nodes.select("id", "first")
+    groups = written(groups, "simhash-groups")
+    linked = groups.join(firsts, F.col("node") == F.col("id")).select("id", "first", "component")
+    order = F.struct(F.col("first").isNull(), F.coalesce("first", F.lit(0).cast("long")), F.col("id"))
+    best = linked.groupBy("component").agg(F.min_by("id", order).alias("id")).select("id")
+    alone = firsts.join(groups.select(F.col("node").alias("id")), "id", "left_anti").select("id")
+    stay = firsts.join(alone.unionByName(best), "id", "left_semi").withColumnRenamed("first", "doc_id")
+    same = ["__name", "__id", "__null"]
+    gone = _named(fps, F.col("id")).select(*same).distinct().join(_named(stay, F.col("id")).select(*same), same, "left_anti")
+    named = _named(docs, _name(_words(F.col("text"))))
+    kept = named.join(written(gone, "simhash-gone").hint("shuffle_hash"), same, "left_anti")
+    return kept.dropDuplicates(same).select(*docs.columns)

@@ -82,6 +82,13 @@ def test_one_of_each_group_stays(docs):
     assert simhash.first_of_each(docs([]), 5).count() == 0
 
 
+def test_rows_are_told_apart_by_doc_id_and_words(docs):
+    a, b, c, d, e = prose(23, 5)
+    df = docs([(1, a), (1, b), (2, b), (5, a), (5, c), (None, d), (None, d), (None, a), (7, e), (7, e), (8, ""), (None, " ")])
+    kept = sorted(((r.doc_id, r.text) for r in simhash.first_of_each(df, 5).collect()), key=repr)
+    assert kept == sorted([(1, a), (1, b), (5, c), (None, d), (7, e), (8, "")], key=repr)
+
+
 def test_similar_documents_are_found_and_others_left(docs):
     rng = random.Random(5)
     rows, wanted = [], {}
