@@ -21,7 +21,6 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -171,51 +170,66 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return fps.join(classes, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
-#: Bits of the fingerprint that candidates are compared by.
-COMPARE_BITS = 256
-#: How far under the similarity asked for a pair may seem to be before the shingles themselves are compared. Of texts of
-#: four and five shingles, fingerprints differ in 48 bits on average, 4 standard deviations under what this allows.
-MARGIN = 0.35
+#: Texts of this many different shingles or more have a fingerprint besides their bitmap, which tells less of them.
+LONG = 256
+FINGERPRINT_BITS, BITMAP_BITS = 256, 512
+#: Bits that fingerprints of similar long texts differ in at most: of similarity 0.8, 38.7 on average; this is 6 standard
+#: deviations more.
+MOST_APART = 6.0
 #: Shingles found in COMMON or more of about SAMPLE texts, MOST_COMMON at most, are the last by which texts are found.
 SAMPLE, COMMON, MOST_COMMON = 20_000, 10, 100_000
-#: Pairs that a text gives in a bucket, besides those that tie the bucket together. A text with more likely partners
-#: belongs to a crowd, which is compared in whole, by blocks of about CROWD texts.
-NEAREST, CROWD = 6, 256
-_SKETCH = [f"s{i}" for i in range(COMPARE_BITS // 64)]
+#: Texts that are found by one shingle are compared in blocks of about so many, every two of which meet in a task.
+CROWD = 20_000
+_FINGERPRINT = [f"f{i}" for i in range(FINGERPRINT_BITS // 64)]
+_BITMAP = [f"m{i}" for i in range(BITMAP_BITS // 64)]
+_SKETCH = [*_FINGERPRINT, *_BITMAP]
 
 
-def _majority(digests: bytes, bits: int) -> np.ndarray:
-    """The bits set in over half of the digests, as signed 64-bit words."""
-    each = np.unpackbits(np.frombuffer(digests, dtype=np.uint8).reshape(-1, bits // 8), axis=1, bitorder="little")
-    whole = len(each) // 255 * 255  # sums of 255 fit a byte
-    counts = each[:whole].reshape(-1, 255, bits).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
-    counts += each[whole:].sum(axis=0, dtype=np.int64)
-    return np.packbits(counts * 2 > len(each), bitorder="little").view("<i8")
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers spread over all bits."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _tokens(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def _shingle_digests(tokens: list[bytes], shingle: int) -> bytes:
-    """COMPARE_BITS of hash of each different word shingle. Fewer words than a shingle has: the whole sequence."""
+def _shingle_hashes(tokens: list[bytes], shingle: int) -> np.ndarray:
+    """The sorted hashes of the different word shingles. Fewer words than a shingle has: the whole sequence."""
     import xxhash
 
-    h, whole = xxhash.xxh3_128_digest, b" ".join(tokens)
-    starts = list(accumulate((len(x) + 1 for x in tokens), initial=0))
-    # each shingle once: similarity is that of sets
-    runs = {whole[a : b - 1] for a, b in zip(starts, starts[min(shingle, len(tokens)) :], strict=False)}
-    return b"".join([h(g, 2) + h(g, 3) for g in runs])
+    h = xxhash.xxh3_64_intdigest
+    each = np.array([h(t) for t in tokens], dtype=np.uint64)
+    k = min(shingle, len(each))
+    total = np.zeros(len(each) - k + 1, dtype=np.uint64)
+    for i in range(k):
+        total = (total + each[i : len(each) - k + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+    return np.unique(_mixed(total))
 
 
-def _first_words(digests: bytes) -> np.ndarray:
-    """The first 64 bits of each digest, which stand for the shingle in the search."""
-    return np.unique(np.frombuffer(digests, dtype="<i8").reshape(-1, COMPARE_BITS // 64)[:, 0])
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    """The SimHash of FINGERPRINT_BITS: the bits set in over half of the hashes, widened to as many bits."""
+    wide = np.stack([_mixed(hashes + np.uint64(i + 1)) for i in range(FINGERPRINT_BITS // 64)], axis=1)
+    each = np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little")
+    whole = len(each) // 255 * 255  # sums of 255 fit a byte
+    counts = each[:whole].reshape(-1, 255, FINGERPRINT_BITS).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+    counts += each[whole:].sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(each), bitorder="little").view("<i8")
 
 
-def _tokens(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+def _bitmap(hashes: np.ndarray) -> np.ndarray:
+    """BITMAP_BITS, each the parity of the number of hashes that fall on it. What two sets share cancels out, so that
+    bitmaps differ in no more bits than the sets do in members."""
+    at = (hashes & np.uint64(BITMAP_BITS - 1)).astype(np.int64)
+    odd = np.bincount(at, minlength=BITMAP_BITS).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view("<i8")
 
 
-def wide_fingerprint(text: str | None, shingle: int, similarity: float, common: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
-    """The hash of the words, which names the text; the SimHash of the different word shingles as 64-bit words; the
-    shingles that the text is found by.
+def wide_fingerprint(text: str | None, shingle: int, similarity: float, common: np.ndarray) -> tuple[int, int, int, int, np.ndarray, np.ndarray]:
+    """Of a text: a hash of it as it is; two hashes of its words, which name it; how many different shingles it has; its
+    fingerprint and bitmap as 64-bit words; the shingles that it is found by.
 
     Of two sets with that Jaccard similarity, each holds at least that share of
     the other. So if the shingles of all texts are put in one order, two such
@@ -224,18 +238,26 @@ def wide_fingerprint(text: str | None, shingle: int, similarity: float, common:
     """
     import xxhash
 
+    h = xxhash.xxh64_intdigest
     tokens = _tokens(text)
-    name = xxhash.xxh64_intdigest(b" ".join(tokens), 42)
-    name -= (name >> 63) << 64
-    if not tokens:
-        return name, np.zeros(len(_SKETCH), np.int64), np.empty(0, np.int64)
-    digests = _shingle_digests(tokens, shingle)
-    found = _first_words(digests)
-    if len(common):
+    joined = b" ".join(tokens)
+    raw = h((text or "").encode("utf-8", "surrogatepass"), 42)
+    first, second = h(joined, 1), h(joined, 2)
+    sketch = np.zeros(len(_SKETCH), np.int64)
+    found = np.empty(0, np.uint64)
+    if tokens:
+        found = _shingle_hashes(tokens, shingle)
+        sketch[len(_FINGERPRINT) :] = _bitmap(found)
+        if len(found) >= LONG:
+            sketch[: len(_FINGERPRINT)] = _majority(found)
+    n = len(found)
+    if n and len(common):
         known = common[np.minimum(np.searchsorted(common, found), len(common) - 1)] == found
         found = np.concatenate([found[~known], found[known]])
-    n = len(found)
-    return name, _majority(digests, COMPARE_BITS), found[: n - math.ceil(similarity * n - 1e-9) + 1]
+    if n:
+        found = found[: n - math.ceil(similarity * n - 1e-9) + 1]
+    signed = [x - ((x >> 63) << 64) for x in (raw, first, second)]
+    return *signed, n, sketch, found.view(np.int64)
 
 
 def common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
@@ -246,124 +268,170 @@ def common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
         for b in batches:
             for x in b.column("text"):
                 if tokens := _tokens(x.as_py()):
-                    yield pa.RecordBatch.from_arrays([pa.array(_first_words(_shingle_digests(tokens, shingle)))], ["h"])
+                    yield pa.RecordBatch.from_arrays([pa.array(_shingle_hashes(tokens, shingle).view(np.int64))], ["h"])
 
     every = max(1, -(-docs.count() // SAMPLE))
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select(F.col("text").cast("string").alias("text"))
     counted = some.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
     rows = counted.orderBy(F.desc("n"), "h").limit(MOST_COMMON).select("h").collect()
-    return np.sort(np.array([r["h"] for r in rows], dtype=np.int64))
+    return np.sort(np.array([r["h"] for r in rows], dtype=np.int64).view(np.uint64))
 
 
 def wide_fingerprints(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """doc_id, id, the words of wide_fingerprint and ``found_by`` for every row of docs."""
+    """doc_id and what wide_fingerprint says, for every row of docs."""
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle))  # MOST_COMMON numbers at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [wide_fingerprint(x, shingle, similarity, common.value) for x in b.column("text").to_pylist()]
-            sketch = np.array([r[1] for r in rows], dtype=np.int64).reshape(-1, len(_SKETCH))
-            columns = [pa.array([r[0] for r in rows], pa.int64()), *[pa.array(c) for c in sketch.T.copy()]]
-            found = pa.array([r[2] for r in rows], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns, found], ["doc_id", "id", *_SKETCH, "found_by"])
+            sketch = np.array([r[4] for r in rows], dtype=np.int64).reshape(-1, len(_SKETCH))
+            found = pa.array([r[5] for r in rows], pa.list_(pa.int64()))
+            columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(4)]
+            columns += [pa.array(c) for c in sketch.T.copy()]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), *columns, found], ["doc_id", "raw", "h1", "h2", "n", *_SKETCH, "found_by"]
+            )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id long, id long, {', '.join(f'{c} long' for c in _SKETCH)}, found_by array<long>")
+    longs = ", ".join(f"{c} long" for c in ("doc_id", "raw", "h1", "h2", "n", *_SKETCH))
+    return rows.mapInArrow(run, f"{longs}, found_by array<long>")
 
 
-def _most_bits(similarity: float) -> int:
-    """How many of COMPARE_BITS sets of that Jaccard similarity differ in on average."""
-    cosine = 2 * similarity / (1 + similarity)
-    return int(np.arccos(cosine) / np.pi * COMPARE_BITS)
+class _Bucket:
+    """The texts of one bucket: how many shingles they have, their fingerprints and their bitmaps."""
 
+    def __init__(self, n: np.ndarray, sketch: np.ndarray, similarity: float):
+        self.n, self.fingerprint, self.bitmap = n, sketch[:, : len(_FINGERPRINT)], sketch[:, len(_FINGERPRINT) :]
+        self.similarity = similarity
+        cosine = 2 * similarity / (1 + similarity)
+        p = float(np.arccos(cosine) / np.pi)
+        self.most = FINGERPRINT_BITS * p + MOST_APART * math.sqrt(FINGERPRINT_BITS * p * (1 - p))
 
-def similar_links(nodes: DataFrame, similarity: float, nearest: int = NEAREST) -> DataFrame:
-    """u, v, tie: links between nodes (id, the words of a wide fingerprint, found_by) that are alike and share a bucket.
+    def apart(self, i, others) -> np.ndarray:
+        """How far others seem to be from i: the bits of the bitmaps, infinite for those that can't be similar.
 
-    A bucket holds the texts that are found by one shingle. A node with more than
-    ``nearest`` such others in a bucket gives those most like it, and the pair
-    (id, id), which says that there are more. Links with tie are enough to tie
-    each bucket together in which there are more.
+        Sets of similarity s differ in (|a| + |b|) (1 - s) / (1 + s) members at most.
+        """
+        a, b = self.n[i], self.n[others]
+        bits = _differ(self.bitmap[others], self.bitmap[i]).sum(axis=1, dtype=np.int64)
+        fits = (bits <= (a + b) * ((1 - self.similarity) / (1 + self.similarity)) + 1e-6) & (
+            np.minimum(a, b) >= self.similarity * np.maximum(a, b) - 1e-6
+        )
+        both = (a >= LONG) & (b >= LONG)
+        if np.any(both):
+            far = _differ(self.fingerprint[others], self.fingerprint[i]).sum(axis=1, dtype=np.int64)
+            fits &= ~both | (far <= self.most)
+        return np.where(fits, bits, np.inf)
+
+    def forest(self) -> tuple[np.ndarray, np.ndarray]:
+        """The shortest links that tie all together that may be similar, directly or through others."""
+        size = len(self.n)
+        best, parent, left = np.full(size, np.inf), np.full(size, -1), np.ones(size, bool)
+        i, every = 0, np.arange(size)
+        for _ in range(size - 1):
+            left[i] = False
+            apart = self.apart(i, every)
+            closer = left & (apart < best)
+            best[closer], parent[closer] = apart[closer], i
+            i = int(np.argmin(np.where(left, best, np.inf)))
+            if not left[i] or np.isinf(best[i]):
+                i = int(np.argmax(left))
+        child = np.flatnonzero(parent >= 0)
+        return child, parent[child]
+
+    def between(self, component: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All that may be similar and lie in different components."""
+        us, vs = [np.empty(0, int)], [np.empty(0, int)]
+        for i in range(len(self.n) - 1):
+            others = i + 1 + np.flatnonzero(component[i + 1 :] != component[i])
+            close = others[np.isfinite(self.apart(i, others))]
+            us.append(np.full(len(close), i))
+            vs.append(close)
+        return np.concatenate(us), np.concatenate(vs)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[np.ndarray]:
+    """Sorted rows as matrices with the columns names, cut only between runs of equal first three columns."""
+    kept: list[np.ndarray] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        now = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in names], axis=1)
+        cut = int(np.argmax((now[:, :3] == now[-1, :3]).all(axis=1)))
+        if cut or (kept and (kept[-1][-1, :3] != now[0, :3]).any()):  # else the open run goes on
+            yield np.concatenate([*kept, now[:cut]])
+            kept = []
+        kept.append(now[cut:])
+    if kept:
+        yield np.concatenate(kept)
+
+
+def likely_links(members: DataFrame, similarity: float, apart: bool = False) -> DataFrame:
+    """u, v: pairs of members (id, key, n, the words of the sketch) with one key that may be similar.
+
+    Of each key the shortest pairs that tie all such members together. With
+    apart, instead, all such pairs of members whose column ``component`` differs.
+    The members of a key are dealt in blocks, of which every two meet in a task.
     """
-    most = _most_bits(similarity)
+    columns = ["key", "a", "b", "id", "n", *_SKETCH, *(["component"] if apart else [])]
+    sketch_from = columns.index(_SKETCH[0])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def forest(sketch: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-            """Pairs that tie everything alike together and, after those, each member with the ones most like it."""
-            label, us, vs, crowd = np.arange(len(sketch)), [], [], False
-            for i in np.flatnonzero(own):
-                far = _differ(sketch, sketch[i]).sum(axis=1, dtype=np.int64)
-                far[i] = COMPARE_BITS + 1
-                close = np.flatnonzero(far <= most)
-                met = np.unique(label[np.append(close, i)])
-                if len(met) > 1:
-                    label[np.isin(label, met)] = met[0]
-                if len(close) > nearest:
-                    crowd = True
-                    # rows are in the order of id: the same ones among equals in each bucket
-                    close = np.append(close[np.argsort(far[close], kind="stable")[:nearest]], i)
-                us.append(np.full(len(close), i))
-                vs.append(close)
-            tied = np.flatnonzero(label != np.arange(len(label)))
-            return np.concatenate([tied, *us]), np.concatenate([label[tied], *vs]), len(tied) * crowd
-
-        for key, ids, sketch, own in _runs(batches):
-            first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
-            size = np.diff(np.r_[first, len(key)])
-            two = first[size == 2]
-            near = _differ(sketch[two], sketch[two + 1]).sum(axis=1, dtype=np.int64) <= most
-            us, vs, ties = [ids[two][near]], [ids[two + 1][near]], [np.zeros(near.sum(), bool)]
-            for a, n in zip(first[size > 2], size[size > 2], strict=True):
-                x, y, tied = forest(sketch[a : a + n], own[a : a + n])
-                us.append(ids[a + x])
-                vs.append(ids[a + y])
-                ties.append(np.arange(len(x)) < tied)
-            u, v = np.concatenate(us), np.concatenate(vs)
-            if len(u):
-                columns = [pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(np.concatenate(ties), pa.bool_())]
-                yield pa.RecordBatch.from_arrays(columns, ["u", "v", "tie"])
-
-    rows = nodes.select("id", *_SKETCH, F.explode("found_by").alias("key"))
-    # at most one row for SLICE texts
-    crowded = nodes.select(F.explode("found_by").alias("_key")).groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > SLICE)
-    slices = F.coalesce(F.ceil(F.col("_n") / SLICE), F.lit(1)).cast("int")
+        for rows in _runs(batches, columns):
+            first = np.flatnonzero(np.r_[True, (rows[1:, :3] != rows[:-1, :3]).any(axis=1)])
+            ids, n, sketch = rows[:, 3], rows[:, 4], rows[:, sketch_from : sketch_from + len(_SKETCH)]
+            us, vs = [], []
+            for start, size in zip(first, np.diff(np.r_[first, len(rows)]), strict=True):
+                if size < 2:
+                    continue
+                at = slice(start, start + size)
+                bucket = _Bucket(n[at], sketch[at], similarity)
+                if not apart:
+                    u, v = bucket.forest()
+                else:
+                    component = rows[at, -1]
+                    if (component == component[0]).all():
+                        continue
+                    u, v = bucket.between(component)
+                us.append(ids[at][u])
+                vs.append(ids[at][v])
+            if sum(map(len, us)):
+                u, v = np.concatenate(us), np.concatenate(vs)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+    blocks = F.ceil(F.col("_n") / CROWD).cast("int")
+    block = F.pmod(F.xxhash64("id"), blocks)
     dealt = (
-        rows.join(F.broadcast(crowded), F.col("key") == F.col("_key"), "left")
-        .withColumn("_slices", slices)
-        .withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)))
-        .withColumn("own", F.pmod(F.hash("id"), F.col("_slices")) == F.col("slice"))
+        members.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .withColumns({"a": F.least(block, "other").cast("long"), "b": F.greatest(block, "other").cast("long")})
+        .select(*columns)
     )
     return (
-        dealt.select("key", "slice", "id", *_SKETCH, "own")
-        .repartition("key", "slice")
-        .sortWithinPartitions("key", "slice", "id")
-        .mapInArrow(linked, "u long, v long, tie boolean")
+        dealt.repartition("key", "a", "b")
+        .sortWithinPartitions("key", "a", "b", "id")
+        .mapInArrow(linked, "u long, v long")
+        .distinct()
     )
 
 
-def _words(text: Column) -> Column:
-    """The words of a text as fingerprints see them."""
-    return words(F.translate(text.cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+def _row(docs: DataFrame) -> dict[str, Column]:
+    """What tells rows of docs apart: doc_id, null or not, and a hash of the text as it is."""
+    doc_id = F.col("doc_id").cast("long")
+    raw = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return {"__id": F.coalesce(doc_id, F.lit(0).cast("long")), "__null": doc_id.isNull(), "__raw": raw}
 
 
-def _name(tokens: Column) -> Column:
-    """The hash of the words that names a text."""
-    return F.xxhash64(F.array_join(tokens, " "))
+_ROW = ["__id", "__null", "__raw"]
 
 
-def shingle_sets(docs: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
-    """id, s: the hashes of the word shingles of each text that pairs (u, v: names of texts) ask for."""
-    named = docs.select(_words(F.col("text")).alias("w")).select(_name(F.col("w")).alias("id"), "w")
-    asked = written(
-        pairs.select(F.col("u").alias("_id")).unionByName(pairs.select(F.col("v").alias("_id"))).distinct(), "simhash-asked"
-    )
+def shingle_sets(docs: DataFrame, asked: DataFrame, shingle: int) -> DataFrame:
+    """id, s: the hashes of the word shingles of the texts that asked (id and the columns of _ROW) names."""
+    lower = F.translate(F.col("text").cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rows = docs.select(*[c.alias(n) for n, c in _row(docs).items()], lower.alias("text"))
+    found = rows.join(asked.hint("shuffle_hash"), _ROW).dropDuplicates(["id"]).select("id", words(F.col("text")).alias("w"))
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - shingle, F.lit(0)))
     hashed = F.transform(starts, lambda i: F.xxhash64(F.slice(F.col("w"), i + 1, shingle)))
-    return (
-        named.join(asked.hint("shuffle_hash"), F.col("id") == F.col("_id"), "left_semi")
-        .dropDuplicates(["id"])
-        .select("id", F.array_distinct(hashed).alias("s"))
-    )
+    return found.select("id", F.array_distinct(hashed).alias("s"))
 
 
 def confirmed(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
@@ -374,112 +442,47 @@ def confirmed(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame
     return alike.select("u", "v")
 
 
-def _crowd_forest(similarity: float):
-    most = _most_bits(similarity - MARGIN)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        ids = rows["id"].to_numpy(np.int64)
-        _, label = np.unique(rows["component"].to_numpy(np.int64), return_inverse=True)
-        sketch = rows[_SKETCH].to_numpy(np.int64)
-        sets = [np.asarray(x, dtype=np.int64) for x in rows["s"]]
-        size = np.array([len(x) for x in sets])
-        hashes, owner = np.concatenate(sets), np.repeat(np.arange(len(ids)), size)
-        order = np.argsort(hashes, kind="stable")
-        hashes, owner = hashes[order], owner[order]
-        us, vs = [], []
-        for i in range(len(ids)):
-            close = np.flatnonzero(label != label[i])
-            close = close[_differ(sketch[close], sketch[i]).sum(axis=1, dtype=np.int64) <= most]
-            if not len(close):
-                continue
-            low, high = np.searchsorted(hashes, sets[i], "left"), np.searchsorted(hashes, sets[i], "right")
-            both = np.bincount(np.concatenate([owner[x:y] for x, y in zip(low, high, strict=True)]), minlength=len(ids))
-            close = close[both[close] >= similarity * (size[i] + size[close] - both[close])]
-            met, at = np.unique(label[close], return_index=True)
-            us += [ids[i]] * len(met)
-            vs += list(ids[close[at]])
-            label[np.isin(label, met)] = label[i]
-        return pd.DataFrame({"u": us, "v": vs}).astype("int64")
-
-    return run
-
-
-def crowd_links(nodes: DataFrame, sets: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
-    """u, v: links by similarity between members (id, crowd, component) of a crowd, which join its components.
-
-    Every two blocks of a crowd meet in a task, where shingle sets are compared
-    as they are. Only a forest of confirmed links leaves a task, and crowds of
-    one component are passed over.
-    """
-    parted = members.groupBy("crowd").agg(
-        F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("blocks"), F.min("component").alias("a"), F.max("component").alias("b")
-    )
-    parted = parted.where(F.col("a") < F.col("b")).select("crowd", "blocks")
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    rows = (
-        members.join(parted, "crowd")
-        .join(nodes.select("id", *_SKETCH), "id")
-        .join(sets, "id")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumns({"a": F.least(block, "other"), "b": F.greatest(block, "other")})
-    )
-    return rows.groupBy("crowd", "a", "b").applyInPandas(_crowd_forest(similarity), "u long, v long")
-
-
 def similar_components(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """node, component: nodes linked by similarity, those without links left out.
 
-    A text in a crowd of likely partners meets those most like it first. What
-    that leaves apart in the crowd is then compared in whole, so that no likely
-    pair is left out unless links already join it.
+    Texts that are found by one shingle form a bucket. First each bucket gives
+    the shortest links that tie it together; those that the shingle sets confirm
+    make components. Then each gives all likely pairs that lie in different
+    components, so that no likely pair is left unless links join it anyway.
     """
-    links = similar_links(nodes, similarity - MARGIN, NEAREST)
-    likely = written(links.groupBy("u", "v").agg(F.max("tie").alias("tie")), "simhash-pairs")
-    pairs = likely.where(F.col("u") != F.col("v"))
-    choice = pairs.select("u", "v")
-    more = likely.where(F.col("u") == F.col("v")).select(F.col("u").alias("id"))
-    sets = written(shingle_sets(docs, pairs, shingle), "simhash-sets")
-    groups = written(connected_components(confirmed(sets, choice, similarity)), "simhash-components")
+    found = nodes.select("id", F.explode("found_by").alias("key"))
+    counts = found.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+    sketches = nodes.select("id", "n", *_SKETCH)
+    members = written(found.join(counts, "key"), "simhash-found")
+    ties = written(likely_links(members.join(sketches, "id"), similarity), "simhash-ties")
+    some = ties.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    asked = written(nodes.join(some, "id", "left_semi").select("id", *_ROW), "simhash-asked")
+    sets = written(shingle_sets(docs, asked, shingle), "simhash-sets")
+    groups = written(connected_components(confirmed(sets, ties, similarity)), "simhash-components")
+    # who has no likely partner has none in another component either
+    open_ = members.join(asked.select("id"), "id", "left_semi").join(sketches, "id")
+    labelled = open_.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    between = written(likely_links(labelled, similarity, apart=True), "simhash-between")
+    more = written(confirmed(sets, between, similarity), "simhash-more")
     if more.isEmpty():
         return groups
-    # ties hold each bucket together of which something is left, so that lies in one crowd
-    crowds = connected_components(pairs.where("tie")).toDF("id", "crowd")
-    members = more.join(crowds, "id").join(groups.withColumnRenamed("node", "id"), "id", "left")
-    members = written(members.withColumn("component", F.coalesce("component", "id")), "simhash-crowds")
-    found = crowd_links(nodes, sets, members, similarity)
-    return connected_components(groups.toDF("u", "v").unionByName(found))
-
-
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Sorted rows as (key and slice, id, sketch, own), cut only between runs of equal key and slice."""
-    kept = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        column = lambda c, b=b: b.column(c).to_numpy(zero_copy_only=False)
-        now = (
-            np.stack([column("key"), column("slice")], axis=1),
-            column("id"),
-            np.stack([column(c) for c in _SKETCH], axis=1),
-            column("own"),
-        )
-        if kept is not None:
-            now = tuple(np.concatenate([x, y]) for x, y in zip(kept, now, strict=True))
-        cut = int(np.argmax((now[0] == now[0][-1]).all(axis=1)))
-        if cut:
-            yield tuple(x[:cut] for x in now)
-        kept = tuple(x[cut:] for x in now)
-    if kept is not None:
-        yield kept
+    return connected_components(groups.toDF("u", "v").unionByName(more))
 
 
 def _similar(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """doc_id, id of every row; the nodes (id, first: the least doc_id); node, component of nodes with links."""
+    """Every row (doc_id, raw, h1, h2); the nodes (id, h1, h2, first: the least doc_id, and the columns of _ROW of a row
+    that has it); node, component of nodes with links."""
     fps = written(wide_fingerprints(docs, shingle, similarity), "simhash-wide")
+    row = F.min(F.struct(F.col("doc_id").isNull().alias("null"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), "raw")).alias("row")
+    each = fps.groupBy("h1", "h2").agg(row, *[F.first(c).alias(c) for c in ("n", *_SKETCH, "found_by")])
     nodes = written(
-        fps.groupBy("id").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in (*_SKETCH, "found_by")]), "simhash-nodes"
-    )
-    return fps.select("doc_id", "id"), nodes, similar_components(docs, nodes, shingle, similarity)
+        each.select(
+            F.monotonically_increasing_id().alias("id"), "h1", "h2", F.when(~F.col("row.null"), F.col("row.id")).alias("first"),
+            F.col("row.id").alias("__id"), F.col("row.null").alias("__null"), F.col("row.raw").alias("__raw"), "n", *_SKETCH, "found_by",
+        ),
+        "simhash-nodes",
+    )
+    return fps.select("doc_id", "raw", "h1", "h2"), nodes, similar_components(docs, nodes, shingle, similarity)
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -487,13 +490,14 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
 
     Similarity is the Jaccard similarity of the sets of word shingles; texts
     with the same words are always linked. All pairs so similar share a shingle
-    that both are found by; fingerprints of COMPARE_BITS only choose among them
-    the pairs whose shingles are compared. Nulls, empty texts, repeated rows:
-    as near_duplicates.
+    that both are found by; bitmaps, and fingerprints of long texts, only leave
+    out pairs that can't be so similar before shingles are compared. Nulls,
+    empty texts, repeated rows: as near_duplicates.
     """
     fps, nodes, groups = _similar(docs, shingle, similarity)
     classes = _classes(nodes, groups, "id")
-    return fps.join(classes, F.col("id") == F.col("_fp")).select("doc_id", "component_id")
+    named = nodes.select("h1", "h2", "id").join(classes, F.col("id") == F.col("_fp"))
+    return fps.join(named, ["h1", "h2"]).select("doc_id", "component_id")
 
 
 def _classes(nodes: DataFrame, groups: DataFrame, key: str) -> DataFrame:
@@ -506,29 +510,20 @@ def _classes(nodes: DataFrame, groups: DataFrame, key: str) -> DataFrame:
     )
 
 
-def _named(docs: DataFrame, name: Column) -> DataFrame:
-    """docs with columns that say whether two rows have one doc_id, null or not, and the same words."""
-    doc_id = F.col("doc_id").cast("long")
-    return docs.withColumns({"__name": name, "__id": F.coalesce(doc_id, F.lit(0).cast("long")), "__null": doc_id.isNull()})
-
-
 def first_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row of docs for each group of similar texts: that with the least doc_id, then the least hash of its words.
+    """One row of docs for each group of similar texts: that with the least doc_id, then the least hash of its text.
 
-    Rows are told apart by doc_id and words: a row is left out for a similar
-    one only, never for a doc_id that it shares with another text. A null
-    doc_id is the least only where the group has no other.
+    Rows are told apart by doc_id and text: a row is left out for a similar one
+    only, never for a doc_id that it shares with another text. A null doc_id is
+    the least only where the group has no other. Of rows that repeat both, one
+    stays. Null, empty and blank texts are one group; an empty table stays empty.
+    Whole texts are compared, however long. Columns of any name stay as they are.
     """
-    fps, nodes, groups = _similar(docs, shingle, similarity)
-    firsts = nodes.select("id", "first")
+    _, nodes, groups = _similar(docs, shingle, similarity)
     groups = written(groups, "simhash-groups")
-    linked = groups.join(firsts, F.col("node") == F.col("id")).select("id", "first", "component")
-    order = F.struct(F.col("first").isNull(), F.coalesce("first", F.lit(0).cast("long")), F.col("id"))
-    best = linked.groupBy("component").agg(F.min_by("id", order).alias("id")).select("id")
-    alone = firsts.join(groups.select(F.col("node").alias("id")), "id", "left_anti").select("id")
-    stay = firsts.join(alone.unionByName(best), "id", "left_semi").withColumnRenamed("first", "doc_id")
-    same = ["__name", "__id", "__null"]
-    gone = _named(fps, F.col("id")).select(*same).distinct().join(_named(stay, F.col("id")).select(*same), same, "left_anti")
-    named = _named(docs, _name(_words(F.col("text"))))
-    kept = named.join(written(gone, "simhash-gone").hint("shuffle_hash"), same, "left_anti")
-    return kept.dropDuplicates(same).select(*docs.columns)
+    order = F.struct("__null", "__id", "__raw")
+    grouped = nodes.join(groups, F.col("id") == F.col("node"), "left").groupBy(F.coalesce("component", "id").alias("_c"))
+    stay = grouped.agg(F.min(order).alias("_row")).select("_row.*")
+    rows = docs.withColumns(_row(docs))
+    kept = rows.join(written(stay, "simhash-stay").hint("shuffle_hash"), _ROW, "left_semi")
+    return kept.dropDuplicates(_ROW).select(*docs.columns)

@@ -136,23 +136,70 @@ def test_no_similar_pair_is_missed(docs):
     assert [d for d, _ in pairs if got[d + 1] != d] == []
 
 
-def test_a_crowd_of_likely_partners_loses_no_link(docs, monkeypatch):
+def brute_similar(rows, k=5, similarity=0.8):
+    """component_id by comparing every two texts."""
+    sets = [{tuple(t.lower().split()[i : i + k]) for i in range(max(1, len(t.split()) - k + 1))} for _, t in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if label[i] != label[j] and both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+                gone, to = max(label[i], label[j]), min(label[i], label[j])
+                label = [to if x == gone else x for x in label]
+    return {d: rows[label[i]][0] for i, (d, _) in enumerate(rows)}
+
+
+def crowd():
+    """Copies of three texts: chains, in which copies far apart are linked through those between, and stars, in which most
+    copies of the middle are no links of each other."""
     rng = random.Random(11)
     rows = []
     for g in range(3):
-        words = " ".join(prose(80 + g, 8)).split()
-        for copy in range(25):  # a chain: copies far apart are linked through those between
+        base = words = " ".join(prose(80 + g, 8)).split()
+        for copy in range(25):
             words = list(words)
             words[rng.randrange(len(words))] = f"new{rng.random()}"
-            rows.append((g * 100 + copy, " ".join(words)))
-    found = []
-    for nearest in (1, 1_000):
-        monkeypatch.setattr(simhash, "NEAREST", nearest)
-        monkeypatch.setattr(simhash, "CROWD", 8)
+            rows.append((g * 1000 + copy, " ".join(words)))
+        for copy in range(60):
+            changed = list(base)
+            for i in rng.sample(range(len(base)), rng.randint(1, len(base) // 12)):
+                changed[i] = f"new{rng.random()}"
+            rows.append((g * 1000 + 100 + copy, " ".join(changed)))
+    return rows
+
+
+def test_a_crowd_of_likely_partners_loses_no_link(docs, monkeypatch):
+    rows = crowd()
+    wanted = brute_similar(rows)
+    assert 3 < len(set(wanted.values())) < len(rows) - 100
+    for block in (8, 20_000):  # crowded buckets dealt in blocks, and whole
+        monkeypatch.setattr(simhash, "CROWD", block)
         got = simhash.similar_documents(docs(rows), 5, 0.8)
-        found.append(sorted((r.doc_id, r.component_id) for r in got.collect()))
-    assert found[0] == found[1]
-    assert len({c for _, c in found[0]}) == 3
+        assert {r.doc_id: r.component_id for r in got.collect()} == wanted
+
+
+def test_long_texts_are_told_by_their_fingerprints_too(docs):
+    rng = random.Random(3)
+    rows = []
+    for g in range(4):
+        base = " ".join(prose(300 + g, 60)).split()
+        for copy in range(20):
+            changed = list(base)
+            for i in rng.sample(range(len(base)), rng.randint(1, len(base) // 35)):
+                changed[i] = f"new{rng.random()}"
+            rows.append((g * 100 + copy, " ".join(changed)))
+    assert min(len(t.split()) for _, t in rows) > simhash.LONG
+    got = simhash.similar_documents(docs(rows), 5, 0.8)
+    assert {r.doc_id: r.component_id for r in got.collect()} == brute_similar(rows)
+
+
+def test_bitmaps_never_differ_by_more_than_the_sets():
+    rng = np.random.default_rng(5)
+    for size in (3, 40, 400, 4000):
+        a = rng.integers(0, 1 << 63, size).astype(np.uint64)
+        b = np.concatenate([a[size // 5 :], rng.integers(0, 1 << 63, size // 3).astype(np.uint64)])
+        bits = int(np.bitwise_count((simhash._bitmap(a) ^ simhash._bitmap(b)).view(np.uint64)).sum())
+        assert bits <= len(set(a.tolist()) ^ set(b.tolist()))
 
 
 def test_similar_documents_of_odd_rows(docs):
