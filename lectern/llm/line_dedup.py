@@ -5,14 +5,19 @@ stands earlier: in a document with a smaller doc_id, or higher up in the same
 one. Every run is made of minimal runs, one for each line it can start at. Each
 minimal run is a window over line hashes, and its least hash is selected: a
 guaranteed fingerprint, since a run that is repeated anywhere has the same
-windows and the same minima there. Fingerprints that occur once are dropped;
-the windows of the others are joined by position with their first occurrence.
-Overlapping windows extend a match both ways to its whole length. The lines of
-later matches are deleted.
-
-What is shuffled are line hashes and positions, and the texts of documents that
-lose lines; a passage that very many documents share is counted before it is
-shuffled. DataFrame functions only.
+windows and the same minima there.
+
+What is shuffled after that are the selected positions. Each carries its reach:
+the windows that selected it, from the first line of the first to the last line
+of the last. Positions with the same hash are joined. Where the whole reach is
+that of an earlier position, all of it is a match, which is how the copies of a
+passage are found, counted before they are shuffled. Positions that are the
+first with their reach compare the windows in it one by one with those of the
+others, from the earliest that holds the position to the latest, so that a match
+is extended both ways as far as lines agree. Matches that touch are one, and the lines of later ones
+are deleted.
+
+Lines are compared by 128 bits of hash. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -34,21 +39,29 @@ def _text() -> Column:
     return F.coalesce(F.col("text").cast("string"), F.lit(""))
 
 
-def minimal_runs(docs: DataFrame, least_words: int) -> DataFrame:
-    """doc, t, pos, last, run, low, fresh: the minimal runs of least_words words or more, one for each line that has one.
+def _hash(value: Column) -> Column:
+    """128 bits as two numbers."""
+    return F.struct(F.xxhash64(value).alias("a"), F.xxhash64(F.lit(1), value).alias("b"))
 
-    doc and t (a hash of the text) name the document, pos and last are the first and last line, run is a hash of the
-    lines' hashes, low the least of them; fresh marks the first window of a document that selects that line.
+
+def positions(docs: DataFrame, least_words: int) -> DataFrame:
+    """doc, t, pos, h, windows, reach: the lines that some minimal run of least_words words or more selects.
+
+    doc and t (a hash of the text) name the document, pos is the line and h its
+    hash. windows are the minimal runs that selected it, in order: their first
+    and last line and a hash of their lines; reach is a hash of those hashes.
     Lines without words are passed over.
     """
-    lines = docs.select(
-        _id().alias("doc"), F.xxhash64(_text()).alias("t"), F.posexplode(F.split(_text(), "\n")).alias("pos", "line")
-    ).select("doc", "t", "pos", F.xxhash64("line").alias("h"), F.size(words(F.col("line"))).cast("long").alias("n"))
+    # repeated rows are one document
+    texts = docs.select(_id().alias("doc"), F.xxhash64(_text()).alias("t"), _text().alias("text"))
+    lines = texts.select("doc", "t", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select(
+        "doc", "t", "pos", _hash(F.col("line")).alias("h"), F.size(words(F.col("line"))).cast("long").alias("n")
+    )
     one = (
         lines.where(F.col("n") > 0)
-        .repartition("doc", "t")
-        .groupBy("doc", "t", "pos")  # repeated rows are one document
+        .groupBy("doc", "t", "pos")
         .agg(F.first("h").alias("h"), F.first("n").alias("n"))
+        .repartition("doc", "t")
     )
     document = Window.partitionBy("doc", "t")
     summed = one.withColumn(
@@ -61,51 +74,61 @@ def minimal_runs(docs: DataFrame, least_words: int) -> DataFrame:
         "t",
         "pos",
         F.max("pos").over(ahead).alias("last"),
-        F.xxhash64(F.collect_list("h").over(ahead)).alias("run"),
+        F.collect_list("h").over(ahead).alias("hs"),
         F.min(F.struct("h", "pos")).over(ahead).alias("least"),
         F.sum("n").over(ahead).alias("words"),
     ).where(F.col("words") >= least_words)
-    earlier = F.lag("least.pos").over(document.orderBy("pos"))
-    return windows.select(
-        "doc", "t", "pos", "last", "run", F.col("least.h").alias("low"),
-        (F.coalesce(earlier, F.lit(-1)) != F.col("least.pos")).alias("fresh"),
+    each = F.struct(F.col("pos").alias("first"), "last", _hash(F.col("hs")).alias("run"))
+    return (
+        windows.groupBy("doc", "t", F.col("least.pos").alias("at"))
+        .agg(F.first("least.h").alias("h"), F.sort_array(F.collect_list(each)).alias("windows"))
+        .select(
+            "doc", "t", F.col("at").alias("pos"), "h", "windows",
+            _hash(F.transform("windows", lambda w: w["run"])).alias("reach"),
+        )
     )
 
 
 def repeated_ranges(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc, t, ranges: the later repeated runs of each document that has any, merged, as (first, last) line numbers."""
-    runs = written(minimal_runs(docs, least_words), "line-runs")
-    marks = (
-        runs.where("fresh").groupBy(F.col("low").alias("_low")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
-    )
-    likely = runs.join(marks, F.col("low") == F.col("_low"), "left_semi")
+    found = written(positions(docs, least_words), "line-positions")
     place = F.struct("doc", "t", "pos")
-    first = (
-        likely.groupBy(F.col("run").alias("_run"))
-        .agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > 1)
+    marks = found.groupBy(F.col("h").alias("_h")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("_h")
+    joined = written(found.join(marks, F.col("h") == F.col("_h"), "left_semi"), "line-joined")
+    # the first position of each reach; all others repeat all of it
+    firsts = joined.groupBy("h", "reach").agg(F.min(place).alias("first"))
+    marked = joined.join(firsts, ["h", "reach"])
+    whole = marked.where(place != F.col("first")).select(
+        "doc", "t", F.col("windows")[0]["first"].alias("first"), F.element_at("windows", -1)["last"].alias("last")
     )
-    later = likely.join(first, F.col("run") == F.col("_run")).where(place != F.col("first"))
-    document = Window.partitionBy("doc", "t").orderBy("pos")
-    reach = F.max("last").over(document.rowsBetween(Window.unboundedPreceding, -1))
-    begins = F.when(F.coalesce(reach + 1, F.lit(-1)) < F.col("pos"), 1).otherwise(0)
-    parts = later.select("doc", "t", "pos", "last", begins.alias("begins")).withColumn(
+    # the first ones extend window by window
+    opened = marked.where(place == F.col("first")).select("doc", "t", "pos", "h", F.explode("windows").alias("w"))
+    aligned = opened.select("doc", "t", "pos", "h", F.col("w.run").alias("run"), "w")
+    key = ["h", "run"]
+    earliest = aligned.groupBy(*key).agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+    parts = aligned.join(earliest, key).where(place != F.col("least")).select("doc", "t", "w.first", "w.last")
+    later = whole.unionByName(parts)
+    document = Window.partitionBy("doc", "t").orderBy("first", "last")
+    reached = F.max("last").over(document.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.when(F.coalesce(reached + 1, F.lit(-1)) < F.col("first"), 1).otherwise(0)
+    run = later.select("doc", "t", "first", "last", begins.alias("begins")).withColumn(
         "part", F.sum("begins").over(document.rowsBetween(Window.unboundedPreceding, 0))
     )
-    merged = parts.groupBy("doc", "t", "part").agg(F.min("pos").alias("first"), F.max("last").alias("last"))
+    merged = run.groupBy("doc", "t", "part").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     return merged.groupBy("doc", "t").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("ranges"))
 
 
-def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """The rows of docs with later repeated runs cut out of ``text``, and ``_deleted``: their (first, last) line numbers.
+def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, deleted: str = "_deleted") -> DataFrame:
+    """The rows of docs with later repeated runs cut out of ``text``, and ``deleted``: their (first, last) line numbers.
 
     Lines are parted by \\n and equal if all their characters are. Line numbers
     count from 0. Lines without words neither count nor part a run, and go with
     a run that they lie in. Null text stays null, a text that loses all lines
     becomes empty. A null doc_id comes before all others; documents with the
     same doc_id are ordered by their texts' hashes; rows that repeat both are
-    one document and are cut alike. Other columns stay; an empty table stays
-    empty.
+    one document and are cut alike. Texts are looked at whole, however long.
+    Other columns stay as they are, whatever their names, but for one named like
+    ``deleted``, which is replaced. An empty table stays empty.
     """
     # names that docs won't have
     ranges = repeated_ranges(docs, least_words).toDF("__line_doc", "__line_t", "__line_ranges")
@@ -128,5 +151,5 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     )
     none = F.array().cast("array<struct<first:int,last:int>>")
     return joined.select(
-        *[rest.alias("text") if c == "text" else docs[c] for c in docs.columns], F.coalesce(r, none).alias("_deleted")
+        *[rest.alias("text") if c == "text" else docs[c] for c in docs.columns if c != deleted], F.coalesce(r, none).alias(deleted)
     )

@@ -5,7 +5,7 @@ import pytest
 #: Columns that operators use inside, to clash with.
 CLASH = (
     "doc", "t", "pos", "ranges", "fp", "key", "words", "size", "source_size", "target", "taken", "h", "n", "line", "score",
-    "failed", "spans", "base", "proposed", "best", "range", "node", "component", "u", "v", "first", "least", "block", "before",
+    "failed", "spans", "_deleted", "id", "_id", "__raw", "a", "b", "raw", "reach", "at", "base", "proposed", "best", "range", "node", "component", "u", "v", "first", "least", "block", "before",
 )
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASH)
 
