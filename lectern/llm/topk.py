@@ -1,172 +1,319 @@
-"""Exact top-k search by inner product: a ball tree per shard, searched best node first.
-
-The rows are dealt to shards of bounded size, the queries to blocks. One task
-holds one shard and one block: it builds the shard's ball tree and visits its
-leaves in the order of the largest inner product that a query can have with a
-ball (q.c + |q| r), until no leaf's bound reaches the query's k-th score. A
-first pass takes every query to one shard only; the k-th scores found there are
-shared with all shards in the second pass, so most of their nodes are cut off
-at once.
-
-Vectors are scaled to whole numbers, scores are exact integers, and a bound is
-rounded up, so ties and rounding lose nothing.
+"""Exact top-k search by inner product: a ball tree per shard, searched branch and bound, best node first.
+
+The rows are dealt to cells around pivots, and cells to shards of bounded size.
+One task reads a shard's rows, builds its ball tree once and then takes the
+shard's queries as they stream past. A query opens the nodes of the tree in the
+order of the largest inner product that it can have with a node's ball
+(q.c + |q| r), the two halves of a node when it is opened, and stops when no
+open node's bound reaches its k-th score.
+
+A first pass takes every query to one shard of its own cell. The k-th scores
+found there are shared: in the second pass a query goes only to the shards of
+cells whose own ball it can reach that score in, and most nodes there are cut
+off at once.
+
+Components are whole numbers, scores are exact, and a bound is rounded up, so
+ties and rounding lose nothing. The pivots come from a bounded sample, which
+only decides where rows lie: every row is in a shard.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.storage import written
 
 SCALE = 1024
-#: Components over this in size could let a score pass 64 bits.
-LARGEST = float(1 << 20)
-#: Rows of a tree's leaf, of a shard, and queries of a block.
-LEAF, SHARD, BLOCK = 64, 16_384, 2_048
-_NONE = np.iinfo(np.int64).min
-
-
-def _leaves(x: np.ndarray) -> list[np.ndarray]:
-    """Row numbers of each leaf: balls are halved at the median along the line between two far points."""
-    done, todo = [], [np.arange(len(x))]
-    while todo:
-        rows = todo.pop()
-        if len(rows) <= LEAF:
-            done.append(rows)
-            continue
-        part = x[rows]
-        a = part[np.argmax(((part - part.mean(axis=0)) ** 2).sum(axis=1))]
-        b = part[np.argmax(((part - a) ** 2).sum(axis=1))]
-        order = np.argsort(part @ (b - a), kind="stable")
-        half = len(rows) // 2
-        todo += [rows[order[:half]], rows[order[half:]]]
-    return done
-
-
-def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact inner products of integer vectors as int64."""
-    largest = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, x.shape[-1])
-    if largest < 2.0**52:
-        return np.rint(q.astype(np.float64) @ x.T.astype(np.float64)).astype(np.int64)
-    return q @ x.T
-
-
-def search(
-    q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, x_ids: np.ndarray, x: np.ndarray, k: int
-) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query id, row ids, scores): the best k rows of x for each query, its own row left out.
-
-    Rows with a score under the query's floor may be missing; ties go to the
-    smaller id. q and x are int64 matrices.
-    """
-    points = x.astype(np.float64)
-    leaves = _leaves(points)
-    centers = np.stack([points[r].mean(axis=0) for r in leaves])
-    radii = np.array([np.sqrt(((points[r] - c) ** 2).sum(axis=1)).max() for r, c in zip(leaves, centers, strict=True)])
-    qf = q.astype(np.float64)
-    norms = np.sqrt((qf**2).sum(axis=1))
-    bounds = qf @ centers.T + norms[:, None] * radii[None, :]
-    bounds += 1e-9 * (np.abs(bounds) + norms[:, None] * np.abs(centers).sum(axis=1).max(initial=0)) + 1  # rounded up
-    order = np.argsort(-bounds, axis=1, kind="stable")
-    for i in range(len(q)):
-        ids, scores = np.empty(0, np.int64), np.empty(0, np.int64)
-        least, at = int(floor[i]), 0
-        while at < len(leaves) and bounds[i, order[i, at]] >= least:
-            some = order[i, at : at + (1 if at < 4 else 8)]
-            rows = np.concatenate([leaves[j] for j in some if bounds[i, j] >= least])
-            at += len(some)
-            got = _scores(q[i], x[rows])
-            keep = (got >= least) & (x_ids[rows] != q_ids[i])
-            ids, scores = np.r_[ids, x_ids[rows][keep]], np.r_[scores, got[keep]]
-            if len(ids) > k:
-                best = np.lexsort((ids, -scores))[:k]
-                ids, scores = ids[best], scores[best]
-            if len(ids) == k:
-                least = max(least, int(scores.min()))
-        best = np.lexsort((ids, -scores))
-        yield int(q_ids[i]), ids[best], scores[best]
-
-
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.array(column.tolist(), dtype=np.int64)
-
-
-def _search_group(k: int):
-    def run(key: tuple, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(queries) and len(rows):
-            floor = queries["floor"].to_numpy(np.int64)
-            found = search(
-                queries["id"].to_numpy(np.int64), _matrix(queries["x"]), floor,
-                rows["row_id"].to_numpy(np.int64), _matrix(rows["row_x"]), k,
-            )
-            out = [(q, int(i), int(s)) for q, ids, scores in found for i, s in zip(ids, scores, strict=True)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+#: Rows of a tree's leaf and of a shard; pivots at most, of every vector length, chosen among so many sampled rows.
+LEAF, SHARD, PIVOTS, SAMPLE = 64, 16_384, 256, 4_096
+_NONE, _MOST = -(1 << 63), (1 << 63) - 1
+#: Over what exact scores are shifted to be compared as texts; components are doubles, so none is this large.
+_SHIFT = 10**700
+_CLIP = 1e300
+
+
+def whole_numbers(x: np.ndarray) -> np.ndarray:
+    """floor(1024 * x) of doubles: as doubles where all are exact in them, else as Python's integers."""
+    with np.errstate(over="ignore"):
+        out = np.floor(x * SCALE)
+    if np.isfinite(out).all():
+        return out
+    return np.array([[math.floor(v) * SCALE if abs(v) > 2.0**60 else math.floor(v * SCALE) for v in row] for row in x.tolist()], dtype=object).reshape(x.shape)
+
+
+def _points(x: np.ndarray) -> np.ndarray:
+    """x as doubles. Where one is cut down to _CLIP, balls are taken to have no bound."""
+    if x.dtype == object:
+        x = np.array([[float(min(max(v, -(10**301)), 10**301)) for v in row] for row in x], dtype=float).reshape(x.shape)
+    return np.clip(x, -_CLIP, _CLIP)
+
+
+def scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Exact inner products of a vector with the rows of a matrix, all whole numbers."""
+    if q.dtype != object and x.dtype != object:
+        largest = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, len(q))
+        if largest < 2.0**52:
+            return np.rint(x @ q).astype(np.int64)
+        if largest < 2.0**62:
+            return x.astype(np.int64) @ q.astype(np.int64)
+    exact = [int(v) for v in q]
+    return np.array([sum(int(a) * b for a, b in zip(row, exact, strict=True)) for row in x] or [], dtype=object)
+
+
+class BallTree:
+    """Balls halved at the median along the line between two far points, down to LEAF rows."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray):
+        self.ids, self.x = ids, x
+        self.points = _points(x)
+        self.rows: list[np.ndarray | None] = []
+        self.children: list[tuple[int, int] | None] = []
+        centers, radii = [], []
+        todo = [(np.arange(len(x)), -1, 0)]
+        while todo:
+            rows, parent, side = todo.pop()
+            part = self.points[rows]
+            # halves before the mean: sums of large components stay finite
+            center = (part / len(rows)).sum(axis=0)
+            at = len(centers)
+            centers.append(center)
+            with np.errstate(over="ignore", invalid="ignore"):
+                far = np.sqrt(((part - center) ** 2).sum(axis=1))
+            radii.append(far.max())
+            self.rows.append(rows)
+            self.children.append(None)
+            if parent >= 0:
+                pair = self.children[parent] or (0, 0)
+                self.children[parent] = (at, pair[1]) if side == 0 else (pair[0], at)
+            if len(rows) > LEAF:
+                a = part[np.argmax(far)]
+                with np.errstate(over="ignore", invalid="ignore"):
+                    b = part[np.argmax(((part - a) ** 2).sum(axis=1))]
+                    order = np.argsort(np.nan_to_num(part @ (b - a)), kind="stable")
+                half = len(rows) // 2
+                self.rows[at] = None
+                todo += [(rows[order[:half]], at, 0), (rows[order[half:]], at, 1)]
+        self.centers, self.radii = np.stack(centers), np.array(radii)
+        if np.abs(self.points).max(initial=0) >= _CLIP:
+            self.radii[:] = np.inf
+        self.spread = np.abs(self.centers).sum(axis=1)
+
+    def bounds(self, q: np.ndarray, norm: float, nodes: tuple[int, ...]) -> list[float]:
+        at = list(nodes)
+        with np.errstate(over="ignore", invalid="ignore"):
+            value = self.centers[at] @ q + norm * self.radii[at]
+            value += 1e-9 * (np.abs(value) + norm * (self.spread[at] + self.radii[at])) + 1  # rounded up
+        return [math.inf if math.isnan(v) else float(v) for v in value]
+
+    def search(self, q_id: int, q: np.ndarray, floor: int | None, k: int) -> list[tuple[int, int]]:
+        """(score, row id) of the best k rows but those with the id q_id, best first, ties to the smaller id.
+
+        Rows with a score under floor may be missing.
+        """
+        point = _points(q[None])[0]
+        with np.errstate(over="ignore"):
+            norm = float(np.sqrt((point**2).sum())) if np.abs(point).max(initial=0) < _CLIP else math.inf
+        least = -math.inf if floor is None else floor
+        best: list[tuple[int, int]] = []
+        open_ = [(-self.bounds(point, norm, (0,))[0], 0)]
+        while open_ and -open_[0][0] >= least:
+            node = heapq.heappop(open_)[1]
+            rows = self.rows[node]
+            if rows is None:
+                pair = self.children[node]
+                for bound, child in zip(self.bounds(point, norm, pair), pair, strict=True):
+                    if bound >= least:
+                        heapq.heappush(open_, (-bound, child))
+                continue
+            got = scores(q, self.x[rows])
+            keep = self.ids[rows] != q_id
+            if math.isfinite(least):
+                keep &= got >= least
+            best += [(-int(s), int(i)) for s, i in zip(got[keep], self.ids[rows][keep], strict=True)]
+            if len(best) > k:
+                best = sorted(best)[:k]
+            if len(best) == k:
+                least = max(least, -max(best)[0])
+        return [(-s, i) for s, i in sorted(best)]
+
+
+def _vectors(b: pa.RecordBatch) -> np.ndarray:
+    column = b.column("x")
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.empty((0, 0))
+
+
+def _searched(k: int):
+    """Rows (dim, shard, asks, id, x, floor), sorted, a shard's own rows before its queries, to its best for each query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, parts, tree = None, [], [], None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("dim", "shard", "asks")], axis=1)
+            edges = [0, *(1 + np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1))).tolist(), len(keys)]
+            out: list[tuple[int, int, int, str]] = []
+            for a, e in zip(edges, edges[1:], strict=False):
+                if a == e:
+                    continue
+                some = batch.slice(a, e - a)
+                dim, shard, asks = keys[a].tolist()
+                if now != (dim, shard):
+                    now, ids, parts, tree = (dim, shard), [], [], None
+                x = whole_numbers(_vectors(some).reshape(len(some), dim))
+                if not asks:
+                    ids.append(some.column("id").to_numpy(zero_copy_only=False))
+                    parts.append(x)
+                    continue
+                if not ids:
+                    continue
+                if tree is None:
+                    tree = BallTree(np.concatenate(ids), np.concatenate(parts))
+                for q_id, q, floor in zip(some.column("id").to_pylist(), x, some.column("floor").to_pylist(), strict=True):
+                    for s, i in tree.search(q_id, q, None if floor <= _NONE + 1 else floor, k):
+                        fits = _NONE < s < _MOST
+                        out.append((q_id, i, min(max(s, _NONE + 1), _MOST), "" if fits else f"{s + _SHIFT:0701d}"))
+            if out:
+                columns = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], ["query_id", "vec_id", "score", "exact"]
+                )
 
     return run
 
 
+def _cells(valid: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
+    """valid with ``cell``, the nearest pivot of the vector's length, and its distance from it, rounded up."""
+    shared = valid.sparkSession.sparkContext.broadcast(pivots)  # PIVOTS vectors of a length at most
+    schema = "id long, dim int, x array<double>, asks boolean, cell int, far double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dims = b.column("dim").to_numpy(zero_copy_only=False)
+            cell, far = np.zeros(len(b), np.int32), np.zeros(len(b))
+            for dim in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == dim)
+                p = shared.value.get(dim)
+                x = _points(whole_numbers(_vectors(b.take(pa.array(at))).reshape(len(at), dim)))
+                if p is None or not dim:
+                    continue
+                best = np.full(len(at), np.inf)
+                for c, pivot in enumerate(p):
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        d = np.sqrt(((x - pivot) ** 2).sum(axis=1))
+                    closer = d < best
+                    cell[at[closer]], best[closer] = c, d[closer]
+                far[at] = best * (1 + 1e-9) + 1e-6
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32()), pa.array(far, pa.float64())], [*b.schema.names, "cell", "far"])
+
+    return valid.mapInArrow(run, schema)
+
+
+def _reached(pivots: dict[int, np.ndarray], cells: DataFrame):
+    """Rows (dim, id, x, home, floor, shards) to the shards of the cells in which the floor can be reached. shards is asked
+    only for lengths that have one cell; all others are looked up, PIVOTS cells of 16 lengths at most."""
+    dims = list(pivots)
+    table = {(r["dim"], r["cell"]): (r["shards"], r["radius"]) for r in cells.where(F.col("dim").isin(dims)).collect()} if dims else {}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            xs, dims = b.column("x").to_pylist(), b.column("dim").to_pylist()
+            for x, dim, floor, shards in zip(xs, dims, b.column("floor").to_pylist(), b.column("shards").to_pylist(), strict=True):
+                if dim not in pivots:
+                    out.append(list(range(shards)))
+                    continue
+                q = _points(whole_numbers(np.array([x])))[0]
+                with np.errstate(over="ignore", invalid="ignore"):
+                    norm, at = np.sqrt((q**2).sum()), pivots[dim] @ q
+                    size = norm * np.abs(pivots[dim]).sum(axis=1)
+                found = []
+                for (d, cell), (n, radius) in table.items():
+                    if d != dim:
+                        continue
+                    bound = at[cell] + norm * radius
+                    bound += 1e-9 * (abs(bound) + size[cell] + norm * radius) + 1
+                    if math.isnan(bound) or np.abs(q).max(initial=0) >= _CLIP or bound >= floor:
+                        found += [(cell << 32) + i for i in range(n)]
+                out.append(found)
+            columns = [b.column(c) for c in ("dim", "id", "x", "home", "floor")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.list_(pa.int64()))], ["dim", "id", "x", "home", "floor", "shard"])
+
+    return run
+
+
+def _pivots(valid: DataFrame, n: dict[int, int]) -> dict[int, np.ndarray]:
+    """For each of the few commonest lengths, rows far apart from each other among at most SAMPLE rows with the least hashes."""
+    out = {}
+    for dim, rows in n.items():
+        many = min(PIVOTS, -(-rows // SHARD))
+        if many < 2:
+            continue
+        some = valid.where(F.col("dim") == dim).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("x").collect()
+        x = _points(whole_numbers(np.array([r["x"] for r in some], dtype=float)))
+        chosen, best = [x[0]], np.full(len(x), np.inf)
+        while len(chosen) < many:
+            with np.errstate(over="ignore", invalid="ignore"):
+                best = np.minimum(best, np.nan_to_num(((x - chosen[-1]) ** 2).sum(axis=1)))
+            chosen.append(x[int(np.argmax(best))])
+        out[dim] = np.stack(chosen)
+    return out
+
+
 def top_k(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row that is_query (a Column) holds for, its k best other rows.
 
     vectors: vec_id, embedding. Each component x becomes floor(1024 * x); the
     score is the integer inner product, ties go to the smaller vec_id. Vectors
-    that are null or empty, or hold components that are null, non-finite or over
-    LARGEST in size, and rows with a null vec_id take no part. Vectors of different lengths are not
-    compared. Rows with the same vec_id are the same row to a query, which
+    that are null or hold components that are null or non-finite, and rows with
+    a null vec_id, take no part. Vectors of different lengths are not compared;
+    empty ones score 0 with each other. Components may be as large as a double:
+    rank is by the exact score, and a score beyond a long is given as the
+    nearest one. Rows with the same vec_id are the same row to a query, which
     never finds its own id; of repeated ids every row is a candidate. A query
-    with fewer than k others gets all. Other columns are ignored.
+    with fewer than k others gets all; an empty table gives no rows. Other
+    columns are ignored.
     """
     x = F.transform(F.col("embedding"), lambda v: v.cast("double"))
-    whole = F.transform(F.col("x"), lambda v: F.floor(v * SCALE).cast("long"))
-    finite = ~F.exists(F.col("x"), lambda v: v.isNull() | F.isnan(v) | (F.abs(v) > LARGEST))
+    finite = ~F.exists(F.col("x"), lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     valid = written(
-        vectors.where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0))
+        vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
         .select(F.col("vec_id").cast("long").alias("id"), x.alias("x"), is_query.alias("asks"))
         .where(F.coalesce(finite, F.lit(False)))
-        .select("id", F.size("x").alias("dim"), whole.alias("x"), F.coalesce("asks", F.lit(False)).alias("asks")),
+        .select("id", F.size("x").alias("dim"), "x", F.coalesce("asks", F.lit(False)).alias("asks")),
         "topk-vectors",
     )
-    n = valid.agg(F.count(F.lit(1)).alias("rows"), F.count_if("asks").alias("asks")).first()
-    shards, blocks = -(-n["rows"] // SHARD) or 1, -(-n["asks"] // BLOCK) or 1
-    place = F.xxhash64("id", "x")
-    rows = valid.select(
-        F.col("id").alias("row_id"), F.col("dim").alias("row_dim"), F.col("x").alias("row_x"),
-        F.pmod(place, F.lit(shards)).cast("int").alias("row_shard"),
-    )
-    queries = (
-        valid.where("asks")
-        .dropDuplicates(["id", "x"])
-        .select("id", "dim", "x", F.pmod(F.xxhash64("x", "id"), F.lit(blocks)).cast("int").alias("block"))
-    )
-    rows = rows.withColumn("row_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    group = ["dim", "shard", "block"]
+    lengths = valid.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").limit(16).collect()
+    pivots = _pivots(valid, {r["dim"]: r["n"] for r in lengths})
+    placed = written(_cells(valid, pivots), "topk-cells")
+    # one row a cell: its shards, and the ball of its rows
+    cells = placed.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / SHARD).cast("int").alias("shards"), F.max("far").alias("radius"))
+    cells = written(cells, "topk-balls")
+    joined = placed.join(cells, ["dim", "cell"])
+    # shards of a cell share its number's high bits
+    shard = (F.shiftleft(F.col("cell").cast("long"), 32) + F.pmod(F.xxhash64("id", "x"), F.col("shards"))).alias("shard")
+    rows = joined.select("dim", shard, F.lit(False).alias("asks"), "id", "x", F.lit(_NONE).alias("floor"))
+    queries = joined.where("asks").dropDuplicates(["id", "x"])
+    home = F.shiftleft(F.col("cell").cast("long"), 32) + F.pmod(F.hash("id"), F.col("shards"))
 
-    def searched(asked: DataFrame, among: DataFrame) -> DataFrame:
-        pair = asked.groupBy(*group).cogroup(among.groupBy(*[f"row_{c}" for c in group]))
-        return pair.applyInPandas(_search_group(k), "query_id long, vec_id long, score long")
+    def searched(asked: DataFrame) -> DataFrame:
+        both = rows.unionByName(asked.select("dim", "shard", F.lit(True).alias("asks"), "id", "x", "floor"))
+        dealt = both.repartition("dim", "shard").sortWithinPartitions("dim", "shard", "asks")
+        return dealt.mapInArrow(_searched(k), "query_id long, vec_id long, score long, exact string")
 
-    home = F.pmod(F.hash("id"), F.lit(shards)).cast("int")
-    first = written(
-        searched(queries.withColumn("shard", home).withColumn("floor", F.lit(_NONE)), rows), "topk-first"
-    )
+    first = written(searched(queries.select("dim", home.alias("shard"), "id", "x", F.lit(_NONE).alias("floor"))), "topk-first")
     kth = first.groupBy("query_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
     kth = kth.where(F.col("n") >= k).select(F.col("query_id").alias("_id"), "least")
-    others = (
-        queries.join(kth, F.col("id") == F.col("_id"), "left")
-        .select("id", "dim", "x", "block", F.coalesce("least", F.lit(_NONE)).alias("floor"))
-        .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-        .where(F.col("shard") != home)
-    )
-    found = first.unionByName(searched(others, rows)) if shards > 1 else first
-    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        found.withColumn("rank", F.row_number().over(rank))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+    asking = queries.select("dim", "id", "x", home.alias("home"), "shards").join(kth, F.col("id") == F.col("_id"), "left")
+    asking = asking.select("dim", "id", "x", "home", F.coalesce("least", F.lit(_NONE)).alias("floor"), "shards")
+    reached = asking.mapInArrow(_reached(pivots, cells), "dim int, id long, x array<double>, home long, floor long, shard array<long>")
+    others = reached.withColumn("shard", F.explode("shard")).where(F.col("shard") != F.col("home"))
+    many = not cells.groupBy("dim").agg(F.sum("shards").alias("n")).where(F.col("n") > 1).isEmpty()
+    found = first.unionByName(searched(others)) if many else first
+    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("exact"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
