@@ -2,11 +2,12 @@
 
 A token that leetspeak, spacing or repetition may have disguised becomes a
 lattice of characters: a digit or sign stands for itself, for the letters it
-looks like or for nothing, a run of one letter for one or two of it. A Viterbi
-search under a character language model restores the likeliest reading; the
-other tokens have one path only and are taken as they are. Restored words are
-looked up in a lexicon of words that labelled texts tie to toxicity, and a
-calibrated sum of what they say is the score.
+looks like or for nothing, a run of one letter for one or two of it, a gap
+between spaced letters for nothing or for the edge of a word. A Viterbi search
+under a character language model restores the likeliest reading; the other
+tokens have one path only and are taken as they are. Restored words are looked
+up in a lexicon of words that labelled texts tie to toxicity, and a calibrated
+sum of what they say is the score.
 
 The language model counts character triples of all documents: one table of
 fixed size for each partition, summed up. The lexicon is fitted on a bounded
@@ -29,8 +30,6 @@ from lectern.storage import written
 
 #: The classifier is fitted on at most this many labelled rows, those with the least hashes of doc_id.
 MAX_LABELLED = 200_000
-#: Words of the lexicon at most.
-MAX_WORDS = 20_000
 THRESHOLD = 0.3
 
 # Symbols of the language model: an edge, a to z, any other letter.
@@ -43,13 +42,14 @@ LOOKS_LIKE = {
 }
 #: A starred letter is mostly a vowel.
 _STARRED = {"*": "aeiou", "#": "aeiou"}
-#: Costs: a look-alike, a starred letter, leaving out a look-alike, leaving out any other sign, a run cut short.
-_SWAP, _STAR, _DROP, _SILENT, _SINGLE = -1.0, -1.0, -8.0, -0.5, -0.3
-#: Longer tokens are decoded piece by piece.
-_PIECE = 64
+#: Costs: a look-alike, a starred letter, leaving out a look-alike, leaving out any other sign, a run cut short, a letter
+#: written twice taken once.
+_SWAP, _STAR, _DROP, _SILENT, _SINGLE, _HALVED = -1.0, -1.0, -8.0, -0.5, -0.3, -3.0
 _EDGES = ".,;:!?\"'()[]{}<>|#*&%$-_=+/\\~`^«»„“”‘’…"
 _SPACED = re.compile(r"(?<!\S)(?:\w[ ._\-*]){2,}\w(?![^\s.,;:!?])")
-_TRIPLED = re.compile(r"([^\W\d_])\1\1")
+#: Stands for the gap between two spaced letters, and read as a space for the edge of a word.
+_GAP = "\x00"
+_DOUBLED = re.compile(r"([^\W\d_])\1")
 
 
 def _symbols(text: str) -> np.ndarray:
@@ -102,11 +102,13 @@ def _readings(token: str) -> Iterator[list[tuple[str, float]]]:
     """For each run of one character: the strings it may stand for, with their costs."""
     for m in re.finditer(r"(.)\1*", token, re.DOTALL):
         c, n = m[1], len(m[0])
-        if c.isalpha():
-            if n >= 3:
-                yield [(c, _SINGLE), (c * 2, _SINGLE)]
-            else:
-                yield [(c * n, 0.0)]
+        if c == _GAP:
+            yield [("", 0.0), (" ", 0.0)]
+        elif c.isalpha():
+            if n == 1:
+                yield [(c, 0.0)]
+            else:  # what is written twice is mostly meant so
+                yield [(c, _SINGLE if n > 2 else _HALVED), (c * 2, _SINGLE if n > 2 else 0.0)]
         else:
             found = [(x, _SWAP) for x in LOOKS_LIKE.get(c, "")]
             if n > 1:
@@ -115,62 +117,84 @@ def _readings(token: str) -> Iterator[list[tuple[str, float]]]:
             yield [*found, ("", _DROP * min(n, 2) if found else _SILENT)]
 
 
-def decode(token: str, model: np.ndarray) -> str:
-    """The likeliest reading of a disguised token: Viterbi over its lattice, with pairs of symbols as states."""
-    paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+def decode(token: str, model: np.ndarray | list) -> str:
+    """The likeliest reading of a disguised token: Viterbi over its lattice, with pairs of symbols as states.
+
+    Each step keeps the best way into a state and points back to where it came
+    from, so a token takes time and memory in proportion to its length.
+    """
+    table = model.tolist() if isinstance(model, np.ndarray) else model  # lists are faster to look up in
+    scores: dict[tuple[int, int], float] = {(0, 0): 0.0}
+    back: list[dict[tuple[int, int], tuple[tuple[int, int], str]]] = []
     for readings in _readings(token):
-        following: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in paths.items():
+        following: dict[tuple[int, int], float] = {}
+        came: dict[tuple[int, int], tuple[tuple[int, int], str]] = {}
+        for state, score in scores.items():
             for letters, cost in readings:
-                x, y, total = a, b, score + cost
+                (x, y), total = state, score + cost
                 for c in letters:
+                    if c == " ":
+                        total += table[x][y][0]
+                        x = y = 0
+                        continue
                     code = ord(c)
                     z = code - 96 if 97 <= code <= 122 else _OTHER
-                    total += model[x, y, z]
+                    total += table[x][y][z]
                     x, y = y, z
-                if (x, y) not in following or following[x, y][0] < total:
-                    following[x, y] = (total, text + letters)
-        paths = following
-    return max((score + model[a, b, 0], text) for (a, b), (score, text) in paths.items())[1]
+                if (x, y) not in following or following[x, y] < total:
+                    following[x, y], came[x, y] = total, (state, letters)
+        scores = following
+        back.append(came)
+    state = max(scores, key=lambda s: scores[s] + table[s[0]][s[1]][0])
+    out = []
+    for came in reversed(back):
+        state, letters = came[state]
+        out.append(letters)
+    return "".join(reversed(out))
 
 
 def plain_words(text: str) -> tuple[set[str], set[str]]:
-    """The words of a text that have one reading, lower-cased, and the tokens that may be disguised."""
+    """The words of a text as they are, lower-cased, and the tokens that may be disguised."""
     low = text.lower()
     plain, disguised = set(), set()
     for token in set(low.split()):
-        if token.isalpha() and not _TRIPLED.search(token):
+        if token.isalpha():
             plain.add(token)
+            if _DOUBLED.search(token):
+                disguised.add(token)
             continue
         word = token.strip(_EDGES)
-        if word.isalpha() and not _TRIPLED.search(word):
+        if word.isalpha():
             plain.add(word)
         # a sign at the edge may be a letter of the word: @ss, cla$$
         core = token.strip(_EDGES.replace("$", "").replace("!", "") if not token.endswith(("!!", "$$$")) else _EDGES)
-        if len(core) > 2 and (not core.isalpha() or _TRIPLED.search(core)) and any(c.isalpha() for c in core):
+        if len(core) > 2 and (not core.isalpha() or _DOUBLED.search(core)) and any(c.isalpha() for c in core):
             disguised.add(core)
     for m in _SPACED.finditer(low):
-        joined = re.sub(r"[ ._\-*]", "", m[0])
-        # a word of one letter may stand before or after the spaced one
-        for token in {joined[a : len(joined) - b] for a in (0, 1) for b in (0, 1)}:
-            if len(set(token)) > 1 and len(token) > 2:
-                disguised.add(token)
+        letters = re.sub(r"[ ._\-*]", "", m[0])
+        if len(set(letters)) > 1:
+            # words may begin and end at every gap; or it is one word, with one of a single letter before or after it
+            disguised.add(_GAP.join(letters))
+            disguised.update(x for a in (0, 1) for b in (0, 1) if len(x := letters[a : len(letters) - b]) > 2)
     return plain, disguised
 
 
-def restored(text: str, model: np.ndarray, known: dict[str, str]) -> set[str]:
-    """All words of a text, disguised ones as restored. known: readings of tokens seen before."""
+#: Readings of short tokens that a task keeps at hand; longer ones hardly come again.
+_KEPT, _SHORT = 100_000, 64
+
+
+def restored(text: str, model: np.ndarray | list, known: dict[str, str]) -> set[str]:
+    """All words of a text, disguised ones also as restored. known: readings of tokens seen before."""
     plain, disguised = plain_words(text)
     for token in disguised:
-        word = known.get(token)
-        if word is None and len(token) > _PIECE:
-            word = "".join(decode(token[i : i + _PIECE], model) for i in range(0, len(token), _PIECE))
-        elif word is None:
-            if len(known) > 100_000:
-                known.clear()
-            word = known[token] = decode(token, model)
-        if word:
-            plain.add(word)
+        reading = known.get(token)
+        if reading is None:
+            reading = decode(token, model)
+            if len(token) <= _SHORT:
+                if len(known) > _KEPT:
+                    known.clear()
+                known[token] = reading
+        plain.update(w for w in reading.split(" ") if w and (len(w) > 1 or _GAP not in token))
     return plain
 
 
@@ -199,7 +223,11 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None) -> S
 
     labels: doc_id, toxic (0, 1; rows with null are left out). Repeated labels
     of a document count once, as toxic if any says so. held_out: a condition on
-    doc_id. Only texts and labels are used.
+    doc_id. Only texts and labels are used. Repeated texts train as one, toxic
+    if all their labels say so; null texts count as empty; whole texts are read,
+    in time proportional to their length. Of words with equal evidence none is
+    preferred: all that pass the test are in the lexicon. Without documents or
+    labels every text scores as one that is likely clean.
     """
     counts = np.zeros(_N**3, dtype=np.int64)
     for r in triple_counts(docs).collect():  # at most _N ** 3 rows
@@ -221,9 +249,9 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None) -> S
     )
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, str] = {}
+        known, table = {}, corpus.tolist()
         for b in batches:
-            texts = [sorted(restored(x.as_py() or "", corpus, known)) for x in b.column("text")]
+            texts = [sorted(restored(x.as_py() or "", table, known)) for x in b.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [b.column("h"), b.column("toxic"), pa.array(texts, pa.list_(pa.string()))], ["h", "toxic", "words"]
             )
@@ -241,10 +269,8 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None) -> S
         .groupBy("word")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t"))
         .where((F.col("t") >= 4) & (F.col("t") > 3 * base * F.col("n")) & (F.col("t") - base * F.col("n") > 5 * spread))
-        .orderBy(F.desc("t"), "word")
-        .limit(MAX_WORDS)
         .collect()
-    )
+    )  # words of MAX_LABELLED texts at most
     odds = math.log(base / (1 - base))
     weights = {}
     for r in stats:
@@ -297,21 +323,23 @@ def calibrate(table: list[tuple[float, int, int]], odds: float, rounds: int = 60
 def score(docs: DataFrame, scorer: Scorer, name: str = "score") -> DataFrame:
     """The columns of docs and ``name``, 0 to 1: how likely the text would be labelled toxic.
 
-    A column of docs with that name is replaced.
-
-    Null and empty texts score what texts without any listed word do. Every row
-    is kept; only ``text`` is looked at, and all of it.
+    A column of docs with that name is replaced, all others stay whatever their
+    names. Null and empty texts score what texts without any listed word do, and
+    equal texts score alike. Every row is kept, repeated ones as often as they
+    appear; an empty table stays empty. Only ``text`` is looked at, and all of
+    it, however long.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(scorer)  # a matrix of fixed size, and MAX_WORDS words at most
+    shared = docs.sparkSession.sparkContext.broadcast(scorer)  # a matrix of fixed size, and words of MAX_LABELLED texts
     kept = [c for c in docs.columns if c != name]
     schema = docs.select(*kept).schema.add(name, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, known = shared.value, {}
+        table = s.model.tolist()
         for b in batches:
             values = []
             for x in b.column("text").cast(pa.string()):
-                e = _evidence(restored(x.as_py() or "", s.model, known), s.weights)
+                e = _evidence(restored(x.as_py() or "", table, known), s.weights)
                 values.append(1 / (1 + math.exp(-max(-30.0, min(30.0, s.bias + s.scale * e)))))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(values, pa.float64())], [*b.schema.names, name])
 

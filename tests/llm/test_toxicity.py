@@ -70,3 +70,24 @@ def test_long_tokens_are_read_whole():
     model = toxicity.language_model(toxicity.word_counts(["clodhopper"]))
     token = "x1" * 50_000 + "cl0dhopper"
     assert "clodhopper"[-5:] in toxicity.restored(token, model, {}).pop()[-10:]
+
+
+def test_words_across_what_were_cuts_doubled_letters_and_spaced_words():
+    model = toxicity.language_model(toxicity.word_counts([*BAD, "you", "are", "a", "such", "and"] * 20))
+    read = lambda t: toxicity.restored(t, model, {})
+    for at in range(56, 66):
+        assert any("clodhopper" in w for w in read("-1" * (at // 2) + "." * (at % 2) + "cl0dhopper-x"))
+    assert "clodhopper" in read("ccllooddhhooppeerr") and "grumblewort" in read("you gruumbleewort!")
+    assert {"snotface", "dimwitted"} <= read("s n o t f a c e d i m w i t t e d")
+    assert {"grumblewort", "snotface"} <= read("a g.r.u.m.b.l.e.w.o.r.t.s.n.o.t.f.a.c.e")
+
+
+def test_the_lexicon_keeps_every_word_that_passes(spark, docs):
+    rng = random.Random(12)
+    bad = ["".join(rng.choice("bcdfghklmnprst") for _ in range(9)) for _ in range(100)]
+    rows = [(i, line + "".join(f" {w}" for w in rng.sample(bad, 40)) * (i % 8 == 0)) for i, line in enumerate(prose(10, 400))]
+    labels = spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(400)], "doc_id long, toxic int")
+    scorer = toxicity.fit(docs(rows), labels)
+    counts = {w: sum(w in t for _, t in rows) for w in bad}
+    assert sum(counts[w] > 10 for w in bad) > 90
+    assert {w for w in bad if counts[w] > 10} <= set(scorer.weights)
