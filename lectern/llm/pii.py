@@ -8,8 +8,9 @@ patterns estimates how reliable each labeler is; the posteriors then train a
 span classifier over shape features, and proposed spans that it accepts are
 added. Fixed spans always stay.
 
-DataFrame functions only: spans are arrays beside their text, so there is no
-shuffle but that of the counts. The counts have a bounded number of rows.
+DataFrame functions only: spans are arrays of their document, written once, so
+there is no shuffle but that of the counts. The counts have a bounded number of
+rows.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import let
+from lectern.storage import written
 
 #: Kinds in the order in which spans that start together are listed; the last two are only proposed.
 KINDS = ("email", "ip", "card", "phone", "tel", "address")
@@ -154,7 +156,7 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 #: Strict shapes, for the regex labeler.
 SHAPES = {
-    "email": r"^[A-Za-z][A-Za-z0-9._-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$",
+    "email": r"^[A-Za-z][A-Za-z0-9._-]*+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$",  # dots in a span stand between labels
     "ip": r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$",
     "card": r"^(?:[0-9]{13,16}|[0-9]{4}(?:[ -][0-9]{4}){3})$",
     "phone": r"^\+[0-9]{1,3} ?\(?[0-9]{2,4}\)?(?:[ .-][0-9]{2,4}){1,4}$",
@@ -270,9 +272,12 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     All base spans, and the proposed spans (kinds tel and address) that the
     classifier accepts; it is trained on the same rows. Null text counts as
     empty. Every row is kept; repeated rows count as often as they appear;
-    other columns are ignored. An empty table gives no rows.
+    other columns are ignored. Spans of different kinds may start together and
+    are then in the order of KINDS. Whole texts are read, in time proportional
+    to their length. An empty table gives no rows.
     """
-    found = candidates(docs)
+    # matched once: the spans train the classifier and are filtered by it
+    found = written(candidates(docs), "pii-spans")
     spans = found.select(F.explode(F.concat("base", "proposed")).alias("span"))
     weights, bias = train(spans)
     table = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair]) if weights else None
