@@ -159,7 +159,11 @@ def scan(docs: DataFrame, models: Models, least: float = 12.0, least_each: float
     pattern touches, is added as ``markov`` if its log-likelihood
     ratio is at least ``least``, and ``least_each`` a character; one of capital
     letters only is judged in small letters too. Null text
-    counts as empty. Every row is kept; other columns are ignored.
+    counts as empty. Every row is kept, repeated ones as often as they appear,
+    and equal tokens are judged alike. Spans of different kinds that start
+    together are in the order of KINDS. Whole texts are read, in time
+    proportional to their length. An empty table gives no rows; other columns
+    are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
