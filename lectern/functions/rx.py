@@ -48,3 +48,8 @@ def position(value: Column, pattern: str, flags: str = "") -> Column:
     """0-based offset of the first match, -1 if there is none."""
     head = F.split(value, rx(pattern, flags), 2)
     return F.when(matches(value, pattern, flags), F.length(head[0])).otherwise(F.lit(-1))
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body uses it."""
+    return F.transform(F.array(value), body)[0]

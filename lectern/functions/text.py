@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from lectern.functions import dims
-from lectern.functions.rx import literal, matches, rewrite, strip, sub, text_or_empty
+from lectern.functions.rx import let, literal, matches, rewrite, strip, sub, text_or_empty
 
 QUOTE_START, QUOTE_END, PAUSE, COMMENT = "__QSTART__", "__QEND__", "__PAUSE__", "__POPE__"
 
@@ -24,7 +24,7 @@ _JOINED = ((r"(\w)-\s+(\w)", "$1$2"), (r"\s*\n\s*", "\n"), (r"[ \t]+", " "))
 _MARKS = (
     (r"\s+([,;:.!?])", "$1"),
     (r"([,;:.!?])(?!\s|$)", "$1 "),
-    (r"(?:,\s*){2,}", ", "),
+    (r"(?:,\s*+){2,}+", ", "),
     (r";\s*;{1,}", "; "),
     (r":\s*:{1,}", ": "),
     (r"!\s*!{1,}", "! "),
@@ -45,7 +45,7 @@ _PAUSES = (
     (r"\([^()]{0,120}\d[^()]{0,60}\)", " "),
     (r"[()]", ""),
     (r"[ \t]+-[ \t]+", ", "),
-    (r"(,\s*){2,}", ", "),
+    (r"(?:,\s*+){2,}+", ", "),
 )
 _ENDS = ((r"[ \t]*;[ \t]*", ", "), (r"[ \t]{2,}", " "))
 _PLAIN = ((r"\s*\n\s*", ". "), (r"\.\s*\.+", "."), (r",\s*\.\s*", ". "), (r"[ \t]{2,}", " "))
@@ -118,7 +118,8 @@ def expand_books(value: Column, lang: str) -> Column:
     if not rules:
         return value
     some = "|".join(pattern for pattern, _, _ in rules)
-    return F.when(matches(value, some, "i"), rewrite(value, rules)).otherwise(value)
+    # few texts hold any, and value is worked out once
+    return let(value, lambda v: F.when(matches(v, some, "i"), rewrite(v, rules)).otherwise(v))
 
 
 def normalize_verses(value: Column, lang: str) -> Column:
@@ -137,20 +138,19 @@ def normalize_verses(value: Column, lang: str) -> Column:
 
 def balance_quotes(value: Column) -> Column:
     """Quote markers alternate: an open quote is closed before the next opens and at the end; stray ends go."""
-    cuts = f"(?<={QUOTE_START}|{QUOTE_END})|(?={QUOTE_START}|{QUOTE_END})"
-    begin = F.struct(F.lit("").alias("out"), F.lit(False).alias("inside"))
 
-    def step(state: Column, part: Column) -> Column:
-        start, end, inside = part == QUOTE_START, part == QUOTE_END, state["inside"]
-        shown = (
-            F.when(start & inside, QUOTE_END + QUOTE_START).when(end & ~inside, "").otherwise(part)
-        )
-        return F.struct(
-            F.concat(state["out"], shown).alias("out"), (start | (inside & ~end)).alias("inside")
+    def balanced(pieces: Column) -> Column:
+        # each piece but the first begins with a marker, and is inside a quote if the piece before it began one
+        opened = lambda i: F.coalesce(F.get(pieces, i).startswith(QUOTE_START), F.lit(False))
+        shown = F.transform(
+            pieces,
+            lambda p, i: F.when(p.startswith(QUOTE_START) & opened(i - 1), F.concat(F.lit(QUOTE_END), p))
+            .when(p.startswith(QUOTE_END) & ~opened(i - 1), F.substring(p, len(QUOTE_END) + 1, F.length(p)))
+            .otherwise(p),
         )
+        return F.concat(F.array_join(shown, ""), F.when(opened(F.size(pieces) - 1), QUOTE_END).otherwise(""))
 
-    done = lambda s: F.concat(s["out"], F.when(s["inside"], QUOTE_END).otherwise(""))
-    return F.aggregate(F.split(text_or_empty(value), cuts), begin, step, done)
+    return let(F.split(text_or_empty(value), f"(?={QUOTE_START}|{QUOTE_END})"), balanced)
 
 
 def smooth(value: Column, lang: str = "it", flatten: bool = True) -> Column:
@@ -170,8 +170,11 @@ def normalize(
 ) -> Column:
     """Everything that turns markup into text to be spoken; without a language only the general steps."""
     value = normalize_punctuation(html_to_text(value, entities), flatten)
-    if lang is None:
-        return value
+    return value if lang is None else localized(value, lang, flatten)
+
+
+def localized(value: Column, lang: str, flatten: bool = True) -> Column:
+    """The steps of normalize that depend on the language, for text that has been through the others."""
     for step in (expand_cross_references, expand_books, normalize_verses):
         value = step(value, lang)
     return smooth(value, lang, flatten)
@@ -188,7 +191,9 @@ def by_language(lang: Column, make, otherwise: Column | None = None) -> Column:
 def strip_header_verses(line: Column, lang: str) -> Column:
     """Chapter and verse numbers cut from the end of a heading."""
     word = dims.RANGE_WORD.get(lang, "to")
-    return strip(sub(line, rf"\s+\d+(?:\s+\d+)*(?:\s+{word}\s+\d+(?:\s+\d+)*)?\s*$", "", "i"))
+    numbers = r"\s++\d++(?:\s++\d++)*+"  # possessive, so that no number of numbers is too deep
+    cut = sub(line, rf"{numbers}(?:\s++{word}{numbers})?+\s*$", "", "i")
+    return strip(F.when(matches(line, r"\d\s*$"), cut).otherwise(line))
 
 
 def strip_inline_verses(value: Column, lang: str) -> Column:
@@ -244,9 +249,9 @@ def name_slug(value: Column) -> Column:
 
 
 def month_name(day: Column, lang: Column) -> Column:
-    names = F.create_map(*[F.lit(x) for c, m in dims.MONTHS.items() for x in (c, m)])
-    known = F.coalesce(F.element_at(names, lang), F.lit(dims.MONTHS["en"]))
-    return F.element_at(F.split(known, " "), F.month(day))
+    listed = {c: F.array(*map(F.lit, m)) for c, m in dims.MONTHS.items()}
+    names = F.create_map(*[x for c, m in listed.items() for x in (F.lit(c), m)])
+    return F.element_at(F.coalesce(F.element_at(names, lang), listed["en"]), F.month(day))
 
 
 def spoken_date(day: Column, lang: Column) -> Column:
@@ -320,7 +325,9 @@ def is_navigation(heading: Column) -> Column:
     return F.exists(F.array(*map(F.lit, dims.NAVIGATION)), lambda k: F.contains(low, k))
 
 
-def is_saint_link(href: Column, lang: str) -> Column:
+def is_saint_link(href: Column, lang: str | Column) -> Column:
+    if isinstance(lang, Column):
+        return F.coalesce(by_language(lang, lambda c: is_saint_link(href, c)), F.lit(False))
     known = dims.SAINT_PAGES.get(lang)
     if known is None:
         return F.lit(False)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import dims
-from lectern.functions.rx import literal, matches, position, rx, strip, sub, text_or_empty
+from lectern.functions.rx import let, literal, matches, position, rx, strip, sub, text_or_empty
 from lectern.functions.text import (
     COMMENT,
     by_language,
@@ -24,7 +24,6 @@ from lectern.functions.text import (
     strip_header_verses,
     strip_inline_verses,
 )
-from lectern.plans.markup import let
 
 # fixed values
 _VERSE = r"[\d\s,;.:–\-a-zà-ü]"
@@ -194,7 +193,7 @@ def flat_sections(flat: Column, meta: Column, lang: str) -> Column:
     return let(places, made)
 
 
-def sections_of(plain: Column, lang: str, faithful: bool = False) -> Column:
+def sections_of(plain: Column, lang: str = "it", faithful: bool = False) -> Column:
     """The sections (array of text) of a description without markup.
 
     faithful=True keeps a known fault: if the attribution is a line of its own

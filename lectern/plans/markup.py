@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import dims
-from lectern.functions.rx import matches, strip, sub, text_or_empty
+from lectern.functions.rx import let, matches, strip, sub, text_or_empty
 from lectern.functions.text import COMMENT, PAUSE, QUOTE_END, QUOTE_START, xml_legal
 
 # fixed values ---------------------------------------------------------------
@@ -23,11 +23,6 @@ _COMMENT_TONE = ('<prosody pitch="-4%" rate="95%">', "</prosody>")
 # end of fixed values --------------------------------------------------------
 
 
-def let(value: Column, body) -> Column:
-    """body(value), with value computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _swap(value: Column, pairs) -> Column:
     for a, b in pairs:
         value = F.replace(value, F.lit(a), F.lit(b))

@@ -69,7 +69,7 @@ def test_numbers_flags_and_tables(spark):
     ).first()
     assert tuple(r) == ("-15%", True, True, True, False, 3723)
     assert {c: len(dims.books(c)) for c in dims.LANGUAGES} == {"it": 46, "en": 22, "es": 11, "fr": 10, "pt": 11, "de": 10}
-    assert len(dims.NAVIGATION) == 29 and all(len(m.split()) == 12 for m in dims.MONTHS.values())
+    assert len(dims.NAVIGATION) == 29 and all(len(m) == 12 for m in dims.MONTHS.values())
     # the chain of replacements is safe only if no name holds another abbreviation of its language as a word
     for c in dims.LANGUAGES:
         short = {a for a, _ in dims.books(c)}
@@ -81,3 +81,51 @@ def test_languages(spark):
     rows = [(" IT ", None, "it"), ("xx", "http://h/PT/feed", "pt"), (None, "http://h/feed", None)]
     df = spark.createDataFrame(rows, "l string, u string, w string")
     assert all(r.g == r.w for r in df.select("w", T.detect_language(F.col("l"), F.col("u")).alias("g")).collect())
+
+
+def test_long_runs_end(spark):
+    from lectern.functions import text as T
+
+    rows = [(0, "a" + ", " * 100_000 + "b"), (1, "Genesi" + " 1" * 20_000), (2, "x" + " 1" * 3_000 + " y"), (3, "a" + "," * 100_000)]
+    df = spark.createDataFrame(rows, "i int, t string").select(
+        "i", T.normalize_punctuation(F.col("t")).alias("p"), T.strip_header_verses(F.col("t"), "it").alias("h"), T.smooth(F.col("t"), "it").alias("s")
+    )
+    got = {r.i: r for r in df.collect()}
+    assert got[0].p == "a, b" and got[3].p == "a," and got[1].h == "Genesi" and got[2].h == rows[2][1] and got[0].s == "a, b"
+
+
+def test_possessive_patterns_read_as_before(spark):
+    import itertools
+    import re
+
+    from lectern.functions import text as T
+    from lectern.functions.rx import sub
+
+    made = ["".join(x) for n in range(6) for x in itertools.product("a, ", repeat=n)]
+    headers = [" ".join(x) for n in range(5) for x in itertools.product(("x", "12", "a", "7 "), repeat=n)]
+    df = spark.createDataFrame([(x,) for x in made], "t string").select("t", sub(F.col("t"), T._MARKS[2][0], ", ").alias("c"))
+    assert all(r.c == re.sub(r"(?:,\s*){2,}", ", ", r.t) for r in df.collect())
+    df = spark.createDataFrame([(x,) for x in headers], "t string").select("t", T.strip_header_verses(F.col("t"), "it").alias("h"))
+    old = re.compile(r"\s+\d+(?:\s+\d+)*(?:\s+a\s+\d+(?:\s+\d+)*)?\s*$", re.I)
+    assert all(r.h == old.sub("", r.t).strip() for r in df.collect())
+
+
+def test_quotes_balance_as_a_walk_over_them(spark):
+    import itertools
+
+    from lectern.functions import text as T
+
+    def walk(text):
+        out, inside = "", False
+        for p in __import__("re").split("(__QSTART__|__QEND__)", text):
+            if p == "__QSTART__":
+                out, inside = out + ("__QEND__" if inside else "") + p, True
+            elif p == "__QEND__":
+                out, inside = out + (p if inside else ""), False
+            else:
+                out += p
+        return out + ("__QEND__" if inside else "")
+
+    texts = ["".join(x) for n in range(6) for x in itertools.product(("__QSTART__", "__QEND__", "a"), repeat=n)] + ["a__QSTART__" * 20_000]
+    df = spark.createDataFrame([(x,) for x in texts], "t string").select("t", T.balance_quotes(F.col("t")).alias("b"))
+    assert all(r.b == walk(r.t) for r in df.collect())
