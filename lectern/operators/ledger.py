@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.rx import text_or_empty
 from lectern.functions.text import sanitize, stored_path, title_key
+from lectern.operators.ranks import numbered_rows
 
 #: Episodes that a channel keeps.
 KEEP = 180
@@ -59,22 +60,21 @@ def saint_guid(lang: Column, day: Column) -> Column:
 def append(ledger: DataFrame, episodes: DataFrame, now: Column, website: Column) -> DataFrame:
     """The ledger with episodes (the ledger's columns but seq, with ``pos``: 0 is the newest) on top.
 
-    The newest episode gets the largest seq. An empty pub_date becomes ``now`` in UTC, an empty guid one made of it and
-    the position, so that two episodes of one second differ.
+    The newest episode gets the largest seq. An empty pub_date becomes ``now`` in UTC, an empty guid one made of it, the
+    channel and seq, so that no two episodes share one.
     """
     top = ledger.groupBy(F.col("channel").alias("_channel")).agg(F.max("seq").alias("_top"))
-    order = Window.partitionBy("channel").orderBy(F.desc("pos"))
     stamp = F.date_format(now, "yyyyMMddHHmmss")
     numbered = (
-        episodes.withColumn("_n", F.row_number().over(order))
+        numbered_rows(episodes, "channel", F.desc("pos"), "_n")
         .join(top, F.col("channel") == F.col("_channel"), "left")
+        .withColumn("seq", F.coalesce("_top", F.lit(0)) + F.col("_n"))
         .withColumns(
             {
-                "seq": F.coalesce("_top", F.lit(0)) + F.col("_n"),
                 "pub_date": F.coalesce(F.when(F.col("pub_date") != "", F.col("pub_date")), F.date_format(now, "EEE, dd MMM yyyy HH:mm:ss 'GMT'")),
                 "guid": F.coalesce(
                     F.when(F.col("guid") != "", F.col("guid")),
-                    F.concat(website, F.lit("/episode/"), stamp, F.lit("-"), F.col("_n").cast("string")),
+                    F.concat(website, F.lit("/episode/"), stamp, F.lit("-"), F.col("channel").cast("string"), F.lit("-"), F.col("seq").cast("string")),
                 ),
             }
         )
@@ -83,9 +83,16 @@ def append(ledger: DataFrame, episodes: DataFrame, now: Column, website: Column)
 
 
 def retained(ledger: DataFrame, keep: int = KEEP) -> DataFrame:
-    """ledger with ``kept``: whether a row is among its channel's first ``keep``."""
+    """ledger with ``kept``: whether a row is among its channel's first ``keep``, by seq.
+
+    Each task leaves the first ``keep`` of a channel, so one row a channel, its
+    last kept seq, comes from at most that many of every task.
+    """
     place = F.row_number().over(Window.partitionBy("channel").orderBy(F.desc("seq")))
-    return ledger.withColumn("kept", place <= keep)
+    first = ledger.select("channel", "seq").withColumn("_k", place).where(F.col("_k") <= keep)
+    last = first.groupBy(F.col("channel").alias("_channel")).agg(F.min("seq").alias("_last"))
+    joined = ledger.join(last, F.col("channel").eqNullSafe(F.col("_channel")), "left")
+    return joined.select(*ledger.columns, F.coalesce(F.col("seq") >= F.col("_last"), F.lit(False)).alias("kept"))
 
 
 def expired_files(ledger: DataFrame, keep: int = KEEP) -> DataFrame:
@@ -96,7 +103,7 @@ def expired_files(ledger: DataFrame, keep: int = KEEP) -> DataFrame:
 
 def publish_order(entries: DataFrame, by: str = "channel", pos: str = "pos") -> DataFrame:
     """entries with ``seq``: they are handled from the oldest to the newest, so that the feed keeps their order."""
-    return entries.withColumn("seq", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(pos))).cast("bigint"))
+    return numbered_rows(entries, by, F.desc(pos), "seq")
 
 
 def prefer_structured(structured: DataFrame, fallback: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

@@ -6,8 +6,6 @@ are put together from their columns, in the same way on both sides.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,26 +16,10 @@ from lectern.operators import segments as S
 from lectern.plans import batch as B
 from lectern.plans import feed_xml as X
 from lectern.plans import markup as M
+from lectern.registry import QUERIES, SQL, query
 from lectern.sources import feeds, pages
 from lectern.storage import spread, table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a function under its name, with its SQL."""
-
-    def keep(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
 def _first_line() -> Column:
     return F.substring_index("text", "\n", 1)
 
@@ -243,7 +225,7 @@ def rfc822_parse(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", T.parse_rfc822(text).cast("timestamp_ntz").alias("ts"))
 
 
-_MONTHS_SQL = {c: "['" + "','".join(m.split()) + "']" for c, m in dims.MONTHS.items()}
+_MONTHS_SQL = {c: "['" + "','".join(m) + "']" for c, m in dims.MONTHS.items()}
 
 
 @query(f"""
@@ -278,15 +260,15 @@ def saint_slug(spark, sf_dir):
 
 
 @query(r"""
-SELECT doc_id, trim(regexp_replace('a b ' || split_part(text, chr(10), 1), '\s+', ' ', 'g')) AS clean,
-       'x ' || split_part(text, chr(10), 1) || ' y' AS legal
+SELECT doc_id, trim(regexp_replace(regexp_replace('a b ' || text, '[\x00-\x08\x0B\x0C\x0E-\x1F]', ' ', 'g'), '\s+', ' ', 'g')) AS clean,
+       'x ' || regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', ' ', 'g') || ' y' AS legal
 FROM documents
 """)
 def sanitize(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         "doc_id",
-        T.sanitize(F.concat(F.lit("a\x01b😀\t "), _first_line())).alias("clean"),
-        T.xml_legal(F.concat(F.lit("x\x07"), _first_line(), F.lit("\x7fy"))).alias("legal"),
+        T.sanitize(F.concat(F.lit("a\x01b😀\t "), F.col("text"))).alias("clean"),
+        T.xml_legal(F.concat(F.lit("x\x07"), F.col("text"), F.lit("\x7fy"))).alias("legal"),
     )
 
 
@@ -346,12 +328,9 @@ def header_strip(spark, sf_dir):
     )
 
 
-@query(f"""
-SELECT doc_id, regexp_matches(lower({_TITLE}), 'udienza generale|general audience|audiences générales|audiencias generales|audiência geral|generalaudienz|angelus|rosario|rosary|live|eventi|cerca|search|suche|recherche|busca|buscar|menu|navigation|santo del giorno|saint of the day|saint du jour|santo del día|santo do dia|tagesheiliger|additional links|other events|altri eventi|upcoming') AS navigation
-FROM documents
-""")
+@query(f"SELECT doc_id, regexp_matches(lower(text), '{'|'.join(dims.NAVIGATION)}') AS navigation FROM documents")
 def nav_filter(spark, sf_dir):
-    return spread(table(spark, sf_dir, "documents")).select("doc_id", T.is_navigation(_first_line()).alias("navigation"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", T.is_navigation(F.col("text")).alias("navigation"))
 
 
 @query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, role, text) AS text, count(*) AS n FROM conversations GROUP BY conv_id")
@@ -470,9 +449,10 @@ def page_links(spark, sf_dir):
     return pages.links(found).select("page_id", "href")
 
 
-@query(r"SELECT page_id, trim(regexp_extract(html, '<h1>([^<&]*)</h1>', 1)) AS title FROM pages WHERE regexp_matches(html, '<h1>[^<&]*</h1>')")
+@query()
 def page_title(spark, sf_dir):
-    found = pages.with_elements(spread(table(spark, sf_dir, "pages")).where(F.col("html").rlike("<h1>[^<&]*</h1>")))
+    """The first heading of every page, as it reads; tests hold it against another parser."""
+    found = pages.with_elements(spread(table(spark, sf_dir, "pages")))
     heading = F.get(F.filter("nodes", lambda n: n["tag"] == "h1"), F.lit(0))
     return found.select("page_id", heading["text"].alias("title"))
 
@@ -562,6 +542,9 @@ def split_readings(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", parts["first"].alias("first"), parts["second"].alias("second"))
 
 
+from lectern import flow_queries  # noqa: E402, F401  registers the queries of whole runs
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New entries of every channel as feed items: those that history lacks, the newest ten kept."""
     entries, history = _entries(spark, sf_dir)

@@ -8,13 +8,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.rx import text_or_empty
-from lectern.functions.text import detect_language, html_to_text, normalize, sanitize
+from lectern.functions.text import by_language, detect_language, html_to_text, localized, normalize, sanitize
 
 ITEM = (
     "title string, description string, `itunes:summary` string, pubDate string, "
     "guid struct<_isPermaLink:string,_VALUE:string>, link string, "
     "enclosure struct<_url:string,_type:string,_length:string,_VALUE:string>, `itunes:duration` string"
 )
+#: The same as fields of a struct.
+ITEM_FIELDS = (
+    "title:string,description:string,`itunes:summary`:string,pubDate:string,guid:struct<_isPermaLink:string,_VALUE:string>,link:string,"
+    "enclosure:struct<_url:string,_type:string,_length:string,_VALUE:string>,`itunes:duration`:string"
+)
 CONFIG = (
     "language string, feed_url string, bucket_name string, storage_prefix string, voice_key string, email string, "
     "podcast_info struct<title:string,author:string,website:string,description:string,cover_art:string,rss_url:string>"
@@ -30,6 +35,24 @@ def read_items(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_feeds(spark: SparkSession, path: str) -> DataFrame:
+    """feed (the file), pos (from 0, in document order) and the fields of the items of RSS documents.
+
+    A row is a whole feed document before its items are taken apart, so that
+    their order is known. A file that can't be read stops the job.
+    """
+    channels = (
+        spark.read.format("xml").options(rowTag="channel", mode="FAILFAST", attributePrefix="_", valueTag="_VALUE", ignoreNamespace="false")
+        .schema(f"item array<struct<{ITEM_FIELDS}>>").load(path)
+    )
+    return channels.select(F.input_file_name().alias("feed"), F.posexplode("item").alias("pos", "i")).select("feed", "pos", "i.*")
+
+
+def literal_source(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
+    """pos, title, summary of texts given by hand, in their order."""
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "pos int, title string, summary string")
+
+
 def entries(items: DataFrame, feed: str = "feed", pos: str = "pos") -> DataFrame:
     """feed, pos, title, summary, link, pub_date of feed items (feed, pos, title, summary, description, link, published).
 
@@ -37,9 +60,11 @@ def entries(items: DataFrame, feed: str = "feed", pos: str = "pos") -> DataFrame
     summary, or else the description, becomes plain text with its parentheses.
     """
     lang = detect_language(None, F.col(feed))
-    title = normalize(F.col("title"), None, flatten=False)
-    return items.select(
-        feed, pos, title.alias("title"), html_to_text(first_text(F.col("summary"), F.col("description"))).alias("summary"),
+    # markup and references are resolved once for all languages
+    plain = items.withColumn("title", normalize(F.col("title"), None, flatten=False))
+    spoken = by_language(lang, lambda c: localized(F.col("title"), c, False), F.col("title"))
+    return plain.select(
+        feed, pos, spoken.alias("title"), html_to_text(first_text(F.col("summary"), F.col("description"))).alias("summary"),
         text_or_empty(F.col("link")).alias("link"), text_or_empty(F.col("published")).alias("pub_date"), lang.alias("lang"),
     )
 
@@ -51,8 +76,8 @@ def first_text(*values: Column) -> Column:
 
 def latest(rows: DataFrame, feed: str = "feed", pos: str = "pos") -> DataFrame:
     """Each feed's first entry, by position."""
-    rank = F.row_number().over(Window.partitionBy(feed).orderBy(pos))
-    return rows.withColumn("_k", rank).where("_k = 1").drop("_k")
+    first = rows.groupBy(feed).agg(F.min_by(F.struct(*[c for c in rows.columns if c != feed]), F.struct(pos)).alias("_first"))
+    return first.select(feed, "_first.*").select(*rows.columns)
 
 
 def published(items: DataFrame) -> DataFrame:

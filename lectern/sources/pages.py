@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from lectern.functions import dims
-from lectern.functions.rx import strip, sub, text_or_empty
+from lectern.functions.rx import let, strip, sub, text_or_empty
 from lectern.functions.text import html_to_text, is_navigation, is_saint_link, name_slug, title_case
-from lectern.plans.markup import let
 
 #: ord (order of opening), end (ord after the last element inside), parent (-1: none), place in the source
 #: (start, stop: code points), space-joined stripped text.
@@ -182,7 +181,7 @@ def find_section(found: DataFrame, keyword: str, key: str = "page_id") -> DataFr
     return hits.withColumn("_k", rank).where("_k = 1").drop("_k")
 
 
-def detail_link(nodes: Column, lang: str, site: str) -> Column:
+def detail_link(nodes: Column, lang: str | Column, site: str) -> Column:
     """The address of a detail page among elements: a link marked as read-more, else the first that looks like one."""
     targets = F.filter(nodes, lambda n: (n["tag"] == "a") & n["href"].isNotNull())
     marked = F.filter(targets, lambda n: has_class(n["cls"], "saintReadMore"))
@@ -206,14 +205,17 @@ def saint_address(lang: Column, day: Column, site: str) -> Column:
     return F.concat_ws("/", F.lit(site), lang, F.element_at(slugs, lang), F.date_format(day, "MM/dd'.html'"))
 
 
-def saints(pages: DataFrame, lang: str, site: str, known: DataFrame | None = None) -> DataFrame:
-    """page_id, ord, name, brief, detail_url of pages(page_id, day, html, nodes), all in one language.
+def saints(pages: DataFrame, lang: str | Column, site: str, known: DataFrame | None = None) -> DataFrame:
+    """page_id, ord, name, brief, detail_url of pages(page_id, day, html, nodes), in one language or that of a column.
 
     First the headings that are no navigation and of 1 to 120 characters; the
     detail address is a link in the section, on the heading or around it, else
     one made from the name if known(url) has it. Then the links to detail pages
     that no heading led to, each address once.
     """
+    lang = lang if isinstance(lang, Column) else F.lit(lang)
+    pages = pages.withColumn("_lang", lang)
+    lang = F.col("_lang")
     around = lambda h: F.filter(
         F.col("nodes"),
         lambda n: (n["tag"] == "a") & n["href"].isNotNull()
@@ -221,26 +223,27 @@ def saints(pages: DataFrame, lang: str, site: str, known: DataFrame | None = Non
     )
 
     def made(h: Column) -> Column:
-        section = section_of(F.col("html"), F.col("nodes"), h)
-        holds = F.filter(
-            F.col("nodes"), lambda n: (n["tag"] == "a") & n["href"].isNotNull() & (F.instr(section, "href") > 0)
-            & F.contains(section, F.concat(F.lit('"'), n["href"], F.lit('"')))
-        )
         outer = F.get(F.filter(around(h), lambda n: is_saint_link(n["href"], lang)), F.lit(0))["href"]
-        inner = detail_link(holds, lang, site)
-        name = F.when(inner.isNull() & outer.isNotNull(), sub(strip(h["text"]), r"[ >→»]+$", "")).otherwise(strip(h["text"]))
-        return F.struct(
-            h["ord"].alias("ord"), name.alias("name"), section.alias("section"),
-            F.coalesce(inner, absolute(outer, site)).alias("linked"),
-        )
+        targets = F.filter(F.col("nodes"), lambda n: (n["tag"] == "a") & n["href"].isNotNull())
+
+        def named(section: Column, inner: Column, outer: Column) -> Column:
+            bare = sub(strip(h["text"]), r"[ >→»]+$", "")
+            return F.struct(
+                h["ord"].alias("ord"), F.when(inner.isNull() & outer.isNotNull(), bare).otherwise(strip(h["text"])).alias("name"),
+                section.alias("section"), F.coalesce(inner, absolute(outer, site)).alias("linked"),
+            )
+
+        def within(section: Column) -> Column:
+            holds = F.filter(targets, lambda n: F.contains(section, F.concat(F.lit('"'), n["href"], F.lit('"'))))
+            linked = F.when(F.contains(section, F.lit("href")), let(holds, lambda x: detail_link(x, lang, site)))
+            return let(linked, lambda inner: let(outer, lambda o: named(section, inner, o)))
+
+        return let(section_of(F.col("html"), F.col("nodes"), h), within)
 
     heads = F.filter(
         F.col("nodes"), lambda n: (n["tag"] == "h2") & F.length(strip(n["text"])).between(1, 120) & ~is_navigation(n["text"])
     )
-    first = pages.select("page_id", "day", F.inline(F.transform(heads, made))).withColumn(
-        "guess",
-        F.concat(saint_address(F.lit(lang), F.col("day"), site), F.lit("")),
-    )
+    first = pages.select("page_id", "day", "_lang", F.inline(F.transform(heads, made))).withColumn("guess", saint_address(lang, F.col("day"), site))
     guess = F.concat(F.regexp_replace("guess", r"\.html$", "/"), name_slug(F.col("name")), F.lit(".html"))
     first = first.withColumn("guess", guess)
     if known is not None:
@@ -253,7 +256,8 @@ def saints(pages: DataFrame, lang: str, site: str, known: DataFrame | None = Non
         F.coalesce("linked", "_known").alias("detail_url"),
     )
     linked = (
-        links(pages)
+        links(pages.withColumn("_page", F.struct("page_id", "_lang")), "_page")
+        .select("_page.*", "ord", "href", "text")
         .where(is_saint_link(F.col("href"), lang))
         .select("page_id", "ord", title_case(strip(F.col("text"))).alias("name"), absolute(F.col("href"), site).alias("detail_url"))
     )
@@ -267,9 +271,10 @@ def saints(pages: DataFrame, lang: str, site: str, known: DataFrame | None = Non
     return headed.unionByName(rest)
 
 
-def detail_text(html: Column, nodes: Column) -> Column:
-    """A detail page's text: wrappers of static sections with 60 characters or more, else up to 30 paragraphs."""
-    static = F.filter(nodes, lambda n: has_class(n["cls"], "section--isStatic"))
+def detail_texts(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """key, text of detail pages(key, html, nodes): the wrappers of static sections with 60 characters or more, else up to
+    30 paragraphs. A page with neither has an empty text."""
+    nodes = F.col("nodes")
 
     def wrapper(s: Column) -> Column:
         within = _inside(nodes, s)
@@ -280,13 +285,17 @@ def detail_text(html: Column, nodes: Column) -> Column:
             lambda n: (n["parent"] == s["ord"]) & (n["tag"] == "div") & ~has_class(n["cls"], "section__head") & (strip(n["text"]) != ""),
         )
         node = F.coalesce(F.get(marked, F.lit(0)), F.get(divs, F.lit(0)))
-        return F.when(~is_navigation(F.coalesce(head, F.lit(""))), html_to_text(source_of(html, node), entities=False))
+        return F.when(~is_navigation(F.coalesce(head, F.lit(""))), source_of(F.col("html"), node))
 
-    blocks = F.filter(F.transform(static, wrapper), lambda x: F.length(x) >= 60)
+    static = F.filter(nodes, lambda n: has_class(n["cls"], "section--isStatic"))
     paragraphs = F.filter(
         F.transform(F.filter(nodes, lambda n: n["tag"] == "p"), lambda n: n["text"]),
         lambda x: (F.length(x) >= 60) & ~F.contains(x, F.lit("http")),
     )
-    return F.when(F.size(blocks) > 0, F.array_join(blocks, "\n\n")).otherwise(F.array_join(F.slice(paragraphs, 1, 30), "\n"))
-
-
+    # a row for each wrapper, so that its references are resolved before its length counts
+    blocks = pages.select(key, F.posexplode(F.transform(static, wrapper)).alias("ord", "block")).where(F.col("block").isNotNull())
+    texts = blocks.select(key, "ord", html_to_text(F.col("block")).alias("text")).where(F.length("text") >= 60)
+    joined = texts.groupBy(F.col(key).alias("_key")).agg(F.sort_array(F.collect_list(F.struct("ord", "text"))).alias("_blocks"))
+    long = F.array_join(F.transform("_blocks", lambda b: b["text"]), "\n\n")
+    found = pages.select(key, F.array_join(F.slice(paragraphs, 1, 30), "\n").alias("_paragraphs"))
+    return found.join(joined, F.col(key) == F.col("_key"), "left").select(key, F.coalesce(long, "_paragraphs").alias("text"))

@@ -32,8 +32,12 @@ def read_ledger(spark: SparkSession, path: str, before: int | None = None) -> Da
     return spark.read.schema(LEDGER).parquet(f"{path}/v={max(found)}")
 
 
-def publish_stream(entries: DataFrame, path: str, checkpoint: str, keep: int = 180) -> StreamingQuery:
-    """Start a query that publishes entries (channel, pos, title, description, link, pub_date, audio_url) as they come."""
+def publish_stream(entries: DataFrame, path: str, checkpoint: str, keep: int = 180, website: str = "") -> StreamingQuery:
+    """Start a query that publishes entries (channel, pos, title, description, link, pub_date, audio_url) as they come.
+
+    An entry without a date gets the time of its batch, one without a link a
+    guid of that time, its channel and its place in the ledger.
+    """
 
     def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
@@ -41,8 +45,7 @@ def publish_stream(entries: DataFrame, path: str, checkpoint: str, keep: int = 1
         fresh = new_entries(rows, history, by=("channel",)).withColumns(
             {"guid": F.col("link"), "duration": F.lit(0).cast("bigint"), "file_size": F.lit(0).cast("bigint")}
         )
-        moment = F.coalesce(F.try_to_timestamp(F.lit("1970-01-01")), F.lit(None))
-        merged = append(history, fresh.drop("link"), moment, F.lit(""))
+        merged = append(history, fresh.drop("link"), F.current_timestamp(), F.lit(website))
         retained(merged, keep).where("kept").drop("kept").write.mode("overwrite").parquet(f"{path}/v={number}")
 
     return entries.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -97,6 +97,74 @@ def test_publishing_twice_is_publishing_once(spark, tmp_path):
         assert got == [("New", 2), ("Old", 1)], name
 
 
+def test_streamed_entries_without_dates_and_links_are_told_apart(spark, tmp_path):
+    schema = "channel string, pos long, title string, description string, link string, pub_date string, audio_url string"
+    for name, title in (("a", "One"), ("b", "Two")):
+        rows = [(c, 0, f"{title} {c}", "d", "", "", "u") for c in ("it", "en")]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        publish_stream(stream, str(tmp_path / "ledger"), str(tmp_path / "ck"), website="https://s.example").awaitTermination()
+    got = read_ledger(spark, str(tmp_path / "ledger")).collect()
+    assert len({r.guid for r in got}) == len(got) == 4
+    year = str(datetime.datetime.now(datetime.UTC).year)
+    assert all(year in r.pub_date for r in got)
+
+
+def test_rows_are_numbered_within_groups_of_any_size(spark):
+    df = spark.range(0, 3_000, 1, 7).select(F.when(F.col("id") % 3 < 2, "hot").otherwise(F.concat(F.lit("c"), (F.col("id") % 50).cast("string"))).alias("channel"), (F.col("id") * 37 % 3_000).alias("pos"))
+    got = L.publish_order(df).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.channel, []).append((-r.pos, r.seq))
+    assert sum(map(len, by.values())) == 3_000
+    assert all([s for _, s in sorted(v)] == list(range(1, len(v) + 1)) for v in by.values())
+
+
+def test_feeds_are_read_in_document_order(spark, tmp_path):
+    items = "".join(f"<item><title>{t}</title><link>l{i}</link></item>" for i, t in enumerate("zaqmb"))
+    for name in ("x", "y"):
+        (tmp_path / f"{name}.xml").write_text(f"<rss><channel><title>{name}</title>{items}</channel></rss>")
+    (tmp_path / "z.xml").write_text("<rss><channel><title>none</title></channel></rss>")
+    got = feeds.read_feeds(spark, str(tmp_path)).collect()
+    for name in ("x", "y"):
+        assert [r.title for r in sorted((r for r in got if f"{name}.xml" in r.feed), key=lambda r: r.pos)] == list("zaqmb")
+    assert len(got) == 10
+
+
+def test_the_first_heading_of_a_page_agrees_with_another_parser(spark):
+    import html
+    import os
+    import re
+
+    from lectern import queries
+    from tests.duck import SF
+
+    if not os.path.isdir(SF):
+        return
+    text = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    for r in queries.page_title(spark, SF).collect():
+        found = re.search(r"<h1\b[^>]*>(.*?)</h1>", re.sub(r"(?s)<!--.*?-->", "", text[r.page_id]), re.S | re.I)
+        parts = [html.unescape(x).strip() for x in re.split(r"<[^>]+>", found[1])] if found else []
+        assert (r.title or "") == " ".join(x for x in parts if x)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    import pytest
+
+    from lectern.storage import shared_dir
+
+    class Cluster:
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+            class getConf:
+                get = staticmethod(lambda k, d: d)
+
+    with pytest.raises(RuntimeError, match="checkpoint.dir"):
+        shared_dir(Cluster)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(100, 160)] + [(1, 50), (50, 7), (3, 3)]
     got = dict(map(tuple, connected_components(spark.createDataFrame(chain, "u long, v long")).collect()))
