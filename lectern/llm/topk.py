@@ -105,42 +105,44 @@ class BallTree:
             self.radii[:] = np.inf
         self.spread = np.abs(self.centers).sum(axis=1)
 
-    def bounds(self, q: np.ndarray, norm: float, nodes: tuple[int, ...]) -> list[float]:
-        at = list(nodes)
+    def bounds(self, q: np.ndarray) -> np.ndarray:
+        """The largest inner product that each of the vectors q can have with each node's ball, rounded up."""
+        points = _points(q)
         with np.errstate(over="ignore", invalid="ignore"):
-            value = self.centers[at] @ q + norm * self.radii[at]
-            value += 1e-9 * (np.abs(value) + norm * (self.spread[at] + self.radii[at])) + 1  # rounded up
-        return [math.inf if math.isnan(v) else float(v) for v in value]
+            norm = np.sqrt((points**2).sum(axis=1))
+            norm[np.abs(points).max(axis=1, initial=0) >= _CLIP] = np.inf
+            value = points @ self.centers.T + norm[:, None] * self.radii
+            value += 1e-9 * (np.abs(value) + norm[:, None] * (self.spread + self.radii)) + 1
+        return np.where(np.isnan(value), np.inf, value)
 
-    def search(self, q_id: int, q: np.ndarray, floor: int | None, k: int) -> list[tuple[int, int]]:
+    def search(self, q_id: int, q: np.ndarray, bounds: np.ndarray, floor: int | None, k: int) -> list[tuple[int, int]]:
         """(score, row id) of the best k rows but those with the id q_id, best first, ties to the smaller id.
 
-        Rows with a score under floor may be missing.
+        Nodes are opened in the order of their bounds, and never under a node that
+        can't reach the k-th score. Rows with a score under floor may be missing.
         """
-        point = _points(q[None])[0]
-        with np.errstate(over="ignore"):
-            norm = float(np.sqrt((point**2).sum())) if np.abs(point).max(initial=0) < _CLIP else math.inf
+        bound = bounds.tolist()
         least = -math.inf if floor is None else floor
         best: list[tuple[int, int]] = []
-        open_ = [(-self.bounds(point, norm, (0,))[0], 0)]
+        open_ = [(-bound[0], 0)]
         while open_ and -open_[0][0] >= least:
             node = heapq.heappop(open_)[1]
             rows = self.rows[node]
             if rows is None:
-                pair = self.children[node]
-                for bound, child in zip(self.bounds(point, norm, pair), pair, strict=True):
-                    if bound >= least:
-                        heapq.heappush(open_, (-bound, child))
+                for child in self.children[node]:
+                    if bound[child] >= least:
+                        heapq.heappush(open_, (-bound[child], child))
                 continue
             got = scores(q, self.x[rows])
             keep = self.ids[rows] != q_id
             if math.isfinite(least):
                 keep &= got >= least
-            best += [(-int(s), int(i)) for s, i in zip(got[keep], self.ids[rows][keep], strict=True)]
-            if len(best) > k:
+            if not keep.any():
+                continue
+            best += zip((-got[keep]).tolist(), self.ids[rows][keep].tolist(), strict=True)
+            if len(best) >= k:
                 best = sorted(best)[:k]
-            if len(best) == k:
-                least = max(least, -max(best)[0])
+                least = max(least, -best[-1][0])
         return [(-s, i) for s, i in sorted(best)]
 
 
@@ -174,8 +176,8 @@ def _searched(k: int):
                     continue
                 if tree is None:
                     tree = BallTree(np.concatenate(ids), np.concatenate(parts))
-                for q_id, q, floor in zip(some.column("id").to_pylist(), x, some.column("floor").to_pylist(), strict=True):
-                    for s, i in tree.search(q_id, q, None if floor <= _NONE + 1 else floor, k):
+                for q_id, q, bounds, floor in zip(some.column("id").to_pylist(), x, tree.bounds(x), some.column("floor").to_pylist(), strict=True):
+                    for s, i in tree.search(q_id, q, bounds, None if floor <= _NONE + 1 else floor, k):
                         fits = _NONE < s < _MOST
                         out.append((q_id, i, min(max(s, _NONE + 1), _MOST), "" if fits else f"{s + _SHIFT:0701d}"))
             if out:
