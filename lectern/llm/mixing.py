@@ -23,14 +23,19 @@ from lectern.storage import written
 WEIGHTS = (5.0, 2.0, 1.0)
 
 
+def _key(seed: int) -> Column:
+    """The hash-random key in [0, 1) of a row: of its doc_id, or of its text where that is null."""
+    of = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), of), 11) / F.lit(float(1 << 53))
+
+
 def sizes(docs: DataFrame, seed: int = 7) -> DataFrame:
     """doc_id, source, size (words; 0 for null or empty text) and the hash-random key in [0, 1)."""
-    bits = F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"))
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.size(words(F.col("text"))).cast("long").alias("size"),
-        (F.shiftrightunsigned(bits, 11) / F.lit(float(1 << 53))).alias("key"),
+        _key(seed).alias("key"),
     )
 
 
@@ -145,9 +150,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         .withColumnRenamed("source", "__mix_source"),
         "mix-cuts",
     )
-    bits = F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"))
     key = F.struct(
-        F.shiftrightunsigned(bits, 11) / F.lit(float(1 << 53)),
+        _key(seed),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))),
     )
     rows = docs.join(cuts, docs["source"].cast("string").eqNullSafe(cuts["__mix_source"]))

@@ -99,7 +99,9 @@ def ledger(docs: DataFrame) -> DataFrame:
     (``#*$%&|<>``), n_lines (lines with a word), n_dup_lines (of those, equal to
     an earlier one), n_repeat_words, n_upper (A-Z), n_stutter (words equal to the
     word before). Null text counts as empty:
-    all zero. Every row is kept, repeated ones too; other columns are ignored.
+    all zero. Every row is kept, repeated ones too, and equal texts measure
+    alike; whole texts are read, however long; an empty table gives no rows;
+    other columns are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     w = F.col("_words")

@@ -48,7 +48,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     and verdict is then ``default``. Of rules with the same host and path, block
     goes before allow. A null or malformed url has an empty host and path, which
     only a rule with both empty fits. Rows are kept as they are, repeated ones
-    too. rules: action, rule_host, rule_path (null: empty); it may be large,
+    too; a long url is read whole; an empty table gives no rows, and without
+    rules every url gets ``default``. rules: action, rule_host, rule_path (null: empty); it may be large,
     only the lengths of its paths and the depth of its hosts are gathered.
     """
     rules = rules.select(
