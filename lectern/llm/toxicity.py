@@ -179,6 +179,8 @@ def plain_words(text: str) -> tuple[set[str], set[str]]:
     return plain, disguised
 
 
+#: Texts of which a task holds the words at a time.
+_ROWS = 256
 #: Readings of short tokens that a task keeps at hand; longer ones hardly come again.
 _KEPT, _SHORT = 100_000, 64
 
@@ -250,7 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None) -> S
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, table = {}, corpus.tolist()
-        for b in batches:
+        for b in (b.slice(i, _ROWS) for b in batches for i in range(0, len(b), _ROWS)):
             texts = [sorted(restored(x.as_py() or "", table, known)) for x in b.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [b.column("h"), b.column("toxic"), pa.array(texts, pa.list_(pa.string()))], ["h", "toxic", "words"]
