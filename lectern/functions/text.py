@@ -111,13 +111,11 @@ def expand_cross_references(value: Column, lang: str) -> Column:
 def expand_books(value: Column, lang: str) -> Column:
     """Book abbreviations to names: the longest first, case ignored, a dot after them taken along."""
     value = text_or_empty(value)
-    rules = []
-    for short, name in dims.books(lang):
-        key = rf"{short[0]}\s*{short[1:]}" if short[0].isdigit() else short
-        rules.append((rf"(?<!\w){key}\.?(?!\w)", name, "i"))
-    if not rules:
+    keys = {short: rf"{short[0]}\s*{short[1:]}" if short[0].isdigit() else short for short, _ in dims.books(lang)}
+    if not keys:
         return value
-    some = "|".join(pattern for pattern, _, _ in rules)
+    rules = [(rf"(?<!\w){keys[short]}\.?(?!\w)", name, "i") for short, name in dims.books(lang)]
+    some = rf"(?<!\w)(?:{'|'.join(keys.values())})\.?(?!\w)"
     # few texts hold any, and value is worked out once
     return let(value, lambda v: F.when(matches(v, some, "i"), rewrite(v, rules)).otherwise(v))
 
