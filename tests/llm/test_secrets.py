@@ -56,3 +56,58 @@ def test_odd_rows(docs):
     assert secrets.find_secrets(docs(odd_rows())).count() == len(odd_rows())
     assert secrets.find_secrets(docs([])).count() == 0
     assert spans(secrets.find_secrets(docs([(1, None), (2, "")]))) == {1: [], 2: []}
+
+
+def brute_base(text):
+    """Each fixed pattern as the contract has it, tried at every place; matches that fail are passed over whole."""
+    import re
+
+    letters = lambda w: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in w)
+    words = "|".join([*(letters(w) for w in ("password", "passwd", "secret", "token")), letters("api") + "_?" + letters("key")])
+    kinds = [
+        (rf"({words})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", lambda m: len(m[2]) >= 8),
+        (r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 16),
+        (r"[0-9a-f]+", lambda m: len(m[0]) >= 32),
+    ]
+    found = []
+    for kind, (pattern, holds) in enumerate(kinds):
+        at, compiled = 0, re.compile(pattern)
+        while m := compiled.search(text, at):
+            if holds(m):
+                found.append((m.start(), kind, m.end()))
+            at = m.end()
+    return sorted(found)
+
+
+def test_base_spans_against_brute_force():
+    rng = random.Random(31)
+    parts = [
+        "password", "PassWd", "sEcret", "token", "api_key", "APIKEY", "api__key", "=", ":", " ", "  ", "'", '"', "\n", "AKIA", "AKIAAKIA", "a1b2c3d4", "0" * 31,
+        "f" * 33, "Zz9_-.=", "é", "ſ", "K", "x", "12345678", "AKIA" + "Z" * 12, "Secret=tokenpassword=",
+    ]
+    for _ in range(4_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
+        assert secrets.base_spans(text) == brute_base(text), text
+
+
+def test_the_ratio_is_that_of_models_without_the_token(spark, docs):
+    import math
+
+    import numpy as np
+
+    rng = random.Random(5)
+    tokens = ["".join(rng.choice("abcdefgh_") for _ in range(rng.randint(16, 30))) for _ in range(40)]
+    models = secrets.train(secrets.transition_counts(docs([(i, t + " and " + t) for i, t in enumerate(tokens)])))
+    size = secrets._N
+    for token in tokens[:10]:
+        counts = np.zeros((size, size))
+        for other in tokens:
+            if other != token and len(other) >= 16:
+                c = secrets._codes(other)
+                for a, b in zip(c, c[1:], strict=False):
+                    counts[a, b] += 1
+        c = secrets._codes(token)
+        wanted = sum(
+            models.random[a, b] - math.log((counts[a, b] + 2 * models.single[b]) / (counts[a].sum() + 2)) for a, b in zip(c, c[1:], strict=False)
+        )
+        assert abs(models.ratio(token) - wanted) < 1e-9
