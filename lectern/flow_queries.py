@@ -385,3 +385,53 @@ def italian_markup(spark, sf_dir):
     """A whole episode's markup, names with their sounds."""
     segments = F.array(F.concat("role", F.lit("\nGesù "), F.col("turn").cast("string"), F.lit(".")))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", M.episode_markup(F.lit("T"), segments, "it").alias("markup"))
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, doc_id % 6 AS i, doc_id % 3 AS k FROM documents)
+SELECT doc_id, {_sql_pick([_LABELS[c][0] for c in LANGS], "i")} || ' Testo primo ' || doc_id || '.' ||
+    CASE WHEN k = 1 THEN ' ' || {_sql_pick([_LABELS[c][1] for c in LANGS], "i")} || ' canto ' || doc_id || '.' ELSE '' END AS first,
+  CASE WHEN k = 1 THEN {_sql_pick([_LABELS[c][2] for c in LANGS], "i")} || ' Testo secondo ' || doc_id || '.' END AS second,
+  {_sql_pick([_LABELS[c][3] for c in LANGS], "i")} || ' Il testo ' || doc_id || ' disse ora.' AS gospel, CASE WHEN k = 1 THEN 'section,section,section' ELSE 'section,section' END AS kinds FROM d
+""")
+def flat_segments(spark, sf_dir):
+    """Sections of texts in one paragraph, by the places of their marks, in six languages.
+
+    A first reading that a second one follows ends there, whatever stands between.
+    """
+    n, i = F.col("doc_id").cast("string"), F.col("doc_id") % 6
+    label = lambda k: _pick([_LABELS[c][k] for c in LANGS], i)
+    second = F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit(" "), label(2), F.lit(" Testo secondo "), n, F.lit("."))).otherwise("")
+    text = F.concat(
+        F.lit("<p>"), label(0), F.lit(" Testo primo "), n, F.lit(". "), label(1), F.lit(" canto "), n, F.lit("."), second, F.lit(" "), label(3), F.lit(" Il testo "), n, F.lit(" disse ora.</p>")
+    )
+    rows = spread(table(spark, sf_dir, "documents")).select("doc_id", _pick(LANGS, i).alias("lang"), text.alias("description"))
+    s = F.col("segments")
+    found = S.segment(rows).select("doc_id", s)
+    return found.select(
+        "doc_id", F.get(s, F.lit(0))["text"].alias("first"), F.when(F.size(s) == 3, F.get(s, F.lit(1))["text"]).alias("second"),
+        F.get(s, F.size(s) - 1)["text"].alias("gospel"), F.array_join(F.transform(s, lambda x: x["kind"]), ",").alias("kinds"),
+    )
+
+
+@query("""
+SELECT n_nationkey, '<?xml version="1.0" encoding="utf-8"?>' || chr(10) || '<rss version="2.0" xmlns:itunes="http://www.itunes.com/dtds/podcast-1.0.dtd" xmlns:content="http://purl.org/rss/1.0/modules/content/" xmlns:atom="http://www.w3.org/2005/Atom">' || chr(10)
+  || '<channel>' || chr(10) || '<title>' || n_name || ' &amp; co</title>' || chr(10) || '<description>About &lt;' || n_nationkey || '&gt;</description>' || chr(10) || '<link>https://s.example/' || n_nationkey || '</link>' || chr(10)
+  || '<language>it</language>' || chr(10) || '<itunes:author>A</itunes:author>' || chr(10) || '<itunes:summary>About &lt;' || n_nationkey || '&gt;</itunes:summary>' || chr(10) || '<itunes:explicit>no</itunes:explicit>' || chr(10)
+  || '<itunes:category text="Religion &amp; Spirituality"/>' || chr(10)
+  || CASE WHEN n_nationkey % 2 = 0 THEN '<itunes:owner>' || chr(10) || '<itunes:name>A</itunes:name>' || chr(10) || '<itunes:email>m@s.example</itunes:email>' || chr(10) || '</itunes:owner>' || chr(10) || '<managingEditor>m@s.example</managingEditor>' || chr(10) ELSE '' END
+  || CASE WHEN n_nationkey % 3 = 0 THEN '<itunes:image href="https://s.example/i.png"/>' || chr(10) || '<image>' || chr(10) || '<url>https://s.example/i.png</url>' || chr(10) || '<title>' || n_name || ' &amp; co</title>' || chr(10) || '<link>https://s.example/' || n_nationkey || '</link>' || chr(10) || '</image>' || chr(10) ELSE '' END
+  || CASE WHEN n_nationkey % 5 = 0 THEN '<atom:link href="https://s.example/f.xml" rel="self" type="application/rss+xml"/>' || chr(10) ELSE '' END
+  || '</channel>' || chr(10) || '</rss>' || chr(10) AS rss FROM nation
+""")
+def feed_headers(spark, sf_dir):
+    """The documents of channels without episodes: owner, image and address only where configured."""
+    n = F.col("n_nationkey")
+    number = n.cast("string")
+    info = F.struct(
+        F.concat("n_name", F.lit(" & co")).alias("title"), F.lit("A").alias("author"), F.concat(F.lit(f"{SITE}/"), number).alias("website"),
+        F.concat(F.lit("About <"), number, F.lit(">")).alias("description"), F.when(n % 3 == 0, f"{SITE}/i.png").alias("cover_art"), F.when(n % 5 == 0, f"{SITE}/f.xml").alias("rss_url"),
+    )
+    channels = table(spark, sf_dir, "nation").select(number.alias("channel"), F.lit("it").alias("language"), F.when(n % 2 == 0, "m@s.example").alias("email"), info.alias("podcast_info"))
+    none = spark.createDataFrame([], "channel string, seq long, title string, description string, audio_url string, pub_date string, guid string, duration long, file_size long")
+    return X.feed_documents(none, channels).select(F.col("channel").cast("int").alias("n_nationkey"), "rss")
