@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from lectern.functions import dims
-from lectern.functions.rx import let, literal, matches, rewrite, strip, sub, text_or_empty
+from lectern.functions.rx import let, literal, matches, rewrite, rx, strip, sub, text_or_empty
 
 QUOTE_START, QUOTE_END, PAUSE, COMMENT = "__QSTART__", "__QEND__", "__PAUSE__", "__POPE__"
 
@@ -114,10 +114,15 @@ def expand_books(value: Column, lang: str) -> Column:
     keys = {short: rf"{short[0]}\s*{short[1:]}" if short[0].isdigit() else short for short, _ in dims.books(lang)}
     if not keys:
         return value
-    rules = [(rf"(?<!\w){keys[short]}\.?(?!\w)", name, "i") for short, name in dims.books(lang)]
+    # one after the other, as a fold over the table: a chain of calls would be as deep as the table is long
+    rules = F.array(*[F.struct(F.lit(rx(rf"(?<!\w){keys[k]}\.?(?!\w)", "i")).alias("key"), F.lit(name).alias("name")) for k, name in dims.books(lang)])
     some = rf"(?<!\w)(?:{'|'.join(keys.values())})\.?(?!\w)"
+
+    def named(v: Column) -> Column:
+        return F.aggregate(rules, v, lambda text, r: F.regexp_replace(text, r["key"], r["name"]))
+
     # few texts hold any, and value is worked out once
-    return let(value, lambda v: F.when(matches(v, some, "i"), rewrite(v, rules)).otherwise(v))
+    return let(value, lambda v: F.when(matches(v, some, "i"), named(v)).otherwise(v))
 
 
 def normalize_verses(value: Column, lang: str) -> Column:
