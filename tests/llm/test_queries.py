@@ -18,5 +18,5 @@ def test_query_agrees_with_sql(spark, name):
 
 def test_one_query_for_each_operator_and_the_pipeline():
     names = list(entry.queries())
-    assert sorted(int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))) == list(range(1, 11))
+    assert sorted(int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))) == list(range(1, 14))
     assert "pipeline" in names
