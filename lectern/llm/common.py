@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: ASCII white space; everything else belongs to words.
@@ -37,3 +37,20 @@ def span_columns(spans: Column, base: tuple[str, ...]) -> dict[str, Column]:
         "base_sha256": F.sha2(joined(F.filter(spans, lambda x: x["kind"].isin(*base))), 256),
         "spans": joined(spans),
     }
+
+
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each made longer until docs has no column of that name, in capital or small letters."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> str:
+    """A column's name as it is, dots and all, for F.col and select."""
+    return "`{}`".format(name.replace("`", "``"))

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import let, words
+from lectern.llm.common import let, quoted, unused, words
 from lectern.storage import written
 
 LEAST_WORDS = 50
@@ -130,10 +130,10 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, deleted: str =
     Other columns stay as they are, whatever their names, but for one named like
     ``deleted``, which is replaced. An empty table stays empty.
     """
-    # names that docs won't have
-    ranges = repeated_ranges(docs, least_words).toDF("__line_doc", "__line_t", "__line_ranges")
-    lines = F.split(docs["text"].cast("string"), "\n")
-    r, n = F.col("__line_ranges"), F.size(lines)
+    doc, t, found = unused(docs, "_line_doc", "_line_t", "_line_ranges")
+    ranges = repeated_ranges(docs, least_words).toDF(doc, t, found)
+    lines = F.split(F.col("text").cast("string"), "\n")
+    r, n = F.col(found), F.size(lines)
     kept = F.flatten(
         F.transform(
             F.sequence(F.lit(0), F.size(r)),
@@ -143,13 +143,10 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, deleted: str =
             ),
         )
     )
-    rest = F.when(r.isNull(), docs["text"]).otherwise(F.array_join(kept, "\n"))
-    joined = docs.join(
-        ranges.hint("shuffle_hash"),
-        (_id() == F.col("__line_doc")) & (F.xxhash64(_text()) == F.col("__line_t")),
-        "left",
-    )
+    rest = F.when(r.isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    joined = docs.join(ranges.hint("shuffle_hash"), (_id() == F.col(doc)) & (F.xxhash64(_text()) == F.col(t)), "left")
     none = F.array().cast("array<struct<first:int,last:int>>")
     return joined.select(
-        *[rest.alias("text") if c == "text" else docs[c] for c in docs.columns if c != deleted], F.coalesce(r, none).alias(deleted)
+        *[rest.alias("text") if c == "text" else F.col(quoted(c)) for c in docs.columns if c != deleted],
+        F.coalesce(r, none).alias(deleted),
     )

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import words
+from lectern.llm.common import quoted, unused, words
 from lectern.storage import written
 
 #: Weights dealt to the sources in code point order, repeating.
@@ -140,23 +140,20 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     size, total = F.col("size"), F.col("source_size")
     epochs = F.when(total > 0, F.floor(F.col("target") / total)).otherwise(F.lit(0))
     extra = (F.col("taken") - epochs * size) * 2 >= F.greatest(size, F.lit(1))
+    of, epoch_count, cut, copy = unused(docs, "_mix_source", "_mix_epochs", "_mix_cut", "_mix_copy")
     cuts = written(
         mix(docs, **options)
         .groupBy("source")
-        .agg(
-            F.max(epochs).alias("__mix_epochs"),
-            F.max(F.when(extra, F.struct("key", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))))).alias("__mix_cut"),
-        )
-        .withColumnRenamed("source", "__mix_source"),
+        .agg(F.max(epochs), F.max(F.when(extra, F.struct("key", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))))))
+        .toDF(of, epoch_count, cut),
         "mix-cuts",
     )
     key = F.struct(
         _key(seed),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))),
     )
-    rows = docs.join(cuts, docs["source"].cast("string").eqNullSafe(cuts["__mix_source"]))
-    copies = F.col("__mix_epochs") + F.when(F.coalesce(key <= F.col("__mix_cut"), F.lit(False)), 1).otherwise(0)
-    return (
-        rows.withColumn("__mix_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies.cast("int"))).otherwise(F.array().cast("array<int>"))))
-        .select(*[docs[c] for c in docs.columns])
-    )
+    rows = docs.join(cuts, F.col("source").cast("string").eqNullSafe(F.col(of)))
+    copies = F.col(epoch_count) + F.when(F.coalesce(key <= F.col(cut), F.lit(False)), 1).otherwise(0)
+    none = F.array().cast("array<int>")
+    each = F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies.cast("int"))).otherwise(none))
+    return rows.withColumn(copy, each).select(*map(quoted, docs.columns))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import words
+from lectern.llm.common import quoted, unused, words
 from lectern.operators.components import connected_components
 from lectern.storage import written
 
@@ -524,6 +524,7 @@ def first_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     order = F.struct("__null", "__id", "__raw")
     grouped = nodes.join(groups, F.col("id") == F.col("node"), "left").groupBy(F.coalesce("component", "id").alias("_c"))
     stay = grouped.agg(F.min(order).alias("_row")).select("_row.*")
-    rows = docs.withColumns(_row(docs))
-    kept = rows.join(written(stay, "simhash-stay").hint("shuffle_hash"), _ROW, "left_semi")
-    return kept.dropDuplicates(_ROW).select(*docs.columns)
+    key = unused(docs, *_ROW)
+    rows = docs.withColumns(dict(zip(key, _row(docs).values(), strict=True)))
+    kept = rows.join(written(stay.select(*_ROW).toDF(*key), "simhash-stay").hint("shuffle_hash"), key, "left_semi")
+    return kept.dropDuplicates(key).select(*map(quoted, docs.columns))

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import quoted
 from lectern.storage import written
 
 #: The classifier is fitted on at most this many labelled rows, those with the least hashes of doc_id.
@@ -332,7 +333,7 @@ def score(docs: DataFrame, scorer: Scorer, name: str = "score") -> DataFrame:
     it, however long.
     """
     shared = docs.sparkSession.sparkContext.broadcast(scorer)  # a matrix of fixed size, and words of MAX_LABELLED texts
-    kept = [c for c in docs.columns if c != name]
+    kept = [quoted(c) for c in docs.columns if c != name]
     schema = docs.select(*kept).schema.add(name, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
