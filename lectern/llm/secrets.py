@@ -1,14 +1,20 @@
 """Secret scans: fixed patterns, and character Markov models of random strings and ordinary identifiers.
 
-The fixed patterns find assignments, access keys and long hexadecimal runs.
-What they find are labelled samples of random strings; all other long tokens
-are labelled samples of ordinary identifiers. From both, over all documents,
-character transitions are counted, once for each different token, and every
-other long token is judged by the log-likelihood ratio of the two models.
-
-Only long tokens are shuffled, those of a partition once each; counting leaves
-one bounded table a partition, and what is shipped to the scan are two
-transition matrices of fixed size.
+The fixed patterns find assignments, access keys and long hexadecimal runs: the
+labelled samples of random strings. Words of up to 15 letters and numbers of up
+to 6 digits that stand alone, and host names, are the labelled samples of what
+identifiers are made of; no secret is so short, so it doesn't matter how many secrets of unknown
+form the documents hold. From both, over all documents, character transitions
+are counted, once for each different sample.
+
+Every long token that no fixed pattern touches is judged by the log-likelihood
+ratio of the two models. The ordinary one reads an identifier as parts: it is
+cut at separators, between letters and digits and where small letters are
+followed by a capital, and each part begins and ends like a word.
+
+Only samples are shuffled, those of a batch once each; counting leaves one
+bounded table a partition, and what is shipped to the scan are two transition
+matrices of fixed size.
 """
 
 from __future__ import annotations
@@ -32,6 +38,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 #: Tokens of which the models are trained and which they judge.
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-](?:[A-Za-z0-9+/_.=-]{14,}[A-Za-z0-9+/_=-])")
+LEAST = 16
+#: What follows @ or :// names a host: a labelled ordinary identifier, which isn't judged.
+HOST = re.compile(r"[A-Za-z0-9.-]*[+/_=]*")
+#: Runs of the characters of tokens, and which of them, without the separators around, are ordinary samples.
+RUN = re.compile(r"[A-Za-z0-9+/_.=-]+")
+WORD = re.compile(r"[A-Za-z]{2,15}|[0-9]{1,6}")
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+|[+/_.=-]")
+SEPARATORS = "+/_.=-"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 _N = len(ALPHABET) + 1  # and the edge of a token
 _CODE = np.zeros(128, dtype=np.intp)
@@ -59,14 +73,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _tokens(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-    """Long tokens that no span touches. spans are sorted, so one pass over both is enough."""
+    """Long tokens that no span touches, and of those that begin with a host name what follows it. spans are sorted, so
+    one pass over both is enough."""
     at, reach = 0, 0
     for m in TOKEN.finditer(text):
-        while at < len(spans) and spans[at][0] < m.end():
+        a, e = m.span()
+        while at < len(spans) and spans[at][0] < e:
             reach = max(reach, spans[at][2])
             at += 1
-        if reach <= m.start():
-            yield m.span()
+        if reach > a:
+            continue
+        if text[a - 1 : a] == "@" or text[max(a - 3, 0) : a] == "://":
+            a = HOST.match(text, a, e).end()
+        if e - a >= LEAST:
+            yield a, e
 
 
 def _codes(token: str) -> np.ndarray:
@@ -82,12 +102,34 @@ def _secret_value(text: str, span: tuple[int, int, int]) -> str:
     return m[2] if m else text[a:b]
 
 
-def transition_counts(docs: DataFrame) -> DataFrame:
-    """model (0 ordinary, 1 random), pair (first * size + second), n: character transitions of each different token.
+def _samples(text: str, spans: list[tuple[int, int, int]]) -> Iterator[str]:
+    """The words and numbers of a text that stand alone, and the host names, that no span touches."""
+    at, reach = 0, 0
+    for m in RUN.finditer(text):
+        a, e = m.span()
+        while at < len(spans) and spans[at][0] < e:
+            reach = max(reach, spans[at][2])
+            at += 1
+        if reach > a:
+            continue
+        if text[a - 1 : a] == "@" or text[max(a - 3, 0) : a] == "://":
+            yield HOST.match(text, a, e)[0]
+        elif e - a <= 18 and WORD.fullmatch(word := m[0].strip(SEPARATORS)):
+            yield word
 
-    However often a token occurs, in copies of a document or elsewhere, it
-    counts once for a model, so that what ratio() takes out is all of it.
-    """
+
+def _parts(token: str) -> list[str]:
+    """What an identifier is made of: words, numbers and separators."""
+    return PART.findall(token)
+
+
+def _shape(part: str) -> int:
+    return 0 if part.islower() else 2 if part.isupper() and len(part) > 1 else 1
+
+
+def transition_counts(docs: DataFrame) -> DataFrame:
+    """model, pair, n: for model 0 (ordinary) and 1 (random) the character transitions (first * size + second) of each
+    different sample; for model 2 how many words are small, capitalized and in capitals (pair 0, 1, 2)."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -96,16 +138,23 @@ def transition_counts(docs: DataFrame) -> DataFrame:
                 text = x.as_py() or ""
                 spans = base_spans(text)
                 found.update((1, _secret_value(text, s)) for s in spans)
-                found.update((0, text[a:b]) for a, b in _tokens(text, spans))
+                found.update((0, w) for w in _samples(text, spans))
             columns = [pa.array([m for m, _ in found], pa.int64()), pa.array([t for _, t in found], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["model", "token"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, _N * _N), dtype=np.int64)
+        counts = np.zeros((3, _N * _N), dtype=np.int64)
         for b in batches:
+            tokens: list[list[str]] = [[], []]
             for model, token in zip(b.column("model").to_pylist(), b.column("token").to_pylist(), strict=True):
-                c = _codes(token)
-                np.add.at(counts[model], c[:-1] * _N + c[1:], 1)
+                for part in [p for p in _parts(token) if p not in SEPARATORS] if model == 0 else [token]:
+                    tokens[model].append(part.lower() if model == 0 else part)
+                    if model == 0 and part.isalpha():
+                        counts[2, _shape(part)] += 1
+            for model, some in enumerate(tokens):
+                if some:
+                    c = np.concatenate([_CODE[np.frombuffer(" ".join(some).encode("ascii"), dtype=np.uint8)], [0]])
+                    counts[model] += np.bincount(np.concatenate([[0], c[:-1]]) * _N + c, minlength=_N * _N)
         model, pair = np.nonzero(counts)
         columns = [pa.array(model, pa.int64()), pa.array(pair, pa.int64()), pa.array(counts[model, pair], pa.int64())]
         yield pa.RecordBatch.from_arrays(columns, ["model", "pair", "n"])
@@ -117,48 +166,56 @@ def transition_counts(docs: DataFrame) -> DataFrame:
 
 
 class Models(NamedTuple):
-    """Of ordinary identifiers the transition counts and how often a character occurs, of random strings the log
-    probabilities."""
+    """Log probabilities: of a character after another in ordinary words and numbers and in random strings, and of a
+    word's shape."""
 
     ordinary: np.ndarray
-    single: np.ndarray
     random: np.ndarray
+    shape: np.ndarray
+
+    def likelihood(self, token: str) -> float:
+        """Of an ordinary identifier: each part from edge to edge, a word's shape, and which separator stands between."""
+        total = 0.0
+        for part in _parts(token):
+            if part in SEPARATORS:
+                total -= np.log(len(SEPARATORS) + 1)
+                continue
+            c = _codes(part.lower())
+            total += self.ordinary[c[:-1], c[1:]].sum()
+            if part.isalpha():
+                total += self.shape[_shape(part)]
+        return float(total)
 
     def ratio(self, token: str) -> float:
-        """The log-likelihood ratio, random against ordinary. The token's own transitions, which were counted as
-        ordinary once, are taken out of the counts first: a secret must not vouch for itself."""
+        """The log-likelihood ratio, random against ordinary."""
         c = _codes(token)
-        first, second = c[:-1], c[1:]
-        _, at, own = np.unique(first * _N + second, return_inverse=True, return_counts=True)
-        left = np.maximum(self.ordinary[first, second] - own[at], 0)
-        rows = np.maximum(self.ordinary.sum(axis=1) - np.bincount(first, minlength=_N), 0)
-        ordinary = (left + 2 * self.single[second]) / (rows[first] + 2)
-        return float((self.random[first, second] - np.log(ordinary)).sum())
+        return float(self.random[c[:-1], c[1:]].sum()) - self.likelihood(token)
 
 
 def train(counts: DataFrame, flat: float = 0.5) -> Models:
-    """The two models from transition counts, smoothed by how often a character occurs at all.
+    """The models from transition counts, smoothed by how often a character occurs at all.
 
     The random model is mixed with ``flat`` parts of uniform choice: secrets
     that the patterns don't know use other alphabets. counts has at most two
-    numbers for each pair of characters, whatever the size of the corpus.
+    numbers for each pair of characters and three shapes, whatever the size of the corpus.
     """
-    found = np.zeros((2, _N * _N))
+    found = np.zeros((3, _N * _N))
     for r in counts.collect():
         found[r["model"], r["pair"]] = r["n"]
-    ordinary, random = found.reshape(2, _N, _N)
+    ordinary, random = found[:2].reshape(2, _N, _N)
     single = [(x.sum(axis=0) + 0.5) / (x.sum() + 0.5 * _N) for x in (ordinary, random)]
+    usual = (ordinary + 2 * single[0]) / (ordinary.sum(axis=1, keepdims=True) + 2)
     drawn = (random + 2 * single[1]) / (random.sum(axis=1, keepdims=True) + 2)
-    return Models(ordinary, single[0], np.log((1 - flat) * drawn + flat / _N))
+    shape = (found[2, :3] + 1) / (found[2, :3].sum() + 3)
+    return Models(np.log(usual), np.log((1 - flat) * drawn + flat / _N), np.log(shape))
 
 
 def scan(docs: DataFrame, models: Models, least: float = 12.0, least_each: float = 0.6) -> DataFrame:
     """doc_id, spans: array of (kind, start, end), code points, end exclusive, by start and then kind.
 
-    A token of 16 characters or more that holds a letter, and that no fixed
-    pattern touches, is added as ``markov`` if its log-likelihood
-    ratio is at least ``least``, and ``least_each`` a character; one of capital
-    letters only is judged in small letters too. Null text
+    A token of 16 characters or more that holds a letter, that no fixed
+    pattern touches, and that is no host name (after @ or ://), is added as ``markov`` if its log-likelihood
+    ratio is at least ``least``, and ``least_each`` a character. Null text
     counts as empty. Every row is kept, repeated ones as often as they appear,
     and equal tokens are judged alike. Spans of different kinds that start
     together are in the order of KINDS. Whole texts are read, in time
@@ -177,8 +234,6 @@ def scan(docs: DataFrame, models: Models, least: float = 12.0, least_each: float
                     if not re.search("[A-Za-z]", token):
                         continue
                     score = models.ratio(token)
-                    if token.isalpha() and token.isupper():  # a heading is no secret
-                        score = min(score, models.ratio(token.lower()))
                     if score >= least and score >= least_each * len(token):
                         spans.append((a, 3, e))
                 out.append([{"kind": KINDS[k], "start": a, "end": e} for a, k, e in sorted(spans)])
