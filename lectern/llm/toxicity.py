@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.llm.common import quoted
 from lectern.storage import written
@@ -333,17 +334,20 @@ def score(docs: DataFrame, scorer: Scorer, name: str = "score") -> DataFrame:
     it, however long.
     """
     shared = docs.sparkSession.sparkContext.broadcast(scorer)  # a matrix of fixed size, and words of MAX_LABELLED texts
-    kept = [quoted(c) for c in docs.columns if c != name]
-    schema = docs.select(*kept).schema.add(name, "double")
+    kept = [c for c in docs.columns if c != name]
+    # mapInArrow looks columns up by their names, so that names with dots or ticks would fail there
+    plain = docs.select(*map(quoted, kept)).toDF(*[f"c{i}" for i in range(len(kept))])
+    place = kept.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, known = shared.value, {}
         table = s.model.tolist()
         for b in batches:
             values = []
-            for x in b.column("text").cast(pa.string()):
+            for x in b.column(place).cast(pa.string()):
                 e = _evidence(restored(x.as_py() or "", table, known), s.weights)
                 values.append(1 / (1 + math.exp(-max(-30.0, min(30.0, s.bias + s.scale * e)))))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(values, pa.float64())], [*b.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(values, pa.float64())], [*b.schema.names, "score"])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    schema = T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType())])
+    return plain.mapInArrow(run, schema).toDF(*kept, name)
