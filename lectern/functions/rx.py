@@ -37,7 +37,8 @@ def rewrite(value: Column, rules: Iterable[tuple[str, str] | tuple[str, str, str
 
 
 def strip(value: Column) -> Column:
-    return sub(value, r"^\s+|\s+$", "")
+    # a run of white space inside is looked at once, from its beginning
+    return sub(value, r"^\s+|(?<!\s)\s++$", "")
 
 
 def text_or_empty(value: Column) -> Column:

@@ -14,15 +14,20 @@ from lectern.functions.rx import let, literal, matches, rewrite, rx, strip, sub,
 
 QUOTE_START, QUOTE_END, PAUSE, COMMENT = "__QSTART__", "__QEND__", "__PAUSE__", "__POPE__"
 
+# Runs of white space are matched from their beginning and as a whole, so that none is looked at again from each of its
+# characters. A run before a mark may have gone with the mark before it.
+_LINE_END = r"(?<!\s)[^\S\n]*+\n\s*+"
+_BLANKS = r"(?:(?<![ \t])[ \t]++)?"
+
 # fixed values: rewriting rules, in order -----------------------------------
 _TAGS = (
     (r"<(br|/p|/div|/li|/h[1-6])\s*/?>", "\n", "i"),
     (r"<li\b[^>]*>", "- ", "i"),
     (r"<[^>]+>", " "),
 )
-_JOINED = ((r"(\w)-\s+(\w)", "$1$2"), (r"\s*\n\s*", "\n"), (r"[ \t]+", " "))
+_JOINED = ((r"(\w)-\s+(\w)", "$1$2"), (_LINE_END, "\n"), (r"[ \t]+", " "))
 _MARKS = (
-    (r"\s+([,;:.!?])", "$1"),
+    (r"(?<!\s)\s++([,;:.!?])", "$1"),
     (r"([,;:.!?])(?!\s|$)", "$1 "),
     (r"(?:,\s*+){2,}+", ", "),
     (r";\s*;{1,}", "; "),
@@ -30,10 +35,10 @@ _MARKS = (
     (r"!\s*!{1,}", "! "),
     (r"\?\s*\?{1,}", "? "),
 )
-_FLAT = {True: (r"\s*\n\s*", " "), False: (r"\s*\n\s*", "\n")}
+_FLAT = {True: (_LINE_END, " "), False: (_LINE_END, "\n")}
 _QUOTES = (
-    (r"[ \t]*«[ \t]*", f" {QUOTE_START} "),
-    (r"[ \t]*»[ \t]*", f" {QUOTE_END} "),
+    (rf"{_BLANKS}«[ \t]*", f" {QUOTE_START} "),
+    (rf"{_BLANKS}»[ \t]*", f" {QUOTE_END} "),
     ("“", f" {QUOTE_START} "),
     ("”", f" {QUOTE_END} "),
     (r'^"(?=\S)', f"{QUOTE_START} ", "m"),
@@ -44,11 +49,11 @@ _PAUSES = (
     (r":(?!\s*$)", ",", "m"),
     (r"\([^()]{0,120}\d[^()]{0,60}\)", " "),
     (r"[()]", ""),
-    (r"[ \t]+-[ \t]+", ", "),
+    (r"(?<![ \t])[ \t]++-[ \t]+", ", "),
     (r"(?:,\s*+){2,}+", ", "),
 )
-_ENDS = ((r"[ \t]*;[ \t]*", ", "), (r"[ \t]{2,}", " "))
-_PLAIN = ((r"\s*\n\s*", ". "), (r"\.\s*\.+", "."), (r",\s*\.\s*", ". "), (r"[ \t]{2,}", " "))
+_ENDS = ((rf"{_BLANKS};[ \t]*", ", "), (r"[ \t]{2,}", " "))
+_PLAIN = ((_LINE_END, ". "), (r"\.\s*\.+", "."), (r",\s*\.\s*", ". "), (r"[ \t]{2,}", " "))
 _FEED_TEXT = ((r"[\x00-\x08\x0B\x0C\x0E-\x1F]", " "), (r"[\x{1F300}-\x{1FAFF}]", ""), (r"\s+", " "))
 _XML_ILLEGAL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 # end of fixed values --------------------------------------------------------
@@ -82,9 +87,19 @@ def _without_entities(value: Column) -> Column:
     return F.translate(text_or_empty(value), "\xa0", " ")
 
 
+def _tagless(value: Column, rules: tuple) -> Column:
+    """The rules for tags applied up to the last >. Nothing after it is a tag, and each < there would look for an end."""
+
+    def cut(text: Column) -> Column:
+        rest = F.substring_index(text, ">", -1)
+        return F.concat(rewrite(F.left(text, F.length(text) - F.length(rest)), rules), rest)
+
+    return let(text_or_empty(value), cut)
+
+
 def html_to_text(value: Column, entities: bool = True) -> Column:
     """HTML to lines of text. entities=False leaves references as they are and stays free of Python."""
-    tagless = rewrite(text_or_empty(value), _TAGS)
+    tagless = _tagless(value, _TAGS)
     decoded = decode_entities(tagless) if entities else _without_entities(tagless)
     return strip(rewrite(decoded, _JOINED))
 
@@ -195,7 +210,7 @@ def strip_header_verses(line: Column, lang: str) -> Column:
     """Chapter and verse numbers cut from the end of a heading."""
     word = dims.RANGE_WORD.get(lang, "to")
     numbers = r"\s++\d++(?:\s++\d++)*+"  # possessive, so that no number of numbers is too deep
-    cut = sub(line, rf"{numbers}(?:\s++{word}{numbers})?+\s*$", "", "i")
+    cut = sub(line, rf"(?<!\s){numbers}(?:\s++{word}{numbers})?+\s*$", "", "i")
     return strip(F.when(matches(line, r"\d\s*$"), cut).otherwise(line))
 
 
@@ -303,7 +318,7 @@ def speed_percent(rate: Column) -> Column:
 
 def strip_markup(value: Column) -> Column:
     """Markup to plain text, references resolved once."""
-    plain = _unescape_once(sub(text_or_empty(value), r"<[^>]+>", " "))
+    plain = _unescape_once(_tagless(value, ((r"<[^>]+>", " "),)))
     plain = F.replace(plain, F.lit(PAUSE), F.lit(", "))
     for marker in (QUOTE_START, QUOTE_END):
         plain = F.replace(plain, F.lit(marker))

@@ -129,3 +129,23 @@ def test_quotes_balance_as_a_walk_over_them(spark):
     texts = ["".join(x) for n in range(6) for x in itertools.product(("__QSTART__", "__QEND__", "a"), repeat=n)] + ["a__QSTART__" * 20_000]
     df = spark.createDataFrame([(x,) for x in texts], "t string").select("t", T.balance_quotes(F.col("t")).alias("b"))
     assert all(r.b == walk(r.t) for r in df.collect())
+
+
+def test_long_runs_take_seconds(spark):
+    """A megabyte of anything is read in time proportional to its length."""
+    import time
+
+    from lectern.functions.rx import strip
+
+    steps = {
+        "html": lambda c: T.html_to_text(c, False), "marks": T.normalize_punctuation, "smooth": T.smooth, "markup": T.strip_markup, "strip": strip,
+        "heading": lambda c: T.strip_header_verses(c, "it"),
+    }
+    for unit in (" ", "\n", "<", "<li ", "; ", ":\t", "- ", "1 "):
+        rows = spark.createDataFrame([("x" + unit * (1_000_000 // len(unit)) + "b",)], "x string").cache()
+        rows.count()
+        for name, step in steps.items():
+            began = time.time()
+            rows.select(F.length(step(F.col("x")))).collect()
+            assert time.time() - began < 15, (unit, name)
+        rows.unpersist()
