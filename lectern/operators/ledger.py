@@ -36,9 +36,10 @@ def new_entries(entries: DataFrame, history: DataFrame, by: tuple[str, ...] = ()
     return fresh.withColumn("_guid", link).join(guids, [*by, "_guid"], "left_anti").select(*entries.columns)
 
 
-def with_known(entries: DataFrame, history: DataFrame, by: tuple[str, ...] = (), force: Column | None = None) -> DataFrame:
-    """entries with ``skipped``: whether history has the title's key or the link, unless force holds."""
-    titles = history.select(*by, _key(F.col("title")).alias("_title"), F.lit(True).alias("_a")).distinct()
+def with_known(entries: DataFrame, history: DataFrame, by: tuple[str, ...] = (), force: Column | None = None, titles: bool = True) -> DataFrame:
+    """entries with ``skipped``: whether history has the link or, if titles count, the title's key, unless force holds."""
+    named = history if titles else history.limit(0)
+    titles = named.select(*by, _key(F.col("title")).alias("_title"), F.lit(True).alias("_a")).distinct()
     guids = history.select(*by, F.col("guid").alias("_guid"), F.lit(True).alias("_b")).where("_guid != ''").distinct()
     keyed = entries.withColumns({"_title": _key(F.col("title")), "_guid": F.when(F.col("link") != "", F.col("link"))})
     found = keyed.join(titles, [*by, "_title"], "left").join(guids, [*by, "_guid"], "left")

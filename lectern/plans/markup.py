@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -209,6 +210,12 @@ def synthesis_plan(episodes: DataFrame, lang: str, voice: str = "markup") -> Dat
     )
 
 
+def synthesis_plans(episodes: DataFrame, voice: str = "markup") -> DataFrame:
+    """synthesis_plan of episodes(episode_id, lang, title, segments) of all known languages, each row in its own."""
+    plans = [synthesis_plan(episodes.where(F.col("lang") == c), c, voice) for c in dims.LANGUAGES]
+    return reduce(DataFrame.unionByName, plans)
+
+
 def voice_columns(voice: Column, provider: Column, speed: Column) -> dict[str, Column]:
     """provider, lang, voice_name, language_code and speaking_rate as a request resolves to them."""
     edge = F.lower(strip(text_or_empty(provider))).isin("edge", "edge-tts", "edgetts")

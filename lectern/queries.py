@@ -553,7 +553,7 @@ def split_readings(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", parts["first"].alias("first"), parts["second"].alias("second"))
 
 
-from lectern import flow_queries  # noqa: E402, F401  registers the queries of whole runs
+from lectern import flow_queries, run_queries  # noqa: E402, F401  register the queries of whole runs
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

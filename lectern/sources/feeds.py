@@ -53,13 +53,14 @@ def literal_source(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFram
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "pos int, title string, summary string")
 
 
-def entries(items: DataFrame, feed: str = "feed", pos: str = "pos") -> DataFrame:
+def entries(items: DataFrame, feed: str = "feed", pos: str = "pos", lang: Column | None = None) -> DataFrame:
     """feed, pos, title, summary, link, pub_date of feed items (feed, pos, title, summary, description, link, published).
 
-    Titles are normalized in the language of the feed's address, lines kept; the
-    summary, or else the description, becomes plain text with its parentheses.
+    Titles are normalized in the given language, or that of the feed's address,
+    lines kept; the summary, or else the description, becomes plain text with
+    its parentheses.
     """
-    lang = detect_language(None, F.col(feed))
+    lang = detect_language(None, F.col(feed)) if lang is None else lang
     # markup and references are resolved once for all languages
     plain = items.withColumn("title", normalize(F.col("title"), None, flatten=False))
     spoken = by_language(lang, lambda c: localized(F.col("title"), c, False), F.col("title"))
@@ -80,11 +81,12 @@ def latest(rows: DataFrame, feed: str = "feed", pos: str = "pos") -> DataFrame:
     return first.select(feed, "_first.*").select(*rows.columns)
 
 
-def published(items: DataFrame) -> DataFrame:
-    """Ledger rows of a published feed's items: those with an audio address; durations that are no whole number and
-    sizes up to 1 count as 0."""
+def published(items: DataFrame, *keys: str) -> DataFrame:
+    """keys, and the other columns of ledger rows, of a published feed's items: those with an audio address; durations
+    that are no whole number and sizes up to 1 count as 0."""
     size = F.coalesce(F.col("enclosure._length").try_cast("bigint"), F.lit(0))
     return items.select(
+        *keys,
         text_or_empty(F.col("title")).alias("title"),
         text_or_empty(F.col("description")).alias("description"),
         text_or_empty(F.col("enclosure._url")).alias("audio_url"),
@@ -133,3 +135,46 @@ def stored_episodes(files: DataFrame, most: int = 10) -> DataFrame:
         seq.cast("bigint").alias("seq"), "file", sanitize(F.when(title == "", F.col("file")).otherwise(title)).alias("title"),
         F.col("length").alias("size"),
     )
+
+
+_XML = {"rowTag": "rss", "mode": "PERMISSIVE", "attributePrefix": "_", "valueTag": "_VALUE", "ignoreNamespace": "false", "columnNameOfCorruptRecord": "_bad"}
+_RSS = f"channel struct<title:string,item:array<struct<{ITEM_FIELDS}>>>, _bad string"
+
+
+def document_items(documents: DataFrame, column: str = "rss") -> tuple[DataFrame, DataFrame]:
+    """(items, unreadable) of documents(channel, rss), one row a channel.
+
+    items: channel, pos (from 0, in document order) and the item's fields.
+    unreadable: channel and error of documents that are no RSS; a channel is in
+    one of the two only, so that one broken document stops its own channel.
+    """
+    found = documents.select("channel", F.col(column).alias("_text"), F.from_xml(column, _RSS, _XML).alias("_x"))
+    fails = (
+        F.when(text_or_empty(F.col("_text")) == "", "the document is empty")
+        .when(F.col("_x._bad").isNotNull(), "the document is no XML")
+        .when(F.col("_x.channel").isNull(), "the document has no channel")
+    )
+    judged = found.select("channel", "_x", fails.alias("error"))
+    items = judged.where(F.col("error").isNull()).select("channel", F.posexplode("_x.channel.item").alias("pos", "i")).select("channel", "pos", "i.*")
+    return items, judged.where(F.col("error").isNotNull()).select("channel", "error")
+
+
+def published_ledgers(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ledger, unreadable) of published documents(channel, rss): the first item of a channel has the largest seq."""
+    items, unreadable = document_items(documents)
+    sized = items.join(items.groupBy(F.col("channel").alias("_channel")).agg(F.max("pos").alias("_last")), F.col("channel") == F.col("_channel"))
+    placed = sized.withColumn("seq", (F.col("_last") - F.col("pos") + 1).cast("bigint"))
+    return published(placed, "channel", "seq"), unreadable
+
+
+def source_entries(documents: DataFrame, lang: Column) -> tuple[DataFrame, DataFrame]:
+    """(entries, unreadable) of source feeds(channel, rss): channel, lang, pos, title, summary, link, pub_date.
+
+    lang: a column over channel, the language that titles are spoken in.
+    """
+    items, unreadable = document_items(documents)
+    read = items.withColumn("feed", F.struct("channel", lang.alias("lang"))).select(
+        "feed", "pos", "title", F.col("itunes:summary").alias("summary"), "description", "link", F.col("pubDate").alias("published")
+    )
+    made = entries(read, lang=F.col("feed.lang"))
+    return made.select("feed.channel", "feed.lang", "pos", "title", "summary", "link", "pub_date"), unreadable
