@@ -7,10 +7,14 @@ filled from shorter tiers, by the longest piece that fits or else by cutting
 one. A window is always filled to its tier's length. Only what a partition has
 left at its end is cut into shorter powers of two, so nothing is padded.
 
-Sequences of one tier form step groups of equal token counts.
+Step groups are balanced over all partitions: the longest sequences first, each
+group takes the next ones until it has STEP tokens. Lengths are powers of two,
+so every group but the last has exactly that many, and but for where a tier
+ends, a group's sequences are of one tier.
 
 Each partition packs its own rows as a stream, in blocks of bounded size, so
-token ids never cross the network and no shuffle takes place.
+token ids never cross the network. The pieces are written, and numbered by the
+counts of each partition's sequences: a table of one row a partition and tier.
 """
 
 from __future__ import annotations
@@ -22,9 +26,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.storage import written
+
 TIERS = (256, 512, 1024, 2048)
 #: Tokens of a step group.
 STEP = 16 * 2048
@@ -34,7 +40,7 @@ END_ID = 1
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
-    "sequence_id long, offset long, tier int, step_group long"
+    "sequence_id long, offset long, tier int, part int, place long"
 )
 
 
@@ -199,14 +205,17 @@ def pack(
     end_id: int = END_ID,
     tiers: tuple[int, ...] = TIERS,
 ) -> DataFrame:
-    """All documents as pieces of sequences; columns as in SCHEMA.
+    """All documents as pieces of sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier,
+    step_group.
 
     A document is its token ids and then end_id; null text counts as empty, and
     so is a single end_id. Rows with a null doc_id are packed too. Repeated rows
     are packed as often as they appear. An empty table gives no rows. tier is the
     sequence's length, a power of two; sequences shorter than the smallest tier
-    hold what a partition had left. A step group has sequences of one tier and
-    STEP tokens, but for a partition's last. Other columns are ignored.
+    hold what a partition had left. Every step group has STEP tokens, but for the
+    last of all. Documents are packed as they come: ties don't matter; a text is
+    encoded whole, and cut into as many sequences as it fills. Other columns are
+    ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,11 +235,10 @@ def pack(
         for n, window in enumerate(pack_stream(encoded(), tiers)):
             tier = sum(map(_length, window))
             k = made[tier] = made.get(tier, -1) + 1
-            group = (partition << 40) | (tier.bit_length() << 32) | (k // max(1, STEP // tier))
             at = 0
             for p in window:
                 crc = zlib.crc32(p.ids.tobytes())
-                rows.append((p.doc, p.start, len(p.ids), crc, p.total, (partition << 33) | n, at, tier, group))
+                rows.append((p.doc, p.start, len(p.ids), crc, p.total, (partition << 33) | n, at, tier, partition, k))
                 at += len(p.ids)
             if len(rows) >= 10_000:
                 yield _batch(rows)
@@ -239,7 +247,14 @@ def pack(
             yield _batch(rows)
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return named.mapInArrow(run, SCHEMA)
+    packed = written(named.mapInArrow(run, SCHEMA), "packed")
+    counts = packed.where(F.col("offset") == 0).groupBy("part", "tier").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.orderBy(F.desc("tier"), "part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("part", "tier", F.coalesce(F.sum(F.col("n") * F.col("tier")).over(earlier), F.lit(0)).alias("before"))
+    # as many rows as there are partitions and tiers
+    placed = packed.join(F.broadcast(before), ["part", "tier"])
+    group = F.floor((F.col("before") + F.col("place") * F.col("tier")) / STEP).cast("long")
+    return placed.withColumn("step_group", group).select(*[x.split()[0] for x in SCHEMA.split(", ")[:-2]], "step_group")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

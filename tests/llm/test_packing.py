@@ -59,3 +59,22 @@ def test_pack_round_trip(docs):
 def test_empty(docs):
     assert packing.pack(docs([])).count() == 0
     assert [r.doc_tokens for r in packing.pack(docs([(1, None)])).collect()] == [1]
+
+
+def test_step_groups_are_balanced_over_partitions(spark, docs):
+    rows = [(i, x) for i, x in enumerate(prose(15, 1600))]
+    got = packing.pack(docs(rows).repartition(7)).collect()
+    assert len({r.sequence_id >> 33 for r in got}) == 7
+    tokens, tiers = defaultdict(int), defaultdict(set)
+    for r in got:
+        tokens[r.step_group] += r.length
+        tiers[r.step_group].add(r.tier)
+    n = len(tokens)
+    assert n > 3 and sorted(tokens) == list(range(n))
+    assert all(tokens[g] == packing.STEP for g in range(n - 1)) and 0 < tokens[n - 1] <= packing.STEP
+    assert [max(tiers[g]) for g in range(n)] == sorted((max(tiers[g]) for g in range(n)), reverse=True)
+    assert sum(len(t) > 1 for t in tiers.values()) < 4
+    groups = defaultdict(set)
+    for r in got:
+        groups[r.sequence_id].add(r.step_group)
+    assert all(len(g) == 1 for g in groups.values())
