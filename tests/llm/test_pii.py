@@ -1,3 +1,4 @@
+import random
 import re
 
 from lectern.llm import pii
@@ -69,3 +70,29 @@ def test_reliabilities_favour_agreement():
 def test_odd_rows(docs):
     assert pii.find_personal_data(docs(odd_rows())).count() == len(odd_rows())
     assert pii.find_personal_data(docs([])).count() == 0
+
+
+def test_spans_apart_like_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    span = "array<struct<start:long,end:long,kind:string>>"
+    rows = []
+    for i in range(400):
+        make = lambda k: [(a := rng.randint(0, 40), a + rng.randint(1, 8), f"{k}{j}") for j in range(rng.randint(0, 7))]
+        rows.append((i, make("f"), make("m")))
+    df = spark.createDataFrame(rows, f"i long, f {span}, m {span}")
+    got = {r.i: {s.kind for s in r.x} for r in df.select("i", pii._apart(F.col("f"), F.col("m")).alias("x")).collect()}
+    for i, fixed, more in rows:
+        assert got[i] == {k for a, e, k in more if not any(b < e and a < c for b, c, _ in fixed)}
+
+
+def test_a_text_of_many_spans_takes_seconds(spark):
+    import time
+
+    text = " ".join(f"call (555) 123-{i % 9000 + 1000} or a{i}@b.example" for i in range(20_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    spans = pii.candidates(docs).selectExpr("size(base) AS b", "size(proposed) AS p").first()
+    assert spans.b >= 20_000 and spans.p == 20_000
+    assert time.time() - began < 40
