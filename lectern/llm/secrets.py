@@ -102,6 +102,12 @@ def _secret_value(text: str, span: tuple[int, int, int]) -> str:
     return m[2] if m else text[a:b]
 
 
+def _word(run: str) -> str | None:
+    """The word or number that stands alone between separators."""
+    word = run.strip(SEPARATORS)
+    return word if len(word) <= 15 and WORD.fullmatch(word) else None
+
+
 def _samples(text: str, spans: list[tuple[int, int, int]]) -> Iterator[str]:
     """The words and numbers of a text that stand alone, and the host names, that no span touches."""
     at, reach = 0, 0
@@ -114,7 +120,7 @@ def _samples(text: str, spans: list[tuple[int, int, int]]) -> Iterator[str]:
             continue
         if text[a - 1 : a] == "@" or text[max(a - 3, 0) : a] == "://":
             yield HOST.match(text, a, e)[0]
-        elif e - a <= 18 and WORD.fullmatch(word := m[0].strip(SEPARATORS)):
+        elif word := _word(m[0]):
             yield word
 
 
@@ -133,12 +139,16 @@ def transition_counts(docs: DataFrame) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = set()
+            found, runs = set(), set()
             for x in b.column("text"):
                 text = x.as_py() or ""
                 spans = base_spans(text)
+                if not spans and "@" not in text and "://" not in text:
+                    runs.update(RUN.findall(text))  # nothing to leave out: each different run is looked at once
+                    continue
                 found.update((1, _secret_value(text, s)) for s in spans)
                 found.update((0, w) for w in _samples(text, spans))
+            found.update((0, w) for r in runs if (w := _word(r)))
             columns = [pa.array([m for m, _ in found], pa.int64()), pa.array([t for _, t in found], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["model", "token"])
 
