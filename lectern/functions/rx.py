@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterable
 
@@ -45,10 +46,27 @@ def text_or_empty(value: Column) -> Column:
     return F.coalesce(value, F.lit(""))
 
 
-def position(value: Column, pattern: str, flags: str = "") -> Column:
-    """0-based offset of the first match, -1 if there is none."""
-    head = F.split(value, rx(pattern, flags), 2)
-    return F.when(matches(value, pattern, flags), F.length(head[0])).otherwise(F.lit(-1))
+def position(value: Column, pattern: Column) -> Column:
+    """0-based offset of the first match of a whole pattern, flags and all, -1 if there is none."""
+    head = F.split(value, pattern, 2)
+    return F.when(F.rlike(value, pattern), F.length(head[0])).otherwise(F.lit(-1))
+
+
+#: A pattern that matches nothing.
+NEVER = "(?!)"
+
+
+def of_language(lang: str | Column, values: dict, default, kind: str = "string") -> Column:
+    """The value of a language, which is given or in a column; of a SQL type, from plain Python values.
+
+    A rule that depends on the language is a value that is looked up, so that a
+    step is planned once and not once a language. The table is one constant:
+    thousands of literals would take longer to plan than to run.
+    """
+    constant = lambda x, t: F.lit(x) if t == "string" else F.from_json(F.lit(json.dumps(x)), t)
+    if isinstance(lang, str):
+        return constant(values.get(lang, default), kind)
+    return F.coalesce(F.try_element_at(constant(values, f"map<string,{kind}>"), lang), constant(default, kind))
 
 
 def let(value: Column, body) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from lectern.functions import dims
-from lectern.functions.rx import let, literal, matches, rewrite, rx, strip, sub, text_or_empty
+from lectern.functions.rx import NEVER, let, literal, matches, of_language, rewrite, rx, strip, sub, text_or_empty
 
 QUOTE_START, QUOTE_END, PAUSE, COMMENT = "__QSTART__", "__QEND__", "__PAUSE__", "__POPE__"
 
@@ -118,36 +118,49 @@ def detect_language(lang: Column | None, url: Column | None) -> Column:
     return F.when(asked.isin(*dims.LANGUAGES), asked).otherwise(found)
 
 
-def expand_cross_references(value: Column, lang: str) -> Column:
-    pairs = dims.CROSS_REFERENCES.get(lang, ())
-    return rewrite(text_or_empty(value), [(rf"(?<!\w){a}\.?(?!\w)", b, "i") for a, b in pairs])
+_RULES = "array<struct<key:string,name:string>>"
 
 
-def expand_books(value: Column, lang: str) -> Column:
-    """Book abbreviations to names: the longest first, case ignored, a dot after them taken along."""
-    value = text_or_empty(value)
-    keys = {short: rf"{short[0]}\s*{short[1:]}" if short[0].isdigit() else short for short, _ in dims.books(lang)}
-    if not keys:
-        return value
-    # one after the other, as a fold over the table: a chain of calls would be as deep as the table is long
-    rules = F.array(*[F.struct(F.lit(rx(rf"(?<!\w){keys[k]}\.?(?!\w)", "i")).alias("key"), F.lit(name).alias("name")) for k, name in dims.books(lang)])
-    some = rf"(?<!\w)(?:{'|'.join(keys.values())})\.?(?!\w)"
+def _table(rules: list[tuple[str, str]]) -> list[dict[str, str]]:
+    """Rules (pattern, replacement) as _RULES has them."""
+    return [{"key": a, "name": b} for a, b in rules]
+
+
+def _folded(value: Column, rules: Column) -> Column:
+    """The rules of an array applied one after the other: a chain of calls would be as deep as the array is long."""
+    return F.aggregate(rules, value, lambda text, r: F.regexp_replace(text, r["key"], r["name"]))
+
+
+def expand_cross_references(value: Column, lang: str | Column) -> Column:
+    rules = {c: _table([(rx(rf"(?<!\w){a}\.?(?!\w)", "i"), b) for a, b in pairs]) for c, pairs in dims.CROSS_REFERENCES.items()}
+    return _folded(text_or_empty(value), of_language(lang, rules, [], _RULES))
+
 
-    def named(v: Column) -> Column:
-        return F.aggregate(rules, v, lambda text, r: F.regexp_replace(text, r["key"], r["name"]))
+def _book_keys(lang: str) -> dict[str, str]:
+    """Abbreviation to its pattern."""
+    return {short: rf"{short[0]}\s*{short[1:]}" if short[0].isdigit() else short for short, _ in dims.books(lang)}
 
+
+def expand_books(value: Column, lang: str | Column) -> Column:
+    """Book abbreviations to names: the longest first, case ignored, a dot after them taken along."""
+    rules, some = {}, {}
+    for c in dims.BOOKS:
+        keys = _book_keys(c)
+        rules[c] = _table([(rx(rf"(?<!\w){keys[k]}\.?(?!\w)", "i"), name) for k, name in dims.books(c)])
+        some[c] = rx(rf"(?<!\w)(?:{'|'.join(keys.values())})\.?(?!\w)", "i")
     # few texts hold any, and value is worked out once
-    return let(value, lambda v: F.when(matches(v, some, "i"), named(v)).otherwise(v))
+    named = lambda v: _folded(v, of_language(lang, rules, [], _RULES))
+    return let(text_or_empty(value), lambda v: F.when(F.rlike(v, of_language(lang, some, NEVER)), named(v)).otherwise(v))
 
 
-def normalize_verses(value: Column, lang: str) -> Column:
+def normalize_verses(value: Column, lang: str | Column) -> Column:
     """Chapter and verse numbers as they are spoken."""
-    word = dims.RANGE_WORD.get(lang, "to")
+    spoken = F.concat(F.lit("$1 $2 "), of_language(lang, dims.RANGE_WORD, "to"), F.lit(" $3"))
     # fixed values
     rules = (
-        (r"(\d+),\s*(\d+)[a-z]\s*-\s*(\d+)", f"$1 $2 {word} $3"),
-        (r"(\d+)\s+(\d+)[a-z]\s*-\s*(\d+)", f"$1 $2 {word} $3"),
-        (r"(\d+),\s*(\d+)\s*-\s*(\d+)", f"$1 $2 {word} $3"),
+        (r"(\d+),\s*(\d+)[a-z]\s*-\s*(\d+)", spoken),
+        (r"(\d+)\s+(\d+)[a-z]\s*-\s*(\d+)", spoken),
+        (r"(\d+),\s*(\d+)\s*-\s*(\d+)", spoken),
         (r"(\d+),\s*(\d+)", "$1 $2"),
         (r"\b(\d+)[a-z]\b", "$1"),
     )
@@ -171,65 +184,72 @@ def balance_quotes(value: Column) -> Column:
     return let(F.split(text_or_empty(value), f"(?={QUOTE_START}|{QUOTE_END})"), balanced)
 
 
-def smooth(value: Column, lang: str = "it", flatten: bool = True) -> Column:
+#: Italian marks responses, and three languages write an accent as an apostrophe (fixed values).
+_RESPONSES = {"it": r"\bR\.[ \t]*"}
+_ACCENTS = ("it", "fr", "pt")
+
+
+def smooth(value: Column, lang: str | Column = "it", flatten: bool = True) -> Column:
     """Punctuation that makes a voice stumble is removed, quotes become markers."""
-    value = text_or_empty(value)
-    if lang == "it":
-        value = sub(value, r"\bR\.[ \t]*", "")
-    if lang in ("it", "fr", "pt"):
-        ends = r"'(?=[\s,;:.!?\"\[\]]|$)"
-        value = rewrite(value, [(f"{v}{ends}", w, "m") for v, w in zip("aeiouAEIOU", "àèìòùÀÈÌÒÙ", strict=True)])
+    value = F.regexp_replace(text_or_empty(value), of_language(lang, {c: rx(x) for c, x in _RESPONSES.items()}, NEVER), F.lit(""))
+    ends = r"'(?=[\s,;:.!?\"\[\]]|$)"
+    accents = _table([(rx(f"{v}{ends}", "m"), w) for v, w in zip("aeiouAEIOU", "àèìòùÀÈÌÒÙ", strict=True)])
+    value = _folded(value, of_language(lang, dict.fromkeys(_ACCENTS, accents), [], _RULES))
     value = rewrite(value, (*_QUOTES, *_PAUSES, _FLAT[flatten], *_ENDS))
     return strip(balance_quotes(value))
 
 
 def normalize(
-    value: Column, lang: str | None, flatten: bool = True, entities: bool = True
+    value: Column, lang: str | Column | None, flatten: bool = True, entities: bool = True
 ) -> Column:
     """Everything that turns markup into text to be spoken; without a language only the general steps."""
     value = normalize_punctuation(html_to_text(value, entities), flatten)
     return value if lang is None else localized(value, lang, flatten)
 
 
-def localized(value: Column, lang: str, flatten: bool = True) -> Column:
-    """The steps of normalize that depend on the language, for text that has been through the others."""
+def localized(value: Column, lang: str | Column, flatten: bool = True) -> Column:
+    """The steps of normalize that depend on the language, for text that has been through the others; null for rows whose
+    language, in a column, is none that is known."""
+    if isinstance(lang, Column):
+        return F.when(known_language(lang), _localized(value, lang, flatten))
+    return _localized(value, lang, flatten)
+
+
+def known_language(lang: Column) -> Column:
+    return F.coalesce(lang.isin(*dims.LANGUAGES), F.lit(False))
+
+
+def _localized(value: Column, lang: str | Column, flatten: bool) -> Column:
     for step in (expand_cross_references, expand_books, normalize_verses):
         value = step(value, lang)
     return smooth(value, lang, flatten)
 
 
-def by_language(lang: Column, make, otherwise: Column | None = None) -> Column:
-    """make(language) for rows of a known language, otherwise (null if not given) for others."""
-    out = F
-    for code in dims.LANGUAGES:
-        out = out.when(lang == code, make(code))
-    return out if otherwise is None else out.otherwise(otherwise)
-
-
-def strip_header_verses(line: Column, lang: str) -> Column:
+def strip_header_verses(line: Column, lang: str | Column) -> Column:
     """Chapter and verse numbers cut from the end of a heading."""
-    word = dims.RANGE_WORD.get(lang, "to")
     numbers = r"\s++\d++(?:\s++\d++)*+"  # possessive, so that no number of numbers is too deep
-    cut = sub(line, rf"(?<!\s){numbers}(?:\s++{word}{numbers})?+\s*$", "", "i")
+    ends = lambda word: rx(rf"(?<!\s){numbers}(?:\s++{word}{numbers})?+\s*$", "i")
+    pattern = of_language(lang, {c: ends(w) for c, w in dims.RANGE_WORD.items()}, ends("to"))
+    cut = F.regexp_replace(line, pattern, F.lit(""))
     return strip(F.when(matches(line, r"\d\s*$"), cut).otherwise(line))
 
 
-def strip_inline_verses(value: Column, lang: str) -> Column:
+def strip_inline_verses(value: Column, lang: str | Column) -> Column:
     """Book name with chapter and verse taken out of running text."""
-    names = sorted({name for _, name in dims.books(lang)}, key=lambda n: (-len(n), n))
-    if not names:
-        return value
-    word = dims.RANGE_WORD.get(lang, "to")
-    some = "|".join(literal(n) for n in names)
-    cut = sub(value, rf"\b(?:{some})\s+\d+\s+\d+(?:\s+{word}\s+\d+)?\b", " ", "i")
+
+    def pattern(c: str) -> str:
+        names = sorted({name for _, name in dims.books(c)}, key=lambda n: (-len(n), n))
+        return rx(rf"\b(?:{'|'.join(map(literal, names))})\s+\d+\s+\d+(?:\s+{dims.RANGE_WORD[c]}\s+\d+)?\b", "i")
+
+    cut = F.regexp_replace(value, of_language(lang, {c: pattern(c) for c in dims.BOOKS}, NEVER), F.lit(" "))
     return strip(sub(cut, r"[ \t]{2,}", " "))
 
 
-def plain_speech(value: Column, lang: str, entities: bool = True) -> Column:
+def plain_speech(value: Column, lang: str | Column, entities: bool = True) -> Column:
     """Text for voices that know no markers."""
     spoken = normalize(value, lang, flatten=False, entities=entities)
-    spoken = F.when(spoken.startswith(COMMENT), strip(F.substring(spoken, len(COMMENT) + 1, F.length(spoken)))).otherwise(spoken)
-    spoken = F.replace(spoken, F.lit(PAUSE), F.lit("."))
+    said = lambda x: F.when(x.startswith(COMMENT), strip(F.substring(x, len(COMMENT) + 1, F.length(x)))).otherwise(x)
+    spoken = F.replace(let(spoken, said), F.lit(PAUSE), F.lit("."))
     for marker in (QUOTE_START, QUOTE_END):
         spoken = F.replace(spoken, F.lit(marker))
     return strip(rewrite(spoken, _PLAIN))
@@ -344,10 +364,5 @@ def is_navigation(heading: Column) -> Column:
 
 
 def is_saint_link(href: Column, lang: str | Column) -> Column:
-    if isinstance(lang, Column):
-        return F.coalesce(by_language(lang, lambda c: is_saint_link(href, c)), F.lit(False))
-    known = dims.SAINT_PAGES.get(lang)
-    if known is None:
-        return F.lit(False)
-    return F.coalesce(matches(href, rf"/{lang}/{literal(known[0])}/\d{{2}}/\d{{2}}/.+\.html"), F.lit(False))
-
+    patterns = {c: rx(rf"/{c}/{literal(known[0])}/\d{{2}}/\d{{2}}/.+\.html") for c, known in dims.SAINT_PAGES.items()}
+    return F.coalesce(F.rlike(href, of_language(lang, patterns, NEVER)), F.lit(False))

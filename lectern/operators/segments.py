@@ -11,13 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import dims
-from lectern.functions.rx import let, literal, matches, position, rx, strip, sub, text_or_empty
+from lectern.functions.rx import NEVER, let, literal, matches, of_language, position, rx, strip, sub, text_or_empty
 from lectern.functions.text import (
     COMMENT,
-    by_language,
     expand_books,
     expand_cross_references,
     html_to_text,
+    known_language,
     normalize_punctuation,
     normalize_verses,
     smooth,
@@ -35,7 +35,7 @@ _BARE = (
 _LONGEST_ATTRIBUTION, _LONGEST_LABEL = 120, 55
 
 
-def _spoken(plain: Column, lang: str, flatten: bool) -> Column:
+def _spoken(plain: Column, lang: str | Column, flatten: bool) -> Column:
     """normalize() for text that is free of markup already."""
     value = normalize_punctuation(plain, flatten)
     for step in (expand_cross_references, expand_books, normalize_verses):
@@ -48,9 +48,13 @@ def text_lines(value: Column) -> Column:
     return F.filter(F.transform(F.split(text_or_empty(value), "\n"), strip), lambda x: x != "")
 
 
-def line_index(lines: Column, pattern: str) -> Column:
+def line_index(lines: Column, pattern: Column) -> Column:
     """0-based index of the first line that has the pattern, -1 if none."""
-    return F.array_position(F.transform(lines, lambda x: matches(x, pattern, "i")), True).cast("int") - 1
+    return F.array_position(F.transform(lines, lambda x: F.rlike(x, pattern)), True).cast("int") - 1
+
+
+def _patterns(table: dict[str, str], flags: str = "i") -> dict[str, str]:
+    return {c: rx(x, flags) for c, x in table.items()}
 
 
 def attribution_at_end(line: Column) -> Column:
@@ -76,20 +80,18 @@ def attribution_line(lines: Column) -> Column:
     return F.get(F.filter(F.transform(lines, judged), lambda x: x["meta"].isNotNull()), F.lit(0))
 
 
-def is_bare_reference(line: Column, lang: str) -> Column:
+def is_bare_reference(line: Column, lang: str | Column) -> Column:
     """Whether a line is nothing but a book reference or verse numbers."""
     text = strip(line)
-    names = "|".join(literal(n.lower()) for _, n in dims.books(lang)) or r"(?!)"
-    book = rf"^(?:{names})(?:$|(?=[^\d]*\d){_VERSE}+$)"
-    return (text != "") & (matches(text, _BARE) | matches(F.lower(text), book))
+    names = {c: "|".join(literal(n.lower()) for _, n in dims.books(c)) for c in dims.BOOKS}
+    books = _patterns({c: rf"^(?:{x})(?:$|(?=[^\d]*\d){_VERSE}+$)" for c, x in names.items()}, "")
+    return (text != "") & (matches(text, _BARE) | F.rlike(F.lower(text), of_language(lang, books, NEVER)))
 
 
-def clean_section(section: Column, lang: str) -> Column:
+def clean_section(section: Column, lang: str | Column) -> Column:
     """A section without verse numbers in its headings, bare references and stray labels."""
-    marks = dims.SECTION_MARKS.get(lang, {})
-    labels = [a.lstrip("^") for group in marks.values() for a in group]
-    labels += [dims.ORDINAL_LABELS[lang]] if lang in dims.ORDINAL_LABELS else []
-    label = rx(f"^(?:{'|'.join(labels) or '(?!)'})", "i")
+    labels = {c: [*(a.lstrip("^") for group in marks.values() for a in group), dims.ORDINAL_LABELS[c]] for c, marks in dims.SECTION_MARKS.items()}
+    label = of_language(lang, _patterns({c: f"^(?:{'|'.join(x)})" for c, x in labels.items()}), NEVER)
     headed = F.transform(
         F.split(text_or_empty(section), "\n"), lambda x, i: F.when(i < 2, strip_header_verses(x, lang)).otherwise(x)
     )
@@ -97,22 +99,19 @@ def clean_section(section: Column, lang: str) -> Column:
 
     def stray(line: Column, i: Column) -> Column:
         text = strip(line)
-        whole = (text != "") & (F.length(text) < _LONGEST_LABEL) & (F.regexp_extract(text, label, 0) == text)
+        whole = (text != "") & (F.length(text) < _LONGEST_LABEL) & (F.call_function("regexp_extract", text, label, F.lit(0)) == text)
         return (i > 0) & (i < 5) & whole
 
     return strip(F.array_join(F.filter(kept, lambda x, i: ~stray(x, i)), "\n"))
 
 
-def inline_position(text: Column, alternatives: tuple[str, ...]) -> Column:
-    """Offset of the first alternative that occurs anywhere, tried in order; -1 if none does."""
-    out = F.lit(-1)
-    for a in reversed(alternatives):
-        bare = a.lstrip("^")
-        out = F.when(matches(text, bare, "i"), position(text, bare, "i")).otherwise(out)
-    return out
+def inline_position(text: Column, alternatives: Column) -> Column:
+    """Offset of the first alternative (an array of patterns) that occurs anywhere, tried in order; -1 if none does."""
+    tried = lambda at, a: F.when(at >= 0, at).when(F.rlike(text, a), position(text, a)).otherwise(at)
+    return F.aggregate(alternatives, F.lit(-1), tried)
 
 
-def without_attribution(text: Column, meta: Column, lang: str) -> Column:
+def without_attribution(text: Column, meta: Column, lang: str | Column) -> Column:
     """A comment's text without the attribution at its end."""
 
     def before_last(x: Column) -> Column:
@@ -132,42 +131,59 @@ def without_attribution(text: Column, meta: Column, lang: str) -> Column:
     return F.when(meta.isNull() | (text == ""), text).otherwise(let(_spoken(text_or_empty(meta), lang, True), cut))
 
 
-def comment_header(meta: Column, lang: str) -> Column:
-    label, title = dims.COMMENT_LABELS.get(lang, dims.COMMENT_LABELS["it"])
+def comment_header(meta: Column, lang: str | Column) -> Column:
+    label, title = (of_language(lang, {c: v[i] for c, v in dims.COMMENT_LABELS.items()}, dims.COMMENT_LABELS["it"][i]) for i in range(2))
     name = F.replace(strip(meta), F.lit(" - "), F.lit(", "))
-    named = F.when(matches(name, dims.POPE_TITLE, "i"), name).otherwise(F.concat(F.lit(f"{title} "), name))
-    return F.concat(F.lit(f"{COMMENT} {label} "), named, F.lit("."))
+    named = F.when(matches(name, dims.POPE_TITLE, "i"), name).otherwise(F.concat_ws(" ", title, name))
+    return F.concat(F.concat_ws(" ", F.lit(COMMENT), label, named), F.lit("."))
 
 
-def _with_body(header: Column, body: Column, lang: str) -> Column:
+def _with_body(header: Column, body: Column, lang: str | Column) -> Column:
     return F.when(body == "", header).otherwise(F.concat(header, F.lit("\n"), strip_inline_verses(body, lang)))
 
 
+#: How a part of a text becomes a section: as it is, cleaned, or as the body of a comment.
+_WHOLE, _READ, _COMMENT = "whole", "read", "comment"
+
+
+def _part(how: str, text: Column) -> Column:
+    return F.struct(F.lit(how).alias("how"), text.alias("text"))
+
+
+def _finished(parts: Column, meta: Column, lang: str | Column) -> Column:
+    """The sections of an array of parts, without those that end up empty."""
+    done = lambda p: F.when(p["how"] == _READ, clean_section(p["text"], lang)).when(
+        p["how"] == _COMMENT, _with_body(comment_header(meta, lang), p["text"], lang)
+    ).otherwise(p["text"])
+    return F.filter(F.transform(parts, done), lambda s: s != "")
+
+
 def _between(text: Column, start: Column, end: Column) -> Column:
     return strip(F.substring(text, start + 1, end - start))
 
 
-def _listed(*sections: Column) -> Column:
-    return F.filter(F.array(*sections), lambda s: s.isNotNull() & (s != ""))
+def _listed(*parts: Column) -> Column:
+    return F.filter(F.array(*parts), lambda p: p["text"].isNotNull())
 
 
-def flat_sections(flat: Column, meta: Column, lang: str) -> Column:
-    """Sections of a one-paragraph text, by the positions of their marks."""
-    marks = dims.SECTION_MARKS[lang]
-    places = F.struct(*[inline_position(flat, marks[k]).alias(k) for k in ("first", "second", "psalm", "gospel")])
+def flat_parts(flat: Column, meta: Column, lang: str | Column) -> Column:
+    """Parts of a one-paragraph text, by the positions of their marks; none without a gospel."""
+    kinds = ("first", "second", "psalm", "gospel")
+    bare = lambda c, k: [rx(a.lstrip("^"), "i") for a in dims.SECTION_MARKS[c][k]]
+    marks = {k: of_language(lang, {c: bare(c, k) for c in dims.SECTION_MARKS}, [], "array<string>") for k in kinds}
+    places = F.struct(*[inline_position(flat, marks[k]).alias(k) for k in kinds])
 
     def gospel_and_comment(raw: Column) -> list[Column]:
         """(end of the gospel, body of the comment) if there is a comment."""
-        closing, opening = dims.CLOSING[lang], dims.OPENING[lang]
-        after = position(raw, closing, "i") + F.length(F.regexp_extract(raw, rx(closing, "i"), 0))
-        begins = position(raw, opening, "i")
+        closing, opening = (of_language(lang, _patterns(x), NEVER) for x in (dims.CLOSING, dims.OPENING))
+        after = position(raw, closing) + F.length(F.call_function("regexp_extract", raw, closing, F.lit(0)))
+        begins = position(raw, opening)
         rest = sub(F.substring(raw, after + 1, F.length(raw)), r"^[\s.,;:]+", "")
-        closed, opened = matches(raw, closing, "i"), matches(raw, opening, "i")
-        whole = without_attribution(raw, meta, lang)
-        end = F.when(closed, after).when(opened, begins).otherwise(F.length(whole))
-        body = F.when(closed, without_attribution(rest, meta, lang)).when(
-            opened, without_attribution(strip(F.substring(raw, begins + 1, F.length(raw))), meta, lang)
-        )
+        closed, opened = F.rlike(raw, closing), F.rlike(raw, opening)
+        begun = strip(F.substring(raw, begins + 1, F.length(raw)))
+        bare = without_attribution(F.when(closed, rest).when(opened, begun).otherwise(raw), meta, lang)
+        end = F.when(closed, after).when(opened, begins).otherwise(F.length(bare))
+        body = F.when(closed | opened, bare)
         return [end, F.coalesce(body, F.lit(""))]
 
     def made(p: Column) -> Column:
@@ -181,40 +197,47 @@ def flat_sections(flat: Column, meta: Column, lang: str) -> Column:
             end, body = gospel_and_comment(raw)
             gospel = F.when(meta.isNull(), strip(raw)).otherwise(strip(F.left(raw, end)))
             return _listed(
-                clean_section(_between(flat, first, first_end), lang),
-                F.when(second, clean_section(_between(flat, p["second"], second_end), lang)),
-                clean_section(gospel, lang),
-                F.when(meta.isNotNull(), _with_body(comment_header(meta, lang), body, lang)),
+                _part(_READ, _between(flat, first, first_end)),
+                _part(_READ, F.when(second, _between(flat, p["second"], second_end))),
+                _part(_READ, gospel),
+                _part(_COMMENT, F.when(meta.isNotNull(), body)),
             )
 
-        sections = let(F.substring(flat, p["gospel"] + 1, F.length(flat)), with_gospel)
-        return F.when((p["gospel"] < 0) | (F.size(sections) == 0), F.array(flat)).otherwise(sections)
+        parts = let(F.substring(flat, p["gospel"] + 1, F.length(flat)), with_gospel)
+        return F.when(p["gospel"] < 0, F.array(_part(_WHOLE, flat))).otherwise(parts)
 
     return let(places, made)
 
 
-def sections_of(plain: Column, lang: str = "it", faithful: bool = False) -> Column:
+def sections_of(plain: Column, lang: str | Column = "it", faithful: bool = False) -> Column:
     """The sections (array of text) of a description without markup.
 
     faithful=True keeps a known fault: if the attribution is a line of its own
     at the end and falls away in normalization, the line before it is lost.
     """
-    marks = {k: "|".join(v) for k, v in dims.SECTION_MARKS[lang].items()}
+    marks = {
+        k: of_language(lang, _patterns({c: "|".join(v[k]) for c, v in dims.SECTION_MARKS.items()}), NEVER) for k in ("first", "second", "psalm", "gospel")
+    }
 
     def found(source: Column) -> Column:
         last = F.coalesce(F.get(source, F.size(source) - 1), F.lit(""))
 
         def attributed(end: Column) -> Column:
             alone = F.when(end["meta"].isNull(), attribution_line(source))
-            return let(
-                F.struct(
-                    F.coalesce(end["meta"], alone["meta"]).alias("meta"),
-                    (end["meta"].isNull() & alone.isNotNull()).alias("alone"),
-                    F.when(end["meta"].isNotNull(), end["body"]).otherwise("").alias("body"),
-                    (F.lit(faithful) | (_spoken(last, lang, True) != "")).alias("shown"),
-                ),
-                by_lines,
-            )
+            body = F.when(end["meta"].isNotNull(), end["body"]).otherwise("")
+
+            def judged(spoken: Column) -> Column:
+                return let(
+                    F.struct(
+                        F.coalesce(end["meta"], alone["meta"]).alias("meta"),
+                        (end["meta"].isNull() & alone.isNotNull()).alias("alone"),
+                        spoken[1].alias("body"),
+                        (F.lit(faithful) | (spoken[0] != "")).alias("shown"),
+                    ),
+                    by_lines,
+                )
+
+            return let(F.transform(F.array(last, body), lambda x: _spoken(x, lang, True)), judged)
 
         return let(attribution_at_end(last), attributed)
 
@@ -223,7 +246,7 @@ def sections_of(plain: Column, lang: str = "it", faithful: bool = False) -> Colu
 
     def with_lines(a: Column, lines: Column) -> Column:
         at = F.struct(*[line_index(lines, p).alias(k) for k, p in marks.items()])
-        flat = flat_sections(F.array_join(lines, " "), a["meta"], lang)
+        flat = F.array_join(lines, " ")
 
         def made(p: Column) -> Column:
             first = F.when(p["first"] < 0, 0).otherwise(p["first"])
@@ -237,24 +260,23 @@ def sections_of(plain: Column, lang: str = "it", faithful: bool = False) -> Colu
             )
             joined = lambda x, y: strip(F.array_join(F.slice(lines, x + 1, F.greatest(F.lit(0), y - x)), "\n"))
             gospel = joined(p["gospel"], end)
-            if lang == "it":
-                start = position(gospel, r"dal\s+vangelo", "i")
-                gospel = F.when(start >= 0, F.substring(gospel, start + 1, F.length(gospel))).otherwise(gospel)
+            start = position(gospel, of_language(lang, _patterns({"it": r"dal\s+vangelo"}), NEVER))
+            gospel = F.when(start >= 0, F.substring(gospel, start + 1, F.length(gospel))).otherwise(gospel)
             after = strip(F.array_join(F.slice(lines, apart + 2, n), " "))
-            body = F.when(apart >= 0, after).otherwise(_spoken(a["body"], lang, True))
-            sections = _listed(
-                clean_section(joined(first, first_end), lang),
-                F.when(second, clean_section(joined(p["second"], second_end), lang)),
-                clean_section(gospel, lang),
-                F.when(a["meta"].isNotNull(), _with_body(comment_header(a["meta"], lang), body, lang)),
+            body = F.when(apart >= 0, after).otherwise(a["body"])
+            parts = _listed(
+                _part(_READ, joined(first, first_end)),
+                _part(_READ, F.when(second, joined(p["second"], second_end))),
+                _part(_READ, gospel),
+                _part(_COMMENT, F.when(a["meta"].isNotNull(), body)),
             )
             lined = (p["gospel"] >= 0) & ((p["first"] < 0) | (p["first"] < p["gospel"]))
-            return (
-                F.when(F.size(lines) == 0, F.array(_spoken(plain, lang, False)))
-                .when(~lined, flat)
-                .when(F.size(sections) == 0, F.array(F.array_join(lines, "\n")))
-                .otherwise(sections)
+            found = F.when(F.size(lines) == 0, F.array(_part(_WHOLE, F.lit("")))).when(lined, parts).otherwise(
+                let(flat, lambda x: flat_parts(x, a["meta"], lang))
             )
+            # a text that no section is left of stays whole
+            whole = F.array(F.when(lined, F.array_join(lines, "\n")).otherwise(flat))
+            return let(_finished(found, a["meta"], lang), lambda x: F.when(F.size(x) == 0, whole).otherwise(x))
 
         return let(at, made)
 
@@ -267,11 +289,8 @@ def segment(df: DataFrame, text: str = "description", lang: str = "lang", faithf
     kind is ``comment`` or ``section``; a comment's marker is cut off.
     """
     staged = df.withColumn("_plain", html_to_text(F.col(text)))
-    texts = by_language(
-        F.col(lang),
-        lambda code: sections_of(F.col("_plain"), code, faithful),
-        F.array(normalize_punctuation(F.col("_plain"), False)),
-    )
+    whole = F.array(normalize_punctuation(F.col("_plain"), False))
+    texts = F.when(known_language(F.col(lang)), sections_of(F.col("_plain"), F.col(lang), faithful)).otherwise(whole)
     shaped = F.transform(
         texts,
         lambda s, i: F.struct(
@@ -283,16 +302,16 @@ def segment(df: DataFrame, text: str = "description", lang: str = "lang", faithf
     return staged.withColumn("segments", shaped).drop("_plain")
 
 
-def split_readings(plain: Column, lang: str) -> Column:
+def split_readings(plain: Column, lang: str | Column) -> Column:
     """(first, second) reading of a day page's reading section, without the psalm; second is empty if there is one."""
-    psalm, second, first = dims.DAY_MARKS[lang]
-    p, s = position(plain, psalm, "i"), position(plain, second, "i")
+    mark = lambda i, flags="i", around="{}": of_language(lang, _patterns({c: around.format(v[i]) for c, v in dims.DAY_MARKS.items()}, flags), NEVER)
+    p, s = position(plain, mark(0)), position(plain, mark(1))
     n = F.length(plain)
     pair = lambda a, b: F.struct(strip(a).alias("first"), strip(b).alias("second"))
     psalm_at = F.when(p < 0, n).otherwise(p)
     # the second place where a first reading begins
-    again = F.split(plain, rx(f"(?=(?:{first}))", "im"))
-    begun = F.filter(again, lambda x: matches(x, f"^(?:{first})", "im"))
+    again = F.split(plain, mark(2, "im", "(?=(?:{}))"))
+    begun = F.filter(again, lambda x: F.rlike(x, mark(2, "im", "^(?:{})")))
     head = F.when(
         F.size(begun) >= 2, F.length(F.array_join(F.slice(again, 1, F.size(again) - F.size(begun) + 1), ""))
     )
@@ -308,7 +327,7 @@ def split_readings(plain: Column, lang: str) -> Column:
 
 def cut_at(text: Column, pattern: str) -> Column:
     """(before, from): the text parted where the pattern first occurs; all of it before if it does not."""
-    at = position(text, pattern, "i")
+    at = position(text, F.lit(rx(pattern, "i")))
     whole = F.length(text)
     return F.struct(
         strip(F.when(at < 0, text).otherwise(F.substring(text, 1, at))).alias("before"),
@@ -316,7 +335,7 @@ def cut_at(text: Column, pattern: str) -> Column:
     )
 
 
-def comment_section(plain: Column, lang: str) -> Column:
+def comment_section(plain: Column, lang: str | Column) -> Column:
     """The comment of a day page: its body is what stands before the attribution. Null without an attribution."""
 
     def made(lines: Column) -> Column:

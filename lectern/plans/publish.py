@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import dims
 from lectern.functions.rx import strip, text_or_empty
-from lectern.functions.text import by_language, file_name, html_to_text, localized, month_name, normalize, normalize_punctuation, plain_speech, rfc822, spoken_date
+from lectern.functions.text import file_name, html_to_text, localized, month_name, normalize, normalize_punctuation, plain_speech, rfc822, spoken_date
 from lectern.operators import ledger as L
 from lectern.operators import segments as S
 from lectern.plans.batch import local_copy_name
@@ -35,33 +35,33 @@ def day_episodes(pages: DataFrame, site: str) -> DataFrame:
     heads = F.array(*[
         F.struct(F.lit(i).alias("kind"), F.lower(_of(lang, {c: v[i + 1] for c, v in dims.DAY_PAGES.items()})).alias("word")) for i in range(3)
     ])
-    found = P.sections(pages.withColumn("_key", F.struct("page_id", "lang")), key="_key").select("_key.*", "ord", "heading", "section")
+    found = P.sections(pages.withColumn("_key", F.struct("page_id", "lang")), key="_key").select("_key.*", "ord", "heading", F.col("read").alias("section"))
     kinds = F.filter(heads, lambda h: F.contains(F.lower("heading"), h["word"]))
     each = found.select("page_id", "lang", "ord", "section", F.explode(kinds).alias("k"))
     first = each.groupBy("page_id", "lang", F.col("k.kind").alias("kind")).agg(F.min_by("section", "ord").alias("section"))
-    plain = first.select("page_id", "lang", "kind", P.section_text(F.col("section")).alias("_plain"))
-    both = by_language(lang, lambda c: S.split_readings(F.col("_plain"), c))
+    plain = first.select("page_id", "lang", "kind", html_to_text(F.col("section")).alias("_plain"))
+    both = S.split_readings(F.col("_plain"), lang)
     whole = lambda x: F.struct(x.alias("first"), F.lit("").alias("second"))
-    said = F.when(F.col("kind") == 0, both).when(F.col("kind") == 2, whole(by_language(lang, lambda c: S.comment_section(F.col("_plain"), c)))).otherwise(
+    said = F.when(F.col("kind") == 0, both).when(F.col("kind") == 2, whole(S.comment_section(F.col("_plain"), lang))).otherwise(
         whole(F.col("_plain"))
     )
     # written, so that each step is worked out once, and planned once
     parts = written(plain.select("page_id", "lang", "kind", said.alias("s")), "day-parts")
     rows = parts.select("page_id", "lang", "kind", F.posexplode(F.array("s.first", "s.second")).alias("nth", "text"))
     spoken = normalize_punctuation(text_or_empty(F.col("text")), False)
-    localized_ = rows.withColumn("spoken", F.when(F.col("kind") < 2, spoken)).withColumn("spoken", by_language(lang, lambda c: localized(F.col("spoken"), c, False)))
+    localized_ = rows.withColumn("spoken", F.when(F.col("kind") < 2, spoken)).withColumn("spoken", localized(F.col("spoken"), lang, False))
     cleaned = localized_.withColumn(
-        "text", F.when(F.col("kind") < 2, by_language(lang, lambda c: S.clean_section(F.col("spoken"), c))).otherwise(text_or_empty(F.col("text")))
+        "text", F.when(F.col("kind") < 2, S.clean_section(F.col("spoken"), lang)).otherwise(text_or_empty(F.col("text")))
     )
     one = F.struct("kind", "nth", "text")
     grouped = cleaned.where(strip("text") != "").groupBy(F.col("page_id").alias("_page")).agg(F.sort_array(F.collect_list(one)).alias("_parts"))
     day = F.col("day")
     titled = pages.select(
-        "page_id", "lang", "day", P.title(F.col("nodes"), html_to_text(F.col("html")), day, lang, month_name(day, lang)).alias("_title")
+        "page_id", "lang", "day", P.title(F.col("nodes"), F.col("pieces"), html_to_text(F.col("html")), day, lang, month_name(day, lang)).alias("_title")
     ).withColumn("_title", normalize(F.col("_title"), None))
     slug = _of(lang, {c: v[0] for c, v in dims.DAY_PAGES.items()})
     return titled.join(grouped, F.col("page_id") == F.col("_page"), "left").select(
-        "page_id", "lang", "day", by_language(lang, lambda c: localized(F.col("_title"), c)).alias("title"),
+        "page_id", "lang", "day", localized(F.col("_title"), lang).alias("title"),
         F.coalesce(F.transform("_parts", lambda x: x["text"]), F.array().cast("array<string>")).alias("segments"),
         F.concat_ws("/", F.lit(site), lang, slug, F.date_format(day, "yyyy/MM/dd'.html'")).alias("guid"), rfc822(day.cast("timestamp")).alias("pub_date"),
     )
@@ -85,8 +85,8 @@ def saint_episodes(pages: DataFrame, details: DataFrame, site: str, known: DataF
         "page_id", "lang", "ord", "name", normalize(F.col("name"), None).alias("_name"), normalize(life, None, flatten=False).alias("_life")
     )
     spoken = told.select(
-        "page_id", "ord", "name", by_language(lang, lambda c: localized(F.col("_name"), c)).alias("_name"),
-        by_language(lang, lambda c: localized(F.col("_life"), c, False)).alias("_life"),
+        "page_id", "ord", "name", localized(F.col("_name"), lang).alias("_name"),
+        localized(F.col("_life"), lang, False).alias("_life"),
     )
     one = F.struct("ord", "name", F.concat_ws("\n", "_name", "_life").alias("text"))
     grouped = spoken.groupBy("page_id").agg(F.transform(F.sort_array(F.collect_list(one)), lambda s: s["text"]).alias("segments"))

@@ -465,7 +465,7 @@ def page_title(spark, sf_dir):
     """The first heading of every page, as it reads."""
     found = pages.with_elements(spread(table(spark, sf_dir, "pages")))
     heading = F.get(F.filter("nodes", lambda n: n["tag"] == "h1"), F.lit(0))
-    return found.select("page_id", heading["text"].alias("title"))
+    return found.select("page_id", pages.text_of(F.col("pieces"), heading).alias("title"))
 
 
 def _layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -473,8 +473,8 @@ def _layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spread(table(spark, sf_dir, "pages")).select("page_id", F.concat(F.lit("Text "), F.col("page_id").cast("string"), F.lit(" &eacute;")).alias("b"))
     html = F.element_at(
         F.array(
-            F.concat(F.lit('<section class="section--isStatic"><div class="section__head"><h2>VANGELO DEL GIORNO</h2></div><div class="section__wrapper"><p>'), "b", F.lit("</p></div></section>")),
-            F.concat(F.lit("<div><h2>Vangelo del giorno</h2><div><p>"), "b", F.lit("</p></div></div>")),
+            F.concat(F.lit('<section class="section--isStatic"><div class="section__head"><h2>VANGELO DEL GIORNO</h2></div><div class="section__wrapper"><p>'), "b", F.lit("<span><b>Lc 4,24-30</b></span></p></div></section>")),
+            F.concat(F.lit("<div><h2>Vangelo del giorno</h2><div><p>"), "b", F.lit("<sup><small>Mt 5,1</small></sup></p><span>2Re 5, 1-15a</span></div></div>")),
             F.concat(F.lit("<div><h1>x</h1><h2>vangelo del giorno</h2><p>"), "b", F.lit("</p><h2>Altro</h2><p>n</p></div>")),
         ),
         (F.col("page_id") % 3 + 1).cast("int"),
@@ -484,8 +484,9 @@ def _layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT page_id, 'Text ' || page_id || ' é' AS text FROM pages")
 def page_sections(spark, sf_dir):
+    """Sections of three layouts, without the elements that hold nothing but a verse reference."""
     found = pages.find_section(pages.sections(_layouts(spark, sf_dir)), "VANGELO DEL GIORNO")
-    return found.select("page_id", pages.section_text(F.col("section")).alias("text"))
+    return found.select("page_id", T.html_to_text(F.col("read")).alias("text"))
 
 
 @query("""
@@ -511,7 +512,7 @@ def smooth_text(spark, sf_dir):
 @query()
 def normalize_full(spark, sf_dir):
     docs = spread(table(spark, sf_dir, "documents")).withColumn("_plain", T.html_to_text(F.col("text")))
-    spoken = T.by_language(F.col("lang"), lambda c: S._spoken(F.col("_plain"), c, True))
+    spoken = S._spoken(F.col("_plain"), F.col("lang"), True)
     return docs.select("doc_id", spoken.alias("text"))
 
 

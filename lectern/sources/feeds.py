@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.rx import text_or_empty
-from lectern.functions.text import by_language, detect_language, html_to_text, localized, normalize, sanitize
+from lectern.functions.text import detect_language, html_to_text, localized, normalize, sanitize
 
 ITEM = (
     "title string, description string, `itunes:summary` string, pubDate string, "
@@ -63,7 +63,7 @@ def entries(items: DataFrame, feed: str = "feed", pos: str = "pos", lang: Column
     lang = detect_language(None, F.col(feed)) if lang is None else lang
     # markup and references are resolved once for all languages
     plain = items.withColumn("title", normalize(F.col("title"), None, flatten=False))
-    spoken = by_language(lang, lambda c: localized(F.col("title"), c, False), F.col("title"))
+    spoken = F.coalesce(localized(F.col("title"), lang, False), "title")
     return plain.select(
         feed, pos, spoken.alias("title"), html_to_text(first_text(F.col("summary"), F.col("description"))).alias("summary"),
         text_or_empty(F.col("link")).alias("link"), text_or_empty(F.col("published")).alias("pub_date"), lang.alias("lang"),

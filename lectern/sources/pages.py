@@ -14,15 +14,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from lectern.functions import dims
-from lectern.functions.rx import let, strip, sub, text_or_empty
+from lectern.functions.rx import let, matches, strip, sub
 from lectern.functions.text import html_to_text, is_navigation, is_saint_link, name_slug, title_case
 
 #: ord (order of opening), end (ord after the last element inside), parent (-1: none), place in the source
-#: (start, stop: code points), space-joined stripped text.
+#: (start, stop: code points), pieces of text inside (first, and the one after the last).
 ELEMENT = StructType(
-    [StructField(n, IntegerType()) for n in ("ord", "end", "parent", "start", "stop")]
-    + [StructField(n, StringType()) for n in ("tag", "cls", "href", "text")]
+    [StructField(n, IntegerType()) for n in ("ord", "end", "parent", "start", "stop", "first", "last")]
+    + [StructField(n, StringType()) for n in ("tag", "cls", "href")]
 )
+#: The elements of a page and the pieces of its text, stripped, in document order. A piece is kept once, however many
+#: elements it lies in, so that a page takes no more room than its source.
+PAGE = StructType([StructField("nodes", ArrayType(ELEMENT)), StructField("pieces", ArrayType(StringType()))])
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _UNREAD = ("script", "style")
 
@@ -33,7 +36,9 @@ class _Elements(HTMLParser):
     def __init__(self, source: str) -> None:
         super().__init__(convert_charrefs=True)
         self.rows: list[dict] = []
+        self.pieces: list[str] = []
         self.open: list[int] = []
+        self.depths: dict[str, list[int]] = {}  # of the open elements of each tag
         self.lines = [0]
         for line in source.split("\n"):
             self.lines.append(self.lines[-1] + len(line) + 1)
@@ -42,8 +47,6 @@ class _Elements(HTMLParser):
         self.close()
         while self.open:
             self._shut(self.size)
-        for row in self.rows:
-            row["text"] = " ".join(row["text"])
 
     def _here(self) -> int:
         line, column = self.getpos()
@@ -51,19 +54,21 @@ class _Elements(HTMLParser):
 
     def _shut(self, stop: int) -> None:
         row = self.rows[self.open.pop()]
-        row["stop"], row["end"] = stop, len(self.rows)
+        self.depths[row["tag"]].pop()
+        row["stop"], row["end"], row["last"] = stop, len(self.rows), len(self.pieces)
 
     def handle_starttag(self, tag, attrs):
         found, parent = dict(attrs), self.open[-1] if self.open else -1
-        at = self._here()
+        at, n = self._here(), len(self.pieces)
         self.rows.append(
             {
                 "ord": len(self.rows), "end": len(self.rows) + 1, "parent": parent, "tag": tag,
                 "cls": found.get("class") or "", "href": found.get("href"), "start": at,
-                "stop": at + len(self.get_starttag_text()), "text": [],
+                "stop": at + len(self.get_starttag_text()), "first": n, "last": n,
             }
         )
         if tag not in _VOID:
+            self.depths.setdefault(tag, []).append(len(self.open))
             self.open.append(len(self.rows) - 1)
 
     def handle_startendtag(self, tag, attrs):
@@ -72,10 +77,10 @@ class _Elements(HTMLParser):
             self._shut(self._here() + len(self.get_starttag_text()))
 
     def handle_endtag(self, tag):
-        depth = next((i for i in reversed(range(len(self.open))) if self.rows[self.open[i]]["tag"] == tag), None)
-        if depth is None:
+        depths = self.depths.get(tag)
+        if not depths:
             return
-        at = self._here()
+        at, depth = self._here(), depths[-1]
         while len(self.open) > depth + 1:
             self._shut(at)
         self._shut(at + len(tag) + 3)
@@ -83,19 +88,28 @@ class _Elements(HTMLParser):
     def handle_data(self, data):
         piece = data.strip()
         if piece and not (self.open and self.rows[self.open[-1]]["tag"] in _UNREAD):
-            for i in self.open:
-                self.rows[i]["text"].append(piece)
+            self.pieces.append(piece)
 
 
-@F.pandas_udf(ArrayType(ELEMENT))
-def elements(pages: pd.Series) -> pd.Series:
-    """The elements of each page, in document order."""
-    return pages.map(lambda x: _Elements(x or "").rows)
+@F.pandas_udf(PAGE)
+def elements(pages: pd.Series) -> pd.DataFrame:
+    """The elements of each page, in document order, and its pieces of text."""
+    read = [_Elements(x or "") for x in pages]
+    return pd.DataFrame({"nodes": [x.rows for x in read], "pieces": [x.pieces for x in read]})
 
 
 def with_elements(pages: DataFrame, html: str = "html") -> DataFrame:
-    """pages with ``nodes``, the page's elements."""
-    return pages.withColumn("nodes", elements(F.col(html)))
+    """pages with ``nodes`` and ``pieces``, the page's elements and text."""
+    return pages.withColumn("_page", elements(F.col(html))).select("*", "_page.nodes", "_page.pieces").drop("_page")
+
+
+def text_of(pieces: Column, node: Column) -> Column:
+    """The text of an element, its pieces joined by spaces."""
+    return F.array_join(F.slice(pieces, node["first"] + 1, node["last"] - node["first"]), " ")
+
+
+def _has_text(node: Column) -> Column:
+    return node["last"] > node["first"]
 
 
 def has_class(cls: Column, name: str) -> Column:
@@ -112,13 +126,14 @@ def source_of(html: Column, node: Column) -> Column:
 
 def links(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """key, ord, href, cls, text of every link with a target."""
-    rows = pages.select(key, F.inline(F.filter("nodes", lambda n: (n["tag"] == "a") & n["href"].isNotNull())))
-    return rows.select(key, "ord", "href", "cls", "text")
+    found = F.filter("nodes", lambda n: (n["tag"] == "a") & n["href"].isNotNull())
+    shown = F.transform(found, lambda n: F.struct(n["ord"].alias("ord"), n["href"].alias("href"), n["cls"].alias("cls"), text_of(F.col("pieces"), n).alias("text")))
+    return pages.select(key, F.inline(shown))
 
 
-def title(nodes: Column, page_text: Column, day: Column, lang: Column, month_names: Column) -> Column:
+def title(nodes: Column, pieces: Column, page_text: Column, day: Column, lang: Column, month_names: Column) -> Column:
     """A day page's title: the marked element, else what follows the date in the text, else the date."""
-    marked = F.get(F.filter(nodes, lambda n: has_class(n["cls"], "indicazioneLiturgica")), F.lit(0))["text"]
+    marked = text_of(pieces, F.get(F.filter(nodes, lambda n: has_class(n["cls"], "indicazioneLiturgica")), F.lit(0)))
     date = F.date_format(day, "dd/MM/yyyy")
     after = F.call_function(
         "regexp_extract", page_text, F.concat(F.lit("(?dU)"), F.replace(date, F.lit("/"), F.lit(r"\/")), F.lit(r"\s+([^\s].{5,80}?)(?:\s{2,}|\z)")), F.lit(1)
@@ -128,21 +143,19 @@ def title(nodes: Column, page_text: Column, day: Column, lang: Column, month_nam
     return F.coalesce(fits(strip(marked)), fits(strip(after)), written)
 
 
-def section_of(html: Column, nodes: Column, heading: Column) -> Column:
-    """The HTML that belongs to a heading: its section's wrapper, else the first other div with text beside the
-    heading's block, else everything after the heading up to the next one in the same parent."""
+def section_range(html: Column, nodes: Column, heading: Column) -> Column:
+    """(start, stop) of the HTML that belongs to a heading: its section's wrapper, else the first other div with text
+    beside the heading's block, else everything after the heading up to the next one in the same parent."""
+    reach = lambda start, stop: F.struct(start.alias("start"), stop.alias("stop"))
 
     def parted(head: Column) -> Column:
         outer = F.get(nodes, head["parent"])
         inside = F.when(head["parent"] >= 0, _inside(nodes, outer)).otherwise(nodes)
         wrapper = F.filter(inside, lambda n: has_class(n["cls"], "section__wrapper"))
         first = F.get(wrapper, F.lit(0))
-        beside = F.filter(
-            inside, lambda n: (n["parent"] == head["parent"]) & (n["ord"] != head["ord"]) & (n["tag"] == "div") & (strip(n["text"]) != "")
-        )
-        return F.when(strip(first["text"]) != "", source_of(html, first)).when(
-            F.size(beside) > 0, source_of(html, F.get(beside, F.lit(0)))
-        )
+        beside = F.filter(inside, lambda n: (n["parent"] == head["parent"]) & (n["ord"] != head["ord"]) & (n["tag"] == "div") & _has_text(n))
+        chosen = F.when(_has_text(first), first).when(F.size(beside) > 0, F.get(beside, F.lit(0)))
+        return F.when(chosen.isNotNull(), reach(chosen["start"], chosen["stop"]))
 
     parent = F.get(nodes, heading["parent"])
     later = F.filter(
@@ -150,28 +163,53 @@ def section_of(html: Column, nodes: Column, heading: Column) -> Column:
     )
     close = F.when(heading["parent"] >= 0, F.greatest(heading["stop"], parent["stop"] - F.length(parent["tag"]) - 3))
     end = F.coalesce(F.get(later, F.lit(0))["start"], close, F.length(html))
-    flat = F.substring(html, heading["stop"] + 1, F.greatest(F.lit(0), end - heading["stop"]))
-    structured = F.when(heading["parent"] >= 0, let(parent, parted))
-    return F.coalesce(structured, flat)
+    flat = reach(heading["stop"], F.greatest(heading["stop"], end))
+    return F.coalesce(F.when(heading["parent"] >= 0, let(parent, parted)), flat)
 
 
-def sections(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """key, ord, heading, section (HTML) for every h2 of a page."""
-    heads = F.filter("nodes", lambda n: n["tag"] == "h2")
-    made = F.transform(
-        heads,
-        lambda h: F.struct(h["ord"].alias("ord"), strip(h["text"]).alias("heading"), section_of(F.col(html), F.col("nodes"), h).alias("section")),
-    )
-    return pages.select(key, F.inline(made))
+def section_of(html: Column, nodes: Column, heading: Column) -> Column:
+    """The HTML of section_range."""
+    return let(section_range(html, nodes, heading), lambda r: source_of(html, r))
+
 
+#: The text of an inline element that is nothing but a verse reference (fixed value).
+_VERSE = r"^\d*[A-ZÀ-Ü][a-zà-ü]{1,6}\s+\d[\d,;:.\-a-zA-Z\s]*$"
 
-#: Inline elements that hold nothing but a verse reference (fixed value).
-_VERSE_INLINE = r"<(span|sup|small)\b[^>]*>\s*\d*[A-ZÀ-Ü][a-zà-ü]{1,6}\s+\d[\d,;:.\-a-zA-Z\s]*</\1>"
 
+def without_verses(html: Column, nodes: Column, pieces: Column, reach: Column) -> Column:
+    """The HTML of a range without the inline elements in it whose whole text, that of elements inside them too, is a
+    verse reference."""
+    whole = lambda n: F.array_join(F.slice(pieces, n["first"] + 1, n["last"] - n["first"]), "")
+    inline = lambda n: n["tag"].isin("span", "sup", "small") & (n["start"] >= reach["start"]) & (n["stop"] <= reach["stop"])
+    found = F.filter(F.filter(nodes, inline), lambda n: matches(whole(n), _VERSE))
 
-def section_text(section: Column) -> Column:
-    """Plain lines of a section, inline verse references left out."""
-    return html_to_text(sub(text_or_empty(section), _VERSE_INLINE, ""))
+    def cut(gone: Column) -> Column:
+        # of nested ones the outer counts: an element that ends within one before it leaves nothing between
+        def kept(i: Column) -> Column:
+            a = F.coalesce(F.array_max(F.transform(F.slice(gone, F.greatest(i, F.lit(1)), F.least(i, F.lit(1))), lambda n: n["stop"])), reach["start"])
+            b = F.coalesce(F.get(gone, i)["start"], reach["stop"])
+            return F.substring(html, a + 1, F.greatest(F.lit(0), b - a))
+
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.size(gone)), kept), "")
+
+    outer = lambda every: F.filter(every, lambda n: ~F.exists(every, lambda o: (o["ord"] < n["ord"]) & (o["end"] > n["ord"])))
+    return F.when(F.size(found) == 0, source_of(html, reach)).otherwise(let(let(found, outer), cut))
+
+
+def sections(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """key, ord, heading, section (HTML), read (the same without inline verse references) for every h2 of a page."""
+    source, nodes, pieces = F.col(html), F.col("nodes"), F.col("pieces")
+
+    def made(h: Column) -> Column:
+        return let(
+            section_range(source, nodes, h),
+            lambda r: F.struct(
+                h["ord"].alias("ord"), text_of(pieces, h).alias("heading"), source_of(source, r).alias("section"),
+                without_verses(source, nodes, pieces, r).alias("read"),
+            ),
+        )
+
+    return pages.select(key, F.inline(F.transform(F.filter("nodes", lambda n: n["tag"] == "h2"), made)))
 
 
 def find_section(found: DataFrame, keyword: str, key: str = "page_id") -> DataFrame:
@@ -227,9 +265,10 @@ def saints(pages: DataFrame, lang: str | Column, site: str, known: DataFrame | N
         targets = F.filter(F.col("nodes"), lambda n: (n["tag"] == "a") & n["href"].isNotNull())
 
         def named(section: Column, inner: Column, outer: Column) -> Column:
-            bare = sub(strip(h["text"]), r"[ >→»]+$", "")
+            name = text_of(F.col("pieces"), h)
+            bare = sub(name, r"[ >→»]+$", "")
             return F.struct(
-                h["ord"].alias("ord"), F.when(inner.isNull() & outer.isNotNull(), bare).otherwise(strip(h["text"])).alias("name"),
+                h["ord"].alias("ord"), F.when(inner.isNull() & outer.isNotNull(), bare).otherwise(name).alias("name"),
                 section.alias("section"), F.coalesce(inner, absolute(outer, site)).alias("linked"),
             )
 
@@ -240,9 +279,8 @@ def saints(pages: DataFrame, lang: str | Column, site: str, known: DataFrame | N
 
         return let(section_of(F.col("html"), F.col("nodes"), h), within)
 
-    heads = F.filter(
-        F.col("nodes"), lambda n: (n["tag"] == "h2") & F.length(strip(n["text"])).between(1, 120) & ~is_navigation(n["text"])
-    )
+    fits = lambda x: F.length(x).between(1, 120) & ~is_navigation(x)
+    heads = F.filter(F.col("nodes"), lambda n: (n["tag"] == "h2") & let(text_of(F.col("pieces"), n), fits))
     first = pages.select("page_id", "day", "_lang", F.inline(F.transform(heads, made))).withColumn("guess", saint_address(lang, F.col("day"), site))
     guess = F.concat(F.regexp_replace("guess", r"\.html$", "/"), name_slug(F.col("name")), F.lit(".html"))
     first = first.withColumn("guess", guess)
@@ -278,18 +316,18 @@ def detail_texts(pages: DataFrame, key: str = "page_id") -> DataFrame:
 
     def wrapper(s: Column) -> Column:
         within = _inside(nodes, s)
-        head = F.get(F.filter(within, lambda n: n["tag"] == "h2"), F.lit(0))["text"]
+        head = text_of(F.col("pieces"), F.get(F.filter(within, lambda n: n["tag"] == "h2"), F.lit(0)))
         marked = F.filter(within, lambda n: has_class(n["cls"], "section__wrapper"))
         divs = F.filter(
             within,
-            lambda n: (n["parent"] == s["ord"]) & (n["tag"] == "div") & ~has_class(n["cls"], "section__head") & (strip(n["text"]) != ""),
+            lambda n: (n["parent"] == s["ord"]) & (n["tag"] == "div") & ~has_class(n["cls"], "section__head") & _has_text(n),
         )
         node = F.coalesce(F.get(marked, F.lit(0)), F.get(divs, F.lit(0)))
         return F.when(~is_navigation(F.coalesce(head, F.lit(""))), source_of(F.col("html"), node))
 
     static = F.filter(nodes, lambda n: has_class(n["cls"], "section--isStatic"))
     paragraphs = F.filter(
-        F.transform(F.filter(nodes, lambda n: n["tag"] == "p"), lambda n: n["text"]),
+        F.transform(F.filter(nodes, lambda n: n["tag"] == "p"), lambda n: text_of(F.col("pieces"), n)),
         lambda x: (F.length(x) >= 60) & ~F.contains(x, F.lit("http")),
     )
     # a row for each wrapper, so that its references are resolved before its length counts

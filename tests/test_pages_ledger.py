@@ -26,7 +26,7 @@ def parsed(spark):
 
 
 def test_sections_of_three_layouts(spark):
-    got = {(r.page_id, r.heading): r.t for r in P.sections(parsed(spark)).select("page_id", "heading", P.section_text(F.col("section")).alias("t")).collect()}
+    got = {(r.page_id, r.heading): r.t for r in P.sections(parsed(spark)).select("page_id", "heading", P.html_to_text(F.col("read")).alias("t")).collect()}
     assert got[1, "SAN PIO"] == "Bio à testo\nLeggi" and got[2, "A"] == "beside" and got[5, "Flat"] == "uno\ndue"
 
 
@@ -41,7 +41,8 @@ def test_saints(spark):
 
 
 def test_tolerant_elements(spark):
-    nodes = parsed(spark).where("page_id = 4").select(F.inline("nodes")).collect()
+    text = F.transform("nodes", lambda n: F.struct(n["tag"].alias("tag"), P.text_of(F.col("pieces"), n).alias("text")))
+    nodes = parsed(spark).where("page_id = 4").select(F.inline(text)).collect()
     assert [(n.tag, n.text) for n in nodes] == [("p", "unclosed bold next"), ("b", "bold next"), ("p", "next")]
 
 
@@ -175,5 +176,27 @@ def test_components(spark):
 def test_title_of_a_day_page(spark):
     html = '<div class="indicazioneLiturgica">Lunedì santo</div>'
     df = P.with_elements(spark.createDataFrame([(1, html, datetime.date(2026, 3, 9)), (2, "<p>x</p>", datetime.date(2026, 3, 9))], "i int, html string, d date"))
-    got = df.select("i", P.title(F.col("nodes"), F.lit("am 09/03/2026 Tag der Ruhe  x"), F.col("d"), F.lit("it"), F.lit("marzo")).alias("t")).orderBy("i").collect()
+    got = df.select("i", P.title(F.col("nodes"), F.col("pieces"), F.lit("am 09/03/2026 Tag der Ruhe  x"), F.col("d"), F.lit("it"), F.lit("marzo")).alias("t")).orderBy("i").collect()
     assert [r.t for r in got] == ["Lunedì santo", "Tag der Ruhe"]
+
+
+def test_a_page_takes_no_more_room_than_its_source(spark):
+    """A hundred thousand tags that are never closed, and as many ends of tags that were never opened."""
+    import time
+
+    rows = [(1, "<h1>t</h1>" + "<div>xyz " * 100_000), (2, "<div>" * 50_000 + "</p>" * 50_000 + "end"), (3, "<a href=x>" + "<b>" * 50_000 + "</a>" + "</i>" * 50_000)]
+    began = time.time()
+    found = P.with_elements(spark.createDataFrame(rows, "page_id long, html string"))
+    got = found.select("page_id", F.size("nodes").alias("n"), F.size("pieces").alias("m"), F.expr("nodes[1].last - nodes[1].first").alias("inside")).collect()
+    assert {(r.page_id, r.n, r.m, r.inside) for r in got} == {(1, 100_001, 100_001, 100_000), (2, 50_000, 1, 1), (3, 50_001, 0, 0)}
+    assert time.time() - began < 30
+
+
+def test_verse_elements_are_cut_out_whole(spark):
+    html = (
+        "<h2>x</h2><p>Dal libro <span>Mt <b>5</b></span><span><b>Lc 4,24-30</b></span>dei Re <small>2Re 5,1-15a</small>, "
+        "<sup><span>Gv 1,2</span></sup>fine <span>Gesu disse</span></p><h2>y</h2><p><span>Mt 1,1</span>z</p>"
+    )
+    df = P.with_elements(spark.createDataFrame([(1, html)], "page_id long, html string"))
+    got = {r.heading: r.read for r in P.sections(df).collect()}
+    assert got == {"x": "<p>Dal libro <span>Mt <b>5</b></span>dei Re , fine <span>Gesu disse</span></p>", "y": "<p>z</p>"}
