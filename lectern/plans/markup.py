@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import dims
-from lectern.functions.rx import let, matches, strip, sub, text_or_empty
+from lectern.functions.arrays import depths, running
+from lectern.functions.rx import let, matches, of_language, rx, strip, sub, text_or_empty
 from lectern.functions.text import COMMENT, PAUSE, QUOTE_END, QUOTE_START, xml_legal
 
 # fixed values ---------------------------------------------------------------
@@ -45,13 +44,11 @@ def escape_heading(value: Column) -> Column:
     return _swap(_escaped(value), ((PAUSE, _PAUSE_TAG), (QUOTE_START, ""), (QUOTE_END, "")))
 
 
-def phonemes(markup: Column, lang: str) -> Column:
+def phonemes(markup: Column, lang: str | Column) -> Column:
     """Known names marked with their pronunciation; Italian only."""
-    if lang != "it":
-        return markup
-    for word, sound in dims.PHONEMES:
-        markup = sub(markup, rf"\b{word}\b", f'<phoneme alphabet="ipa" ph="{sound}">{word}</phoneme>')
-    return markup
+    rules = [{"key": rx(rf"\b{word}\b"), "name": f'<phoneme alphabet="ipa" ph="{sound}">{word}</phoneme>'} for word, sound in dims.PHONEMES]
+    listed = of_language(lang, {"it": rules}, [], "array<struct<key:string,name:string>>")
+    return F.aggregate(listed, markup, lambda text, r: F.regexp_replace(text, r["key"], r["name"]))
 
 
 def _tokens(markup: Column) -> Column:
@@ -59,20 +56,24 @@ def _tokens(markup: Column) -> Column:
     return F.regexp_extract_all(markup, F.lit("<[^<>]*>|[^<]+|<"), F.lit(0))
 
 
+def _steps(pieces: Column, tags: str) -> Column:
+    """1 where a piece opens one of the tags, -1 where it closes one."""
+    step = lambda p: F.when(matches(p, rf"^<(?:{tags})\b", "i"), 1).when(matches(p, rf"^</(?:{tags})\b", "i"), -1).otherwise(0)
+    return F.transform(pieces, step)
+
+
 def balance_prosody(markup: Column) -> Column:
     """Closing prosody tags without an opening one go, open ones are closed at the end."""
-    begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("depth"))
-
-    def step(state: Column, part: Column) -> Column:
-        opens, closes = matches(part, r"^<prosody\b[^>]*>", "i"), matches(part, "^</prosody>", "i")
-        stray = closes & (state["depth"] == 0)
-        depth = state["depth"] + F.when(opens, 1).when(closes & ~stray, -1).otherwise(0)
-        return F.struct(
-            F.concat(state["out"], F.when(stray, "").otherwise(part)).alias("out"), depth.alias("depth")
-        )
 
-    done = lambda s: F.concat(s["out"], F.repeat(F.lit("</prosody>"), s["depth"]))
-    return F.aggregate(_tokens(text_or_empty(markup)), begin, step, done)
+    def balanced(pieces: Column) -> Column:
+        def kept(d: Column) -> Column:
+            whole = F.filter(pieces, lambda p, i: ~F.get(d, i)["stray"])
+            still_open = F.coalesce(F.get(d, F.size(d) - 1)["after"], F.lit(0)).cast("int")
+            return F.concat(F.array_join(whole, ""), F.repeat(F.lit("</prosody>"), still_open))
+
+        return let(depths(_steps(pieces, "prosody")), kept)
+
+    return let(_tokens(text_or_empty(markup)), balanced)
 
 
 def _wrapped(value: Column, tags: tuple[str, str]) -> Column:
@@ -124,7 +125,7 @@ def title_markup(title: Column) -> Column:
     return _wrapped(escape_heading(strip(sub(text_or_empty(title), r"[ \t]*\n[ \t]*", " "))), _TITLE)
 
 
-def episode_markup(title: Column, segments: Column, lang: str) -> Column:
+def episode_markup(title: Column, segments: Column, lang: str | Column) -> Column:
     """A whole episode: the title, then every section after a silence."""
     sections = F.transform(
         segments, lambda s: F.concat(F.lit(f'<break time="{SILENCE_SECONDS}s"/>'), section_markup(s))
@@ -142,29 +143,37 @@ def section_text(segment: Column) -> Column:
 
 def chunks(markup: Column) -> Column:
     """Markup in parts for one call each: whole if it fits the limit, else cut only before breaks outside of any
-    block and once SPLIT_FROM bytes have been gathered. A part can exceed the limit if no such break comes."""
+    block and once SPLIT_FROM bytes have been gathered. A part can exceed the limit if no such break comes.
+
+    Bytes and depths run along the pieces; the cuts are then found among the breaks, and each piece goes to one part.
+    """
     shell = len("<speak></speak>")
     inner = F.regexp_extract(markup, r"(?s)^<speak>(.*)</speak>", 1)
     inner = F.when(matches(markup, r"(?s)^<speak>.*</speak>"), inner).otherwise(markup)
-    pieces = _tokens(inner)
-    begin = F.struct(
-        F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(shell).alias("bytes"), F.lit(0).alias("depth")
-    )
-
-    def step(s: Column, piece: Column) -> Column:
-        brk = matches(piece, r"^<break\s", "i")
-        opens, closes = matches(piece, r"^<(?:prosody|emphasis)\b", "i"), matches(piece, r"^</(?:prosody|emphasis)", "i")
-        cut = brk & (s["depth"] == 0) & (s["now"] != "") & (s["bytes"] >= SPLIT_FROM)
-        size = F.octet_length(piece)
-        return F.struct(
-            F.when(cut, F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"]).alias("done"),
-            F.when(cut, piece).otherwise(F.concat(s["now"], piece)).alias("now"),
-            (F.when(cut, F.lit(shell)).otherwise(s["bytes"]) + size).alias("bytes"),
-            F.greatest(F.lit(0), s["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)).alias("depth"),
-        )
 
-    done = lambda s: F.when(s["now"] != "", F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"])
-    parts = F.transform(F.aggregate(pieces, begin, step, done), lambda x: F.concat(F.lit("<speak>"), x, F.lit("</speak>")))
+    def parted(pieces: Column) -> Column:
+        def placed(at: Column) -> Column:
+            before = lambda i: F.coalesce(F.get(at["ends"], i - 1), F.lit(0))
+            fits = lambda p, i: matches(p, r"^<break\s", "i") & (F.get(at["depths"], i)["before"] == 0)
+            spots = F.transform(pieces, lambda p, i: F.struct(i.alias("i"), before(i).alias("bytes"), fits(p, i).alias("fits")))
+            begin = F.struct(F.array(F.lit(0)).alias("cuts"), F.lit(0).cast("long").alias("at"))
+
+            def step(s: Column, x: Column) -> Column:
+                cut = (x["i"] > 0) & (x["bytes"] - s["at"] + shell >= SPLIT_FROM)
+                return F.struct(
+                    F.when(cut, F.concat(s["cuts"], F.array(x["i"]))).otherwise(s["cuts"]).alias("cuts"),
+                    F.when(cut, x["bytes"]).otherwise(s["at"]).alias("at"),
+                )
+
+            cuts = F.aggregate(F.filter(spots, lambda x: x["fits"]), begin, step, lambda s: s["cuts"])
+            upto = lambda c, k: F.coalesce(F.get(c, k + 1), F.size(pieces))
+            joined = lambda c: F.transform(c, lambda x, k: F.array_join(F.slice(pieces, x + 1, upto(c, k) - x), ""))
+            return let(cuts, joined)
+
+        ends = running(F.transform(pieces, lambda p: F.octet_length(p)))
+        return let(F.struct(ends.alias("ends"), depths(_steps(pieces, "prosody|emphasis")).alias("depths")), placed)
+
+    parts = F.transform(let(_tokens(inner), parted), lambda x: F.concat(F.lit("<speak>"), x, F.lit("</speak>")))
     return F.when(F.octet_length(markup) <= BYTE_LIMIT, F.array(markup)).otherwise(parts)
 
 
@@ -173,8 +182,9 @@ def interleaved(parts: Column, silence: Column) -> Column:
     return F.flatten(F.transform(parts, lambda p, i: F.when(i == 0, F.array(p)).otherwise(F.array(silence, p))))
 
 
-def synthesis_plan(episodes: DataFrame, lang: str, voice: str = "markup") -> DataFrame:
-    """(episode_id, part_no, kind, payload, bytes) of episodes(episode_id, title, segments: array of text).
+def synthesis_plan(episodes: DataFrame, lang: str | Column, voice: str = "markup") -> DataFrame:
+    """(episode_id, part_no, kind, payload, bytes) of episodes(episode_id, title, segments: array of text), in one language
+    or that of a column.
 
     voice="markup": one call if the whole fits the limit, else title and sections
     with silence between them, each in parts that keep to the budget.
@@ -210,12 +220,6 @@ def synthesis_plan(episodes: DataFrame, lang: str, voice: str = "markup") -> Dat
     )
 
 
-def synthesis_plans(episodes: DataFrame, voice: str = "markup") -> DataFrame:
-    """synthesis_plan of episodes(episode_id, lang, title, segments) of all known languages, each row in its own."""
-    plans = [synthesis_plan(episodes.where(F.col("lang") == c), c, voice) for c in dims.LANGUAGES]
-    return reduce(DataFrame.unionByName, plans)
-
-
 def voice_columns(voice: Column, provider: Column, speed: Column) -> dict[str, Column]:
     """provider, lang, voice_name, language_code and speaking_rate as a request resolves to them."""
     edge = F.lower(strip(text_or_empty(provider))).isin("edge", "edge-tts", "edgetts")

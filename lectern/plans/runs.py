@@ -19,7 +19,7 @@ from lectern.functions.text import parse_rfc822
 from lectern.operators import ledger as L
 from lectern.plans import publish as R
 from lectern.plans.feed_xml import feed_documents
-from lectern.plans.markup import synthesis_plans
+from lectern.plans.markup import synthesis_plan
 from lectern.storage import written
 
 RESULT = ("channel", "title", "guid", "status", "code")
@@ -46,7 +46,7 @@ class Run(NamedTuple):
         one = self.episodes.select(
             F.struct("channel", "guid").alias("episode_id"), "lang", "title", F.coalesce("segments", F.array("description")).alias("segments")
         )
-        return synthesis_plans(one, voice).select("episode_id.channel", "episode_id.guid", "part_no", "kind", "payload", "bytes")
+        return synthesis_plan(one, F.col("lang"), voice).select("episode_id.channel", "episode_id.guid", "part_no", "kind", "payload", "bytes")
 
 
 def _refused(asked: DataFrame, blocked: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -375,7 +375,30 @@ def episode_plan(spark, sf_dir):
     return M.synthesis_plan(episodes, "en")
 
 
-@query()
+@query(r"""
+WITH RECURSIVE l AS (
+  SELECT doc_id, k, trim(regexp_replace(ls[k], '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', ' ', 'g'), ' ' || chr(9) || chr(13)) AS x
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))
+), e AS (
+  SELECT doc_id, k, replace(replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') AS x FROM l
+), p AS (
+  SELECT doc_id, k, '<break time="2.5s"/>' || CASE WHEN x = '' THEN '' ELSE '<emphasis level="moderate">' || x || '</emphasis>' END AS x FROM e
+  UNION ALL SELECT doc_id, 0, '<emphasis level="strong">T</emphasis>' FROM documents
+), b AS (
+  SELECT *, coalesce(sum(strlen(x)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before, (sum(strlen(x)) OVER (PARTITION BY doc_id))::BIGINT AS total FROM p
+), cuts AS (
+  SELECT doc_id, 0 AS part_no, 0::BIGINT AS c, 0::BIGINT AS at FROM documents
+  UNION ALL
+  SELECT doc_id, part_no + 1, n.k, n.before FROM (
+    SELECT cuts.doc_id, cuts.part_no, min({'k': b.k, 'before': b.before}) AS n FROM cuts JOIN b ON b.doc_id = cuts.doc_id AND b.k > cuts.c AND 15 + b.before - cuts.at >= 3800 AND 15 + b.total > 4800
+    GROUP BY cuts.doc_id, cuts.part_no)
+), parts AS (
+  SELECT *, coalesce(lead(c) OVER (PARTITION BY doc_id ORDER BY part_no), 1::BIGINT << 40) AS upto FROM cuts
+), made AS (
+  SELECT q.doc_id, part_no, '<speak>' || string_agg(x, '' ORDER BY k) || '</speak>' AS payload FROM parts q JOIN b ON b.doc_id = q.doc_id AND b.k >= c AND b.k < upto GROUP BY q.doc_id, part_no
+)
+SELECT doc_id, part_no::INTEGER AS part_no, strlen(payload)::INTEGER AS bytes, sha256(payload) AS sha256 FROM made
+""")
 def chunk_plan(spark, sf_dir):
     docs = spread(table(spark, sf_dir, "documents")).select("doc_id", F.col("text").alias("t"), F.split("text", "\n").alias("segments"))
     whole = M.episode_markup(F.lit("T"), F.col("segments"), "en")
