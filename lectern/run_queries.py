@@ -18,8 +18,9 @@ from lectern.plans import feed_xml as X
 from lectern.plans import runs
 from lectern.registry import query
 from lectern.sinks import published
+from lectern.sinks.deliveries import FolderStore, deliver
 from lectern.sources import feeds
-from lectern.storage import shared_dir, table
+from lectern.storage import shared_dir, spread, table
 
 HOST = "h.example"
 #: Documents that make a channel of each language, and how many of its episodes one keeps.
@@ -211,3 +212,16 @@ def run_speech(spark, sf_dir):
     entries, blocked = feeds.source_entries(_source_feeds(spark, sf_dir), _lang())
     done = runs.feed_run(entries.drop("lang"), ledger, unread.unionByName(blocked), channels, HOST, _now(), F.lit(SITE), KEPT)
     return done.speech("plain").drop("bytes")
+
+
+@query("""
+SELECT 'p/' || source || '/' || doc_id || '.txt' AS target, CASE WHEN doc_id % 3 = 0 THEN 'SKIP:there' ELSE 'OK' END AS status, CAST(1 AS INTEGER) AS attempts,
+  strlen(text) AS bytes, sha256(text) AS sha256 FROM documents
+""")
+def deliveries(spark, sf_dir):
+    """All documents delivered as files, after a third of them has been: those are there already."""
+    store = FolderStore(f"{shared_dir(spark)}/delivered-{uuid4().hex}")
+    target = F.concat(F.lit("p/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    plan = spread(table(spark, sf_dir, "documents")).select("doc_id", target.alias("target"), F.col("text").cast("binary").alias("content"))
+    deliver(plan.where("doc_id % 3 = 0"), store)
+    return deliver(plan, store)
