@@ -64,7 +64,7 @@ SELECT {_sql_pick(LANGS, "i")} AS lang, CAST(pos AS INTEGER) AS pos,
   CASE WHEN doc_id % 4 = 0 THEN '' ELSE ' ' || {_sql_pick(_TO, "i")} || ' ' || (doc_id % 7 + 4) END || ' café ' || source AS title,
   CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'Sum ' || source || chr(10) || 'two & ' || doc_id END AS summary,
   'https://h.example/b/' || doc_id || '.mp3' AS link, 'Mon, 09 Mar 2026 00:00:00 +0000' AS pub_date
-FROM d WHERE pos < 150
+FROM d
 """
 
 
@@ -82,7 +82,7 @@ def _written_feeds(spark: SparkSession, sf_dir: str, name: str) -> str:
     info = F.struct(*[F.lit("x").alias(c) for c in ("title", "author", "website", "description", "cover_art", "rss_url")])
     channels = spark.createDataFrame([(c, c, None) for c in LANGS], "channel string, language string, email string").withColumn("podcast_info", info)
     path = f"{shared_dir(spark)}/{name}-{uuid4().hex}"
-    X.write_feeds(X.feed_documents(L.retained(ledger, 150).where("kept").drop("kept"), channels), path)
+    X.write_feeds(X.feed_documents(ledger, channels), path)
     return path
 
 

@@ -59,7 +59,12 @@ def saint_guid(lang: Column, day: Column) -> Column:
 
 
 def append(ledger: DataFrame, episodes: DataFrame, now: Column, website: Column) -> DataFrame:
-    """The ledger with episodes (the ledger's columns but seq, with ``pos``: 0 is the newest) on top.
+    """The ledger with episodes on top. See on_top."""
+    return ledger.unionByName(on_top(ledger, episodes, now, website))
+
+
+def on_top(ledger: DataFrame, episodes: DataFrame, now: Column, website: Column) -> DataFrame:
+    """Ledger rows of episodes (the ledger's columns but seq, with ``pos``: 0 is the newest), to go on top of it.
 
     The newest episode gets the largest seq. An empty pub_date becomes ``now`` in UTC, an empty guid one made of it, the
     channel and seq, so that no two episodes share one.
@@ -80,7 +85,7 @@ def append(ledger: DataFrame, episodes: DataFrame, now: Column, website: Column)
             }
         )
     )
-    return ledger.unionByName(numbered.select(*ledger.columns))
+    return numbered.select(*ledger.columns)
 
 
 def retained(ledger: DataFrame, keep: int = KEEP) -> DataFrame:

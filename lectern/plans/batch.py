@@ -9,21 +9,23 @@ from lectern.functions import dims
 from lectern.functions.rx import strip, text_or_empty
 
 
-def days_of_month(spark: SparkSession, year: int, month: int, today: str) -> DataFrame:
-    """date: every day of a month up to today; none if it begins later."""
-    first = F.make_date(F.lit(year), F.lit(month), F.lit(1))
-    last = F.least(F.last_day(first), F.to_date(F.lit(today)))
+def days_of_months(months: DataFrame, today: Column) -> DataFrame:
+    """months(year, month) with ``date``: every day of a month up to today; no rows of one that begins later."""
+    first = F.make_date("year", "month", F.lit(1))
+    last = F.least(F.last_day(first), today)
     days = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<date>"))
-    return spark.range(1).select(F.explode(days).alias("date"))
+    return months.select(*months.columns, F.explode(days).alias("date"))
 
 
-def language_table(spark: SparkSession, langs: list[str] | None = None) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(langs or dims.PUBLISH_ORDER)), "lang_pos int, lang string")
+def days_of_month(spark: SparkSession, year: int, month: int, today: str) -> DataFrame:
+    """date: every day of a month up to today; none if it begins later."""
+    one = spark.range(1).select(F.lit(year).alias("year"), F.lit(month).alias("month"))
+    return days_of_months(one, F.to_date(F.lit(today))).select("date")
 
 
-def grid(dates: DataFrame, langs: DataFrame) -> DataFrame:
-    """Every date with every language; the number of languages is fixed and small."""
-    return dates.crossJoin(F.broadcast(langs))
+def grid(dates: DataFrame, langs: list[str] | None = None) -> DataFrame:
+    """dates with lang_pos and lang: every row once for each language, in the order in which they are published."""
+    return dates.select(*dates.columns, F.posexplode(F.array(*map(F.lit, langs or dims.PUBLISH_ORDER))).alias("lang_pos", "lang"))
 
 
 def parsed_languages(value: Column) -> dict[str, Column]:

@@ -124,11 +124,19 @@ def title_key_dedup(spark, sf_dir):
 
 
 @query("""
-SELECT d::DATE AS date, l.lang, l.pos::INTEGER AS lang_pos FROM range(DATE '2026-03-01', DATE '2026-03-10', INTERVAL 1 DAY) t(d),
+WITH m AS (SELECT DISTINCT date_trunc('month', o_orderdate)::DATE AS first FROM orders), t AS (SELECT (max(o_orderdate)::DATE - 40)::DATE AS today FROM orders),
+d AS (SELECT unnest(range(first, least(last_day(first), today)::TIMESTAMP + INTERVAL 1 DAY, INTERVAL 1 DAY))::DATE AS date FROM m, t)
+SELECT date, l.lang, l.pos::INTEGER AS lang_pos, (SELECT count(*) FROM orders WHERE o_orderdate::DATE = date) AS n_orders FROM d,
 (VALUES (0, 'de'), (1, 'fr'), (2, 'en'), (3, 'it'), (4, 'pt'), (5, 'es')) l(pos, lang)
 """)
 def date_lang_grid(spark, sf_dir):
-    return B.grid(B.days_of_month(spark, 2026, 3, "2026-03-09"), B.language_table(spark)).select("date", "lang", "lang_pos")
+    """Every day of the months of the orders, up to a day, with every language, and what was ordered on it."""
+    day = F.to_date("o_orderdate")
+    orders = table(spark, sf_dir, "orders").groupBy(day.alias("date")).agg(F.count(F.lit(1)).alias("n_orders"))
+    months = orders.select(F.year("date").alias("year"), F.month("date").alias("month")).distinct()
+    today = orders.agg(F.date_sub(F.max("date"), 40)).first()[0]
+    days = B.days_of_months(months, F.lit(today)).select("date").join(orders, "date", "left")
+    return B.grid(days.select("date", F.coalesce("n_orders", F.lit(0)).alias("n_orders")))
 
 
 _STATUS = "CASE event_id % 4 WHEN 0 THEN 'OK' WHEN 1 THEN 'SKIP:known' WHEN 2 THEN 'FAIL:x' ELSE 'OK again' END"

@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 from lectern.flow_queries import LANGS, SITE, _day_pages, _pick, _saint_pages, _sql_pick
 from lectern.functions import dims
 from lectern.functions.text import spoken_date
+from lectern.operators import segments as S
 from lectern.plans import feed_xml as X
 from lectern.plans import runs
 from lectern.registry import query
 from lectern.sinks import published
 from lectern.sinks.deliveries import FolderStore, deliver
-from lectern.sources import feeds
+from lectern.sources import feeds, pages
 from lectern.storage import shared_dir, spread, table
 
 HOST = "h.example"
@@ -137,9 +138,9 @@ def history_run(spark, sf_dir):
     return after.select("channel", "seq", "title", "description", "audio_url", "guid")
 
 
-def _asked(pages: DataFrame) -> DataFrame:
+def _asked(days: DataFrame) -> DataFrame:
     """A channel for each page: a page stands for its language's page of a day."""
-    return pages.withColumn("channel", F.concat("lang", F.lit("-"), F.col("page_id").cast("string")))
+    return days.withColumn("channel", F.concat("lang", F.lit("-"), F.col("page_id").cast("string")))
 
 
 @query(f"""
@@ -156,22 +157,22 @@ SELECT lang || '-' || page_id AS channel, CASE origin WHEN 'page' THEN title WHE
 def page_or_feed(spark, sf_dir):
     """The episode of a day: from its page, or from the newest entry of the feed where the page has no sections; what is
     published is skipped, unless it is asked for again."""
-    pages = _asked(_day_pages(spark, sf_dir))
+    days = _asked(_day_pages(spark, sf_dir))
     n = F.col("page_id")
-    asked = pages.select("channel", "day", (n % 9 == 0).alias("force"))
+    asked = days.select("channel", "day", (n % 9 == 0).alias("force"))
     number = n.cast("string")
-    entries = pages.where("page_id % 2 = 0").select(
+    entries = days.where("page_id % 2 = 0").select(
         "channel", F.explode(F.array(F.lit(1), F.lit(0))).alias("pos"), F.concat(F.lit("From the feed "), number).alias("title"), F.lit("").alias("summary"),
         F.concat(F.lit("https://l.example/"), number).alias("link"), F.lit("Mon, 09 Mar 2026 00:00:00 +0000").alias("pub_date"),
     )
     entries = entries.withColumn("title", F.when(F.col("pos") == 1, F.lit("Older")).otherwise(F.col("title")))
     slug = F.element_at(F.create_map(*[F.lit(x) for c, v in dims.DAY_PAGES.items() for x in (c, v[0])]), F.col("lang"))
-    ledger = pages.where("page_id % 3 = 0").select(
+    ledger = days.where("page_id % 3 = 0").select(
         "channel", F.lit(1).cast("bigint").alias("seq"), F.lit("t").alias("title"), F.lit("").alias("description"), F.lit("https://h.example/b/x.mp3").alias("audio_url"), F.lit("d").alias("pub_date"),
         F.concat_ws("/", F.lit(SITE), "lang", slug, F.date_format("day", "yyyy/MM/dd'.html'")).alias("guid"), F.lit(0).cast("bigint").alias("duration"), F.lit(0).cast("bigint").alias("file_size"),
     )
     nothing = spark.createDataFrame([], "channel string, error string")
-    done = runs.day_run(asked, pages, entries, ledger, nothing, _channels(pages.select("channel")), SITE, HOST, _now(), F.lit(SITE))
+    done = runs.day_run(asked, days, entries, ledger, nothing, _channels(days.select("channel")), SITE, HOST, _now(), F.lit(SITE))
     return done.outcomes
 
 
@@ -185,19 +186,19 @@ SELECT lang || '-' || page_id AS channel, CASE WHEN page_id % 5 = 2 THEN NULL EL
 """)
 def saint_run(spark, sf_dir):
     """The saints of a day: known by guid only, so that last year's title doesn't count; a day without a page fails."""
-    pages = _asked(_saint_pages(spark, sf_dir)).drop("url")
-    asked = pages.select("channel", "day")
-    there = pages.where("page_id % 5 <> 2")
+    days = _asked(_saint_pages(spark, sf_dir)).drop("url")
+    asked = days.select("channel", "day")
+    there = days.where("page_id % 5 <> 2")
     details = spark.createDataFrame([], "url string, text string")
     heading = F.element_at(F.create_map(*[F.lit(x) for c, v in dims.SAINT_PAGES.items() for x in (c, v[1])]), F.col("lang"))
     year = F.when(F.col("page_id") % 4 == 1, "2026").otherwise("2025")
-    ledger = pages.select(
+    ledger = days.select(
         "channel", F.lit(1).cast("bigint").alias("seq"), F.concat(heading, F.lit(" - "), spoken_date(F.col("day"), F.col("lang"))).alias("title"), F.lit("").alias("description"),
         F.lit("https://h.example/b/x.mp3").alias("audio_url"), F.lit("d").alias("pub_date"), F.concat_ws("-", F.lit("saint"), "lang", year, F.date_format("day", "MM-dd")).alias("guid"),
         F.lit(0).cast("bigint").alias("duration"), F.lit(0).cast("bigint").alias("file_size"),
     )
     nothing = spark.createDataFrame([], "channel string, error string")
-    return runs.saint_run(asked, there, details, ledger, nothing, _channels(pages.select("channel")), SITE, HOST, _now(), F.lit(SITE)).outcomes
+    return runs.saint_run(asked, there, details, ledger, nothing, _channels(days.select("channel")), SITE, HOST, _now(), F.lit(SITE)).outcomes
 
 
 @query(_DOCS + """,
@@ -225,3 +226,85 @@ def deliveries(spark, sf_dir):
     plan = spread(table(spark, sf_dir, "documents")).select("doc_id", target.alias("target"), F.col("text").cast("binary").alias("content"))
     deliver(plan.where("doc_id % 3 = 0"), store)
     return deliver(plan, store)
+
+
+@query("""
+WITH f AS (SELECT event_id, ts, row_number() OVER (ORDER BY ts DESC, 'a' || event_id || '_azure_1.mp3') AS k FROM events WHERE event_id % 3 = 0)
+SELECT CAST(26 - k AS BIGINT) AS seq, 'a' || event_id || '_azure_1.mp3' AS file, 'a' || event_id AS title, event_id + 7 AS size FROM f WHERE k <= 25
+""")
+def newest_files(spark, sf_dir):
+    """The newest 25 sound files of a listing, as they would stand in a ledger that is made anew."""
+    name = F.concat(F.lit("s3://b/p/a"), F.col("event_id").cast("string"), F.lit("_azure_1"), F.when(F.col("event_id") % 3 == 0, ".mp3").otherwise(".txt"))
+    files = table(spark, sf_dir, "events").select(name.alias("path"), (F.col("event_id") + 7).alias("length"), F.col("ts").alias("modificationTime"))
+    return feeds.stored_episodes(files, 25)
+
+
+@query("""
+SELECT CAST(n_nationkey AS VARCHAR) AS language, 'https://f.example/' || n_nationkey AS feed_url, CASE WHEN n_nationkey % 4 = 1 THEN NULL ELSE 'b-' || n_name END AS bucket_name,
+  n_name || ' & co' AS title FROM nation WHERE n_nationkey % 3 = 0
+""")
+def channel_settings(spark, sf_dir):
+    """Channels that name a feed, from files of settings."""
+    n = F.col("n_nationkey")
+    url = F.when(n % 3 == 0, F.concat(F.lit("https://f.example/"), n.cast("string"))).when(n % 3 == 1, "TODO: feed").otherwise("")
+    info = F.struct(F.concat("n_name", F.lit(" & co")).alias("title"))
+    one = F.struct(n.cast("string").alias("language"), url.alias("feed_url"), F.when(n % 4 != 1, F.concat(F.lit("b-"), "n_name")).alias("bucket_name"), info.alias("podcast_info"))
+    path = f"{shared_dir(spark)}/settings-{uuid4().hex}"
+    table(spark, sf_dir, "nation").agg(F.to_json(F.collect_list(one)).alias("value")).write.text(path)
+    found = feeds.with_feed(feeds.configurations(spark, path))
+    return found.select("language", "feed_url", "bucket_name", F.col("podcast_info.title").alias("title"))
+
+
+@query("""
+WITH p AS (SELECT page_id AS n FROM pages)
+SELECT n AS page_id, 'Santo ' || n AS name, 'Breve ' || n || '.' AS brief, CASE WHEN n % 2 = 0 THEN 'https://s.example/it/santo-del-giorno/03/09/santo-' || n || '.html' END AS detail_url FROM p
+UNION ALL SELECT n, 'Beata Ada ' || n, '', 'https://s.example/it/santo-del-giorno/03/10/ada-' || n || '.html' FROM p
+UNION ALL SELECT n, 'Unknown Saint', '', 'https://s.example/it/santo-del-giorno/03/11/x.html' FROM p WHERE n % 5 = 0
+""")
+def saint_list(spark, sf_dir):
+    """The saints of pages: from headings, with addresses made from names where they are known to exist, and from links
+    that no heading led to, each once."""
+    n = F.col("page_id").cast("string")
+    link = lambda x: F.concat(F.lit('<a href="/it/santo-del-giorno/'), *x, F.lit("</a>"))
+    ada = link((F.lit("03/10/ada-"), n, F.lit('.html">BEATA ADA '), n))
+    html = F.concat(
+        F.lit('<section><div class="section__head"><h2>SANTO '), n, F.lit('</h2></div><div class="section__wrapper"><p>Breve '), n, F.lit(".</p></div></section><h2>Menu</h2><div>"),
+        ada, ada, F.when(F.col("page_id") % 5 == 0, link((F.lit('03/11/x.html"><img src="i.png">'),))).otherwise(""), F.lit('<a href="/it/altro.html">Altro</a></div>'),
+    )
+    given = spread(table(spark, sf_dir, "pages")).select("page_id", F.lit("2026-03-09").cast("date").alias("day"), html.alias("html"))
+    known = given.where("page_id % 2 = 0").select(F.concat(F.lit(f"{SITE}/it/santo-del-giorno/03/09/santo-"), n, F.lit(".html")).alias("url"))
+    return pages.saints(pages.with_elements(given), "it", SITE, known).select("page_id", "name", "brief", "detail_url")
+
+
+@query("""
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Papa Francesco, Angelus ' || (2000 + doc_id % 25) WHEN 1 THEN 'Benedetto XVI - Omelia ' || doc_id END AS meta,
+  CAST(CASE doc_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 END AS INTEGER) AS at, CASE WHEN doc_id % 4 = 2 THEN 'Fine ' || doc_id || '.' END AS body, CASE WHEN doc_id % 4 = 2 THEN 'Papa Leone ' || doc_id END AS end_meta FROM documents
+""")
+def attributions(spark, sf_dir):
+    """Who said it: a parenthesis at the end of a line, a line of its own that names a pope and an event, or a parenthesis
+    that ends the last line."""
+    n = F.col("doc_id").cast("string")
+    kind = F.col("doc_id") % 4
+    alone = F.concat(F.lit("Benedetto XVI - Omelia "), n)
+    lines = (
+        F.when(kind == 0, F.array(F.lit("Un papa disse"), F.concat(F.lit("così (Papa Francesco, Angelus "), (2000 + F.col("doc_id") % 25).cast("string"), F.lit(") ")), alone))
+        .when(kind == 1, F.array(F.lit("Papa Francesco"), F.lit("nel 2019 (nota)"), alone))
+        .otherwise(F.array(F.lit("Parole"), F.lit("nel 2019")))
+    )
+    last = F.when(kind == 2, F.concat(F.lit("Fine "), n, F.lit(". (Papa Leone "), n, F.lit(")"))).otherwise("Fine (nota).")
+    found, end = S.attribution_line(lines), S.attribution_at_end(last)
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", found["meta"].alias("meta"), found["at"].alias("at"), F.when(end["meta"].isNotNull(), end["body"]).alias("body"), end["meta"].alias("end_meta")
+    )
+
+
+@query("""
+WITH p AS (SELECT page_id AS n, unnest(range(1, 41)) AS k FROM pages)
+SELECT n AS page_id, string_agg('Paragrafo ' || k || ' della pagina ' || n || ', lungo abbastanza per contare come un paragrafo vero.', chr(10) ORDER BY k) AS text FROM p WHERE k <= 30 GROUP BY n
+""")
+def thirty_paragraphs(spark, sf_dir):
+    """Detail pages of forty paragraphs, of which thirty are taken."""
+    n = F.col("page_id").cast("string")
+    one = lambda k: F.concat(F.lit("<p>Paragrafo "), k.cast("string"), F.lit(" della pagina "), n, F.lit(", lungo abbastanza per contare come un paragrafo vero.</p><p>breve</p>"))
+    html = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(40)), one), "")
+    return pages.detail_texts(pages.with_elements(spread(table(spark, sf_dir, "pages")).select("page_id", html.alias("html")))).select("page_id", "text")

@@ -111,6 +111,29 @@ def test_streamed_entries_without_dates_and_links_are_told_apart(spark, tmp_path
     assert all(year in r.pub_date for r in got)
 
 
+def test_a_stream_gathers_its_ledger(spark, tmp_path, monkeypatch):
+    """Many batches leave few tables, the last of which may run again."""
+    import os
+    import shutil
+
+    from lectern.streaming import ledger_stream
+
+    monkeypatch.setattr(ledger_stream, "GATHER", 2)
+    schema = "channel string, pos long, title string, description string, link string, pub_date string, audio_url string"
+    path = str(tmp_path / "ledger")
+    for i in range(6):
+        spark.createDataFrame([("it", 0, f"T{i}", "d", f"l{i}", "x", "u")], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        publish_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), path, str(tmp_path / "ck"), keep=4).awaitTermination()
+        if i == 5:  # as if the last batch hadn't been noted
+            for ends in ("commits/5", "commits/.5.crc"):
+                os.remove(tmp_path / "ck" / ends)
+            publish_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), path, str(tmp_path / "ck"), keep=4).awaitTermination()
+    got = [(r.title, r.seq) for r in read_ledger(spark, path, keep=4).orderBy(F.desc("seq")).collect()]
+    assert got == [("T5", 6), ("T4", 5), ("T3", 4), ("T2", 3)]
+    assert sorted(os.listdir(f"{path}/gathered")) == ["v=3", "v=5"] and sorted(os.listdir(f"{path}/added")) == ["v=4", "v=5"]
+    shutil.rmtree(path)
+
+
 def test_rows_are_numbered_within_groups_of_any_size(spark):
     df = spark.range(0, 3_000, 1, 7).select(F.when(F.col("id") % 3 < 2, "hot").otherwise(F.concat(F.lit("c"), (F.col("id") % 50).cast("string"))).alias("channel"), (F.col("id") * 37 % 3_000).alias("pos"))
     got = L.publish_order(df).collect()
