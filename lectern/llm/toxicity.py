@@ -218,7 +218,7 @@ def _evidence(words: set[str], weights: dict[str, float]) -> float:
 
 
 def fold(doc_id: Column) -> Column:
-    """crc32 of doc_id as text, mod 4."""
+    """crc32 of doc_id as text, mod 4; null for a null doc_id, which no label can name."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4))
 
 

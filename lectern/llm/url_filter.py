@@ -29,6 +29,11 @@ def rule_table(spark: SparkSession, rules=DEFAULT_RULES) -> DataFrame:
     return spark.createDataFrame([tuple(r) for r in rules], "action string, rule_host string, rule_path string")
 
 
+def _lower(host: Column) -> Column:
+    """A-Z in small letters; other letters stay, in urls and rules alike."""
+    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased. Path: from there up to
     ``?``, ``#`` or the end. Both empty where url is null or has no ``://``."""
@@ -36,7 +41,7 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     at = F.instr(url, "://")
     rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.lit(""))
     host = F.regexp_extract(rest, r"^[^/?#]*", 0)
-    lower = F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    lower = _lower(host)
     path = F.regexp_extract(F.substring(rest, F.length(host) + 1, F.length(rest)), r"^[^?#]*", 0)
     return lower, path
 
@@ -54,7 +59,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     """
     rules = rules.select(
         "action",
-        F.lower(F.coalesce("rule_host", F.lit(""))).alias("rule_host"),
+        _lower(F.coalesce("rule_host", F.lit(""))).alias("rule_host"),
         F.coalesce("rule_path", F.lit("")).alias("rule_path"),
     )
     rules = rules.groupBy("rule_host", "rule_path").agg(F.max("action").alias("action"))  # 'block' > 'allow'

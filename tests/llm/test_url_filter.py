@@ -33,3 +33,9 @@ def test_no_rules_and_no_pages(spark):
     pages = spark.createDataFrame([(1, "http://x.net/")], "page_id long, url string")
     assert [r.verdict for r in U.judge_urls(pages, U.rule_table(spark, [])).collect()] == ["allow"]
     assert U.judge_urls(pages.limit(0), U.rule_table(spark)).count() == 0
+
+
+def test_capitals_of_rules_and_urls_are_alike(spark):
+    pages = spark.createDataFrame([(1, "http://É.Net/x"), (2, "http://é.net/x"), (3, "http://www.NET/")], "page_id long, url string")
+    found = {r.page_id: r.rule for r in U.judge_urls(pages, U.rule_table(spark, [("block", "É.NET", "/"), ("block", "WWW.net", "/")])).collect()}
+    assert found == {1: "É.net/", 2: None, 3: "www.net/"}
