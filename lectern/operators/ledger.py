@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.rx import text_or_empty
+from lectern.functions.rx import strip, text_or_empty
 from lectern.functions.text import sanitize, stored_path, title_key
 from lectern.operators.ranks import numbered_rows
 
@@ -121,18 +121,17 @@ def prefer_structured(structured: DataFrame, fallback: DataFrame, keys: list[str
     return joined.select(*keys, *picked, F.when(F.col("_a"), "page").otherwise("feed").alias("origin"))
 
 
-def saint_segments(saints: DataFrame, details: DataFrame, template: Column) -> DataFrame:
-    """page_id, segments: one text per saint, its name and its life.
-
-    The life is the detail page's text, else the brief one, else ``template``
-    with the name put in. details: url, text.
-    """
+def saint_lives(saints: DataFrame, details: DataFrame, template: Column) -> DataFrame:
+    """saints (name, brief, detail_url, ...) with ``life``: the detail page's text, else the brief one, else ``template``
+    with the name put in. details: url, text; of several texts of a url the least counts."""
     found = details.groupBy(F.col("url").alias("_url")).agg(F.min("text").alias("_text"))
     joined = saints.join(found, F.col("detail_url") == F.col("_url"), "left")
-    life = F.coalesce(
-        F.when(F.trim("_text") != "", F.col("_text")),
-        F.when(F.trim("brief") != "", F.col("brief")),
-        F.replace(template, F.lit("{name}"), F.col("name")),
-    )
-    rows = joined.select("page_id", F.struct("ord", "name", F.concat_ws("\n", "name", life).alias("text")).alias("s"))
+    told = [F.when(strip(F.col(c)) != "", F.col(c)) for c in ("_text", "brief")]
+    return joined.select(*saints.columns, F.coalesce(*told, F.replace(template, F.lit("{name}"), F.col("name"))).alias("life"))
+
+
+def saint_segments(saints: DataFrame) -> DataFrame:
+    """page_id, segments of saints(page_id, ord, name, life): one text per saint, the name and, on the lines after it, the
+    life."""
+    rows = saints.select("page_id", F.struct("ord", "name", F.concat_ws("\n", "name", "life").alias("text")).alias("s"))
     return rows.groupBy("page_id").agg(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["text"]).alias("segments"))

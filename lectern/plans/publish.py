@@ -76,20 +76,11 @@ def saint_episodes(pages: DataFrame, details: DataFrame, site: str, known: DataF
     lang, day = F.col("lang"), F.col("day")
     # written, so that each step is worked out once, and planned once
     found = written(P.saints(pages, lang, site, known).join(pages.select("page_id", "lang"), "page_id"), "saints")
-    lives = details.groupBy(F.col("url").alias("_url")).agg(F.min("text").alias("_text"))
     template = _of(lang, {c: v[2] for c, v in dims.SAINT_PAGES.items()})
-    life = F.coalesce(
-        F.when(strip("_text") != "", F.col("_text")), F.when(strip("brief") != "", F.col("brief")), F.replace(template, F.lit("{name}"), F.col("name")),
-    )
-    told = found.join(lives, F.col("detail_url") == F.col("_url"), "left").select(
-        "page_id", "lang", "ord", "name", normalize(F.col("name"), None).alias("_name"), normalize(life, None, flatten=False).alias("_life")
-    )
-    spoken = told.select(
-        "page_id", "ord", "name", localized(F.col("_name"), lang).alias("_name"),
-        localized(F.col("_life"), lang, False).alias("_life"),
-    )
-    one = F.struct("ord", "name", F.concat_ws("\n", "_name", "_life").alias("text"))
-    grouped = spoken.groupBy("page_id").agg(F.transform(F.sort_array(F.collect_list(one)), lambda s: s["text"]).alias("segments"))
+    told = L.saint_lives(found, details, template)
+    plain = told.select("page_id", "lang", "ord", normalize(F.col("name"), None).alias("_name"), normalize(F.col("life"), None, flatten=False).alias("_life"))
+    spoken = plain.select("page_id", "ord", localized(F.col("_name"), lang).alias("name"), localized(F.col("_life"), lang, False).alias("life"))
+    grouped = L.saint_segments(spoken)
     heading = _of(lang, {c: v[1] for c, v in dims.SAINT_PAGES.items()})
     return pages.select("page_id", "lang", "day").join(grouped, "page_id").select(
         "page_id", "lang", "day", F.concat(heading, F.lit(" - "), spoken_date(day, lang)).alias("title"), "segments",

@@ -218,7 +218,7 @@ def detail_fallback(spark, sf_dir):
     details = table(spark, sf_dir, "labels").select(
         F.col("doc_id").cast("string").alias("url"), F.when(F.col("quality") == 1, "good").otherwise(" ").alias("text")
     )
-    found = L.saint_segments(saints, details, F.lit("Today {name}."))
+    found = L.saint_segments(L.saint_lives(saints, details, F.lit("Today {name}.")))
     return found.select(F.col("page_id").alias("doc_id"), F.array_join("segments", "|").alias("segment"))
 
 
