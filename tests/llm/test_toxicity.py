@@ -91,3 +91,24 @@ def test_the_lexicon_keeps_every_word_that_passes(spark, docs):
     counts = {w: sum(w in t for _, t in rows) for w in bad}
     assert sum(counts[w] > 10 for w in bad) > 90
     assert {w for w in bad if counts[w] > 10} <= set(scorer.weights)
+
+
+def test_the_score_is_that_of_the_listed_words(spark, docs, corpus):
+    """The logistic curve over the listed words of the restored text, the strongest in full, each further one by half."""
+    import math
+
+    rows, labels = corpus
+    rows = rows[:120] + [(900, "grumb1ew0rt and s n o t f a c e, CLODHOPPER clodhopper"), (901, None), (902, "")]
+    scorer = toxicity.fit(docs(rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {r.doc_id: r["score"] for r in toxicity.score(docs(rows), scorer).collect()}
+    table = scorer.model.tolist()
+    seen = 0
+    for d, text in rows:
+        listed = [scorer.weights[w] for w in toxicity.restored(text or "", table, {}) if w in scorer.weights]
+        evidence, share = 0.0, 1.0
+        while listed:
+            evidence += share * listed.pop(listed.index(max(listed)))
+            share /= 2
+        assert abs(got[d] - 1 / (1 + math.exp(-(scorer.bias + scorer.scale * evidence)))) < 1e-12
+        seen += evidence > 0
+    assert seen > 20 and got[901] == got[902] and got[900] > 0.9
