@@ -101,6 +101,7 @@ def _from_entry(entries: DataFrame) -> DataFrame:
 def feed_run(entries: DataFrame, history: DataFrame, blocked: DataFrame, channels: DataFrame, host: str, now: Column, website: Column, keep: int | None = L.KEEP) -> Run:
     """A run over all entries(channel, pos, title, summary, link, pub_date): those that a channel's ledger has neither by
     title nor by link are published, the last of the feed first."""
+    history = written(history, "run-history")  # read from documents once
     asked, refused = _refused(entries, blocked)
     judged = _judged(_placed(_from_entry(asked), channels, host, now), history, None, True)
     return _finish(judged, refused, history, now, website, keep)
@@ -123,6 +124,7 @@ def day_run(asked: DataFrame, pages: DataFrame, entries: DataFrame, history: Dat
     sections alone; entries are taken up for the channels that need them only.
     What a forced channel has already is published again.
     """
+    history = written(history, "run-history")  # read from documents once
     wanted, refused = _refused(asked, blocked)
     own = pages.join(wanted.select("channel", "day"), ["channel", "day"], "left_semi")
     # a page stands for one channel and day, so its number leads back to them
@@ -143,6 +145,7 @@ def day_run(asked: DataFrame, pages: DataFrame, entries: DataFrame, history: Dat
 def saint_run(asked: DataFrame, pages: DataFrame, details: DataFrame, history: DataFrame, blocked: DataFrame, channels: DataFrame, site: str, host: str, now: Column, website: Column, keep: int | None = L.KEEP) -> Run:
     """The saints of a day for each of asked(channel, day), from pages(channel, page_id, lang, day, html, nodes) and
     details(url, text). An episode is known by its guid only: titles come again each year."""
+    history = written(history, "run-history")  # read from documents once
     wanted, refused = _refused(asked, blocked)
     own = pages.join(wanted, ["channel", "day"], "left_semi")
     made = R.saint_episodes(own.drop("channel"), details, site).drop("lang", "day").join(own.select("page_id", "channel", "day"), "page_id")

@@ -144,7 +144,7 @@ _RSS = f"channel struct<title:string,item:array<struct<{ITEM_FIELDS}>>>, _bad st
 def document_items(documents: DataFrame, column: str = "rss") -> tuple[DataFrame, DataFrame]:
     """(items, unreadable) of documents(channel, rss), one row a channel.
 
-    items: channel, pos (from 0, in document order) and the item's fields.
+    items: channel, n_items, pos (from 0, in document order) and the item's fields.
     unreadable: channel and error of documents that are no RSS; a channel is in
     one of the two only, so that one broken document stops its own channel.
     """
@@ -155,15 +155,16 @@ def document_items(documents: DataFrame, column: str = "rss") -> tuple[DataFrame
         .when(F.col("_x.channel").isNull(), "the document has no channel")
     )
     judged = found.select("channel", "_x", fails.alias("error"))
-    items = judged.where(F.col("error").isNull()).select("channel", F.posexplode("_x.channel.item").alias("pos", "i")).select("channel", "pos", "i.*")
+    whole = judged.where(F.col("error").isNull()).select("channel", F.col("_x.channel.item").alias("_items"))
+    each = whole.select("channel", F.size("_items").alias("n_items"), F.posexplode("_items").alias("pos", "i"))
+    items = each.select("channel", "n_items", "pos", "i.*")
     return items, judged.where(F.col("error").isNotNull()).select("channel", "error")
 
 
 def published_ledgers(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(ledger, unreadable) of published documents(channel, rss): the first item of a channel has the largest seq."""
     items, unreadable = document_items(documents)
-    sized = items.join(items.groupBy(F.col("channel").alias("_channel")).agg(F.max("pos").alias("_last")), F.col("channel") == F.col("_channel"))
-    placed = sized.withColumn("seq", (F.col("_last") - F.col("pos") + 1).cast("bigint"))
+    placed = items.withColumn("seq", (F.col("n_items") - F.col("pos")).cast("bigint"))
     return published(placed, "channel", "seq"), unreadable
 
 
