@@ -74,8 +74,8 @@ def test_like_brute_force_with_nulls_ties_and_absent_heads(spark, tmp_path):
 
 
 def test_one_conversation_of_most_rows_and_a_turn_that_many_share(spark, tmp_path):
-    data = [(1, t, "user", str(t)) for t in range(3000)] + [(c, 0, "user", "hello") for c in range(10, 400)]
-    data += [(c, 1, "user", f"{c % 7}") for c in range(10, 400)] + [(2, t, "user", str(t)) for t in range(2999)]
+    data = [(1, t, "user", str(t)) for t in range(150)] + [(c, 0, "user", "hello") for c in range(10, 400)]
+    data += [(c, 1, "user", f"{c % 7}") for c in range(10, 400)] + [(2, t, "user", str(t)) for t in range(149)]
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     spark.conf.set("spark.sql.shuffle.partitions", "13")
     try:
