@@ -133,7 +133,10 @@ def _folded(value: Column, rules: Column) -> Column:
 
 def expand_cross_references(value: Column, lang: str | Column) -> Column:
     rules = {c: _table([(rx(rf"(?<!\w){a}\.?(?!\w)", "i"), b) for a, b in pairs]) for c, pairs in dims.CROSS_REFERENCES.items()}
-    return _folded(text_or_empty(value), of_language(lang, rules, [], _RULES))
+    # few texts hold any in any language
+    some = "|".join(sorted({a for pairs in dims.CROSS_REFERENCES.values() for a, _ in pairs}))
+    named = lambda v: _folded(v, of_language(lang, rules, [], _RULES))
+    return let(text_or_empty(value), lambda v: F.when(matches(v, some, "i"), named(v)).otherwise(v))
 
 
 def _book_keys(lang: str) -> dict[str, str]:
@@ -194,7 +197,8 @@ def smooth(value: Column, lang: str | Column = "it", flatten: bool = True) -> Co
     value = F.regexp_replace(text_or_empty(value), of_language(lang, {c: rx(x) for c, x in _RESPONSES.items()}, NEVER), F.lit(""))
     ends = r"'(?=[\s,;:.!?\"\[\]]|$)"
     accents = _table([(rx(f"{v}{ends}", "m"), w) for v, w in zip("aeiouAEIOU", "àèìòùÀÈÌÒÙ", strict=True)])
-    value = _folded(value, of_language(lang, dict.fromkeys(_ACCENTS, accents), [], _RULES))
+    written = lambda v: _folded(v, of_language(lang, dict.fromkeys(_ACCENTS, accents), [], _RULES))
+    value = let(value, lambda v: F.when(matches(v, "[aeiouAEIOU]'"), written(v)).otherwise(v))
     value = rewrite(value, (*_QUOTES, *_PAUSES, _FLAT[flatten], *_ENDS))
     return strip(balance_quotes(value))
 
