@@ -227,9 +227,9 @@ def _bitmap(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view("<i8")
 
 
-def wide_fingerprint(text: str | None, shingle: int, similarity: float, common: np.ndarray) -> tuple[int, int, int, int, np.ndarray, np.ndarray]:
-    """Of a text: a hash of it as it is; two hashes of its words, which name it; how many different shingles it has; its
-    fingerprint and bitmap as 64-bit words; the shingles that it is found by.
+def wide_fingerprint(text: str | None, shingle: int, similarity: float, common: np.ndarray) -> tuple[int, int, int, int, int, np.ndarray, np.ndarray]:
+    """Of a text: a hash of it as it is; two hashes of its words, which name it; its SimHash of 64 bits; how many different
+    shingles it has; its wide fingerprint and bitmap as 64-bit words; the shingles that it is found by.
 
     Of two sets with that Jaccard similarity, each holds at least that share of
     the other. So if the shingles of all texts are put in one order, two such
@@ -257,7 +257,7 @@ def wide_fingerprint(text: str | None, shingle: int, similarity: float, common:
     if n:
         found = found[: n - math.ceil(similarity * n - 1e-9) + 1]
     signed = [x - ((x >> 63) << 64) for x in (raw, first, second)]
-    return *signed, n, sketch, found.view(np.int64)
+    return *signed, fingerprint(text, shingle), n, sketch, found.view(np.int64)
 
 
 def common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
@@ -284,16 +284,16 @@ def wide_fingerprints(docs: DataFrame, shingle: int, similarity: float) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [wide_fingerprint(x, shingle, similarity, common.value) for x in b.column("text").to_pylist()]
-            sketch = np.array([r[4] for r in rows], dtype=np.int64).reshape(-1, len(_SKETCH))
-            found = pa.array([r[5] for r in rows], pa.list_(pa.int64()))
-            columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(4)]
+            sketch = np.array([r[5] for r in rows], dtype=np.int64).reshape(-1, len(_SKETCH))
+            found = pa.array([r[6] for r in rows], pa.list_(pa.int64()))
+            columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(5)]
             columns += [pa.array(c) for c in sketch.T.copy()]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), *columns, found], ["doc_id", "raw", "h1", "h2", "n", *_SKETCH, "found_by"]
+                [b.column("doc_id"), *columns, found], ["doc_id", "raw", "h1", "h2", "fp", "n", *_SKETCH, "found_by"]
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    longs = ", ".join(f"{c} long" for c in ("doc_id", "raw", "h1", "h2", "n", *_SKETCH))
+    longs = ", ".join(f"{c} long" for c in ("doc_id", "raw", "h1", "h2", "fp", "n", *_SKETCH))
     return rows.mapInArrow(run, f"{longs}, found_by array<long>")
 
 
@@ -442,19 +442,32 @@ def confirmed(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame
     return alike.select("u", "v")
 
 
+def ball_links(nodes: DataFrame) -> DataFrame:
+    """u, v: pairs of nodes (id, fp) that tie all with one SimHash together, and all whose SimHashes links() ties."""
+    heads = nodes.groupBy("fp").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("_n"))
+    met = links(heads.select("fp")).toDF("_u", "_v")
+    at = lambda n: heads.select(F.col("fp").alias(f"_{n}"), F.col("head").alias(n))
+    near = met.join(at("u"), "_u").join(at("v"), "_v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    same = nodes.join(heads.where("_n > 1"), "fp").where(F.col("id") != F.col("head"))
+    return near.unionByName(same.select(F.col("head").alias("u"), F.col("id").alias("v"))).distinct()
+
+
 def similar_components(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """node, component: nodes linked by similarity, those without links left out.
 
-    Texts that are found by one shingle form a bucket. First each bucket gives
-    the shortest links that tie it together; those that the shingle sets confirm
-    make components. Then each gives all likely pairs that lie in different
+    First the balls of SimHashes are hashed, as in near_duplicates, and what they
+    link is a tie. SimHashes of texts of that similarity may differ in more bits; so
+    texts that are found by one shingle form a bucket too, which gives the
+    shortest links that tie it together. Those ties that the shingle sets confirm
+    make components. Then each bucket gives all likely pairs that lie in different
     components, so that no likely pair is left unless links join it anyway.
     """
+    balls = written(ball_links(nodes.select("id", "fp")), "simhash-balls")
     found = nodes.select("id", F.explode("found_by").alias("key"))
     counts = found.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
     sketches = nodes.select("id", "n", *_SKETCH)
     members = written(found.join(counts, "key"), "simhash-found")
-    ties = written(likely_links(members.join(sketches, "id"), similarity), "simhash-ties")
+    ties = written(likely_links(members.join(sketches, "id"), similarity).unionByName(balls).distinct(), "simhash-ties")
     some = ties.select(F.explode(F.array("u", "v")).alias("id")).distinct()
     asked = written(nodes.join(some, "id", "left_semi").select("id", *_ROW), "simhash-asked")
     sets = written(shingle_sets(docs, asked, shingle), "simhash-sets")
@@ -474,11 +487,11 @@ def _similar(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFram
     that has it); node, component of nodes with links."""
     fps = written(wide_fingerprints(docs, shingle, similarity), "simhash-wide")
     row = F.min(F.struct(F.col("doc_id").isNull().alias("null"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), "raw")).alias("row")
-    each = fps.groupBy("h1", "h2").agg(row, *[F.first(c).alias(c) for c in ("n", *_SKETCH, "found_by")])
+    each = fps.groupBy("h1", "h2").agg(row, *[F.first(c).alias(c) for c in ("fp", "n", *_SKETCH, "found_by")])
     nodes = written(
         each.select(
             F.monotonically_increasing_id().alias("id"), "h1", "h2", F.when(~F.col("row.null"), F.col("row.id")).alias("first"),
-            F.col("row.id").alias("__id"), F.col("row.null").alias("__null"), F.col("row.raw").alias("__raw"), "n", *_SKETCH, "found_by",
+            F.col("row.id").alias("__id"), F.col("row.null").alias("__null"), F.col("row.raw").alias("__raw"), "fp", "n", *_SKETCH, "found_by",
         ),
         "simhash-nodes",
     )
@@ -489,7 +502,8 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     """doc_id, component_id for every row of docs: groups of documents linked by similarity.
 
     Similarity is the Jaccard similarity of the sets of word shingles; texts
-    with the same words are always linked. All pairs so similar share a shingle
+    with the same words are always linked. The balls of SimHashes propose the
+    nearest pairs, shared shingles the rest: all pairs so similar share a shingle
     that both are found by; bitmaps, and fingerprints of long texts, only leave
     out pairs that can't be so similar before shingles are compared. Nulls,
     empty texts, repeated rows: as near_duplicates.

@@ -211,3 +211,30 @@ def test_similar_documents_of_odd_rows(docs):
         by.setdefault(r.doc_id, set()).add(r.component_id)
     assert by[1] == by[2] == by[3] == {1} and by[5] == by[6] == {5} and len(by[9]) == 1
     assert simhash.similar_documents(docs([])).count() == 0
+
+
+def test_the_pipeline_finds_by_balls_of_fingerprints(spark, docs, monkeypatch):
+    """What SimHashes within RADIUS bits link is found without any shared shingle, and confirmed by shingles."""
+    base = " ".join(prose(90, 60))
+    near = base + " added"
+    other = " ".join(prose(91, 60))
+    rows = [(1, base), (2, near), (3, other), (4, other.replace(" ", "  ")), (5, near + " more")]
+    fps = [simhash.fingerprint(t, 5) & (2**64 - 1) for _, t in rows]
+    assert 0 < max((fps[0] ^ fps[1]).bit_count(), (fps[1] ^ fps[4]).bit_count()) <= simhash.RADIUS
+    monkeypatch.setattr(simhash, "likely_links", lambda *a, **k: spark.createDataFrame([], "u long, v long"))
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs(rows), 5, 0.8).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 1}
+    assert sorted(r.doc_id for r in simhash.first_of_each(docs(rows), 5, 0.8).collect()) == [1, 3]
+
+
+def test_balls_link_all_nodes_of_near_fingerprints(spark):
+    fps = [5, 5, 5, 4, 7, 1 << 40, (1 << 40) | 3, -1, -2, 0xFF00FF]
+    nodes = spark.createDataFrame([(10 + i, f) for i, f in enumerate(fps)], "id long, fp long")
+    got = [(r.u, r.v) for r in simhash.ball_links(nodes).collect()]
+    assert len(got) == len(set(got)) and all(u < v for u, v in got)
+    label = {10 + i: 10 + i for i in range(len(fps))}
+    for u, v in got:
+        assert ((fps[u - 10] ^ fps[v - 10]) & (2**64 - 1)).bit_count() <= simhash.RADIUS
+        label = {k: min(label[u], label[v]) if x in (label[u], label[v]) else x for k, x in label.items()}
+    ids = sorted(label)
+    assert [label[i] for i in ids] == components(ids, fps)
