@@ -6,11 +6,13 @@ everything else is expressions over that array, or joins.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from lectern.functions import dims
@@ -28,6 +30,9 @@ ELEMENT = StructType(
 PAGE = StructType([StructField("nodes", ArrayType(ELEMENT)), StructField("pieces", ArrayType(StringType()))])
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _UNREAD = ("script", "style")
+#: Pages that are parsed and handed back at a time. Spark sends 10,000 rows in a batch, and a parsed page takes many times
+#: the room of its source as Python's objects.
+SLICE = 64
 
 
 class _Elements(HTMLParser):
@@ -91,11 +96,19 @@ class _Elements(HTMLParser):
             self.pieces.append(piece)
 
 
-@F.pandas_udf(PAGE)
-def elements(pages: pd.Series) -> pd.DataFrame:
+def parsed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """PAGE of each page, in arrays of SLICE pages at most, however large the batches are."""
+    shape = to_arrow_type(PAGE)
+    for batch in batches:
+        for at in range(0, len(batch), SLICE):
+            read = [_Elements(x or "") for x in batch.slice(at, SLICE).to_pylist()]
+            yield pa.array([{"nodes": x.rows, "pieces": x.pieces} for x in read], shape)
+
+
+@F.arrow_udf(PAGE)
+def elements(pages: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """The elements of each page, in document order, and its pieces of text."""
-    read = [_Elements(x or "") for x in pages]
-    return pd.DataFrame({"nodes": [x.rows for x in read], "pieces": [x.pieces for x in read]})
+    return parsed(pages)
 
 
 def with_elements(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -1,5 +1,6 @@
 import datetime
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lectern.operators import ledger as L
@@ -223,3 +224,15 @@ def test_verse_elements_are_cut_out_whole(spark):
     df = P.with_elements(spark.createDataFrame([(1, html)], "page_id long, html string"))
     got = {r.heading: r.read for r in P.sections(df).collect()}
     assert got == {"x": "<p>Dal libro <span>Mt <b>5</b></span>dei Re , fine <span>Gesu disse</span></p>", "y": "<p>z</p>"}
+
+
+def test_pages_are_parsed_in_small_slices_of_a_batch(spark):
+    """As many pages as a batch of Spark holds are never parsed at once."""
+    made = [None if i % 50 == 7 else f"<body><h1>T{i}</h1>" + f"<p>{i} &amp; x</p>" * (i % 5) for i in range(2 * P.SLICE + 9)]
+    slices = list(P.parsed(iter([pa.array(made, pa.string()), pa.array([], pa.string()), pa.array(made[:3], pa.string())])))
+    assert [len(x) for x in slices] == [P.SLICE, P.SLICE, 9, 3]
+    rows = spark.createDataFrame(list(enumerate(made)), "page_id long, html string").coalesce(1)
+    got = P.with_elements(rows).select("page_id", "pieces", F.size("nodes").alias("n")).collect()
+    texts = {i: [] if x is None else [f"T{i}", *[f"{i} & x"] * (i % 5)] for i, x in enumerate(made)}
+    assert {r.page_id: r.pieces for r in got} == texts
+    assert {r.page_id: r.n for r in got} == {i: 0 if x is None else 2 + i % 5 for i, x in enumerate(made)}
