@@ -363,8 +363,9 @@ def forced(flag: Column) -> Column:
 
 def is_navigation(heading: Column) -> Column:
     """Whether a heading holds one of the words of navigation parts, as a substring."""
-    low = F.lower(strip(text_or_empty(heading)))
-    return F.exists(F.array(*map(F.lit, dims.NAVIGATION)), lambda k: F.contains(low, k))
+    # in small letters once, and not once a word; none begins or ends with white space
+    words = F.array(*map(F.lit, dims.NAVIGATION))
+    return let(F.lower(text_or_empty(heading)), lambda low: F.exists(words, lambda k: F.contains(low, k)))
 
 
 def is_saint_link(href: Column, lang: str | Column) -> Column:

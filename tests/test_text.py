@@ -149,3 +149,14 @@ def test_long_runs_take_seconds(spark):
             rows.select(F.length(step(F.col("x")))).collect()
             assert time.time() - began < 15, (unit, name)
         rows.unpersist()
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_headings_are_lowered_once_and_not_once_a_word(spark):
+    rows = [(None, False), ("", False), (" \n MENU\t", True), ("Oggi", False), ("Santo del giorno", False), ("x SANTO DEL GIORNO", True), ("AUDIÊNCIA GERAL", True)]
+    df = spark.createDataFrame(rows, "x string, wanted boolean").select("x", "wanted", T.is_navigation(F.col("x")).alias("got"))
+    assert [r.got for r in df.collect()] == [w for _, w in rows]
+    assert "regexp_replace" not in plan_of(df)
