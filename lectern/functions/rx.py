@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,15 +39,29 @@ def rewrite(value: Column, rules: Iterable[tuple[str, str] | tuple[str, str, str
     return value
 
 
+#: What \s is in a pattern with Unicode classes.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(value: Column) -> Column:
-    # a run of white space inside is looked at once, from its beginning
-    return sub(value, r"^\s+|(?<!\s)\s++$", "")
+    # a pattern would be tried at each character between the ends
+    return F.btrim(value, F.lit(WHITE))
 
 
 def text_or_empty(value: Column) -> Column:
     return F.coalesce(value, F.lit(""))
 
 
+def holds(*marks: str) -> Callable[[Column], Column]:
+    """Whether a text has one of the marks, by its bytes: a small part of what a pattern takes."""
+    return lambda value: reduce(or_, (F.contains(value, F.lit(m)) for m in marks))
+
+
+def where(value: Column, test: Callable[[Column], Column], rules: Iterable[tuple[str, str] | tuple[str, str, str]]) -> Column:
+    """rewrite() for texts that pass a test, which has to hold wherever a rule would change anything."""
+    return let(value, lambda v: F.when(test(v), rewrite(v, rules)).otherwise(v))
+
+
 def position(value: Column, pattern: Column) -> Column:
     """0-based offset of the first match of a whole pattern, flags and all, -1 if there is none."""
     head = F.split(value, pattern, 2)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+from collections.abc import Collection
 
 import pandas as pd
 from pyspark.sql import Column
@@ -10,13 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from lectern.functions import dims
-from lectern.functions.rx import NEVER, let, literal, matches, of_language, rewrite, rx, strip, sub, text_or_empty
+from lectern.functions.rx import NEVER, holds, let, literal, matches, of_language, rewrite, rx, strip, sub, text_or_empty, where
 
 QUOTE_START, QUOTE_END, PAUSE, COMMENT = "__QSTART__", "__QEND__", "__PAUSE__", "__POPE__"
 
 # Runs of white space are matched from their beginning and as a whole, so that none is looked at again from each of its
-# characters. A run before a mark may have gone with the mark before it.
-_LINE_END = r"(?<!\s)[^\S\n]*+\n\s*+"
+# characters. A run before a mark may have gone with the mark before it. A pattern is tried at each character of a text, so
+# what most characters fail comes first, and what looks back comes after it.
+_LINE_END = r"\s(?<!\s\s)(?:(?<=\n)|[^\S\n]*+\n)\s*+"
+_ONE_BLANK = (r"[ \t]{2,}+|\t", " ")
+_COMMAS = (r",\s*+(?:,\s*+)++", ", ")
 _BLANKS = r"(?:(?<![ \t])[ \t]++)?"
 
 # fixed values: rewriting rules, in order -----------------------------------
@@ -25,16 +29,13 @@ _TAGS = (
     (r"<li\b[^>]*>", "- ", "i"),
     (r"<[^>]+>", " "),
 )
-_JOINED = ((r"(\w)-\s+(\w)", "$1$2"), (_LINE_END, "\n"), (r"[ \t]+", " "))
+_JOINED = (r"(\w)-\s+(\w)", "$1$2")
 _MARKS = (
-    (r"(?<!\s)\s++([,;:.!?])", "$1"),
+    (r"\s(?<!\s\s)\s*+([,;:.!?])", "$1"),
     (r"([,;:.!?])(?!\s|$)", "$1 "),
-    (r"(?:,\s*+){2,}+", ", "),
-    (r";\s*;{1,}", "; "),
-    (r":\s*:{1,}", ": "),
-    (r"!\s*!{1,}", "! "),
-    (r"\?\s*\?{1,}", "? "),
+    _COMMAS,
 )
+_TWICE = ((r";\s*;{1,}", "; "), (r":\s*:{1,}", ": "), (r"!\s*!{1,}", "! "), (r"\?\s*\?{1,}", "? "))
 _FLAT = {True: (_LINE_END, " "), False: (_LINE_END, "\n")}
 _QUOTES = (
     (rf"{_BLANKS}«[ \t]*", f" {QUOTE_START} "),
@@ -45,14 +46,11 @@ _QUOTES = (
     (r'(?<=[\s,\-])"(?=\S)', f" {QUOTE_START} "),
     (r'"(?=\s*(?:[,;:.!?]|\s|$))', f" {QUOTE_END} ", "m"),
 )
-_PAUSES = (
-    (r":(?!\s*$)", ",", "m"),
-    (r"\([^()]{0,120}\d[^()]{0,60}\)", " "),
-    (r"[()]", ""),
-    (r"(?<![ \t])[ \t]++-[ \t]+", ", "),
-    (r"(?:,\s*+){2,}+", ", "),
-)
-_ENDS = ((rf"{_BLANKS};[ \t]*", ", "), (r"[ \t]{2,}", " "))
+_COLON = (r":(?!\s*$)", ",", "m")
+_BRACKETS = ((r"\([^()]{0,120}\d[^()]{0,60}\)", " "), (r"[()]", ""))
+_DASH = (r"(?<![ \t])[ \t]++-[ \t]+", ", ")
+_SEMICOLON = (rf"{_BLANKS};[ \t]*", ", ")
+_BLANKS_TWICE = (r"[ \t]{2,}", " ")
 _PLAIN = ((_LINE_END, ". "), (r"\.\s*\.+", "."), (r",\s*\.\s*", ". "), (r"[ \t]{2,}", " "))
 _FEED_TEXT = ((r"[\x00-\x08\x0B\x0C\x0E-\x1F]", " "), (r"[\x{1F300}-\x{1FAFF}]", ""), (r"\s+", " "))
 _XML_ILLEGAL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
@@ -94,18 +92,26 @@ def _tagless(value: Column, rules: tuple) -> Column:
         rest = F.substring_index(text, ">", -1)
         return F.concat(rewrite(F.left(text, F.length(text) - F.length(rest)), rules), rest)
 
-    return let(text_or_empty(value), cut)
+    return let(text_or_empty(value), lambda v: F.when(holds(">")(v), cut(v)).otherwise(v))
 
 
 def html_to_text(value: Column, entities: bool = True) -> Column:
     """HTML to lines of text. entities=False leaves references as they are and stays free of Python."""
     tagless = _tagless(value, _TAGS)
     decoded = decode_entities(tagless) if entities else _without_entities(tagless)
-    return strip(rewrite(decoded, _JOINED))
+    joined = where(decoded, lambda v: holds("-")(v) & matches(v, r"-\s"), (_JOINED,))
+    return strip(_one_blank(where(joined, holds("\n"), ((_LINE_END, "\n"),))))
+
+
+def _one_blank(value: Column) -> Column:
+    return where(value, holds("  ", "\t"), (_ONE_BLANK,))
 
 
 def normalize_punctuation(value: Column, flatten: bool = True) -> Column:
-    return strip(rewrite(text_or_empty(value), (*_MARKS, _FLAT[flatten], (r"[ \t]+", " "))))
+    value = rewrite(text_or_empty(value), _MARKS[:2])
+    # now two of a mark in a row have one blank between them
+    value = where(value, holds(", ,", "; ;", ": :", "! !", "? ?"), (*_MARKS[2:], *_TWICE))
+    return strip(_one_blank(where(value, holds("\n"), (_FLAT[flatten],))))
 
 
 def detect_language(lang: Column | None, url: Column | None) -> Column:
@@ -131,12 +137,19 @@ def _folded(value: Column, rules: Column) -> Column:
     return F.aggregate(rules, value, lambda text, r: F.regexp_replace(text, r["key"], r["name"]))
 
 
+def _word(words: Collection[str]) -> str:
+    """The pattern of one of some words (patterns that begin with a letter or digit, case ignored), alone and with the dot
+    after it, looked for by their first characters."""
+    first = "".join(sorted({w[0] for w in words}))
+    return rx(rf"(?=[{first}])(?<!\w)(?:{'|'.join(words)})\.?(?!\w)", "i")
+
+
 def expand_cross_references(value: Column, lang: str | Column) -> Column:
-    rules = {c: _table([(rx(rf"(?<!\w){a}\.?(?!\w)", "i"), b) for a, b in pairs]) for c, pairs in dims.CROSS_REFERENCES.items()}
+    rules = {c: _table([(_word([a]), b) for a, b in pairs]) for c, pairs in dims.CROSS_REFERENCES.items()}
     # few texts hold any in any language
-    some = "|".join(sorted({a for pairs in dims.CROSS_REFERENCES.values() for a, _ in pairs}))
+    some = holds(*sorted({a for pairs in dims.CROSS_REFERENCES.values() for a, _ in pairs}))
     named = lambda v: _folded(v, of_language(lang, rules, [], _RULES))
-    return let(text_or_empty(value), lambda v: F.when(matches(v, some, "i"), named(v)).otherwise(v))
+    return let(text_or_empty(value), lambda v: F.when(let(F.lower(v), some), named(v)).otherwise(v))
 
 
 def _book_keys(lang: str) -> dict[str, str]:
@@ -149,8 +162,8 @@ def expand_books(value: Column, lang: str | Column) -> Column:
     rules, some = {}, {}
     for c in dims.BOOKS:
         keys = _book_keys(c)
-        rules[c] = _table([(rx(rf"(?<!\w){keys[k]}\.?(?!\w)", "i"), name) for k, name in dims.books(c)])
-        some[c] = rx(rf"(?<!\w)(?:{'|'.join(keys.values())})\.?(?!\w)", "i")
+        rules[c] = _table([(_word([keys[k]]), name) for k, name in dims.books(c)])
+        some[c] = _word(keys.values())
     # few texts hold any, and value is worked out once
     named = lambda v: _folded(v, of_language(lang, rules, [], _RULES))
     return let(text_or_empty(value), lambda v: F.when(F.rlike(v, of_language(lang, some, NEVER)), named(v)).otherwise(v))
@@ -159,15 +172,16 @@ def expand_books(value: Column, lang: str | Column) -> Column:
 def normalize_verses(value: Column, lang: str | Column) -> Column:
     """Chapter and verse numbers as they are spoken."""
     spoken = F.concat(F.lit("$1 $2 "), of_language(lang, dims.RANGE_WORD, "to"), F.lit(" $3"))
-    # fixed values
+    # fixed values; a number is read from its beginning and as a whole
+    number = r"(\d(?<!\d\d)\d*+)"
     rules = (
-        (r"(\d+),\s*(\d+)[a-z]\s*-\s*(\d+)", spoken),
-        (r"(\d+)\s+(\d+)[a-z]\s*-\s*(\d+)", spoken),
-        (r"(\d+),\s*(\d+)\s*-\s*(\d+)", spoken),
-        (r"(\d+),\s*(\d+)", "$1 $2"),
-        (r"\b(\d+)[a-z]\b", "$1"),
+        (rf"{number},\s*(\d+)[a-z]\s*-\s*(\d+)", spoken),
+        (rf"{number}\s+(\d+)[a-z]\s*-\s*(\d+)", spoken),
+        (rf"{number},\s*(\d+)\s*-\s*(\d+)", spoken),
+        (rf"{number},\s*(\d+)", "$1 $2"),
+        (r"(?=\d)\b(\d++)[a-z]\b", "$1"),
     )
-    return rewrite(F.translate(text_or_empty(value), "–", "-"), rules)
+    return where(F.replace(text_or_empty(value), F.lit("–"), F.lit("-")), lambda v: matches(v, r"\d"), rules)
 
 
 def balance_quotes(value: Column) -> Column:
@@ -184,7 +198,8 @@ def balance_quotes(value: Column) -> Column:
         )
         return F.concat(F.array_join(shown, ""), F.when(opened(F.size(pieces) - 1), QUOTE_END).otherwise(""))
 
-    return let(F.split(text_or_empty(value), f"(?={QUOTE_START}|{QUOTE_END})"), balanced)
+    pieces = lambda v: let(F.split(v, f"(?={QUOTE_START}|{QUOTE_END})"), balanced)
+    return let(text_or_empty(value), lambda v: F.when(holds(QUOTE_START, QUOTE_END)(v), pieces(v)).otherwise(v))
 
 
 #: Italian marks responses, and three languages write an accent as an apostrophe (fixed values).
@@ -194,12 +209,23 @@ _ACCENTS = ("it", "fr", "pt")
 
 def smooth(value: Column, lang: str | Column = "it", flatten: bool = True) -> Column:
     """Punctuation that makes a voice stumble is removed, quotes become markers."""
-    value = F.regexp_replace(text_or_empty(value), of_language(lang, {c: rx(x) for c, x in _RESPONSES.items()}, NEVER), F.lit(""))
+    responses = of_language(lang, {c: rx(x) for c, x in _RESPONSES.items()}, NEVER)
+    value = let(text_or_empty(value), lambda v: F.when(holds("R.")(v), F.regexp_replace(v, responses, F.lit(""))).otherwise(v))
     ends = r"'(?=[\s,;:.!?\"\[\]]|$)"
     accents = _table([(rx(f"{v}{ends}", "m"), w) for v, w in zip("aeiouAEIOU", "àèìòùÀÈÌÒÙ", strict=True)])
     written = lambda v: _folded(v, of_language(lang, dict.fromkeys(_ACCENTS, accents), [], _RULES))
-    value = let(value, lambda v: F.when(matches(v, "[aeiouAEIOU]'"), written(v)).otherwise(v))
-    value = rewrite(value, (*_QUOTES, *_PAUSES, _FLAT[flatten], *_ENDS))
+    value = let(value, lambda v: F.when(holds("'")(v) & matches(v, "[aeiouAEIOU]'"), written(v)).otherwise(v))
+    for marks, rules in (
+        ("«»“”\"", _QUOTES),
+        (":", (_COLON,)),
+        ("()", _BRACKETS),
+        (("- ", "-\t"), (_DASH,)),
+        (",", (_COMMAS,)),
+        ("\n", (_FLAT[flatten],)),
+        (";", (_SEMICOLON,)),
+        (("  ", "\t"), (_BLANKS_TWICE,)),
+    ):
+        value = where(value, holds(*marks), rules)
     return strip(balance_quotes(value))
 
 

@@ -160,3 +160,28 @@ def test_headings_are_lowered_once_and_not_once_a_word(spark):
     df = spark.createDataFrame(rows, "x string, wanted boolean").select("x", "wanted", T.is_navigation(F.col("x")).alias("got"))
     assert [r.got for r in df.collect()] == [w for _, w in rows]
     assert "regexp_replace" not in plan_of(df)
+
+
+def test_white_space_is_what_patterns_take_for_it(spark):
+    from lectern.functions.rx import WHITE, matches
+
+    df = spark.range(0x10000).where("id < 55296 or id > 57343").select(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("c"))
+    found = df.where(matches(F.col("c"), r"\s")).select("c").collect()
+    assert sorted(r.c for r in found) == sorted(WHITE)
+
+
+def test_rules_are_tried_only_where_a_text_holds_their_marks(spark):
+    from lectern.functions.rx import holds, where
+
+    df = spark.createDataFrame([("abc", "abc"), ("abcx", "a!cx"), ("aby", "a!y"), ("", ""), (None, None)], "t string, w string")
+    assert all(r.g == r.w for r in df.select("w", where(F.col("t"), holds("x", "y"), (("b", "!"),)).alias("g")).collect())
+
+
+def test_long_numbers_take_seconds(spark):
+    """A number of any length is read once, not again from each of its digits."""
+    import time
+
+    df = spark.createDataFrame([("1" * 200_000 + " 5,1-13",)], "t string")
+    began = time.time()
+    assert df.select(T.normalize_verses(F.col("t"), "it").alias("v")).first().v == "1" * 200_000 + " 5 1 a 13"
+    assert time.time() - began < 15
