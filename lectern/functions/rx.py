@@ -57,9 +57,12 @@ def holds(*marks: str) -> Callable[[Column], Column]:
     return lambda value: reduce(or_, (F.contains(value, F.lit(m)) for m in marks))
 
 
-def where(value: Column, test: Callable[[Column], Column], rules: Iterable[tuple[str, str] | tuple[str, str, str]]) -> Column:
-    """rewrite() for texts that pass a test, which has to hold wherever a rule would change anything."""
-    return let(value, lambda v: F.when(test(v), rewrite(v, rules)).otherwise(v))
+def rewrite_held(value: Column, rules: Iterable[tuple[str, str, str] | tuple[str, str, str, str]]) -> Column:
+    """Apply (mark, pattern, replacement[, flags]) one after the other, each to texts that hold its mark: a text without it
+    must be one that the rule leaves as it is. One lambda for all, since the analyzer takes a round for each in a chain."""
+    listed = [F.struct(F.lit(m).alias("mark"), F.lit(rx(p, *f)).alias("key"), F.lit(r).alias("name")) for m, p, r, *f in rules]
+    held = lambda text, r: F.when(F.contains(text, r["mark"]), F.regexp_replace(text, r["key"], r["name"])).otherwise(text)
+    return F.aggregate(F.array(*listed), value, held)
 
 
 def position(value: Column, pattern: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from lectern.functions import dims
-from lectern.functions.rx import NEVER, holds, let, literal, matches, of_language, rewrite, rx, strip, sub, text_or_empty, where
+from lectern.functions.rx import NEVER, holds, let, literal, matches, of_language, rewrite, rewrite_held, rx, strip, sub, text_or_empty
 
 QUOTE_START, QUOTE_END, PAUSE, COMMENT = "__QSTART__", "__QEND__", "__PAUSE__", "__POPE__"
 
@@ -19,7 +19,7 @@ QUOTE_START, QUOTE_END, PAUSE, COMMENT = "__QSTART__", "__QEND__", "__PAUSE__",
 # characters. A run before a mark may have gone with the mark before it. A pattern is tried at each character of a text, so
 # what most characters fail comes first, and what looks back comes after it.
 _LINE_END = r"\s(?<!\s\s)(?:(?<=\n)|[^\S\n]*+\n)\s*+"
-_ONE_BLANK = (r"[ \t]{2,}+|\t", " ")
+_ONE_BLANK = (("\t", r"\t", " "), ("  ", " {2,}+", " "))
 _COMMAS = (r",\s*+(?:,\s*+)++", ", ")
 _BLANKS = r"(?:(?<![ \t])[ \t]++)?"
 
@@ -29,28 +29,40 @@ _TAGS = (
     (r"<li\b[^>]*>", "- ", "i"),
     (r"<[^>]+>", " "),
 )
-_JOINED = (r"(\w)-\s+(\w)", "$1$2")
+# those with a mark before them are applied to texts that hold it
+_JOINED = (("-", r"(\w)-\s+(\w)", "$1$2"), ("\n", _LINE_END, "\n"), *_ONE_BLANK)
 _MARKS = (
     (r"\s(?<!\s\s)\s*+([,;:.!?])", "$1"),
     (r"([,;:.!?])(?!\s|$)", "$1 "),
     _COMMAS,
 )
-_TWICE = ((r";\s*;{1,}", "; "), (r":\s*:{1,}", ": "), (r"!\s*!{1,}", "! "), (r"\?\s*\?{1,}", "? "))
-_FLAT = {True: (_LINE_END, " "), False: (_LINE_END, "\n")}
+# after the first two, two of a mark in a row have one blank between them
+_TWICE = (
+    (", ,", *_COMMAS),
+    ("; ;", r";\s*;{1,}", "; "),
+    (": :", r":\s*:{1,}", ": "),
+    ("! !", r"!\s*!{1,}", "! "),
+    ("? ?", r"\?\s*\?{1,}", "? "),
+)
+_FLAT = {True: ("\n", _LINE_END, " "), False: ("\n", _LINE_END, "\n")}
 _QUOTES = (
-    (rf"{_BLANKS}«[ \t]*", f" {QUOTE_START} "),
-    (rf"{_BLANKS}»[ \t]*", f" {QUOTE_END} "),
-    ("“", f" {QUOTE_START} "),
-    ("”", f" {QUOTE_END} "),
-    (r'^"(?=\S)', f"{QUOTE_START} ", "m"),
-    (r'(?<=[\s,\-])"(?=\S)', f" {QUOTE_START} "),
-    (r'"(?=\s*(?:[,;:.!?]|\s|$))', f" {QUOTE_END} ", "m"),
+    ("«", rf"{_BLANKS}«[ \t]*", f" {QUOTE_START} "),
+    ("»", rf"{_BLANKS}»[ \t]*", f" {QUOTE_END} "),
+    ("“", "“", f" {QUOTE_START} "),
+    ("”", "”", f" {QUOTE_END} "),
+    ('"', r'^"(?=\S)', f"{QUOTE_START} ", "m"),
+    ('"', r'(?<=[\s,\-])"(?=\S)', f" {QUOTE_START} "),
+    ('"', r'"(?=\s*(?:[,;:.!?]|\s|$))', f" {QUOTE_END} ", "m"),
+)
+_PAUSES = (
+    (":", r":(?!\s*$)", ",", "m"),
+    ("(", r"\([^()]{0,120}\d[^()]{0,60}\)", " "),
+    ("(", r"\(", ""),
+    (")", r"\)", ""),
+    ("-", r"(?<![ \t])[ \t]++-[ \t]+", ", "),
+    (",", *_COMMAS),
 )
-_COLON = (r":(?!\s*$)", ",", "m")
-_BRACKETS = ((r"\([^()]{0,120}\d[^()]{0,60}\)", " "), (r"[()]", ""))
-_DASH = (r"(?<![ \t])[ \t]++-[ \t]+", ", ")
-_SEMICOLON = (rf"{_BLANKS};[ \t]*", ", ")
-_BLANKS_TWICE = (r"[ \t]{2,}", " ")
+_ENDS = ((";", rf"{_BLANKS};[ \t]*", ", "), ("  ", r"[ \t]{2,}", " "), ("\t", r"[ \t]{2,}", " "))
 _PLAIN = ((_LINE_END, ". "), (r"\.\s*\.+", "."), (r",\s*\.\s*", ". "), (r"[ \t]{2,}", " "))
 _FEED_TEXT = ((r"[\x00-\x08\x0B\x0C\x0E-\x1F]", " "), (r"[\x{1F300}-\x{1FAFF}]", ""), (r"\s+", " "))
 _XML_ILLEGAL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
@@ -99,19 +111,11 @@ def html_to_text(value: Column, entities: bool = True) -> Column:
     """HTML to lines of text. entities=False leaves references as they are and stays free of Python."""
     tagless = _tagless(value, _TAGS)
     decoded = decode_entities(tagless) if entities else _without_entities(tagless)
-    joined = where(decoded, lambda v: holds("-")(v) & matches(v, r"-\s"), (_JOINED,))
-    return strip(_one_blank(where(joined, holds("\n"), ((_LINE_END, "\n"),))))
-
-
-def _one_blank(value: Column) -> Column:
-    return where(value, holds("  ", "\t"), (_ONE_BLANK,))
+    return strip(rewrite_held(decoded, _JOINED))
 
 
 def normalize_punctuation(value: Column, flatten: bool = True) -> Column:
-    value = rewrite(text_or_empty(value), _MARKS[:2])
-    # now two of a mark in a row have one blank between them
-    value = where(value, holds(", ,", "; ;", ": :", "! !", "? ?"), (*_MARKS[2:], *_TWICE))
-    return strip(_one_blank(where(value, holds("\n"), (_FLAT[flatten],))))
+    return strip(rewrite_held(rewrite(text_or_empty(value), _MARKS[:2]), (*_TWICE, _FLAT[flatten], *_ONE_BLANK)))
 
 
 def detect_language(lang: Column | None, url: Column | None) -> Column:
@@ -181,7 +185,8 @@ def normalize_verses(value: Column, lang: str | Column) -> Column:
         (rf"{number},\s*(\d+)", "$1 $2"),
         (r"(?=\d)\b(\d++)[a-z]\b", "$1"),
     )
-    return where(F.replace(text_or_empty(value), F.lit("–"), F.lit("-")), lambda v: matches(v, r"\d"), rules)
+    dashed = F.replace(text_or_empty(value), F.lit("–"), F.lit("-"))
+    return let(dashed, lambda v: F.when(matches(v, r"\d"), rewrite(v, rules)).otherwise(v))
 
 
 def balance_quotes(value: Column) -> Column:
@@ -198,8 +203,7 @@ def balance_quotes(value: Column) -> Column:
         )
         return F.concat(F.array_join(shown, ""), F.when(opened(F.size(pieces) - 1), QUOTE_END).otherwise(""))
 
-    pieces = lambda v: let(F.split(v, f"(?={QUOTE_START}|{QUOTE_END})"), balanced)
-    return let(text_or_empty(value), lambda v: F.when(holds(QUOTE_START, QUOTE_END)(v), pieces(v)).otherwise(v))
+    return let(F.split(text_or_empty(value), "(?=__Q(?:START|END)__)"), balanced)
 
 
 #: Italian marks responses, and three languages write an accent as an apostrophe (fixed values).
@@ -209,23 +213,12 @@ _ACCENTS = ("it", "fr", "pt")
 
 def smooth(value: Column, lang: str | Column = "it", flatten: bool = True) -> Column:
     """Punctuation that makes a voice stumble is removed, quotes become markers."""
-    responses = of_language(lang, {c: rx(x) for c, x in _RESPONSES.items()}, NEVER)
-    value = let(text_or_empty(value), lambda v: F.when(holds("R.")(v), F.regexp_replace(v, responses, F.lit(""))).otherwise(v))
+    value = F.regexp_replace(text_or_empty(value), of_language(lang, {c: rx(x) for c, x in _RESPONSES.items()}, NEVER), F.lit(""))
     ends = r"'(?=[\s,;:.!?\"\[\]]|$)"
     accents = _table([(rx(f"{v}{ends}", "m"), w) for v, w in zip("aeiouAEIOU", "àèìòùÀÈÌÒÙ", strict=True)])
     written = lambda v: _folded(v, of_language(lang, dict.fromkeys(_ACCENTS, accents), [], _RULES))
     value = let(value, lambda v: F.when(holds("'")(v) & matches(v, "[aeiouAEIOU]'"), written(v)).otherwise(v))
-    for marks, rules in (
-        ("«»“”\"", _QUOTES),
-        (":", (_COLON,)),
-        ("()", _BRACKETS),
-        (("- ", "-\t"), (_DASH,)),
-        (",", (_COMMAS,)),
-        ("\n", (_FLAT[flatten],)),
-        (";", (_SEMICOLON,)),
-        (("  ", "\t"), (_BLANKS_TWICE,)),
-    ):
-        value = where(value, holds(*marks), rules)
+    value = rewrite_held(value, (*_QUOTES, *_PAUSES, _FLAT[flatten], *_ENDS))
     return strip(balance_quotes(value))
 
 

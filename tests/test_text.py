@@ -171,10 +171,10 @@ def test_white_space_is_what_patterns_take_for_it(spark):
 
 
 def test_rules_are_tried_only_where_a_text_holds_their_marks(spark):
-    from lectern.functions.rx import holds, where
+    from lectern.functions.rx import rewrite_held
 
     df = spark.createDataFrame([("abc", "abc"), ("abcx", "a!cx"), ("aby", "a!y"), ("", ""), (None, None)], "t string, w string")
-    assert all(r.g == r.w for r in df.select("w", where(F.col("t"), holds("x", "y"), (("b", "!"),)).alias("g")).collect())
+    assert all(r.g == r.w for r in df.select("w", rewrite_held(F.col("t"), (("x", "b", "!"), ("y", "B", "!", "i"))).alias("g")).collect())
 
 
 def test_long_numbers_take_seconds(spark):
