@@ -91,6 +91,21 @@ def test_unreadable_documents_are_rows(spark):
     assert errors == {"b": "the document is no XML", "c": "the document is empty", "d": "the document is empty", "e": "the document has no channel"}
 
 
+def test_documents_are_parsed_once(spark):
+    item = "<item><title>x</title><enclosure url='u' length='9'/></item>"
+    rows = [("a", f"<rss><channel><title>t</title>{item}<item/>{item}</channel></rss>"), (None, f"<rss><channel>{item}</channel></rss>"), ("b", "<rss><chan"), ("c", "<rss><channel/></rss>")]
+    items, unread = feeds.document_items(spark.createDataFrame(rows + rows, "channel string, rss string"))
+    entries, _ = feeds.source_entries(spark.createDataFrame(rows, "channel string, rss string"), F.lit("it"))
+    for df in (items, unread, entries):
+        assert "from_xml" not in df._jdf.queryExecution().executedPlan().toString()
+    # an item without fields is one, a channel without items has no row and no error, rows that repeat stay
+    got = [(r.channel, r.n_items, r.pos, r.title) for r in items.where("channel = 'a'").orderBy("pos").collect()]
+    assert got == [("a", 3, 0, "x")] * 2 + [("a", 3, 1, None)] * 2 + [("a", 3, 2, "x")] * 2
+    assert [(r.n_items, r.pos, r.title) for r in items.where("channel IS NULL").collect()] == [(1, 0, "x")] * 2
+    assert items.where("channel IN ('b', 'c')").count() == 0
+    assert sorted((r.channel, r.error) for r in unread.collect()) == [("b", "the document is no XML")] * 2
+
+
 def test_a_blocked_channel_is_left_as_it_is(spark):
     entries = spark.createDataFrame([(c, 0, "New", "", "l", "") for c in "ab"], "channel string, pos long, title string, summary string, link string, pub_date string")
     blocked = spark.createDataFrame([("b", "gone"), ("b", "also gone"), ("z", "never asked")], "channel string, error string")
