@@ -53,8 +53,9 @@ def day_episodes(pages: DataFrame, site: str) -> DataFrame:
     cleaned = localized_.withColumn(
         "text", F.when(F.col("kind") < 2, S.clean_section(F.col("spoken"), lang)).otherwise(text_or_empty(F.col("text")))
     )
-    one = F.struct("kind", "nth", "text")
-    grouped = cleaned.where(strip("text") != "").groupBy(F.col("page_id").alias("_page")).agg(F.sort_array(F.collect_list(one)).alias("_parts"))
+    # left out as it is collected: a filter would work out each text once more
+    one = F.when(strip("text") != "", F.struct("kind", "nth", "text"))
+    grouped = cleaned.groupBy(F.col("page_id").alias("_page")).agg(F.sort_array(F.collect_list(one)).alias("_parts"))
     day = F.col("day")
     titled = pages.select(
         "page_id", "lang", "day", P.title(F.col("nodes"), F.col("pieces"), html_to_text(F.col("html")), day, lang, month_name(day, lang)).alias("_title")

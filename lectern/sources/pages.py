@@ -126,7 +126,8 @@ def _has_text(node: Column) -> Column:
 
 
 def has_class(cls: Column, name: str) -> Column:
-    return F.array_contains(F.split(cls, r"\s+"), name)
+    # most elements don't hold the name at all, which is seen without taking their classes apart
+    return F.contains(cls, F.lit(name)) & F.array_contains(F.split(cls, r"\s+"), name)
 
 
 def _inside(nodes: Column, outer: Column) -> Column:
@@ -144,16 +145,25 @@ def links(pages: DataFrame, key: str = "page_id") -> DataFrame:
     return pages.select(key, F.inline(shown))
 
 
+def _fitting(text: Column) -> Column:
+    """The text, stripped, if it can be a title."""
+    return let(strip(text), lambda x: F.when((x != "") & (F.length(x) < 120), x))
+
+
+def marked_title(nodes: Column, pieces: Column) -> Column:
+    """The text of the element that is marked as a day page's title; null if there is none that fits."""
+    marked = F.get(F.filter(nodes, lambda n: has_class(n["cls"], "indicazioneLiturgica")), F.lit(0))
+    return _fitting(let(marked, lambda n: text_of(pieces, n)))
+
+
 def title(nodes: Column, pieces: Column, page_text: Column, day: Column, lang: Column, month_names: Column) -> Column:
     """A day page's title: the marked element, else what follows the date in the text, else the date."""
-    marked = text_of(pieces, F.get(F.filter(nodes, lambda n: has_class(n["cls"], "indicazioneLiturgica")), F.lit(0)))
     date = F.date_format(day, "dd/MM/yyyy")
     after = F.call_function(
         "regexp_extract", page_text, F.concat(F.lit("(?dU)"), F.replace(date, F.lit("/"), F.lit(r"\/")), F.lit(r"\s+([^\s].{5,80}?)(?:\s{2,}|\z)")), F.lit(1)
     )
-    fits = lambda x: F.when((x != "") & (F.length(x) < 120), x)
     written = F.concat_ws(" ", F.dayofmonth(day).cast("string"), month_names, F.year(day).cast("string"))
-    return F.coalesce(fits(strip(marked)), fits(strip(after)), written)
+    return F.coalesce(marked_title(nodes, pieces), _fitting(after), written)
 
 
 def section_range(html: Column, nodes: Column, heading: Column) -> Column:
@@ -161,14 +171,15 @@ def section_range(html: Column, nodes: Column, heading: Column) -> Column:
     beside the heading's block, else everything after the heading up to the next one in the same parent."""
     reach = lambda start, stop: F.struct(start.alias("start"), stop.alias("stop"))
 
+    # each of these is used several times, and worked out once
     def parted(head: Column) -> Column:
-        outer = F.get(nodes, head["parent"])
-        inside = F.when(head["parent"] >= 0, _inside(nodes, outer)).otherwise(nodes)
-        wrapper = F.filter(inside, lambda n: has_class(n["cls"], "section__wrapper"))
-        first = F.get(wrapper, F.lit(0))
-        beside = F.filter(inside, lambda n: (n["parent"] == head["parent"]) & (n["ord"] != head["ord"]) & (n["tag"] == "div") & _has_text(n))
-        chosen = F.when(_has_text(first), first).when(F.size(beside) > 0, F.get(beside, F.lit(0)))
-        return F.when(chosen.isNotNull(), reach(chosen["start"], chosen["stop"]))
+        def chosen(inside: Column) -> Column:
+            wrapper = F.filter(inside, lambda n: has_class(n["cls"], "section__wrapper"))
+            beside = F.filter(inside, lambda n: (n["parent"] == head["parent"]) & (n["ord"] != head["ord"]) & (n["tag"] == "div") & _has_text(n))
+            return let(F.get(wrapper, F.lit(0)), lambda first: F.when(_has_text(first), first).otherwise(F.get(beside, F.lit(0))))
+
+        inside = F.when(head["parent"] >= 0, let(F.get(nodes, head["parent"]), lambda outer: _inside(nodes, outer))).otherwise(nodes)
+        return let(let(inside, chosen), lambda n: F.when(n.isNotNull(), reach(n["start"], n["stop"])))
 
     parent = F.get(nodes, heading["parent"])
     later = F.filter(

@@ -7,6 +7,7 @@ from lectern.operators import ledger as L
 from lectern.operators.components import connected_components
 from lectern.plans import batch as B
 from lectern.plans import feed_xml as X
+from lectern.plans import publish as R
 from lectern.sources import feeds
 from lectern.sources import pages as P
 from lectern.streaming.ledger_stream import publish_stream, read_ledger
@@ -236,3 +237,39 @@ def test_pages_are_parsed_in_small_slices_of_a_batch(spark):
     texts = {i: [] if x is None else [f"T{i}", *[f"{i} & x"] * (i % 5)] for i, x in enumerate(made)}
     assert {r.page_id: r.pieces for r in got} == texts
     assert {r.page_id: r.n for r in got} == {i: 0 if x is None else 2 + i % 5 for i, x in enumerate(made)}
+
+
+def _day_page(*sections):
+    one = lambda head, body: f'<section><div class="section__head x"><h2>{head}</h2></div><div class="a section__wrapper">{body}</div></section>'
+    return "<body>" + "".join(one(*x) for x in sections) + "</body>"
+
+
+def _days(spark):
+    day, gospel = datetime.date(2026, 3, 9), ("VANGELO del giorno", "<p>Testo <b>del</b> giorno.</p>")
+    marked = '<div class="x indicazioneLiturgica">Luned&igrave;</div>'
+    rows = [
+        (1, "it", day, marked + _day_page(("altro", "<p>no</p>"), gospel, ("Vangelo", "<p>second</p>"))), (2, "it", day, "<p>Era il 09/03/2026  Giorno  bello</p>"), (3, "it", day, None), (4, "xx", day, marked),
+        (5, None, day, _day_page(gospel)), (6, "it", None, marked + _day_page(("Vangelo", "<p> </p>"))), (7, "it", day, marked), (7, "it", day, marked + _day_page(gospel)), (8, "it", day, _day_page(gospel)), (8, "it", day, _day_page(gospel)),
+        (None, "it", day, marked + _day_page(gospel)),
+    ]
+    return P.with_elements(spark.createDataFrame(rows, "page_id long, lang string, day date, html string"))
+
+
+def test_day_episodes_of_odd_pages(spark):
+    """Pages without text, sections, language, day or id, two of one id, and one that comes twice."""
+    got = sorted((str(r.page_id), r.lang, r.title, r.segments) for r in R.day_episodes(_days(spark), "s").collect())
+    text = ["Testo del giorno."]
+    assert sorted(got, key=str) == sorted([
+        ("1", "it", "Luned\xec", text), ("2", "it", "Giorno bello", []), ("3", "it", "9 marzo 2026", []), ("4", "xx", None, []), ("5", None, None, []), ("6", "it", "Luned\xec", []),
+        ("7", "it", "Luned\xec", text), ("7", "it", "Luned\xec", text), ("8", "it", "9 marzo 2026", text), ("8", "it", "9 marzo 2026", text), ("None", "it", "Luned\xec", []),
+    ], key=str)
+
+
+def test_texts_of_a_day_are_worked_out_once(spark):
+    """No filter holds the steps that clean a text, which the projection under it would take again."""
+    filters, todo = [], [R.day_episodes(_days(spark), "s")._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        filters += [node.condition().toString()] if node.nodeName() == "Filter" else []
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    assert not [x for x in filters if "lambda" in x]

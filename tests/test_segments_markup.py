@@ -86,3 +86,32 @@ def test_voices(spark):
     assert sorted(map(tuple, got)) == [
         ("edge", "de", "de-DE-ConradNeural", "de-DE", 1.15), ("edge", "it", "it-IT-DiegoNeural", "it-IT", 0.85), ("google", "it", "it-IT-Neural2-C", "it-IT", 1.0),
     ]
+
+
+def test_bare_references_of_a_language_column(spark):
+    """A line that is a book's name, or one before verse numbers, in each row's language; nulls and unknown languages too."""
+    import re
+
+    from lectern.functions import dims
+
+    rest = r"(?:|(?=[^\d]*\d)[\d\s,;.:\u2013\-a-z\xe0-\xfc]+)"
+    lines = [f"{n.lower()}{x}" for c in dims.BOOKS for _, n in dims.books(c) for x in ("", " 5 1", "x", " e poi", "\t3")]
+    lines += ["", "  ", "disse ai suoi", "12, 3-4 ", None]
+    langs = [*dims.LANGUAGES, "xx", None]
+    rows = [(c, x) for c in langs for x in dict.fromkeys(lines)]
+    df = spark.createDataFrame(rows, "lang string, line string").select("lang", "line", S.is_bare_reference(F.col("line"), F.col("lang")).alias("bare"))
+    # no pattern that depends on a row, which would be compiled for each line
+    patterns, todo = [], [df._jdf.queryExecution().optimizedPlan().expressions().apply(2)]
+    while todo:
+        e = todo.pop()
+        patterns += [e.right().foldable()] if e.getClass().getSimpleName() == "RLike" else []
+        todo += [e.children().apply(i) for i in range(e.children().size())]
+    assert patterns and all(patterns)
+    general = re.compile(S._BARE)
+    for r in df.collect():
+        text = None if r.line is None else r.line.strip()
+        names = [n.lower() for _, n in dims.books(r.lang or "")]
+        if text is None:
+            assert r.bare is None
+        else:
+            assert r.bare is (text != "" and (bool(general.search(text)) or any(text.startswith(n) and re.fullmatch(rest, text[len(n):]) for n in names))), r
