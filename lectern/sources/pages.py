page_or_feed: a day page is parsed once, for title and sections

Symptom: page_or_feed took 1494 CPU seconds a GB over 0.03 GB of pages, 463 of them in Python.
Evidence: the executed plans parsed each page three times (once for the sections, once for a filter on the title, once for the title after it), resolved references of whole pages twice for a title that most pages mark, and shuffled parsed pages twice.
Fix: day_episodes takes title and sections in one pass and writes what counts of a page, a row for each section that counts and one for a page without any; titles, the filter on them and the sections read that. A page's text is read only where no title is marked.
Effect, together with 2 more commits on this code: at 1 GB of input CPU 1358 -> 724 s, shuffle 0.07 -> 0.06 GB, spill 0.00 -> 0.00 GB, read 0.05 -> 0.06 GB, longest task 27 -> 25 s, most memory of a task 257 -> 257 MB; at 6 GB of input CPU 4603 -> 1616 s, shuffle 2.04 -> 1.29 GB, spill 0.00 -> 0.00 GB, read 0.27 -> 0.32 GB, longest task 99 -> 30 s, most memory of a task 447 -> 447 MB; with hot keys, at 1 GB of input CPU 786 -> 423 s, shuffle 0.03 -> 0.03 GB, spill 0.00 -> 0.00 GB, read 0.05 -> 0.05 GB, longest task 17 -> 12 s, most memory of a task 216 -> 182 MB.

@@ -220,8 +220,11 @@ def without_verses(html: Column, nodes: Column, pieces: Column, reach: Column) -
     return F.when(F.size(found) == 0, source_of(html, reach)).otherwise(let(let(found, outer), cut))
 
 
-def sections(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """key, ord, heading, section (HTML), read (the same without inline verse references) for every h2 of a page."""
+def sections(pages: DataFrame, key: str = "page_id", html: str = "html", outer: bool = False) -> DataFrame:
+    """key, ord, heading, section (HTML), read (the same without inline verse references) for every h2 of a page.
+
+    outer: a page without any has one row, in which all but the key is null.
+    """
     source, nodes, pieces = F.col(html), F.col("nodes"), F.col("pieces")
 
     def made(h: Column) -> Column:
@@ -233,7 +236,8 @@ def sections(pages: DataFrame, key: str = "page_id", html: str = "html") -> Data
             ),
         )
 
-    return pages.select(key, F.inline(F.transform(F.filter("nodes", lambda n: n["tag"] == "h2"), made)))
+    each = F.inline_outer if outer else F.inline
+    return pages.select(key, each(F.transform(F.filter("nodes", lambda n: n["tag"] == "h2"), made)))
 
 
 def find_section(found: DataFrame, keyword: str, key: str = "page_id") -> DataFrame:

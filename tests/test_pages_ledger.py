@@ -273,3 +273,16 @@ def test_texts_of_a_day_are_worked_out_once(spark):
         filters += [node.condition().toString()] if node.nodeName() == "Filter" else []
         todo += [node.children().apply(i) for i in range(node.children().size())]
     assert not [x for x in filters if "lambda" in x]
+
+
+def test_a_day_page_is_parsed_once(spark):
+    """Titles and sections come from what one pass over the pages wrote, not from parsing them again."""
+    plan = R.day_episodes(_days(spark), "s")._jdf.queryExecution().optimizedPlan().toString()
+    assert "elements(" not in plan and "_unescape(" not in plan
+
+
+def test_sections_with_a_row_for_pages_without_any(spark):
+    pages = parsed(spark)
+    every, some = (P.sections(pages, outer=x).select("page_id", "ord", "heading", "section", "read").collect() for x in (True, False))
+    assert sorted((r for r in every if r.ord is not None), key=str) == sorted(some, key=str)
+    assert sorted(tuple(r) for r in every if r.ord is None) == [(3, None, None, None, None), (4, None, None, None, None)]
